@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: White space as the tokenizer's regular expressions see it (Unicode White_Space).
-SPACE = r"\x09-\x0D\x20\x85\xA0  -     　"
+SPACE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 PRETOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 LETTER = regex.compile(r"\p{L}")
 NUMBER = regex.compile(r"\p{N}")
@@ -53,10 +53,21 @@ def byte_letters() -> list[str]:
     return out
 
 
+class State:
+    """A state and the transitions found so far: byte -> (next state, emitted change), final byte -> emitted change."""
+
+    __slots__ = ("finals", "moves", "places", "tail")
+
+    def __init__(self, tail: bytes, places: tuple):
+        self.tail, self.places = tail, places
+        self.moves: dict[int, tuple[State, int]] = {}
+        self.finals: dict[int, int] = {}
+
+
 class CountTransducer:
     """Token counts of single pre-tokens; see the module's description."""
 
-    def __init__(self, definition: str, most_states: int = 60_000, most_words: int = 200_000):
+    def __init__(self, definition: str, most_states: int = 200_000, most_words: int = 300_000):
         spec = json.loads(definition)
         model = spec["model"]
         if model["type"] != "BPE" or not model.get("end_of_word_suffix"):
@@ -82,8 +93,8 @@ class CountTransducer:
         self._empty_states()
 
     def _empty_states(self) -> None:
-        self.step: dict = {}
-        self.start = (b"", ((b"", 0),))
+        self.states: dict[tuple, State] = {}
+        self.start = State(b"", ((b"", 0),))
 
     def merge(self, body: bytes, final: bool) -> list[str]:
         """The encoding by its definition: merge the pair of lowest rank, leftmost first."""
@@ -120,7 +131,7 @@ class CountTransducer:
             ok = self.pair_ok[key] = lengths == want
         return ok
 
-    def _last_token(self, seen: bytes, places: tuple, final: bool) -> tuple[bytes, int] | None:
+    def _last_token(self, seen: bytes, places: tuple, final: bool) -> tuple[bytes, int]:
         """(last token, token count relative to the state's) once `seen` is read; places: per length back."""
         vocabulary = self.final if final else self.inner
         for length in range(min(len(seen), len(places)), 0, -1):
@@ -129,47 +140,46 @@ class CountTransducer:
                 left, count = places[length - 1]
                 if self._may_follow(left, token, final):
                     return token, count + 1
-        return None
-
-    def move(self, state: tuple, byte: int, final: bool):
-        """(next state, emitted change) of reading one byte; the next state is None after a final byte."""
-        key = (state, byte, final)
-        known = self.step.get(key)
-        if known is not None:
-            return known
-        if len(self.step) >= self.most_states:
+        raise ValueError("the vocabulary lacks a single byte")
+
+    def move(self, state: State, byte: int) -> tuple[State, int]:
+        """Make the transition of `state` on an inner byte: (next state, emitted change)."""
+        seen = state.tail + bytes((byte,))
+        token, count = self._last_token(seen, state.places, False)
+        while seen not in self.prefixes:
+            seen = seen[1:]
+        places = ((token, 0), *((t, c - count) for t, c in state.places[: len(seen)]))
+        if len(self.states) >= self.most_states:
             self._empty_states()
-        tail, places = state
-        seen = tail + bytes((byte,))
-        # places[k]: (last token, count) where k bytes of `tail` are still to come
-        last = self._last_token(seen, places, final)
-        if last is None:
-            raise ValueError("the vocabulary lacks a single byte")
-        token, count = last
-        if final:
-            result = (None, count)
-        else:
-            while seen not in self.prefixes:
-                seen = seen[1:]
-            later = [(token, 0), *((t, c - count) for t, c in places[: len(seen)])]
-            result = ((seen, tuple(later)), count)
-        self.step[key] = result
-        return result
-
-    def run(self, word: bytes, state: tuple | None = None, final: bool = True):
-        """(end state, emitted sum) of a piece of a pre-token."""
-        state, total = state or self.start, 0
-        for k, byte in enumerate(word):
-            state, emitted = self.move(state, byte, final and k + 1 == len(word))
+        key = (seen, places)
+        target = self.states.get(key)
+        if target is None:
+            target = self.states[key] = State(seen, places)
+        state.moves[byte] = made = (target, count)
+        return made
+
+    def finish(self, state: State, byte: int) -> int:
+        """Make the transition of `state` on the last byte: the emitted change."""
+        state.finals[byte] = count = self._last_token(state.tail + bytes((byte,)), state.places, True)[1]
+        return count
+
+    def run(self, word: bytes) -> int:
+        """The sum of what the transitions along a pre-token emit: its token count."""
+        state, total = self.start, 0
+        for byte in word[:-1]:
+            made = state.moves.get(byte)
+            state, emitted = made if made is not None else self.move(state, byte)
             total += emitted
-        return state, total
+        byte = word[-1]
+        emitted = state.finals.get(byte)
+        return total + (emitted if emitted is not None else self.finish(state, byte))
 
     def count(self, word: bytes) -> int:
         n = self.words.get(word)
         if n is None:
             if len(self.words) >= self.most_words:
                 self.words.clear()
-            n = self.words[word] = self.run(word)[1]
+            n = self.words[word] = self.run(word)
         return n
 
 
