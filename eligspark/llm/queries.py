@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from eligspark.llm.bwt_dedup import remove_repeats
 from eligspark.llm.decontaminate import decontaminate, decontamination_sql
 from eligspark.llm.jaccard import jaccard_components
+from eligspark.llm.lm import score_documents
 from eligspark.llm.quality import judge, labelled_statistics, learn_rules
 from eligspark.llm.secrets import scan_secrets
 from eligspark.llm.sharding import shard_documents
 from eligspark.llm.tokens import count_tokens
+from eligspark.llm.warc import archive_round_trip
 from eligspark.tables import table
 
 #: The tokenizer file of the token counts, by its name among the public tokenizers.
@@ -42,10 +45,22 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"), least_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     rules = learn_rules(labelled_statistics(documents, table(spark, sf_dir, "labels")))
@@ -57,7 +72,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_decontamination": op3_decontamination,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_sharding": op6_sharding,
+    "op7_lm_scores": op7_lm_scores,
+    "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
 }
 
