@@ -197,3 +197,20 @@ named as (select rid, count(*) as n, string_agg(item, ',' order by item) as s fr
 select doc_id, cast(len(w) as bigint) as n_words, coalesce(hit.n, 0) as n_hit, coalesce(named.n, 0) as n_items,
        sha256(coalesce(named.s, '')) as items_sha256, coalesce(hit.n, 0) > 0 as contaminated
 from docs left join hit using (rid) left join named using (rid)"""
+
+
+def without_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of `documents` without any hit, all columns as they are; each benchmark block filters what is left."""
+    columns = documents.columns
+    rows = documents.select(F.struct("*").alias("row"), text_bytes().alias("text"))
+    for block in item_blocks(benchmark, block_bytes):
+        shared = documents.sparkSession.sparkContext.broadcast(WuManber.of_items(block, window))
+
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                search = shared.value
+                kept = [next(search.search(search.numbered(words_of(t))), None) is None for t in batch.column("text").to_pylist()]
+                yield batch.filter(pa.array(kept, pa.bool_()))
+
+        rows = rows.mapInArrow(clean, rows.schema)
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in columns])

@@ -34,8 +34,10 @@ def without(text: Column, letters: str) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    """Runs without ASCII white space."""
-    return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
+    """Runs without ASCII white space (splitting on one plain character needs no regular expression)."""
+    for letter in SPACES[1:]:
+        text = F.replace(text, F.lit(letter), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
 
 
 def repeated_words(words: Column, width: int = 5) -> Column:
@@ -229,3 +231,9 @@ def judge(documents: DataFrame, rules: list[Rule], keep: tuple[str, ...] = ("doc
     """
     rows = text_statistics(documents, keep=keep)
     return rows.withColumn("kept", ~F.col("base_failed") & verdict(rules))
+
+
+def keep_good(documents: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The rows of `documents` that are kept, all columns as they are."""
+    rows = documents.select(F.struct("*").alias("__row"), F.col("text"))
+    return judge(rows, rules, keep=("__row",)).filter("kept").select("__row.*")

@@ -10,6 +10,7 @@ from eligspark.llm.bwt_dedup import remove_repeats
 from eligspark.llm.decontaminate import decontaminate, decontamination_sql
 from eligspark.llm.jaccard import jaccard_components
 from eligspark.llm.lm import score_documents
+from eligspark.llm.mixing import mixing_rates
 from eligspark.llm.quality import judge, labelled_statistics, learn_rules
 from eligspark.llm.secrets import scan_secrets
 from eligspark.llm.sharding import shard_documents
@@ -67,6 +68,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(documents, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_token_counts": op2_token_counts,
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_lm_scores": op7_lm_scores,
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLES: dict[str, str] = {
