@@ -1,7 +1,7 @@
 """Repeated byte passages by threshold-bounded interval expansion on Burrows-Wheeler transforms.
 
 A byte goes if a string of 50 bytes that covers it also starts in a document with a smaller
-id.  The work is dealt out by content: in each window of 50 bytes the 16-byte piece of the
+id.  The work is dealt out by content: in each window of 50 bytes the 24-byte piece of the
 smallest hash is its anchor, so equal windows have equal anchors wherever they stand.
 
 1. Anchors are counted over all texts; only those in two or more different texts matter.
@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 from eligspark.llm.common import MIX_A, MIX_B, ODD, grouped_rows, mix64, text_bytes
 from eligspark.storage import materialize
 
+MIX_C = np.uint64(0xD6E8FEB86659FD93)
 LEAST = 50
-PIECE = 16
+PIECE = 24
 SPAN = LEAST - PIECE + 1
 CHUNK_BYTES = 4 << 20
 FLUSH = 1 << 21
@@ -52,10 +53,11 @@ def anchored_runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     if n < LEAST:
         return none, none.astype(np.uint64), none, none
     data = b"".join(texts) + bytes(PIECE)
-    loads = np.ndarray((n + 8,), "<u8", data, strides=(1,))
+    loads = np.ndarray((n + PIECE - 7,), "<u8", data, strides=(1,))
     m = n - PIECE + 1
     h = loads[:m] * ODD
     h ^= loads[8 : m + 8] * MIX_A
+    h += loads[16 : m + 16] * MIX_C
     h ^= h >> np.uint64(29)
     h *= MIX_B
     key = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(m, dtype=np.uint64)
@@ -79,7 +81,9 @@ def anchored_runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     owner = np.searchsorted(starts, a, side="right") - 1
     # empty texts share a start with the text after them; the search takes the last, which has the windows
     at = anchor[first]
-    name = mix64(mix64(np.ascontiguousarray(loads[at])) + np.ascontiguousarray(loads[at + 8]))
+    name = np.zeros(len(at), np.uint64)
+    for k in range(0, PIECE, 8):
+        name = mix64(name + np.ascontiguousarray(loads[at + k]))
     return owner, name, a - starts[owner], windows[last] - starts[owner]
 
 
@@ -233,7 +237,7 @@ def sorted_suffixes(symbols: np.ndarray) -> np.ndarray:
         key = (key << np.uint64(9)) | padded[k : n + k]
     depth = 7
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         if depth >= 56:
             return order
@@ -328,6 +332,10 @@ def removed_ranges(rows: DataFrame) -> DataFrame:
             out += [(doc, handle, at + a, at + b + LEAST) for handle, at in places for a, b in spans]
         return out
 
+    def differ(group: dict) -> bool:
+        """Whether different fragments of the group come from different documents."""
+        return len(group) > 1 and len({d for d, _ in group.values()}) > 1
+
     def batch_of(out: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], names=["doc_id", "handle", "first", "past"])
 
@@ -336,7 +344,7 @@ def removed_ranges(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for name, doc, handle, start, piece in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc_id", "handle", "start", "fragment"))):
                 if name != anchor:
-                    if len(group) > 1:
+                    if differ(group):
                         pending += [(p, d, places) for p, (d, places) in group.items()]
                         held += sum(map(len, group))
                         if held > TRANSFORM_BYTES:
@@ -353,7 +361,7 @@ def removed_ranges(rows: DataFrame) -> DataFrame:
             if len(out) > 100_000:
                 yield batch_of(out)
                 out = []
-        if len(group) > 1:
+        if differ(group):
             pending += [(p, d, places) for p, (d, places) in group.items()]
         if pending:
             out += ranges_of(pending)
