@@ -3,17 +3,20 @@
 Two texts can only reach the threshold if their shingle sets share one of the first
 ``n - ceil(t * n) + 1`` shingles in any fixed order, so every text is listed under those
 (its prefix) and only texts that share a list, a *cell*, are compared.  The order puts
-shingles that very many texts have last; how frequent they are is read from a sketch of
+shingles that many texts have last; how frequent they are is read from a sketch of
 fixed size over all texts, which can only affect speed.
 
 Inside a cell the sets' shingles are hashed into groups and the group counts are indexed as
 points of an R-tree.  The overlap of two sets is at most the sum of the coordinate minima,
 and for a node the same sum with its largest coordinates, so whole nodes are skipped.
-Pairs that survive are verified on the sets.  Pairs already connected are passed over,
+Cells are first screened so: only texts with a possible partner go on, and only then
+do whole sets travel.  Pairs that survive are verified on the sets.  Pairs already connected are passed over,
 so a cell gives a spanning forest of its links, never all pairs.
 
-Cells with the same members are one cell.  A cell of more than 1,024 texts is compared in
-blocks of 512 by block pairs, each of them a task's group of bounded size.
+Cells with the same members are one cell, and cells that overlap (those of a family of near
+copies, say) are compared as one cluster where that ships fewer sets.  A cell or cluster of
+more than 1,024 texts is compared in blocks of about 512 by block pairs, so that each unit of
+comparison has a bounded size.
 """
 
 from __future__ import annotations
@@ -32,9 +35,8 @@ from eligspark.llm.common import WordHash, as_signed, grouped_rows, keep_ids, mi
 from eligspark.storage import materialize
 
 SKETCH_BITS, SLICES = 20, 64
-#: A shingle is frequent from this share of all texts on (and clearly above the sketch's noise).
-FREQUENT = 0.0002
-GROUPS = 64
+#: Groups of the R-tree's points, and shingles per group of a set's own, finer point.
+GROUPS, PER_GROUP = 64, 8
 FANOUT = 16
 BLOCK = 512
 FLUSH = 1 << 21
@@ -51,7 +53,7 @@ def distinct_texts(texts: list[bytes], size: int, hashes: WordHash) -> Iterator[
 
 
 def frequency_classes(documents: DataFrame, size: int) -> np.ndarray:
-    """For each sketch cell 0 (not frequent) or a class that grows with the logarithm of its excess.
+    """A rank for each sketch cell that grows with its count: in steps of a quarter of the noise, then by logarithm.
 
     Every task counts the distinct shingles of all its texts in one array of fixed size; the
     arrays are summed slice by slice.  What comes to the driver has 2**SKETCH_BITS counters.
@@ -81,27 +83,26 @@ def frequency_classes(documents: DataFrame, size: int) -> np.ndarray:
     if not slices:
         return np.zeros(cells, np.uint8)
     total = np.concatenate([np.frombuffer(r["data"], np.int64) for r in sorted(slices, key=lambda r: r["slice"])])
-    mean = total.mean()
-    unit = max(8.0, FREQUENT * slices[0]["rows"], 6 * mean**0.5)
-    return np.where(total - mean < unit, 0, 1 + np.log2(np.maximum(total - mean, 1) / unit)).clip(0, 63).astype(np.uint8)
+    z = (total - total.mean()) / max(1.0, total.mean()) ** 0.5
+    low = np.clip(np.round(4 * (z + 4)), 0, 32)
+    return np.where(z < 4, low, np.clip(32 + 8 * np.log2(np.maximum(z, 4) / 4), 32, 255)).astype(np.uint8)
 
 
 def prefix(shingles: np.ndarray, percent: int, classes: np.ndarray) -> np.ndarray:
-    """The shingles under which a set is listed: infrequent ones first, then by hash."""
+    """The shingles under which a set is listed: those of the rarest sketch cells, then by hash."""
     n = len(shingles)
     length = n - -(-percent * n // 100) + 1
     rank = classes[shingles >> np.uint64(64 - SKETCH_BITS)]
-    if not rank.any():
-        return shingles[:length]
     return shingles[np.argsort(rank, kind="stable")[:length]]
 
 
-SIGNATURES = "doc_id long, n long, node long, part int, keys binary, nodes binary"
+SIGNATURES = "doc_id long, n long, node long, points binary, part int, keys binary, nodes binary"
 
 
 def signatures(documents: DataFrame, size: int, percent: int, classes: np.ndarray, parts: int) -> DataFrame:
-    """Rows of two kinds: (doc_id, n, node) for each text, node being its set's hash (null if empty),
-    and (part, keys, nodes): packed prefix keys of one part with the sets that have them."""
+    """Rows of two kinds: (doc_id, n, node, points) for each text, node being its set's hash (null if empty) and
+    points its group counts (once in a task), and (part, keys, nodes): packed prefix keys of one part with the
+    sets that have them."""
     shared = documents.sparkSession.sparkContext.broadcast(classes)
 
     def packed(keys: list, nodes: list) -> Iterator[tuple]:
@@ -116,25 +117,27 @@ def signatures(documents: DataFrame, size: int, percent: int, classes: np.ndarra
     def rows(arrays: list[tuple]) -> pa.RecordBatch:
         m = len(arrays)
         empty = pa.nulls(m, pa.int64())
-        return pa.RecordBatch.from_arrays([empty, empty, empty, pa.array([a[0] for a in arrays], pa.int32()), pa.array([a[1] for a in arrays], pa.binary()), pa.array([a[2] for a in arrays], pa.binary())], names=["doc_id", "n", "node", "part", "keys", "nodes"])
+        return pa.RecordBatch.from_arrays([empty, empty, empty, pa.nulls(m, pa.binary()), pa.array([a[0] for a in arrays], pa.int32()), pa.array([a[1] for a in arrays], pa.binary()), pa.array([a[2] for a in arrays], pa.binary())], names=["doc_id", "n", "node", "points", "part", "keys", "nodes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, classes_, listed = WordHash(), shared.value, set()
         keys, nodes, held = [], [], 0
         for batch in batches:
-            counts, handles = [], []
+            counts, handles, points = [], [], []
             for _, s in distinct_texts(batch.column("text").to_pylist(), size, hashes):
                 node = xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else None
                 counts.append(len(s))
                 handles.append(None if node is None else node - (1 << 64) * (node >> 63))
+                points.append(None)
                 if node is not None and node not in listed:
                     listed.add(node)
+                    points[-1] = packed_point(group_counts(s))
                     keys.append(prefix(s, percent, classes_))
                     nodes.append(np.full(len(keys[-1]), node, np.uint64))
                     held += len(keys[-1])
             m = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(handles, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], names=["doc_id", "n", "node", "part", "keys", "nodes"]
+                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(handles, pa.int64()), pa.array(points, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], names=["doc_id", "n", "node", "points", "part", "keys", "nodes"]
             )
             if held > FLUSH:
                 yield rows(list(packed(keys, nodes)))
@@ -145,7 +148,7 @@ def signatures(documents: DataFrame, size: int, percent: int, classes: np.ndarra
     return documents.select("doc_id", text_bytes().alias("text")).mapInArrow(run, SIGNATURES)
 
 
-CELLS = "cell_a long, cell_b long, block_a int, block_b int, node long"
+CELLS = "cell_a long, cell_b long, cell_size long, node long"
 
 
 def cells_of_part(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -164,47 +167,132 @@ def cells_of_part(pdf: pd.DataFrame) -> pd.DataFrame:
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
     keys, nodes = keys[new], nodes[new]
-    out = {"cell_a": [], "cell_b": [], "block_a": [], "block_b": [], "node": []}
-    if len(keys):
-        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        sizes = np.diff(np.r_[starts, len(keys)])
-        names_a = np.bitwise_xor.reduceat(mix64(nodes), starts)
-        names_b = np.add.reduceat(mix64(nodes ^ np.uint64(0xA5A5A5A5A5A5A5A5)), starts)
-        _, first = np.unique(np.stack([names_a, names_b]), axis=1, return_index=True)
-        for c in first.tolist():
-            m = int(sizes[c])
-            if m < 2:
-                continue
-            members = nodes[starts[c] : starts[c] + m]
-            if m <= 2 * BLOCK:
-                a = b = np.zeros(m, np.int32)
-            else:
-                blocks = -(-m // BLOCK)
-                own = np.repeat(np.arange(m) // BLOCK, blocks - 1)
-                other = np.tile(np.arange(blocks - 1), m)
-                other = other + (other >= own)
-                members = np.repeat(members, blocks - 1)
-                a, b = np.minimum(own, other).astype(np.int32), np.maximum(own, other).astype(np.int32)
-            out["cell_a"].append(np.full(len(members), names_a[c]))
-            out["cell_b"].append(np.full(len(members), names_b[c]))
-            out["block_a"].append(a)
-            out["block_b"].append(b)
-            out["node"].append(members)
-    types = {"block_a": np.int32, "block_b": np.int32}
-    joined = {k: np.concatenate(v) if v else np.empty(0, types.get(k, np.uint64)) for k, v in out.items()}
-    return pd.DataFrame({k: v if k in types else as_signed(v) for k, v in joined.items()})
+    if not len(keys):
+        return pd.DataFrame({c: np.empty(0, np.int64) for c in ("cell_a", "cell_b", "cell_size", "node")})
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    sizes = np.diff(np.r_[starts, len(keys)])
+    names_a = np.bitwise_xor.reduceat(mix64(nodes), starts)
+    names_b = np.add.reduceat(mix64(nodes ^ np.uint64(0xA5A5A5A5A5A5A5A5)), starts)
+    first = np.zeros(len(starts), bool)
+    first[np.unique(np.stack([names_a, names_b]), axis=1, return_index=True)[1]] = True
+    kept = np.repeat(first & (sizes > 1), sizes)
+    columns = {"cell_a": np.repeat(names_a, sizes), "cell_b": np.repeat(names_b, sizes), "cell_size": np.repeat(sizes, sizes), "node": nodes}
+    return pd.DataFrame({k: v[kept].view(np.int64) for k, v in columns.items()})
+
+
+def in_blocks(rows: DataFrame, size: str) -> DataFrame:
+    """Deal the members of units with more than 2 * BLOCK members (column `size`) into hashed blocks, one row
+    for each pair of blocks that a member takes part in; smaller units are one block."""
+    blocks = F.when(F.col(size) <= 2 * BLOCK, 1).otherwise(F.ceil(F.col(size) / BLOCK)).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: (F.col("blocks") == 1) | (x != F.col("own")))
+    rows = rows.withColumn("other", F.explode(others))
+    return rows.select("cell_a", "cell_b", F.least("own", "other").alias("block_a"), F.greatest("own", "other").alias("block_b"), "node")
+
+
+UNIT = ["cell_a", "cell_b", "block_a", "block_b"]
+
+
+def screened(members: DataFrame, percent: int) -> DataFrame:
+    """(cell_a, cell_b, node): the members of each unit (with points) that have a partner there by the R-tree's bound."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[str, list] = {"cell_a": [], "cell_b": [], "node": []}
+        held = 0
+        for group in grouped_rows(batches, UNIT):
+            nodes, first = np.unique(group.column("node").to_numpy(), return_index=True)
+            if len(nodes) > 1:
+                blob = group.column("points").combine_chunks()
+                nodes = nodes[with_partner([unpacked_point(blob[k].as_py()) for k in first.tolist()], percent)]
+                if len(nodes):
+                    for name in ("cell_a", "cell_b"):
+                        out[name].append(np.full(len(nodes), group.column(name)[0].as_py(), np.int64))
+                    out["node"].append(nodes)
+                    held += len(nodes)
+            if held > 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in out.values()], names=list(out))
+                out, held = {k: [] for k in out}, 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in out.values()], names=list(out))
+
+    dealt = members.repartition(*UNIT).sortWithinPartitions(*UNIT, "node")
+    return dealt.mapInArrow(run, "cell_a long, cell_b long, node long").distinct()
+
+
+def with_partner(points: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which points have another one that they may reach the threshold with."""
+    sizes = np.array([int(p.sum()) for p in points])
+    reach = lambda k, j: (100 + percent) * bound(points[k], points[j]) >= percent * int(sizes[k] + sizes[j])
+    if len(points) == 2:
+        return np.full(2, 100 * min(sizes) >= percent * max(sizes) and reach(0, 1))
+    tree = CountTree(np.stack([folded(p, GROUPS) for p in points]), sizes, percent)
+    out = np.zeros(len(points), bool)
+    for k in range(len(points)):
+        if not out[k]:
+            for j in tree.partners(k).tolist():
+                if j != k and reach(k, j):
+                    out[k] = out[j] = True
+                    break
+    return out
+
+
+def comparison_units(cells: DataFrame) -> DataFrame:
+    """(cell_a, cell_b, block_a, block_b, node): who is compared with whom, each unit of bounded size.
+
+    Cells that overlap form clusters.  A cluster is compared as a whole (each member once, or
+    once per pair of blocks) where that ships fewer sets than its cells would; otherwise its cells are.
+    """
+    leaders = cells.groupBy("cell_a", "cell_b").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("cell_size"))
+    marked = materialize(cells.join(leaders, ["cell_a", "cell_b"]), "jaccard-marked")
+    clusters = connected(marked.select(F.col("node").alias("a"), F.col("leader").alias("b")), "jaccard-clusters")
+    sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    placed = materialize(marked.join(clusters, "node"), "jaccard-placed")
+    shipped = F.when(F.col("cell_size") <= 2 * BLOCK, 1).otherwise(F.ceil(F.col("cell_size") / BLOCK) - 1)
+    costs = placed.groupBy("root").agg(F.sum(shipped).alias("by_cells")).join(sizes, "root")
+    whole = F.col("size") * F.when(F.col("size") <= 2 * BLOCK, 1).otherwise(F.ceil(F.col("size") / BLOCK) - 1) <= F.col("by_cells")
+    choice = costs.select("root", "size", whole.alias("whole"))
+    by_cluster = clusters.join(choice.filter("whole"), "root").select(F.col("root").alias("cell_a"), F.lit(0).cast("long").alias("cell_b"), "node", "size")
+    by_cell = placed.join(choice.filter("not whole"), "root").select("cell_a", "cell_b", "node", F.col("cell_size").alias("size"))
+    return materialize(in_blocks(by_cluster, "size").union(in_blocks(by_cell, "size")), "jaccard-units")
 
 
 def group_counts(shingles: np.ndarray) -> np.ndarray:
-    """The point of a set: how many of its shingles fall into each hash group."""
-    return np.bincount((shingles >> np.uint64(7)) % np.uint64(GROUPS), minlength=GROUPS).astype(np.int32)
+    """The point of a set: how many of its shingles fall into each hash group.
+
+    Large sets have more groups (a power of two times GROUPS, about PER_GROUP shingles in each), because the bound of
+    random sets comes close to their size where groups are full.
+    """
+    groups = GROUPS
+    while groups * PER_GROUP < len(shingles):
+        groups *= 2
+    return np.bincount(((shingles >> np.uint64(7)) % np.uint64(groups)).astype(np.int64), minlength=groups)
 
 
-SETS = "node long, points binary, shingles binary"
+def packed_point(point: np.ndarray) -> bytes:
+    """A point as bytes: one byte for each count where all fit, else four."""
+    return b"1" + point.astype(np.uint8).tobytes() if point.max(initial=0) < 256 else b"4" + point.astype(np.uint32).tobytes()
+
+
+def unpacked_point(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8 if data[:1] == b"1" else np.uint32, offset=1).astype(np.int32)
+
+
+def folded(point: np.ndarray, groups: int) -> np.ndarray:
+    """The point with fewer groups (the counts of hashes that agree modulo the smaller number add up)."""
+    return point.reshape(-1, groups).sum(0)
+
+
+def bound(a: np.ndarray, b: np.ndarray) -> int:
+    """Summed coordinate minima of two points, at the finer common resolution."""
+    groups = min(len(a), len(b))
+    return int(np.minimum(folded(a, groups), folded(b, groups)).sum())
+
+
+SETS = "node long, shingles binary"
 
 
 def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
-    """(node, points, shingles) of (node, text) rows whose text has the set that node names."""
+    """(node, shingles) of (node, text) rows whose text has the set that node names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
@@ -213,8 +301,8 @@ def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
             for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist()):
                 s = word_shingles(text, size, hashes)
                 if xxhash.xxh3_64_intdigest(s.tobytes()) == node % (1 << 64):
-                    kept.append((node, group_counts(s).tobytes(), s.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.binary()), pa.array([k[2] for k in kept], pa.binary())], names=["node", "points", "shingles"])
+                    kept.append((node, s.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.binary())], names=["node", "shingles"])
 
     return texts.mapInArrow(run, SETS)
 
@@ -255,14 +343,14 @@ class CountTree:
         rows = np.arange(len(self.levels[-1][0]))
         for level in range(len(self.levels) - 1, -1, -1):
             top, low, high = self.levels[level]
-            bound = np.minimum(top[rows], point).sum(1)
+            most_shared = np.minimum(top[rows], point).sum(1)
             size = np.maximum(low[rows], least)
-            fits = (high[rows] >= least) & (low[rows] <= most) & ((100 + t) * bound >= t * (n + size))
-            rows, bound = rows[fits], bound[fits]
+            fits = (high[rows] >= least) & (low[rows] <= most) & ((100 + t) * most_shared >= t * (n + size))
+            rows, most_shared = rows[fits], most_shared[fits]
             if level:
                 rows = (rows[:, None] * FANOUT + np.arange(FANOUT)).ravel()
                 rows = rows[rows < len(self.levels[level - 1][0])]
-        return self.order[rows[np.argsort(-bound, kind="stable")]]
+        return self.order[rows[np.argsort(-most_shared, kind="stable")]]
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -273,10 +361,11 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def forest(points: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Verified links that connect exactly what all links of these sets connect."""
     sizes = np.array([len(s) for s in sets])
-    tree = CountTree(points, sizes, percent)
+    points = [group_counts(s) for s in sets]
+    tree = CountTree(np.stack([folded(p, GROUPS) for p in points]), sizes, percent)
     root = np.arange(len(sets))
     links = []
     for k in range(len(sets)):
@@ -284,7 +373,8 @@ def forest(points: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tup
         others = others[root[others] != root[k]]
         while len(others):
             j = int(others[0])
-            both = overlap(sets[k], sets[j])
+            possible = (100 + percent) * bound(points[k], points[j]) >= percent * int(sizes[k] + sizes[j])
+            both = overlap(sets[k], sets[j]) if possible else 0
             if 100 * both >= percent * (sizes[k] + sizes[j] - both):
                 links.append((k, j))
                 root[root == root[j]] = root[k]
@@ -296,23 +386,20 @@ def forest(points: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tup
 
 def links_of_cells(members: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between nodes from cell members with their sets; whole cells are streamed in sorted order."""
-    keys = ["cell_a", "cell_b", "block_a", "block_b"]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, int]] = []
-        for group in grouped_rows(batches, keys):
+        for group in grouped_rows(batches, UNIT):
             nodes, first = np.unique(group.column("node").to_numpy(), return_index=True)
             if len(nodes) > 1:
-                points, shingles = group.column("points"), group.column("shingles")
+                shingles = group.column("shingles")
                 sets = [np.frombuffer(shingles[k].as_py(), np.uint64) for k in first.tolist()]
-                matrix = np.stack([np.frombuffer(points[k].as_py(), np.int32) for k in first.tolist()])
-                found += [(int(nodes[a]), int(nodes[b])) for a, b in forest(matrix, sets, percent)]
+                found += [(int(nodes[a]), int(nodes[b])) for a, b in forest(sets, percent)]
             if len(found) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
                 found = []
         yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
 
-    dealt = members.repartition(*keys).sortWithinPartitions(*keys, "node")
+    dealt = members.repartition(*UNIT).sortWithinPartitions(*UNIT, "node")
     return dealt.mapInArrow(run, "a long, b long")
 
 
@@ -357,7 +444,10 @@ def jaccard_components(documents: DataFrame, size: int = 4, percent: int = 85, p
     rows = materialize(signatures(documents, size, percent, classes, parts), "jaccard-signatures")
     ids = rows.filter(F.col("part").isNull()).select("doc_id", "n", "node")
     arrays = rows.filter(F.col("part").isNotNull()).select("part", "keys", "nodes")
-    members = materialize(arrays.groupBy("part").applyInPandas(cells_of_part, CELLS).distinct(), "jaccard-cells")
+    cells = materialize(arrays.groupBy("part").applyInPandas(cells_of_part, CELLS).distinct(), "jaccard-cells")
+    points = rows.filter(F.col("points").isNotNull()).select("node", "points").dropDuplicates(["node"])
+    survivors = materialize(screened(in_blocks(cells, "cell_size").join(points, "node"), percent), "jaccard-screened")
+    members = comparison_units(survivors)
     least = ids.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first_id"))
     wanted = materialize(least.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("first_id").alias("doc_id")).dropna(), "jaccard-wanted")
     texts = keep_ids(documents, wanted.select("doc_id").distinct(), "doc_id")
@@ -371,3 +461,18 @@ def jaccard_components(documents: DataFrame, size: int = 4, percent: int = 85, p
     known = least.join(component, "node", "left").select("node", F.coalesce("component_id", "first_id").alias("component_id"))
     out = ids.join(known, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each_component(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `documents` that stand for their component (its smallest doc_id), all columns as they are.
+
+    Rows without an id stay, since nothing tells them apart; of rows that share a kept id one stays.
+    """
+    components = materialize(jaccard_components(documents, size, percent), "jaccard-result")
+    kept = materialize(components.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "jaccard-kept")
+    few = kept.limit(2_000_001).count() <= 2_000_000
+    ids = kept.select(F.col("doc_id").alias("__kept"))
+    out = documents.join(F.broadcast(ids) if few else ids, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi")
+    if kept.filter("rows > 1").limit(1).count():
+        out = out.dropDuplicates(["doc_id"])
+    return out.union(documents.filter(F.col("doc_id").isNull()))
