@@ -18,6 +18,11 @@ from eligspark.storage import materialize
 from eligspark.tables import table
 
 
+#: Shares of all tokens after mixing.  Low-quality and most toxic text is meant to leave, so that clean documents,
+#: whose share is below its target, are never read less than once.
+TARGETS = {"toxic": 0.03, "low": 0.02, "clean": 0.95}
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rule nor the learned decision list rejects."""
     return keep_good(docs, learn_rules(labelled_statistics(docs, table(spark, sf_dir, "labels"))))
@@ -35,7 +40,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the rates of their soft domains say."""
-    return mixed_documents(docs, table(spark, sf_dir, "labels"))
+    return mixed_documents(docs, table(spark, sf_dir, "labels"), TARGETS)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,6 +81,15 @@ def keep_ids(df: DataFrame, ids: DataFrame, on: str, most: int = BROADCAST_ID_RO
     return df.join(F.broadcast(ids) if few else ids, on, "left_semi")
 
 
+def fenced(column: Column) -> Column:
+    """The same values, but not deterministic in the optimizer's eyes.
+
+    A filter on a deterministic column is pushed below the projections that made it, and every reference is
+    replaced by the whole expression, which multiplies long expressions (and their cost) many times over.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, column)
+
+
 def grouped_rows(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables of whole groups from batches sorted by `keys`; holds one open group and one batch."""
     open_part: list[pa.RecordBatch] = []

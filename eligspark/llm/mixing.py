@@ -20,6 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eligspark.llm.common import fenced
 from eligspark.llm.quality import SYMBOLS, words_of, without
 from eligspark.storage import materialize
 
@@ -187,21 +188,31 @@ class Mixture:
     highest: float = HIGHEST_RATE
 
     def rated(self, documents: DataFrame, keep: list[Column]) -> DataFrame:
-        """`keep`, n_tokens, the posteriors, rate and n_copies: the whole part of the rate, plus one by hashed id for the rest."""
-        rows = with_posteriors(measured(documents, self.classifier, [*keep, F.col("doc_id").alias("__id")]), self.classifier)
+        """`keep`, n_tokens, the posteriors, rate and n_copies of every document."""
+        rows = with_posteriors(measured(documents, self.classifier, [*keep, F.col("doc_id").cast("long").alias("__id")]), self.classifier)
+        return self.with_rates(rows, F.col("__id")).drop(*[c for c in rows.columns if c.startswith("__") and c != "__row"])
+
+    def with_rates(self, rows: DataFrame, key: Column) -> DataFrame:
+        """`rows` (with posteriors) with rate and n_copies: the whole part of the rate, plus one by hashed id for the rest."""
+        draw = F.pmod(F.xxhash64(F.lit("mix"), key), F.lit(1_000_003)) / F.lit(1_000_003.0)
         rows = rows.withColumn("rate", rate_expression(self.steps, self.highest))
-        draw = F.pmod(F.xxhash64(F.lit("mix"), F.col("__id")), F.lit(1_000_003)) / F.lit(1_000_003.0)
-        return rows.withColumn("n_copies", F.floor(F.col("rate") + draw).cast("int")).drop(*[c for c in rows.columns if c.startswith("__") and c != "__row"])
+        return rows.withColumn("n_copies", F.floor(F.col("rate") + draw).cast("int"))
+
+
+def member_table(documents: DataFrame, classifier: Classifier) -> DataFrame:
+    """(doc_id, n_tokens, posteriors) as a table in the shared folder: the only pass over the texts that fitting needs."""
+    rows = with_posteriors(measured(documents, classifier, [F.col("doc_id").cast("long").alias("doc_id")]), classifier)
+    return materialize(rows.select("doc_id", "n_tokens", *[f"p_{d}" for d in DOMAINS]), "mix-members")
 
 
-def fit_mixture(documents: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> Mixture:
-    """Fit both parts on `documents` (doc_id, text) and `labels` (doc_id, quality, toxic)."""
+def fit_mixture(documents: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> tuple[Mixture, DataFrame]:
+    """Fit both parts on `documents` (doc_id, text) and `labels` (doc_id, quality, toxic); with the member table."""
     targets = targets or TARGETS
     if set(targets) != set(DOMAINS) or min(targets.values()) < 0 or not math.fsum(targets.values()):
         raise ValueError(f"targets are needed for {DOMAINS}, none negative, not all 0")
     classifier = fit_classifier(documents, labels)
-    members = materialize(with_posteriors(measured(documents, classifier, []), classifier).select("n_tokens", *[f"p_{d}" for d in DOMAINS]), "mix-members")
-    return Mixture(classifier, fit_rates(members, targets))
+    members = member_table(documents, classifier)
+    return Mixture(classifier, fit_rates(members, targets)), members
 
 
 def mixing_rates(documents: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
@@ -211,11 +222,12 @@ def mixing_rates(documents: DataFrame, labels: DataFrame, targets: dict[str, flo
     ids stay null; repeated rows count each time and get equal rates; empty tables give no rows
     or rates of 1; other columns are not read.
     """
-    rows = fit_mixture(documents, labels, targets).rated(documents, [F.col("doc_id").cast("long").alias("doc_id")])
-    return rows.select("doc_id", "n_tokens", *[f"p_{d}" for d in DOMAINS], "rate", "n_copies")
+    mixture, members = fit_mixture(documents, labels, targets)
+    return mixture.with_rates(members, F.col("doc_id"))
 
 
 def mixed_documents(documents: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """The rows of `documents`, each as often as its n_copies says, all columns as they are."""
-    rows = fit_mixture(documents, labels, targets).rated(documents, [F.struct("*").alias("__row")])
-    return rows.filter("n_copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("n_copies")))).select("__row.*")
+    rows = fit_mixture(documents, labels, targets)[0].rated(documents, [F.struct("*").alias("__row")])
+    rows = rows.withColumn("n_copies", fenced(F.col("n_copies"))).filter("n_copies > 0")
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("n_copies")))).select("__row.*")

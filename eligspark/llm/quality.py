@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eligspark.llm.common import fenced
+
 #: Labelled rows that the rules are learned from, at most (those of the lowest hashed ids).
 MOST_LABELLED = 8_000
 SPACES = " \t\n\x0b\f\r"
@@ -209,7 +211,7 @@ def labelled_statistics(documents: DataFrame, labels: DataFrame, most: int = MOS
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).dropna().groupBy("doc_id").agg(F.min("label").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = text_statistics(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id"), keep=("doc_id", "label"))
-    rows = rows.filter(~F.col("base_failed")).select("doc_id", "label", *[feature(f).alias(f"__{f}") for f in FEATURES])
+    rows = rows.filter(fenced(~F.col("base_failed"))).select("doc_id", "label", *[feature(f).alias(f"__{f}") for f in FEATURES])
     return [{f: r[f"__{f}"] for f in FEATURES} | {"label": r["label"]} for r in sorted(rows.collect(), key=lambda r: (hash(r["doc_id"]) * 2654435761 % 2**32, r["doc_id"]))]
 
 
@@ -236,4 +238,4 @@ def judge(documents: DataFrame, rules: list[Rule], keep: tuple[str, ...] = ("doc
 def keep_good(documents: DataFrame, rules: list[Rule]) -> DataFrame:
     """The rows of `documents` that are kept, all columns as they are."""
     rows = documents.select(F.struct("*").alias("__row"), F.col("text"))
-    return judge(rows, rules, keep=("__row",)).filter("kept").select("__row.*")
+    return judge(rows, rules, keep=("__row",)).withColumn("kept", fenced(F.col("kept"))).filter("kept").select("__row.*")
