@@ -5,10 +5,12 @@ labelled rows, becomes an expression for each domain's posterior.  The rate of a
 it is to be read; rates are found so that the expected tokens of each domain, the sum of rate times tokens
 times posterior, meet the targets as least squares, with every rate between 0 and a highest rate.
 
-All documents start at rate 1.  A gradient step for document d is ``p_d . u`` with the K numbers u the same for
-all, so after any number of steps a rate is a nested expression of the posteriors: an iteration is one
-aggregation to K + K * K numbers, and no rate is ever stored, moved or collected.  Steps are scaled by the
-normal matrix of the rates that are free to move, and halved until the residual falls.
+Rates stay near 1 where the targets leave them free: the objective is half the squared residual of the domains' token
+shares plus RIDGE times half the squared distance of the rates from 1, weighted by tokens.  In that weighting the
+gradient of document d is ``p_d . residual + RIDGE * (rate - 1)``, so every projected step has the form
+``rate = min(highest, max(0, 1 - p_d . u))`` with K numbers u that all documents share.  An iteration is one
+aggregation to K + K * K numbers, and no rate is ever stored, moved or collected.  Steps are scaled by the normal
+matrix of the rates that are free to move, and halved until the optimality condition comes closer.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ TARGETS = {"toxic": 0.05, "low": 0.10, "clean": 0.85}
 #: Labelled rows for fitting, at most (those of the lowest hashed ids), and telling words for each domain.
 MOST_LABELLED = 6_000
 MOST_WORDS = 40
-HIGHEST_RATE = 8.0
+HIGHEST_RATE, RIDGE = 8.0, 5e-4
 COLUMNS = ("__words", "__chars", "__symbols", "__distinct")
 
 
@@ -129,62 +131,58 @@ def logistic(x: np.ndarray, y: np.ndarray, classes: int, ridge: float = 1e-3, st
     return w
 
 
-def rate_expression(steps: list[np.ndarray], highest: float = HIGHEST_RATE) -> Column:
-    """The rate after the steps: each moves by p . u and is projected into [0, highest]."""
+def rate_expression(u: np.ndarray, highest: float = HIGHEST_RATE) -> Column:
+    """The rate for the shared numbers u: the step from 1, projected into [0, highest]."""
     rate = F.lit(1.0)
-    for u in steps:
-        move = F.lit(0.0)
-        for d, x in zip(DOMAINS, u):
-            move = move + F.col(f"p_{d}") * F.lit(float(x))
-        rate = F.least(F.lit(highest), F.greatest(F.lit(0.0), rate - move))
-    return rate
+    for d, x in zip(DOMAINS, u):
+        rate = rate - F.col(f"p_{d}") * F.lit(float(x))
+    return F.least(F.lit(highest), F.greatest(F.lit(0.0), rate))
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float], highest: float = HIGHEST_RATE, most_steps: int = 12, tolerance: float = 1e-5) -> list[np.ndarray]:
-    """Steps whose rates make the domains' expected tokens meet `targets` (shares of all tokens) in least squares.
+def fit_rates(members: DataFrame, targets: dict[str, float], highest: float = HIGHEST_RATE, ridge: float = RIDGE, most_steps: int = 20, tolerance: float = 1e-7) -> np.ndarray:
+    """The numbers u whose rates bring the domains' expected tokens nearest to `targets` (shares of all tokens).
 
-    `members` has n_tokens and p_<domain>.  Targets that no rates reach leave the smallest residual found.
+    `members` has n_tokens and p_<domain>.  Without tokens every rate is 1.
     """
     k = len(DOMAINS)
     share = np.array([targets[d] for d in DOMAINS]) / sum(targets.values())
     total = members.agg(F.sum("n_tokens")).first()[0] or 0
+    u = np.zeros(k)
     if not total:
-        return []
+        return u
 
-    def state(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Residuals in shares, and the normal matrix of the documents whose rate may still move."""
-        rated = members.withColumn("__r", rate_expression(steps, highest))
+    def state(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How far u is from optimal (ridge * u equals the residual there), and the normal matrix of the free rates."""
+        rated = members.withColumn("__r", rate_expression(u, highest))
         t = F.col("n_tokens") / F.lit(float(total))
         free = F.when((F.col("__r") > 0) & (F.col("__r") < highest), t).otherwise(0.0)
         sums = [F.sum(F.col("__r") * t * F.col(f"p_{d}")) for d in DOMAINS]
         products = [F.sum(free * F.col(f"p_{a}") * F.col(f"p_{b}")) for a in DOMAINS for b in DOMAINS]
         row = np.array([x or 0.0 for x in rated.agg(*sums, *products).first()], float)
-        return row[:k] - share, row[k:].reshape(k, k)
+        return row[:k] - share - ridge * u, row[k:].reshape(k, k)
 
-    steps: list[np.ndarray] = []
-    residual, normal = state(steps)
+    gap, normal = state(u)
     for _ in range(most_steps):
-        if np.abs(residual).max() < tolerance:
+        if np.abs(gap).max() < tolerance:
             break
-        u = np.linalg.solve(normal + 1e-6 * np.eye(k), residual)
-        for _ in range(6):
-            tried, tried_normal = state([*steps, u])
-            if np.linalg.norm(tried) < np.linalg.norm(residual) * (1 - 1e-6):
+        step = np.linalg.solve(normal + ridge * np.eye(k), gap)
+        for _ in range(8):
+            tried, tried_normal = state(u + step)
+            if np.linalg.norm(tried) < np.linalg.norm(gap):
                 break
-            u = u / 2
+            step = step / 2
         else:
             break
-        steps.append(u)
-        residual, normal = tried, tried_normal
-    return steps
+        u, gap, normal = u + step, tried, tried_normal
+    return u
 
 
 @dataclass
 class Mixture:
-    """A fitted classifier and the steps that make rates."""
+    """A fitted classifier and the numbers that make rates."""
 
     classifier: Classifier
-    steps: list[np.ndarray]
+    u: np.ndarray
     highest: float = HIGHEST_RATE
 
     def rated(self, documents: DataFrame, keep: list[Column]) -> DataFrame:
@@ -195,7 +193,7 @@ class Mixture:
     def with_rates(self, rows: DataFrame, key: Column) -> DataFrame:
         """`rows` (with posteriors) with rate and n_copies: the whole part of the rate, plus one by hashed id for the rest."""
         draw = F.pmod(F.xxhash64(F.lit("mix"), key), F.lit(1_000_003)) / F.lit(1_000_003.0)
-        rows = rows.withColumn("rate", rate_expression(self.steps, self.highest))
+        rows = rows.withColumn("rate", rate_expression(self.u, self.highest))
         return rows.withColumn("n_copies", F.floor(F.col("rate") + draw).cast("int"))
 
 

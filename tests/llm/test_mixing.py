@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from eligspark.llm import mixing as M
 from tests.llm.fixtures import documents, frame, prose
@@ -60,8 +59,23 @@ def test_without_labels_and_rows(spark):
 
 def test_unreachable_targets_stay_in_bounds(spark):
     members = spark.createDataFrame([(10, 0.5, 0.25, 0.25), (30, 0.5, 0.25, 0.25)], "n_tokens long, p_toxic double, p_low double, p_clean double")
-    steps = M.fit_rates(members, {"toxic": 0.0, "low": 0.0, "clean": 1.0})
-    rates = [r.r for r in members.select(M.rate_expression(steps).alias("r")).collect()]
-    assert all(0 <= r <= M.HIGHEST_RATE for r in rates)
-    sums = members.select(F.sum("n_tokens")).first()[0]
-    assert sums == 40
+    u = M.fit_rates(members, {"toxic": 0.0, "low": 0.0, "clean": 1.0})
+    rates = [r.r for r in members.select(M.rate_expression(u).alias("r")).collect()]
+    # equal posteriors give equal rates r; the residual (0.5 r, 0.25 r, 0.25 r - 1) is smallest at r = 2 / 3
+    assert all(abs(r - 2 / 3) < 0.01 for r in rates)
+
+
+def test_rates_are_the_least_squares_optimum(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    p = rng.dirichlet([0.5, 0.3, 1.0], 60)
+    t = rng.integers(5, 400, 60)
+    members = spark.createDataFrame([(int(n), *map(float, q)) for n, q in zip(t, p)], "n_tokens long, p_toxic double, p_low double, p_clean double")
+    targets = {"toxic": 0.02, "low": 0.5, "clean": 0.48}
+    u = M.fit_rates(members, targets, highest=3.0, ridge=0.01)
+    got = np.array([r.r for r in members.select(M.rate_expression(u, 3.0).alias("r")).collect()])
+    share, goal, r = t / t.sum(), np.array([0.02, 0.5, 0.48]), np.ones(60)
+    for _ in range(20000):  # plain projected gradient
+        r = np.clip(r - 0.5 * (p @ (p.T @ (share * r) - goal) + 0.01 * (r - 1)), 0, 3)
+    assert np.abs(got - r).max() < 1e-3
