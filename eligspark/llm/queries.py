@@ -15,7 +15,7 @@ from eligspark.llm.quality import judge, labelled_statistics, learn_rules
 from eligspark.llm.secrets import scan_secrets
 from eligspark.llm.sharding import shard_documents
 from eligspark.llm.tokens import count_tokens
-from eligspark.llm.warc import archive_round_trip
+from eligspark.llm.warc import archive_round_trip, archive_sql
 from eligspark.tables import table
 
 #: The tokenizer file of the token counts, by its name among the public tokenizers.
@@ -87,4 +87,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op3_decontamination": decontamination_sql(),
+    "op8_warc": archive_sql(least_bytes=0),
 }

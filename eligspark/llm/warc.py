@@ -319,10 +319,13 @@ def archive_round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def archive_sql(least_bytes: int = 0) -> str:
-    """DuckDB SQL for page_id, payload_bytes, record_type and refers_to (it has no SHA-1 in base 32)."""
+    """DuckDB SQL for page_id, payload_bytes, payload_digest, record_type and refers_to."""
+    letter = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(cast('0x' || substr(h, 5 * k + 1, 5) as bigint) // {0} % 32 as int) + 1, 1)"
+    four = " || ".join(letter.format(32**j) for j in (3, 2, 1, 0))  # five hexadecimal digits are four letters
     return f"""
-with p as (select page_id, coalesce(html, '') as html, cast(strlen(coalesce(html, '')) as bigint) as payload_bytes from pages),
-g as (select html, max(page_id) as best, count(*) as n from p group by html)
-select page_id, payload_bytes, case when payload_bytes >= {least_bytes} and page_id <> best then 'revisit' else 'response' end as record_type,
+with p as (select page_id, coalesce(html, '') as html, cast(strlen(coalesce(html, '')) as bigint) as payload_bytes, sha1(coalesce(html, '')) as h from pages),
+g as (select html, max(page_id) as best from p group by html)
+select page_id, payload_bytes, array_to_string(list_transform(range(8), lambda k: {four}), '') as payload_digest,
+       case when payload_bytes >= {least_bytes} and page_id <> best then 'revisit' else 'response' end as record_type,
        case when payload_bytes >= {least_bytes} and page_id <> best then best end as refers_to
 from p join g using (html)"""
