@@ -48,13 +48,14 @@ def idf_table(posted: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def bm25_scores(queries: DataFrame, documents: DataFrame, query: str = "item_id", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(query, key, score): J03.  The index side is pruned to query terms before it is scored; repeated query words count each time."""
+    """(query, key, score): J03.  Terms that no query asks for go before the first shuffle; a text's length travels with its terms,
+    so lengths need no join; repeated query words count each time."""
     asked = queries.select(query, F.explode(bm25_tokens(F.col(text))).alias("term")).groupBy(query, "term").agg(F.count(F.lit(1)).alias("qtf"))
     stats = corpus_stats(documents, text)
-    posted = postings(documents, key, text)
-    idf = idf_table(posted, stats)
-    wanted = asked.join(idf, "term")
-    scored = posted.join(lengths(documents, key, text), key).join(wanted, "term").crossJoin(F.broadcast(stats.select("avgdl")))  # one row
+    wanted = asked.join(idf_table(postings(documents, key, text), stats), "term")
+    terms = documents.select(key, bm25_tokens(F.col(text)).alias("__w")).select(key, F.size("__w").alias("len"), F.explode("__w").alias("term"))
+    posted = terms.join(asked.select("term").distinct(), "term", "left_semi").groupBy(key, "term", "len").agg(F.count(F.lit(1)).alias("tf"))
+    scored = posted.join(wanted, "term").crossJoin(F.broadcast(stats.select("avgdl")))  # one row
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
     return scored.groupBy(query, key).agg(F.sum(part).alias("score")).filter("score > 0")  # F01
 

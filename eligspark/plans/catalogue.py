@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from eligspark.plans import corpus, evaluation, matching, search
+from eligspark.plans import corpus, evaluation, matching, search, serving
 
-MODULES = (search, matching, corpus, evaluation)
+MODULES = (search, matching, corpus, evaluation, serving)
 QUERIES: dict = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
