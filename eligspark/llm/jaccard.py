@@ -476,3 +476,17 @@ def one_of_each_component(documents: DataFrame, size: int = 5, percent: int = 80
     if kept.filter("rows > 1").limit(1).count():
         out = out.dropDuplicates(["doc_id"])
     return out.union(documents.filter(F.col("doc_id").isNull()))
+
+
+def jaccard_sql(size: int = 4, percent: int = 85) -> str:
+    """DuckDB SQL for the rows of `jaccard_components` over documents (ids as they are in the test tables: present and distinct)."""
+    return f"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+d as (select doc_id, case when len(w) >= {size} then list_distinct(list_transform(range(1, len(w) - {size - 2}), lambda k: array_to_string(w[k : k + {size - 1}], ' ')))
+  when len(w) > 0 then [array_to_string(w, ' ')] else [] end as sh from w),
+s as (select doc_id, unnest(sh) as x from d),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as i from s a join s b on a.x = b.x and a.doc_id < b.doc_id group by all),
+l as (select a, b from p join d x on x.doc_id = a join d y on y.doc_id = b where 100 * i >= {percent} * (len(x.sh) + len(y.sh) - i)),
+e as (select a as u, b as v from l union all select b, a from l),
+r(node, reach) as (select doc_id, doc_id from d union select r.node, e.v from r join e on e.u = r.reach)
+select d.doc_id, cast(len(any_value(sh)) as bigint) as n_shingles, min(reach) as component_id from d join r on r.node = d.doc_id group by d.doc_id"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from eligspark.llm.bwt_dedup import remove_repeats
 from eligspark.llm.decontaminate import decontaminate, decontamination_sql
-from eligspark.llm.jaccard import jaccard_components
+from eligspark.llm.jaccard import jaccard_components, jaccard_sql
 from eligspark.llm.lm import score_documents
 from eligspark.llm.mixing import mixing_rates
 from eligspark.llm.quality import judge, labelled_statistics, learn_rules
@@ -87,5 +87,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op3_decontamination": decontamination_sql(),
+    "op4_jaccard_join": jaccard_sql(size=4, percent=85),
     "op8_warc": archive_sql(least_bytes=0),
 }
