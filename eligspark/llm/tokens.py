@@ -25,6 +25,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -295,6 +296,12 @@ class TokenCounter:
         return tokens, chunks
 
 
+@lru_cache(maxsize=2)
+def counter_of(definition: str) -> TokenCounter:
+    """One counter per worker process and tokenizer, so that later tasks find states and words that are known already."""
+    return TokenCounter(definition)
+
+
 def count_tokens(documents: DataFrame, definition: str, limit: int = 2048, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of `documents`: doc_id, n_bytes, n_tokens, over_limit, n_chunks.
 
@@ -306,7 +313,7 @@ def count_tokens(documents: DataFrame, definition: str, limit: int = 2048, id_co
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_()), ("n_chunks", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TokenCounter(shared.value)
+        counter = counter_of(shared.value)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             counts = [counter.count(t) for t in texts]
