@@ -6,8 +6,9 @@ smallest hash is its anchor, so equal windows have equal anchors wherever they s
 
 1. Anchors are counted over all texts; only those in two or more different texts matter.
 2. Consecutive windows with one anchor form a fragment.  Fragments with a repeated anchor go to
-   that anchor's group, in order of document id, where equal fragments are recognised as they
-   stream by.
+   that anchor's group (equal ones combined before they travel, so that a passage of very many
+   documents doesn't meet in one task), in order of document id, where equal fragments are
+   recognised as they stream by.
 3. The different fragments of many groups are joined into one text.  Its suffixes are sorted by
    their first 56 bytes, and intervals of the Burrows-Wheeler transform are expanded backwards,
    breadth first: step l finds every boundary between neighbouring suffixes whose common
@@ -25,23 +26,26 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eligspark.llm.common import MIX_A, MIX_B, ODD, grouped_rows, mix64, text_bytes
+from eligspark.llm.common import MIX_A, MIX_B, ODD, mix64, slices, text_bytes
 from eligspark.storage import materialize
 
 MIX_C = np.uint64(0xD6E8FEB86659FD93)
 LEAST = 50
 PIECE = 24
 SPAN = LEAST - PIECE + 1
-CHUNK_BYTES = 4 << 20
-FLUSH = 1 << 21
+CHUNK_BYTES = 2 << 20
+FLUSH = 1 << 20
 #: Repeated anchors (8 bytes each) and byte ranges are broadcast up to these bounds; beyond them joins shuffle.
 BROADCAST_ANCHORS = 8_000_000
 BROADCAST_BYTES = 48 << 20
+#: Fragments of anchors that so many texts have are combined before they travel.
+COMMON = 16
 #: Bytes of fragments in one transform.
-TRANSFORM_BYTES = 3 << 19
+TRANSFORM_BYTES = 1 << 20
 
 
 def anchored_runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -129,7 +133,7 @@ def anchor_lists(texts: DataFrame, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         names, handles, held = [], [], 0
-        for batch in batches:
+        for batch in slices(batches):
             fresh = []
             for handle, text in zip(batch.column("handle").to_pylist(), batch.column("text").to_pylist()):
                 if len(text) >= LEAST and handle not in seen:
@@ -162,14 +166,14 @@ def expanded(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def repeated_anchors(lists: DataFrame) -> DataFrame:
-    """(part, hashes, n): the anchors of each part that two or more different texts have."""
+    """(part, hashes, common, n): the anchors of each part that two or more different texts have, and which of them COMMON texts have."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         short, _, repeated = expanded(pdf)
-        kept = np.unique(short[repeated])
-        return pd.DataFrame({"part": pdf["part"].iloc[:1], "hashes": [kept.tobytes()], "n": [len(kept)]})
+        kept, texts = np.unique(short[repeated], return_counts=True)
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "hashes": [kept.tobytes()], "common": [(texts >= COMMON).tobytes()], "n": [len(kept)]})
 
-    return lists.groupBy("part").applyInPandas(run, "part int, hashes binary, n long")
+    return lists.groupBy("part").applyInPandas(run, "part int, hashes binary, common binary, n long")
 
 
 def repeated_by_text(lists: DataFrame) -> DataFrame:
@@ -188,16 +192,85 @@ def repeated_by_text(lists: DataFrame) -> DataFrame:
     return rows.groupBy("handle").agg(F.array_join(F.transform(F.collect_list("names"), lambda x: F.hex(x)), "").alias("repeated")).select("handle", F.unhex("repeated").alias("repeated"))
 
 
-FRAGMENTS = "anchor long, doc_id long, handle long, start long, fragment binary"
+FRAGMENTS = "anchor long, doc_id long, handle long, start long, fragment binary, spans binary"
+NAMES = ["anchor", "doc_id", "handle", "start", "fragment", "spans"]
+
+
+def merged(spans: np.ndarray) -> np.ndarray:
+    """Maximal disjoint ranges of (first, past) rows."""
+    spans = spans[np.argsort(spans[:, 0], kind="stable")]
+    reach = np.maximum.accumulate(spans[:, 1])
+    new = np.flatnonzero(np.r_[True, spans[1:, 0] > reach[:-1]])
+    return np.stack([spans[new, 0], reach[np.r_[new[1:] - 1, len(spans) - 1]]], axis=1)
+
+
+class RangeTable:
+    """Byte ranges of texts (doc_id, handle), merged and packed when the table is emptied."""
+
+    def __init__(self):
+        self.held: dict[tuple[int, int], list[int]] = {}
+        self.size = 0
+
+    def add(self, doc: int, handle: int, first: int, past: int) -> None:
+        known = self.held.get((doc, handle))
+        if known is None:
+            self.held[doc, handle] = [first, past]
+        elif known[-2] <= first <= known[-1]:  # as they come in order, most ranges only lengthen the last
+            known[-1] = max(known[-1], past)
+            return
+        else:
+            known += (first, past)
+        self.size += 1
+
+    def empty(self) -> tuple[list[int], list[int], list[bytes]]:
+        """(documents, handles, packed spans)."""
+        docs, handles = [k[0] for k in self.held], [k[1] for k in self.held]
+        spans = [merged(np.array(v, np.int64).reshape(-1, 2)).tobytes() for v in self.held.values()]
+        self.held, self.size = {}, 0
+        return docs, handles, spans
+
+
+class Combiner:
+    """Combines equal fragments before they travel: of each only the occurrences in its smallest document so far are kept;
+    any other occurrence is known to go at once, whatever further documents hold.  Full tables are emptied into rows."""
+
+    def __init__(self, most: int = 100_000):
+        self.most, self.held, self.gone = most, {}, RangeTable()
+
+    def add(self, name: int, doc: int, handle: int, start: int, piece: bytes) -> None:
+        known = self.held.get(piece)
+        if known is None:
+            self.held[piece] = (name, doc, [(handle, start)])
+        elif known[1] == doc:
+            known[2].append((handle, start))
+        elif known[1] < doc:
+            self.gone.add(doc, handle, start, start + len(piece))
+        else:
+            for h, s in known[2]:
+                self.gone.add(known[1], h, s, s + len(piece))
+            self.held[piece] = (name, doc, [(handle, start)])
+
+    def full(self) -> bool:
+        return len(self.held) + self.gone.size > self.most
+
+    def empty(self) -> pa.RecordBatch:
+        rows = [(name, doc, h, s, piece, None) for piece, (name, doc, places) in self.held.items() for h, s in places]
+        # ranges have no fragment and are dealt by their own text
+        rows += [(handle, doc, handle, None, None, spans) for doc, handle, spans in zip(*self.gone.empty())]
+        self.held = {}
+        kinds = (*[pa.int64()] * 4, pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=NAMES)
 
 
 def fragments(texts: DataFrame, parts: int, shared) -> DataFrame:
-    """Fragments with a repeated anchor; `shared` has the sorted names of all, or is None where rows have their own."""
+    """Fragments with a repeated anchor; `shared` has the sorted names of all and which are common, or is None where rows
+    have their own names (then all are combined)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value if shared is not None else None
+        known, common = shared.value if shared is not None else (None, None)
         best: dict[int, int] = {}
-        for batch in batches:
+        combiner = Combiner()
+        for batch in slices(batches):
             columns = [batch.column(c).to_pylist() for c in ("doc_id", "handle", "text")]
             own = batch.column("repeated").to_pylist() if known is None else [None] * batch.num_rows
             rows = []
@@ -213,16 +286,25 @@ def fragments(texts: DataFrame, parts: int, shared) -> DataFrame:
                     place = np.searchsorted(known, names)
                     place[place == len(known)] = 0
                     kept = np.flatnonzero(known[place] == names) if len(known) else np.empty(0, np.int64)
+                    often = common[place[kept]] if len(kept) else np.empty(0, bool)
                 else:
                     edges = np.flatnonzero(np.diff(owner, prepend=-1)).tolist()
                     kept = [a + np.flatnonzero(np.isin(names[a:b], np.frombuffer(rows[at + owner[a]][3], np.uint64))) for a, b in zip(edges, [*edges[1:], len(owner)])]
                     kept = np.concatenate(kept) if kept else np.empty(0, np.int64)
+                    often = np.ones(len(kept), bool)
                 if not len(kept):
                     continue
-                o, a, b = owner[kept].tolist(), first[kept].tolist(), last[kept].tolist()
-                pieces = [some[k][i : j + LEAST] for k, i, j in zip(o, a, b)]
                 docs, handles = np.array([r[0] for r in rows[at : at + len(some)]], np.int64), np.array([r[1] for r in rows[at : at + len(some)]], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(name[kept].view(np.int64)), pa.array(docs[owner[kept]]), pa.array(handles[owner[kept]]), pa.array(first[kept]), pa.array(pieces, pa.binary())], names=["anchor", "doc_id", "handle", "start", "fragment"])
+                rare, kept = kept[~often], kept[often]
+                pieces = [some[k][i : j + LEAST] for k, i, j in zip(owner[rare].tolist(), first[rare].tolist(), last[rare].tolist())]
+                if pieces:
+                    columns = [pa.array(name[rare].view(np.int64)), pa.array(docs[owner[rare]]), pa.array(handles[owner[rare]]), pa.array(first[rare]), pa.array(pieces, pa.binary()), pa.nulls(len(rare), pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=NAMES)
+                for n, k, i, j in zip(name[kept].view(np.int64).tolist(), owner[kept].tolist(), first[kept].tolist(), last[kept].tolist()):
+                    combiner.add(n, rows[at + k][0], rows[at + k][1], i, some[k][i : j + LEAST])
+                if combiner.full():
+                    yield combiner.empty()
+        yield combiner.empty()
 
     return texts.mapInArrow(run, FRAGMENTS)
 
@@ -314,81 +396,99 @@ def covered_windows(pieces: list[bytes], owners: np.ndarray, least: int = LEAST)
     return [hits[a:b] - s for a, b, s in zip(bounds, bounds[1:], starts)]
 
 
-RANGES = "doc_id long, handle long, first long, past long"
+PACKED = "bucket int, ranges binary"
+
 
+def merged_rows(rows: np.ndarray) -> np.ndarray:
+    """(document, handle, first, past) rows with the ranges of each text maximal and disjoint, in order."""
+    if not len(rows):
+        return rows
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+    text = np.cumsum(np.r_[0, (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])])
+    base = text * (int(rows[:, 3].max()) + 2)  # keeps the texts apart on one line
+    reach = np.maximum.accumulate(rows[:, 3] + base)
+    new = np.flatnonzero(np.r_[True, (rows[1:, 2] + base[1:]) > reach[:-1]])
+    out = rows[new]
+    out[:, 3] = (reach - base)[np.r_[new[1:] - 1, len(rows) - 1]]
+    return out
 
-def removed_ranges(rows: DataFrame) -> DataFrame:
-    """Byte ranges to remove, from fragments."""
 
-    def ranges_of(pending: list) -> list[tuple[int, int, int, int]]:
+def removed_ranges(rows: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, ranges): packed rows of merged_rows, dealt by document, from fragments."""
+
+    def resolve(pending: list, out: list) -> None:
         """pending: (fragment, smallest document, its occurrences) of different fragments of whole groups."""
-        out = []
         found = covered_windows([p[0] for p in pending], np.array([p[1] for p in pending], np.int64))
         for (_, doc, places), windows in zip(pending, found):
-            if not len(windows):
-                continue
-            cut = np.flatnonzero(np.diff(windows) > 1)
-            spans = list(zip(windows[np.r_[0, cut + 1]].tolist(), windows[np.r_[cut, len(windows) - 1]].tolist()))
-            out += [(doc, handle, at + a, at + b + LEAST) for handle, at in places for a, b in spans]
-        return out
+            if len(windows):
+                cut = np.flatnonzero(np.diff(windows) > 1)
+                spans = list(zip(windows[np.r_[0, cut + 1]].tolist(), windows[np.r_[cut, len(windows) - 1]].tolist()))
+                for handle, at in places:
+                    for a, b in spans:
+                        out += (doc, handle, at + a, at + b + LEAST)
 
     def differ(group: dict) -> bool:
         """Whether different fragments of the group come from different documents."""
         return len(group) > 1 and len({d for d, _ in group.values()}) > 1
 
-    def batch_of(out: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], names=["doc_id", "handle", "first", "past"])
+    def packed(out: list, ready: list[np.ndarray]) -> pa.RecordBatch:
+        found = merged_rows(np.concatenate([np.array(out, np.int64).reshape(-1, 4), *ready]))
+        bucket = (mix64(found[:, 0].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        found, bucket = found[order], bucket[order]
+        edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=buckets + 1)).tolist()
+        parts = [(int(bucket[a]), found[a:b].tobytes()) for a, b in zip(edges, edges[1:])]
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in parts], pa.int32()), pa.array([x[1] for x in parts], pa.binary())], names=["bucket", "ranges"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchor, group, pending, held, out = None, {}, [], 0, []
+        anchor, group, pending, held = None, {}, [], 0
+        out: list[int] = []
+        ready: list[np.ndarray] = []
         for batch in batches:
+            known = batch.filter(pc.is_valid(batch.column("spans")))
+            if known.num_rows:
+                for doc, handle, spans in zip(*(known.column(c).to_pylist() for c in ("doc_id", "handle", "spans"))):
+                    pairs = np.frombuffer(spans, np.int64).reshape(-1, 2)
+                    ready.append(np.c_[np.full(len(pairs), doc), np.full(len(pairs), handle), pairs])
+                batch = batch.filter(pc.is_null(batch.column("spans")))
             for name, doc, handle, start, piece in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc_id", "handle", "start", "fragment"))):
                 if name != anchor:
                     if differ(group):
                         pending += [(p, d, places) for p, (d, places) in group.items()]
                         held += sum(map(len, group))
                         if held > TRANSFORM_BYTES:
-                            out += ranges_of(pending)
+                            resolve(pending, out)
                             pending, held = [], 0
                     anchor, group = name, {}
-                known = group.get(piece)
-                if known is None:
+                same = group.get(piece)
+                if same is None:
                     group[piece] = (doc, [(handle, start)])
-                elif known[0] < doc:
-                    out.append((doc, handle, start, start + len(piece)))
+                elif same[0] < doc:
+                    out += (doc, handle, start, start + len(piece))
                 else:
-                    known[1].append((handle, start))
-            if len(out) > 100_000:
-                yield batch_of(out)
-                out = []
+                    same[1].append((handle, start))
+            if len(out) > 2_000_000:
+                yield packed(out, ready)
+                out, ready = [], []
         if differ(group):
             pending += [(p, d, places) for p, (d, places) in group.items()]
         if pending:
-            out += ranges_of(pending)
-        yield batch_of(out)
+            resolve(pending, out)
+        yield packed(out, ready)
 
-    return rows.repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(run, RANGES)
+    return rows.repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(run, PACKED)
 
 
 def merged_ranges(rows: DataFrame) -> DataFrame:
-    """(doc_id, handle, spans): maximal disjoint ranges of each text, packed as pairs of 64-bit numbers."""
+    """(doc_id, handle, spans): one row per text, its ranges maximal and disjoint."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, handles, spans = [], [], []
-        for group in grouped_rows(batches, ["doc_id", "handle"]):
-            first, past = group.column("first").to_numpy(), group.column("past").to_numpy()
-            reach = np.maximum.accumulate(past)
-            new = np.flatnonzero(np.r_[True, first[1:] > reach[:-1]])
-            docs.append(group.column("doc_id")[0].as_py())
-            handles.append(group.column("handle")[0].as_py())
-            spans.append(np.stack([first[new], reach[np.r_[new[1:] - 1, len(first) - 1]]], axis=1).astype(np.int64).tobytes())
-            if len(docs) >= 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(handles, pa.int64()), pa.array(spans, pa.binary())], names=["doc_id", "handle", "spans"])
-                docs, handles, spans = [], [], []
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(handles, pa.int64()), pa.array(spans, pa.binary())], names=["doc_id", "handle", "spans"])
-
-    dealt = rows.repartition("doc_id", "handle").sortWithinPartitions("doc_id", "handle", "first")
-    return dealt.mapInArrow(run, "doc_id long, handle long, spans binary")
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = merged_rows(np.frombuffer(b"".join(pdf["ranges"]), np.int64).reshape(-1, 4))
+        starts = np.flatnonzero(np.r_[True, (found[1:, 0] != found[:-1, 0]) | (found[1:, 1] != found[:-1, 1])])
+        spans = [np.ascontiguousarray(x).tobytes() for x in np.split(found[:, 2:], starts[1:])]
+        return pd.DataFrame({"doc_id": found[starts, 0], "handle": found[starts, 1], "spans": spans})
+
+    return rows.groupBy("bucket").applyInPandas(run, "doc_id long, handle long, spans binary")
 
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -432,13 +532,18 @@ def remove_repeats(documents: DataFrame, parts: int | None = None, with_text: bo
     lists = anchor_lists(texts.filter(F.col("doc_id").isNotNull()), parts)
     repeated = materialize(repeated_anchors(lists), "bwt-anchors")
     if (repeated.agg(F.sum("n")).first()[0] or 0) <= most_anchors:
-        names = [joint_name(np.full(r["n"], r["part"]), np.frombuffer(bytes(r["hashes"]), np.uint32)) for r in repeated.toLocalIterator()]
-        shared = spark.sparkContext.broadcast(np.sort(np.concatenate([np.empty(0, np.uint64), *names])))
+        names, common = [np.empty(0, np.uint64)], [np.empty(0, bool)]
+        for r in repeated.toLocalIterator():
+            names.append(joint_name(np.full(r["n"], r["part"]), np.frombuffer(bytes(r["hashes"]), np.uint32)))
+            common.append(np.frombuffer(bytes(r["common"]), bool))
+        names, common = np.concatenate(names), np.concatenate(common)
+        order = np.argsort(names)
+        shared = spark.sparkContext.broadcast((names[order], common[order]))
         candidates = texts
     else:
         shared = None
         candidates = texts.join(materialize(repeated_by_text(lists), "bwt-by-text"), "handle")
-    ranges = materialize(merged_ranges(removed_ranges(fragments(candidates, parts, shared))), "bwt-ranges")
+    ranges = materialize(merged_ranges(removed_ranges(fragments(candidates, parts, shared), parts)), "bwt-ranges")
 
     slim = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("handle"), F.crc32(text_bytes()).alias("crc"), F.octet_length(F.coalesce(F.col("text"), F.lit(""))).alias("n")

@@ -81,6 +81,13 @@ def keep_ids(df: DataFrame, ids: DataFrame, on: str, most: int = BROADCAST_ID_RO
     return df.join(F.broadcast(ids) if few else ids, on, "left_semi")
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that only few texts at once are also Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def fenced(column: Column) -> Column:
     """The same values, but not deterministic in the optimizer's eyes.
 

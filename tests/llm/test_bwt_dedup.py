@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 
+from eligspark.llm import bwt_dedup as B
 from eligspark.llm.bwt_dedup import bounded_classes, covered_windows, remove_repeats
 from tests.llm.fixtures import documents, frame, key
 
@@ -40,6 +41,35 @@ def test_frame(spark):
     assert remove_repeats(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_small_tables_and_chunks(monkeypatch):
+    """Combining and chunking only change how work is cut, also where tables overflow all the time."""
+    rows = [(i, t) for i, t in documents(seed=8) if i is not None]
+    texts = [(t or "").encode() for _, t in rows]
+
+    def ranges(most):
+        combiner, batches = B.Combiner(most), []
+        for at, some in B.chunks(texts):
+            owner, name, first, last = B.anchored_runs(some)
+            for n, k, i, j in zip(name.view(np.int64).tolist(), owner.tolist(), first.tolist(), last.tolist()):
+                combiner.add(n, rows[at + k][0], at + k, i, some[k][i : j + 50])
+                if combiner.full():
+                    batches.append(combiner.empty())
+        batches.append(combiner.empty())
+        kept, gone = {}, set()
+        fragments = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["fragment"] is None, r["doc_id"]))
+        for r in fragments:
+            spans = [] if r["spans"] is None else np.frombuffer(r["spans"], np.int64).reshape(-1, 2).tolist()
+            if r["spans"] is None and kept.setdefault(r["fragment"], r["doc_id"]) < r["doc_id"]:
+                spans = [(r["start"], r["start"] + len(r["fragment"]))]
+            gone |= {(r["doc_id"], k) for a, b in spans for k in range(a, b)}
+        return gone
+
+    want = ranges(1 << 20)
+    assert want and ranges(2) == want
+    monkeypatch.setattr(B, "CHUNK_BYTES", 300)
+    assert ranges(5) == want
+
+
 def test_classes_of_small_alphabets():
     rnd = random.Random(7)
     for _ in range(80):
