@@ -75,13 +75,29 @@ def constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The arithmetic order of candidates: (slug * STEP + query * SHIFT) modulo PRIME, then slug.
+STEP, SHIFT, PRIME = 7919, 104729, 10007
+
+
 def candidates(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    """Ten ranked constraint records per profile by an arithmetic order; the stated profiles go over all records, and the
-    window's limit runs before the shuffle."""
-    left = profiles(spark, sf_dir).select("query_id")
-    pairs = constraints(spark, sf_dir).select("slug").join(F.broadcast(left))  # one profile per 25th customer, ids only
-    order = W.partitionBy("query_id").orderBy((F.col("slug") * 7919 + F.col("query_id") * 104729) % 10007, "slug")
-    return pairs.withColumn("rnk", F.row_number().over(order)).filter(F.col("rnk") <= k)
+    """Ten ranked constraint records per profile by an arithmetic order.
+
+    The order's value r belongs to the records of one residue, (r - query * SHIFT) / STEP modulo PRIME, so the first
+    values of each profile meet their records in an equi-join; more values are taken until every profile has enough.
+    """
+    queries = profiles(spark, sf_dir).select("query_id")
+    records = constraints(spark, sf_dir).select("slug", (F.col("slug") % PRIME).alias("residue"))
+    n, inverse, values = records.count(), pow(STEP, -1, PRIME), 64
+    while True:
+        asked = queries.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(min(values, PRIME) - 1))))
+        asked = asked.withColumn("residue", F.pmod((F.col("r") - F.pmod(F.col("query_id") * SHIFT, F.lit(PRIME))) * inverse, F.lit(PRIME)))
+        found = asked.join(records, "residue")
+        short = queries.join(found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left").filter(F.coalesce("n", F.lit(0)) < min(k, n))
+        if values >= PRIME or not short.limit(1).count():
+            break
+        values *= 4
+    order = W.partitionBy("query_id").orderBy("r", "slug")
+    return found.select("query_id", "slug", F.row_number().over(order).alias("rnk")).filter(F.col("rnk") <= k)
 
 
 def matching_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
