@@ -56,3 +56,40 @@ def test_class_shares_add_up():
     scorer = lm.Scorer(np.zeros((1, 1)), [], np.array([7] + [0] * (lm.TAILS - 1)), np.array([3] + [0] * (lm.TAILS - 1)), 10, 3)
     shares = 10 ** scorer.within_class(np.full(4, 1 + lm.HEAD), np.array([4, 2, 1, 0]))
     assert math.isclose(shares.sum(), 1)
+
+
+def test_classes_grow_with_the_vocabulary(spark):
+    """40 words of one ending in a fixed order, all less frequent than 79 others: in a class that they share, their order can't tell."""
+    rng = np.random.default_rng(0)
+    word = [f"w{k}zz" for k in range(40)]
+    others = [" ".join(f"other{k}" for k in rng.permutation(79)) for _ in range(400)]
+    rare = [" ".join(f"r{k}" for k in range(a, a + 400)) for a in range(0, 40_000, 400)]
+    ids = [k for k in range(1000) if held_out(k)]
+    windows = [word[k : k + 5] for k in range(36)]
+    pairs = [" ".join(w[::o]) for w in windows for o in (1, -1)]
+    rows = [(None, t) for t in [*[" ".join(word * 20)] * 10, *others, *rare]] + list(zip(ids, pairs))
+    got = {r.doc_id: r.score for r in lm.score_documents(frame(spark, rows)).filter("doc_id is not null").collect()}
+    told = [got[ids[2 * k]] > got[ids[2 * k + 1]] + 0.5 for k in range(len(windows))]
+    assert sum(told) >= 0.9 * len(windows)
+    assert lm.class_sizes(0) == (lm.HEAD, lm.TAILS) and sum(lm.class_sizes(10**8)) > 20 * lm.CLASSES
+
+
+def test_all_triples_are_counted_and_trained_on(spark):
+    rows = documents()
+    training = frame(spark, rows).select(lm.text_bytes().alias("text"))
+    n, head = lm.CLASSES, []
+    packed = lm.class_triples(training, head, lm.HEAD, lm.TAILS, 5)
+    classes = lm.WordClass(head, lm.HEAD, lm.TAILS)
+    want = Counter(c for _, t in rows for c in lm.codes(np.array([*(classes[w] for w in tokens(t)[:-1]), 0]), n).tolist())
+    got = Counter()
+    for r in packed.collect():
+        code, count = lm.unpack(bytes(r["steps"]), bytes(r["counts"]))
+        got.update(dict(zip(code.tolist(), count.tolist())))
+    assert got == want
+    model = lm.trained(lm.class_triples(training, head, lm.HEAD, lm.TAILS, 1), n)
+    code = np.array(sorted(want))
+    score = lambda m: float(np.average(m.log10_table().ravel()[code], weights=[want[c] for c in code.tolist()]))
+    untrained, _ = lm.new_model(np.bincount(code % n, [want[c] for c in code.tolist()], n))
+    assert score(model) > score(untrained) + 0.1
+    assert np.isfinite(lm.trained(packed, n).vector()).all()
+    assert np.allclose(lm.context_sums(model, spark, 3).ravel(), model.log_sums(*np.divmod(np.arange(n * n), n)), atol=1e-4)
