@@ -4,7 +4,7 @@ Rows with equal texts are one atomic group.  Groups are ordered by a hash of the
 groups whose hashes share their leading bits are taken together, so that the ordered size
 vector has a fixed number of entries (`CELLS`) at any input size; it alone comes to the
 driver.  There the smallest capacity for which a greedy walk needs no more shards than
-allowed is found by binary search, and the vector is cut by that walk.
+allowed is found by binary search, and the vector is cut within it, near equal shares of the rest.
 """
 
 from __future__ import annotations
@@ -43,16 +43,26 @@ def smallest_capacity(sizes: list[int], shards: int) -> int:
 
 
 def cuts(sizes: list[int], shards: int) -> list[int]:
-    """Index of the first entry of each shard after the first, by the greedy walk at the smallest capacity.
+    """Index of the first entry of each shard after the first, none of which is over the smallest capacity.
 
-    Where the walk needs fewer shards than allowed, the shards that are left stay empty.
+    A shard ends near the remaining bytes divided by the remaining shards where the rest still fits into the
+    others, and in time for each of them to have an entry; only with fewer entries than shards some stay empty.
     """
-    capacity, used, out = smallest_capacity(sizes, shards), 0, []
+    n, capacity = len(sizes), smallest_capacity(sizes, shards)
+    needed, end, used = [0] * (n + 1), n, 0  # shards that the greedy walk needs from each entry on
+    for k in range(n - 1, -1, -1):
+        used += sizes[k]
+        while used > capacity:
+            end -= 1
+            used -= sizes[end]
+        needed[k] = 1 + needed[end]
+    out, used, rest, left = [], 0, sum(sizes), shards  # rest: bytes of this entry and all after it
     for k, size in enumerate(sizes):
-        if used + size > capacity:
+        fair = (2 * used + size) * left > 2 * (used + rest) or n - k < left
+        if k and left > 1 and (used + size > capacity or (fair and needed[k] < left)):
             out.append(k)
-            used = 0
-        used += size
+            used, left = 0, left - 1
+        used, rest = used + size, rest - size
     return out
 
 

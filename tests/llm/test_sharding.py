@@ -49,3 +49,18 @@ def test_frame(spark):
 def test_one_group_of_copies(spark):
     got = shard_documents(frame(spark, [(k, "same") for k in range(50)]), shards=3).collect()
     assert {r.shard for r in got} == {0} and sorted(r.slot for r in got) == list(range(50))
+
+
+def test_no_shard_is_empty_without_need():
+    rnd = random.Random(4)
+    for _ in range(300):
+        sizes, shards = [rnd.randint(1, 30) for _ in range(rnd.randint(1, 40))], rnd.randint(1, 8)
+        sizes[rnd.randrange(len(sizes))] *= rnd.choice([1, 20])
+        edges = [0, *cuts(sizes, shards), len(sizes)]
+        assert len(edges) - 1 == min(shards, len(sizes)) and all(a < b for a, b in zip(edges, edges[1:]))
+        assert max(sum(sizes[a:b]) for a, b in zip(edges, edges[1:])) <= smallest_capacity(sizes, shards)
+    sizes = [1] * 1000
+    sizes[500] = 493  # a third of all bytes
+    edges = [0, *cuts(sizes, 16), len(sizes)]
+    parts = [sum(sizes[a:b]) for a, b in zip(edges, edges[1:])]
+    assert len(parts) == 16 and sorted(parts)[-2] <= sum(sizes) / 16 + 1
