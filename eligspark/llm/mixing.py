@@ -3,7 +3,7 @@
 Documents belong to domains softly.  A multinomial logistic classifier, fitted on a bounded sample of
 labelled rows, becomes an expression for each domain's posterior.  The rate of a document says how often
 it is to be read; rates are found so that the expected tokens of each domain, the sum of rate times tokens
-times posterior, meet the targets as least squares, with every rate between 0 and a highest rate.
+times posterior, meet the targets as least squares, with every rate at least 0 (a highest rate can be given).
 
 Rates stay near 1 where the targets leave them free: the objective is half the squared residual of the domains' token
 shares plus RIDGE times half the squared distance of the rates from 1, weighted by tokens.  In that weighting the
@@ -32,7 +32,7 @@ TARGETS = {"toxic": 0.05, "low": 0.10, "clean": 0.85}
 #: Labelled rows for fitting, at most (those of the lowest hashed ids), and telling words for each domain.
 MOST_LABELLED = 6_000
 MOST_WORDS = 40
-HIGHEST_RATE, RIDGE = 8.0, 5e-4
+HIGHEST_RATE, RIDGE = math.inf, 5e-4
 COLUMNS = ("__words", "__chars", "__symbols", "__distinct")
 
 
@@ -132,7 +132,7 @@ def logistic(x: np.ndarray, y: np.ndarray, classes: int, ridge: float = 1e-3, st
 
 
 def rate_expression(u: np.ndarray, highest: float = HIGHEST_RATE) -> Column:
-    """The rate for the shared numbers u: the step from 1, projected into [0, highest]."""
+    """The rate for the shared numbers u: the step from 1, projected into [0, highest] (no bound above by default)."""
     rate = F.lit(1.0)
     for d, x in zip(DOMAINS, u):
         rate = rate - F.col(f"p_{d}") * F.lit(float(x))

@@ -79,3 +79,12 @@ def test_rates_are_the_least_squares_optimum(spark):
     for _ in range(20000):  # plain projected gradient
         r = np.clip(r - 0.5 * (p @ (p.T @ (share * r) - goal) + 0.01 * (r - 1)), 0, 3)
     assert np.abs(got - r).max() < 1e-3
+
+
+def test_rare_domains_reach_their_targets(spark):
+    members = spark.createDataFrame([(5, 1.0, 0.0, 0.0), (100, 0.0, 1.0, 0.0), (895, 0.0, 0.0, 1.0)], "n_tokens long, p_toxic double, p_low double, p_clean double")
+    u = M.fit_rates(members, M.TARGETS)
+    rates = [r.r for r in members.select(M.rate_expression(u).alias("r")).collect()]
+    # 0.5 % toxic against 5 %: a rate of 10, less what the ridge holds back (8.18 of the 9 above 1)
+    assert rates[0] > 9 and abs(rates[0] * 0.005 - M.TARGETS["toxic"]) < 0.005
+    assert all(abs(r * s - M.TARGETS[d]) < 1e-3 for r, s, d in zip(rates[1:], (0.1, 0.895), ("low", "clean")))
