@@ -1,9 +1,11 @@
 """Minimax partition against exhaustive search; the law's invariants on frames."""
 
+import hashlib
 import itertools
 import random
 import zlib
 
+from eligspark.llm import sharding as S
 from eligspark.llm.sharding import cuts, shard_documents, smallest_capacity
 from tests.llm.fixtures import documents, frame
 
@@ -64,3 +66,49 @@ def test_no_shard_is_empty_without_need():
     edges = [0, *cuts(sizes, 16), len(sizes)]
     parts = [sum(sizes[a:b]) for a, b in zip(edges, edges[1:])]
     assert len(parts) == 16 and sorted(parts)[-2] <= sum(sizes) / 16 + 1
+
+
+def as_atoms(sizes, bits, width):
+    """Groups at places 0, 1, ... as atoms of 2**width places, and what opens them."""
+
+    def of(groups, width):
+        parts = {}
+        for place, n in groups:
+            parts.setdefault(place >> width, []).append(n)
+        return [S.Atom(k << width, width, sum(v), max(v), len(v)) for k, v in sorted(parts.items())]
+
+    places = list(enumerate(sizes))
+    opened = lambda chosen: [p for a in chosen for p in of([x for x in places if a.start <= x[0] < a.start + (1 << a.bits)], max(0, a.bits - bits))]
+    return of(places, width), opened
+
+
+def test_opened_atoms_give_the_capacity_of_the_groups():
+    rnd = random.Random(5)
+    for k in range(400):
+        sizes, shards = [rnd.randint(1, 30) for _ in range(rnd.randint(1, 300))], rnd.randint(1, 9)
+        for _ in range(k % 3):
+            sizes[rnd.randrange(len(sizes))] *= rnd.choice([20, 500])
+        atoms, opened = as_atoms(sizes, rnd.randint(1, 3), rnd.randint(0, 6))
+        atoms = S.exact_atoms(atoms, shards, opened)
+        totals = [a.total for a in atoms]
+        edges = [0, *cuts(totals, shards), len(totals)]
+        capacity = smallest_capacity(sizes, shards)
+        assert S.capacity_bounds(atoms, shards) == (capacity, capacity)
+        assert max(sum(totals[a:b]) for a, b in zip(edges, edges[1:])) <= capacity
+        assert sum(totals) == sum(sizes) and len(edges) - 1 == min(shards, len(sizes))
+
+
+def test_frame_is_minimax_over_the_groups(spark, monkeypatch):
+    monkeypatch.setattr(S, "CELL_BITS", 2)  # every first atom has many groups
+    monkeypatch.setattr(S, "SPLIT_BITS", 2)
+    rnd = random.Random(8)
+    rows = [(k, "t" * rnd.choice([1, 5, 30]) + str(rnd.randrange(90))) for k in range(400)] + [(k, "hot " * 40) for k in range(400, 430)]
+    for shards in (3, 16):
+        got = shard_documents(frame(spark, rows), shards=shards).collect()
+        groups = {}
+        for _, text in rows:
+            place = hashlib.md5(text.encode()).hexdigest()
+            groups[place] = groups.get(place, 0) + len(text) + 1
+        capacity = smallest_capacity([groups[p] for p in sorted(groups)], shards)
+        sizes = [sum(r.size for r in got if r.shard == s) for s in range(shards)]
+        assert max(sizes) <= capacity and min(sizes) > 0
