@@ -7,10 +7,13 @@ times posterior, meet the targets as least squares, with every rate at least 0 (
 
 Rates stay near 1 where the targets leave them free: the objective is half the squared residual of the domains' token
 shares plus RIDGE times half the squared distance of the rates from 1, weighted by tokens.  In that weighting the
-gradient of document d is ``p_d . residual + RIDGE * (rate - 1)``, so every projected step has the form
-``rate = min(highest, max(0, 1 - p_d . u))`` with K numbers u that all documents share.  An iteration is one
-aggregation to K + K * K numbers, and no rate is ever stored, moved or collected.  Steps are scaled by the normal
-matrix of the rates that are free to move, and halved until the optimality condition comes closer.
+gradient of document d is ``p_d . residual + RIDGE * (z - 1)``, so a step of length s from 1 leads to ``1 - p_d . u``
+with u = s * residual, and every later one, taken before the projection (z) and projected when rates are read, to
+``rate = min(highest, max(0, 1 - p_d . u))`` with ``u <- u + s * (residual - RIDGE * u)``: K numbers that all documents
+share.  A step is one aggregation of the member table to K numbers, the expected tokens of the domains at the projected
+rates; no rate is ever stored, moved or collected.  The step length is the inverse of the largest eigenvalue of the
+domains' normal matrix, so that no step overshoots; the last `MEMORY` steps are combined (Anderson's extrapolation),
+and where that moves far away from the optimality condition the plain step is taken.
 """
 
 from __future__ import annotations
@@ -33,7 +36,10 @@ TARGETS = {"toxic": 0.05, "low": 0.10, "clean": 0.85}
 MOST_LABELLED = 6_000
 MOST_WORDS = 40
 HIGHEST_RATE, RIDGE = math.inf, 5e-4
-COLUMNS = ("__words", "__chars", "__symbols", "__distinct")
+#: Gradient steps at most, and the size of the gradient at which they end.
+MOST_STEPS, TOLERANCE = 60, 1e-6
+#: Steps that are combined, and how much further from optimal than before a combined one may be.
+MEMORY, FURTHEST = 3, 10.0
 
 
 def domain_of_labels() -> Column:
@@ -91,7 +97,8 @@ def with_posteriors(rows: DataFrame, classifier: Classifier) -> DataFrame:
 
 
 def fit_classifier(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Classifier:
-    """Fit on at most `most` labelled rows.  Without rows of two domains every document has the target shares as posteriors."""
+    """Fit on at most `most` labelled rows: telling words from one half, weights from the other.  Without rows of two
+    domains (in the half of the weights, too) every document has the target shares as posteriors."""
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), domain_of_labels().alias("domain")).dropna().groupBy("doc_id").agg(F.min("domain").alias("domain"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     sample = materialize(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id"), "mix-sample")
@@ -99,8 +106,11 @@ def fit_classifier(documents: DataFrame, labels: DataFrame, most: int = MOST_LAB
     out = Classifier()
     if len(sizes) < 2:
         return out
+    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))  # words are picked on one half, weights fitted on the other
+    chosen_on = sample.filter(half == 0)
+    sizes = {r["domain"]: r["n"] for r in chosen_on.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(sizes.values())
-    words = sample.select("domain", F.explode(F.array_distinct(words_of(F.lower(F.coalesce(F.col("text"), F.lit("")))))).alias("word"))
+    words = chosen_on.select("domain", F.explode(F.array_distinct(words_of(F.lower(F.coalesce(F.col("text"), F.lit("")))))).alias("word"))
     counts = words.groupBy("word").agg(*[F.count_if(F.col("domain") == d).alias(d) for d in DOMAINS])
     seen = sum((F.col(d) for d in DOMAINS[1:]), F.col(DOMAINS[0]))
     for d in DOMAINS[:-1]:
@@ -109,7 +119,9 @@ def fit_classifier(documents: DataFrame, labels: DataFrame, most: int = MOST_LAB
             rest = (seen - F.col(d) + 0.1) / (total - sizes[d] + 0.2)
             telling = counts.filter((F.col(d) >= 3) & (F.log(share / rest) > 2)).withColumn("gain", F.col(d) * F.log(share / rest))
             out.words[d] = [r["word"] for r in telling.orderBy(F.desc("gain"), "word").limit(MOST_WORDS).collect()]
-    rows = measured(sample, out, [F.col("doc_id"), F.col("domain")]).select("doc_id", "domain", *[f.alias(f"x{k}") for k, f in enumerate(out.features())]).orderBy("doc_id").collect()
+    rows = measured(sample.filter(half == 1), out, [F.col("doc_id"), F.col("domain")]).select("doc_id", "domain", *[f.alias(f"x{k}") for k, f in enumerate(out.features())]).orderBy("doc_id").collect()
+    if len({r["domain"] for r in rows}) < 2:
+        return Classifier()
     x = np.array([r[2:] for r in rows], float)
     y = np.array([DOMAINS.index(r["domain"]) for r in rows])
     out.mean, out.deviation = x.mean(0), np.maximum(x.std(0), 1e-9)
@@ -139,42 +151,53 @@ def rate_expression(u: np.ndarray, highest: float = HIGHEST_RATE) -> Column:
     return F.least(F.lit(highest), F.greatest(F.lit(0.0), rate))
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float], highest: float = HIGHEST_RATE, ridge: float = RIDGE, most_steps: int = 20, tolerance: float = 1e-7) -> np.ndarray:
-    """The numbers u whose rates bring the domains' expected tokens nearest to `targets` (shares of all tokens).
+@dataclass
+class Fit:
+    """The numbers u that make rates, the residual they leave (share of all tokens less target) by domain, and the steps taken."""
+
+    u: np.ndarray
+    residual: np.ndarray
+    steps: int = 0
+
+
+def fit_rates(members: DataFrame, targets: dict[str, float], highest: float = HIGHEST_RATE, ridge: float = RIDGE, most_steps: int = MOST_STEPS, tolerance: float = TOLERANCE) -> Fit:
+    """Projected gradient for the rates that bring the domains' expected tokens nearest to `targets` (shares of all tokens).
 
     `members` has n_tokens and p_<domain>.  Without tokens every rate is 1.
     """
     k = len(DOMAINS)
     share = np.array([targets[d] for d in DOMAINS]) / sum(targets.values())
-    total = members.agg(F.sum("n_tokens")).first()[0] or 0
+    products = [F.sum(F.col("n_tokens") * F.col(f"p_{a}") * F.col(f"p_{b}")) for a in DOMAINS for b in DOMAINS]
+    total, *normal = members.agg(F.sum("n_tokens"), *products).first()
     u = np.zeros(k)
     if not total:
-        return u
-
-    def state(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How far u is from optimal (ridge * u equals the residual there), and the normal matrix of the free rates."""
-        rated = members.withColumn("__r", rate_expression(u, highest))
-        t = F.col("n_tokens") / F.lit(float(total))
-        free = F.when((F.col("__r") > 0) & (F.col("__r") < highest), t).otherwise(0.0)
-        sums = [F.sum(F.col("__r") * t * F.col(f"p_{d}")) for d in DOMAINS]
-        products = [F.sum(free * F.col(f"p_{a}") * F.col(f"p_{b}")) for a in DOMAINS for b in DOMAINS]
-        row = np.array([x or 0.0 for x in rated.agg(*sums, *products).first()], float)
-        return row[:k] - share - ridge * u, row[k:].reshape(k, k)
-
-    gap, normal = state(u)
-    for _ in range(most_steps):
-        if np.abs(gap).max() < tolerance:
-            break
-        step = np.linalg.solve(normal + ridge * np.eye(k), gap)
-        for _ in range(8):
-            tried, tried_normal = state(u + step)
-            if np.linalg.norm(tried) < np.linalg.norm(gap):
-                break
-            step = step / 2
-        else:
-            break
-        u, gap, normal = u + step, tried, tried_normal
-    return u
+        return Fit(u, np.zeros(k))
+    values, vectors = np.linalg.eigh(np.array(normal, float).reshape(k, k) / total)
+    metric = (vectors * np.sqrt(np.maximum(values, 0))) @ vectors.T  # turns a change of u into the size of the rates' change
+    length = 1 / (values[-1] + ridge)
+
+    def residual(u: np.ndarray) -> np.ndarray:
+        """Expected tokens of the domains at the projected rates, as shares of all, less the targets."""
+        read = rate_expression(u, highest) * F.col("n_tokens") / F.lit(float(total))
+        sums = members.withColumn("__read", read).agg(*[F.sum(F.col("__read") * F.col(f"p_{d}")) for d in DOMAINS]).first()
+        return np.array([x or 0.0 for x in sums], float) - share
+
+    left, taken = residual(u), 0
+    gradient, past = left.copy(), []
+    while (size := float(np.linalg.norm(metric @ gradient))) >= tolerance and taken < most_steps:
+        past = [*past[-MEMORY:], (u, gradient)]
+        step = length * gradient
+        if len(past) > 1:
+            moves, changes = (np.diff(np.array([p[j] for p in past]), axis=0).T for j in (0, 1))
+            weights = np.linalg.lstsq(metric @ changes, metric @ gradient, rcond=1e-10)[0]
+            step = step - (moves + length * changes) @ weights
+        tried, taken = u + step, taken + 1
+        left = residual(tried)
+        if len(past) > 1 and np.linalg.norm(metric @ (left - ridge * tried)) > FURTHEST * size:
+            past, tried, taken = [], u + length * gradient, taken + 1
+            left = residual(tried)
+        u, gradient = tried, left - ridge * tried
+    return Fit(u, left, taken)
 
 
 @dataclass
@@ -182,7 +205,7 @@ class Mixture:
     """A fitted classifier and the numbers that make rates."""
 
     classifier: Classifier
-    u: np.ndarray
+    fit: Fit
     highest: float = HIGHEST_RATE
 
     def rated(self, documents: DataFrame, keep: list[Column]) -> DataFrame:
@@ -193,7 +216,7 @@ class Mixture:
     def with_rates(self, rows: DataFrame, key: Column) -> DataFrame:
         """`rows` (with posteriors) with rate and n_copies: the whole part of the rate, plus one by hashed id for the rest."""
         draw = F.pmod(F.xxhash64(F.lit("mix"), key), F.lit(1_000_003)) / F.lit(1_000_003.0)
-        rows = rows.withColumn("rate", rate_expression(self.u, self.highest))
+        rows = rows.withColumn("rate", rate_expression(self.fit.u, self.highest))
         return rows.withColumn("n_copies", F.floor(F.col("rate") + draw).cast("int"))
 
 
@@ -214,14 +237,17 @@ def fit_mixture(documents: DataFrame, labels: DataFrame, targets: dict[str, floa
 
 
 def mixing_rates(documents: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """One row per row of `documents`: doc_id, n_tokens, p_toxic, p_low, p_clean, rate, n_copies.
+    """One row per row of `documents`: doc_id, n_tokens, p_toxic, p_low, p_clean, rate, n_copies, largest_miss, n_steps.
 
+    largest_miss is the largest difference between a domain's share of the expected tokens and its target (0 without
+    tokens), n_steps the gradient steps taken; both are the same in every row.
     Null and empty texts have no tokens but posteriors and a rate as any text of that length; null
     ids stay null; repeated rows count each time and get equal rates; empty tables give no rows
     or rates of 1; other columns are not read.
     """
     mixture, members = fit_mixture(documents, labels, targets)
-    return mixture.with_rates(members, F.col("doc_id"))
+    rows = mixture.with_rates(members, F.col("doc_id"))
+    return rows.withColumns({"largest_miss": F.lit(float(np.abs(mixture.fit.residual).max())), "n_steps": F.lit(mixture.fit.steps)})
 
 
 def mixed_documents(documents: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from eligspark.llm import mixing as M
@@ -31,6 +32,7 @@ def test_targets_are_met_and_posteriors_hold_out(spark):
     total = sum(r.n_tokens for r in got)
     for d, share in M.TARGETS.items():
         assert abs(sum(r.rate * r.n_tokens * r[f"p_{d}"] for r in got) / total - share) < 1e-3
+    assert len({(r.largest_miss, r.n_steps) for r in got}) == 1 and got[0].largest_miss < 1e-3 and 0 < got[0].n_steps < M.MOST_STEPS
     assert all(0 <= r.rate <= M.HIGHEST_RATE and abs(sum(r[f"p_{d}"] for d in M.DOMAINS) - 1) < 1e-9 for r in got)
     truth = {i: "toxic" if x else "clean" if q else "low" for i, q, x in labels}
     late = [r for r in got if r.doc_id >= 300]
@@ -59,21 +61,21 @@ def test_without_labels_and_rows(spark):
 
 def test_unreachable_targets_stay_in_bounds(spark):
     members = spark.createDataFrame([(10, 0.5, 0.25, 0.25), (30, 0.5, 0.25, 0.25)], "n_tokens long, p_toxic double, p_low double, p_clean double")
-    u = M.fit_rates(members, {"toxic": 0.0, "low": 0.0, "clean": 1.0})
+    fit = M.fit_rates(members, {"toxic": 0.0, "low": 0.0, "clean": 1.0})
+    u = fit.u
+    assert abs(np.abs(fit.residual).max() - 5 / 6) < 0.01 and fit.steps < M.MOST_STEPS
     rates = [r.r for r in members.select(M.rate_expression(u).alias("r")).collect()]
     # equal posteriors give equal rates r; the residual (0.5 r, 0.25 r, 0.25 r - 1) is smallest at r = 2 / 3
     assert all(abs(r - 2 / 3) < 0.01 for r in rates)
 
 
 def test_rates_are_the_least_squares_optimum(spark):
-    import numpy as np
-
     rng = np.random.default_rng(1)
     p = rng.dirichlet([0.5, 0.3, 1.0], 60)
     t = rng.integers(5, 400, 60)
     members = spark.createDataFrame([(int(n), *map(float, q)) for n, q in zip(t, p)], "n_tokens long, p_toxic double, p_low double, p_clean double")
     targets = {"toxic": 0.02, "low": 0.5, "clean": 0.48}
-    u = M.fit_rates(members, targets, highest=3.0, ridge=0.01)
+    u = M.fit_rates(members, targets, highest=3.0, ridge=0.01).u
     got = np.array([r.r for r in members.select(M.rate_expression(u, 3.0).alias("r")).collect()])
     share, goal, r = t / t.sum(), np.array([0.02, 0.5, 0.48]), np.ones(60)
     for _ in range(20000):  # plain projected gradient
@@ -83,7 +85,7 @@ def test_rates_are_the_least_squares_optimum(spark):
 
 def test_rare_domains_reach_their_targets(spark):
     members = spark.createDataFrame([(5, 1.0, 0.0, 0.0), (100, 0.0, 1.0, 0.0), (895, 0.0, 0.0, 1.0)], "n_tokens long, p_toxic double, p_low double, p_clean double")
-    u = M.fit_rates(members, M.TARGETS)
+    u = M.fit_rates(members, M.TARGETS).u
     rates = [r.r for r in members.select(M.rate_expression(u).alias("r")).collect()]
     # 0.5 % toxic against 5 %: a rate of 10, less what the ridge holds back (8.18 of the 9 above 1)
     assert rates[0] > 9 and abs(rates[0] * 0.005 - M.TARGETS["toxic"]) < 0.005
