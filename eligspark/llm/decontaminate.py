@@ -6,18 +6,23 @@ neighbouring words.  For each group of test strings of a like length the search
 
 * a shift table: for a block, how far the search may move on without missing an occurrence
   of any test string (blocks in none of them: the most), and
-* suffix buckets: the test strings whose last block (within the shortest length) it is, as
-  candidates, told apart by a hash of their first block and compared word by word.
+* suffix buckets: the test strings by a hash of their last block (within the shortest length) and their
+  first one; those of a bucket are compared word by word.
 
-Benchmarks of any size go in blocks of a fixed number of bytes; each block's tables are
-broadcast and its hits are combined with those of the blocks before, row by row.
+Shift tables are dictionaries of the few blocks that test strings have; test strings, their
+hashes and the items that have them are packed arrays.  A benchmark of any size is searched in passes of a fixed number
+of windows; a pass's tables are broadcast and its hits are combined with those of the passes before, row by row.
+Passes run behind one another in a task, `CHAINED` at most; then the rows are a table in the shared folder.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from array import array
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,66 +30,95 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eligspark.llm.common import text_bytes
+from eligspark.storage import materialize
 
 #: Fixed value: words are runs of digits, letters a-z and bytes of non-ASCII characters.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 10
-#: Bytes of benchmark text searched at once; more benchmark text goes in further blocks.
-BLOCK_BYTES = 32 << 20
+#: Windows of the benchmark that one pass searches for; further ones go in further passes.
+BLOCK_WINDOWS = 200_000
+#: Passes of one job, each with a worker process of its own in every task.
+CHAINED = 8
+ODD, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
 def words_of(text: bytes) -> list[bytes]:
     return WORD.findall(text.lower())
 
 
+@dataclass
+class Group:
+    """The test strings of one length: shifts by block, and buckets: sorted hashes, each with a test string's number.
+
+    `patterns` has the strings' word numbers one after the other; the items of string k are
+    `owners[first_owner[k] : first_owner[k + 1]]`.
+    """
+
+    length: int
+    shift: dict[int, int]
+    hashes: array
+    strings: array
+    patterns: array
+    first_owner: array
+    owners: array
+
+
+def packed(code: str, values: np.ndarray) -> array:
+    out = array(code)
+    out.frombytes(np.ascontiguousarray(values, dtype=np.dtype(code)).tobytes())
+    return out
+
+
 class WuManber:
     """Search for word sequences; `numbers` maps words of test strings to positive numbers, other words are 0."""
 
-    def __init__(self, numbers: dict[bytes, int]):
-        self.numbers = numbers
-        self.groups: list[tuple[int, dict, dict, int]] = []
+    def __init__(self, numbers: dict[bytes, int], items: list[str]):
+        self.numbers, self.items = numbers, items
+        self.groups: list[Group] = []
 
     @classmethod
     def of_items(cls, items: list[tuple[str, bytes]], window: int = WINDOW) -> WuManber:
         """Tables for the windows of (item id, text) rows."""
+        return cls.of_words(((item, words_of(text)) for item, text in items), window)
+
+    @classmethod
+    def of_words(cls, items: Iterable[tuple[str, list[bytes]]], window: int = WINDOW) -> WuManber:
+        """Tables for the windows of (item id, words) rows."""
         numbers: dict[bytes, int] = {}
-        patterns: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            ids = [numbers.setdefault(w, len(numbers) + 1) for w in words_of(text)]
-            width = min(window, len(ids))
-            for k in range(len(ids) - width + 1) if ids else ():
-                patterns.setdefault(tuple(ids[k : k + width]), set()).add(item)
-        out = cls(numbers)
+        names: dict[str, int] = {}
+        strings: dict[int, list] = {}
+        for item, words in items:
+            if words:
+                ids = np.array([numbers.setdefault(w, len(numbers) + 1) for w in words], np.uint32)
+                rows = np.lib.stride_tricks.sliding_window_view(ids, min(window, len(ids)))
+                strings.setdefault(rows.shape[1], []).append((rows, np.full(len(rows), names.setdefault(item, len(names)), np.uint32)))
+        out = cls(numbers, list(names))
         # one group per length, so that a short test string doesn't shorten the shifts of long ones
-        by_length: dict[int, dict] = {}
-        for pattern, owners in patterns.items():
-            by_length.setdefault(len(pattern), {})[pattern] = frozenset(owners)
-        for length, members in sorted(by_length.items()):
-            out._add(length, members)
+        for _, parts in sorted(strings.items()):
+            out._add(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
         return out
 
-    def _add(self, length: int, members: dict[tuple[int, ...], frozenset]) -> None:
+    def _add(self, rows: np.ndarray, items: np.ndarray) -> None:
+        length = rows.shape[1]
         size = min(2, length)  # words of a block
-        most = length - size + 1
-        shift: dict = {}
-        buckets: dict = {}
-        for pattern, owners in members.items():
-            for end in range(size, length + 1):
-                block = self._key(pattern[end - size : end])
-                shift[block] = min(shift.get(block, most), length - end)
-            last, first = self._key(pattern[length - size :]), self._key(pattern[:size])
-            buckets.setdefault(last, {}).setdefault(first, []).append((list(pattern), owners))
-        self.groups.append((length, shift, buckets, most))
-
-    @staticmethod
-    def _key(block) -> int:
-        return block[0] if len(block) == 1 else (block[0] << 32) | block[1]
+        rows, which = np.unique(rows, axis=0, return_inverse=True)
+        pairs = np.unique(np.stack([which.ravel().astype(np.int64), items.astype(np.int64)]), axis=1)
+        block = lambda end: rows[:, end - 1].astype(np.uint64) | (rows[:, end - 2].astype(np.uint64) << np.uint64(32) if size == 2 else np.uint64(0))
+        shift: dict[int, int] = {}
+        for end in range(size, length + 1):  # later blocks have smaller shifts
+            shift.update(dict.fromkeys(np.unique(block(end)).tolist(), length - end))
+        hashes = block(length) * np.uint64(ODD) + block(size)
+        order = np.argsort(hashes, kind="stable")
+        first = np.searchsorted(pairs[0], np.arange(len(rows) + 1))
+        self.groups.append(Group(length, shift, packed("Q", hashes[order]), packed("I", order), packed("I", rows), packed("I", first), packed("I", pairs[1])))
 
     def search(self, ids: list[int]) -> Iterator[tuple[int, int, frozenset]]:
         """(start, end, items) of every occurrence of every test string."""
-        n = len(ids)
-        for length, shift, buckets, most in self.groups:
+        n, packed_ids = len(ids), None
+        for g in self.groups:
+            length, shift, hashes = g.length, g.shift, g.hashes
             size = min(2, length)
+            most = length - size + 1
             at = length
             while at <= n:
                 # `at` is where a test string might end
@@ -95,9 +129,15 @@ class WuManber:
                     continue
                 start = at - length
                 first = (ids[start] << 32) | ids[start + 1] if size == 2 else ids[start]
-                for pattern, owners in buckets[block].get(first, ()):
-                    if ids[start:at] == pattern:
-                        yield start, at, owners
+                wanted = (block * ODD + first) & MASK
+                k = bisect_left(hashes, wanted)
+                while k < len(hashes) and hashes[k] == wanted:
+                    if packed_ids is None:
+                        packed_ids = array("I", ids)
+                    s = g.strings[k]
+                    if packed_ids[start:at] == g.patterns[s * length : (s + 1) * length]:
+                        yield start, at, frozenset(self.items[o] for o in g.owners[g.first_owner[s] : g.first_owner[s + 1]])
+                    k += 1
                 at += 1
 
     def numbered(self, words: list[bytes]) -> list[int]:
@@ -105,16 +145,20 @@ class WuManber:
         return [get(w, 0) for w in words]
 
 
-def item_blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str, bytes]]]:
-    """(item id, text) rows in blocks of at most `most` bytes (one row at least), fetched part by part."""
+def item_blocks(benchmark: DataFrame, window: int, most: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """(item id, words) rows in blocks of at most `most` windows, fetched part by part; longer items go in overlapping pieces."""
     block, held = [], 0
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), text_bytes().alias("text"))
     for row in rows.toLocalIterator():
-        if block and held + len(row.text) > most:
-            yield block
-            block, held = [], 0
-        block.append((row.item, bytes(row.text)))
-        held += len(row.text)
+        words = words_of(bytes(row.text))
+        at, windows = 0, max(1, len(words) - window + 1)
+        while at < windows:
+            take = min(most - held, windows - at)
+            block.append((row.item, words[at : at + take + window - 1]))
+            held, at = held + take, at + take
+            if held >= most:
+                yield block
+                block, held = [], 0
     if block:
         yield block
 
@@ -122,26 +166,28 @@ def item_blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str, byt
 OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """One row per row of `documents`: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     Null and empty texts have no words and no hits; items without words have no window; a null
     item id counts under the name null; items that share an id are one item; null document ids
     stay null; repeated rows stay repeated; empty tables give no rows or no hits; other columns
-    are not read.  More benchmark text than `block_bytes` is searched in several passes
+    are not read; very long texts are searched whole.  More than `block_windows` windows are searched for in several passes
     whose hits travel with the rows.
     """
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), F.lit(None).cast("binary").alias("hits"), F.array().cast("array<string>").alias("items"))
-    blocks = item_blocks(benchmark, block_bytes)
-    block = next(blocks, [])
+    blocks = item_blocks(benchmark, window, block_windows)
+    block, passes = next(blocks, []), 0
     while True:
         following = next(blocks, None)
-        shared = spark.sparkContext.broadcast(WuManber.of_items(block, window))
+        shared = spark.sparkContext.broadcast(WuManber.of_words(block, window))
         if following is None:
             return rows.mapInArrow(lambda it, s=shared: finished(it, s.value), OUT)
         rows = rows.mapInArrow(lambda it, s=shared: searched(it, s.value), "doc_id long, text binary, hits binary, items array<string>")
-        block = following
+        block, passes = following, passes + 1
+        if passes % CHAINED == 0:
+            rows = materialize(rows, "decontaminate")
 
 
 def hit_words(search: WuManber, words: list[bytes], earlier: bytes | None, items: list[str]) -> tuple[np.ndarray, set[str]]:
@@ -199,12 +245,16 @@ select doc_id, cast(len(w) as bigint) as n_words, coalesce(hit.n, 0) as n_hit, c
 from docs left join hit using (rid) left join named using (rid)"""
 
 
-def without_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of `documents` without any hit, all columns as they are; each benchmark block filters what is left."""
+def without_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """The rows of `documents` without any hit, all columns as they are; each pass over the benchmark filters what is left.
+
+    Null and empty texts have no hits and stay, as do repeated rows and null ids; an empty table gives no rows, an
+    empty benchmark all; columns of any name are carried along.
+    """
     columns = documents.columns
     rows = documents.select(F.struct("*").alias("row"), text_bytes().alias("text"))
-    for block in item_blocks(benchmark, block_bytes):
-        shared = documents.sparkSession.sparkContext.broadcast(WuManber.of_items(block, window))
+    for passes, block in enumerate(item_blocks(benchmark, window, block_windows), 1):
+        shared = documents.sparkSession.sparkContext.broadcast(WuManber.of_words(block, window))
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -213,4 +263,6 @@ def without_contaminated(documents: DataFrame, benchmark: DataFrame, window: int
                 yield batch.filter(pa.array(kept, pa.bool_()))
 
         rows = rows.mapInArrow(clean, rows.schema)
+        if passes % CHAINED == 0:
+            rows = materialize(rows, "decontaminate")
     return rows.select(*[F.col("row").getField(c).alias(c) for c in columns])

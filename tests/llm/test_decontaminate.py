@@ -1,9 +1,11 @@
 """Wu-Manber search against naive search."""
 
 import hashlib
+import pickle
 import random
 import re
 
+from eligspark.llm import decontaminate as D
 from eligspark.llm.decontaminate import WuManber, decontaminate, without_contaminated
 from tests.llm.fixtures import documents, frame, key
 
@@ -49,14 +51,15 @@ def test_search_equals_naive():
         assert got == want
 
 
-def test_frame(spark):
+def test_frame(spark, monkeypatch):
+    monkeypatch.setattr(D, "CHAINED", 2)
     rows = documents()
     text = dict(rows[:60])
     items = [(1, text[7]), (2, (text[5] or "") + " zz"), (10, "one"), (11, None), (12, ""), (None, text[8]), (2, "two three"), (3, "Ünq wörd")]
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, hits int")
     want = brute(rows, items)
-    for size in (1 << 20, 200):
-        assert sorted((tuple(r) for r in decontaminate(frame(spark, rows), bench, block_bytes=size).collect()), key=key) == want
+    for size in (1 << 20, 60):
+        assert sorted((tuple(r) for r in decontaminate(frame(spark, rows), bench, block_windows=size).collect()), key=key) == want
     kept = without_contaminated(frame(spark, rows), bench)
     assert sorted((r.doc_id, r.text) for r in kept.collect() if r.doc_id is not None) == sorted(kept_row for kept_row, w in zip(sorted_rows(rows), flags(rows, items)) if not w)
     assert decontaminate(frame(spark, rows), bench.limit(0)).filter("contaminated").count() == 0
@@ -69,3 +72,14 @@ def sorted_rows(rows):
 
 def flags(rows, items):
     return [brute([r], items)[0][5] for r in sorted_rows(rows)]
+
+
+def test_tables_are_small():
+    rnd = random.Random(1)
+    words = [f"w{k}" for k in range(30_000)]
+    items = [(str(k), " ".join(rnd.choice(words) for _ in range(60)).encode()) for k in range(1000)]
+    search = WuManber.of_items(items)
+    assert sum(len(g.strings) for g in search.groups) == 51_000
+    assert len(pickle.dumps(search)) < 8 << 20  # at most 160 bytes a window
+    ids = search.numbered(items[7][1].split())
+    assert {(a, o) for a, _, owners in search.search([0, *ids, 0]) for o in owners} == {(k + 1, "7") for k in range(51)}
