@@ -13,25 +13,30 @@ Cells are first screened so: only texts with a possible partner go on, and only
 do whole sets travel.  Pairs that survive are verified on the sets.  Pairs already connected are passed over,
 so a cell gives a spanning forest of its links, never all pairs.
 
-Cells with the same members are one cell, and cells that overlap (those of a family of near
-copies, say) are compared as one cluster where that ships fewer sets.  A cell or cluster of
-more than 1,024 texts is compared in blocks of about 512 by block pairs, so that each unit of
-comparison has a bounded size.
+Cells with the same members are one cell, and cells that overlap (those of a family of near copies, say)
+form a cluster.  A cluster of at most 1,024 texts is compared as a whole.  In a larger one every member is first
+compared with the representatives of its cells, in blocks of about 512, which links a family of any size in
+rows that grow with its members; only cells whose members are still in several components are then compared, those
+outside the cell's largest component with all others, in pairs of blocks.  So each unit of comparison has a
+bounded size, and no pair of a cell is left out unless links connect it already.
+
+Shingles are compared by 64-bit hashes of their words.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eligspark.llm.common import WordHash, as_signed, grouped_rows, keep_ids, mix64, text_bytes, word_shingles
+from eligspark.llm.common import BROADCAST_ID_ROWS, WordHash, as_signed, grouped_rows, keep_ids, mix64, text_bytes, word_shingles
 from eligspark.storage import materialize
 
 SKETCH_BITS, SLICES = 20, 64
@@ -40,6 +45,8 @@ GROUPS, PER_GROUP = 64, 8
 FANOUT = 16
 BLOCK = 512
 FLUSH = 1 << 21
+#: Prefix entries (16 bytes each) of one part, about.
+PART_ENTRIES = 4_000_000
 
 
 def distinct_texts(texts: list[bytes], size: int, hashes: WordHash) -> Iterator[tuple[int, np.ndarray]]:
@@ -52,8 +59,8 @@ def distinct_texts(texts: list[bytes], size: int, hashes: WordHash) -> Iterator[
         yield k, found
 
 
-def frequency_classes(documents: DataFrame, size: int) -> np.ndarray:
-    """A rank for each sketch cell that grows with its count: in steps of a quarter of the noise, then by logarithm.
+def frequency_classes(documents: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """The number of shingles of all texts, and a rank for each sketch cell that grows with its count: in steps of a quarter of the noise, then by logarithm.
 
     Every task counts the distinct shingles of all its texts in one array of fixed size; the
     arrays are summed slice by slice.  What comes to the driver has 2**SKETCH_BITS counters.
@@ -81,11 +88,11 @@ def frequency_classes(documents: DataFrame, size: int) -> np.ndarray:
     partial = documents.select(text_bytes().alias("text")).mapInArrow(run, "slice int, data binary, rows long")
     slices = partial.groupBy("slice").applyInPandas(add, "slice int, data binary, rows long").collect()  # SLICES rows
     if not slices:
-        return np.zeros(cells, np.uint8)
+        return np.zeros(cells, np.uint8), 0
     total = np.concatenate([np.frombuffer(r["data"], np.int64) for r in sorted(slices, key=lambda r: r["slice"])])
     z = (total - total.mean()) / max(1.0, total.mean()) ** 0.5
     low = np.clip(np.round(4 * (z + 4)), 0, 32)
-    return np.where(z < 4, low, np.clip(32 + 8 * np.log2(np.maximum(z, 4) / 4), 32, 255)).astype(np.uint8)
+    return np.where(z < 4, low, np.clip(32 + 8 * np.log2(np.maximum(z, 4) / 4), 32, 255)).astype(np.uint8), int(total.sum())
 
 
 def prefix(shingles: np.ndarray, percent: int, classes: np.ndarray) -> np.ndarray:
@@ -180,20 +187,32 @@ def cells_of_part(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({k: v[kept].view(np.int64) for k, v in columns.items()})
 
 
-def in_blocks(rows: DataFrame, size: str) -> DataFrame:
-    """Deal the members of units with more than 2 * BLOCK members (column `size`) into hashed blocks, one row
-    for each pair of blocks that a member takes part in; smaller units are one block."""
-    blocks = F.when(F.col(size) <= 2 * BLOCK, 1).otherwise(F.ceil(F.col(size) / BLOCK)).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: (F.col("blocks") == 1) | (x != F.col("own")))
-    rows = rows.withColumn("other", F.explode(others))
-    return rows.select("cell_a", "cell_b", F.least("own", "other").alias("block_a"), F.greatest("own", "other").alias("block_b"), "node")
+def blocks_of(size: Column) -> Column:
+    """Blocks for so many members: one for up to 2 * BLOCK."""
+    return F.when(size <= 2 * BLOCK, 1).otherwise(F.ceil(size / BLOCK)).cast("int")
+
+
+def open_units(rows: DataFrame, cells: DataFrame, *carried: str) -> DataFrame:
+    """(cell_a, cell_b, block_a, block_b, node, *carried): pairs of blocks in which every open member of a cell meets all others.
+
+    rows: (cell_a, cell_b, node, is_open, *carried); cells: (cell_a, cell_b, size, n_open) of cells with open members.
+    A cell of bounded size is one unit.  In others blocks 0, 1, ... have the open members, the following ones the settled,
+    which don't meet each other.
+    """
+    rows = joined_by_size(rows, cells, ["cell_a", "cell_b"], "size")
+    rows = rows.withColumns({"first": blocks_of(F.col("n_open")), "rest": F.when(F.col("size") > F.col("n_open"), blocks_of(F.col("size") - F.col("n_open"))).otherwise(0)})
+    rows = rows.withColumn("own", F.when(F.col("is_open"), F.pmod(F.xxhash64("node"), F.col("first"))).otherwise(F.col("first") + F.pmod(F.xxhash64("node"), F.col("rest"))).cast("int"))
+    last = F.when(F.col("is_open"), F.col("first") + F.col("rest") - 1).otherwise(F.col("first") - 1)
+    one = (F.col("size") <= 2 * BLOCK) | (F.col("first") + F.col("rest") == 1)
+    others = F.when(one, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), last), lambda x: x != F.col("own")))
+    rows = rows.withColumn("own", F.when(one, 0).otherwise(F.col("own"))).withColumn("other", F.explode(others))
+    return rows.select("cell_a", "cell_b", F.least("own", "other").alias("block_a"), F.greatest("own", "other").alias("block_b"), "node", *carried)
 
 
 UNIT = ["cell_a", "cell_b", "block_a", "block_b"]
 
 
-def screened(members: DataFrame, percent: int) -> DataFrame:
+def with_possible_partner(members: DataFrame, percent: int) -> DataFrame:
     """(cell_a, cell_b, node): the members of each unit (with points) that have a partner there by the R-tree's bound."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,6 +238,22 @@ def screened(members: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "cell_a long, cell_b long, node long").distinct()
 
 
+def screened(cells: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """(cell_a, cell_b, node): the members of cells (cell_a, cell_b, cell_size, node) that have a partner in them by the
+    R-tree's bound.  In cells over the bounded size a member looks for one in its own block first, then in all others."""
+    own = F.pmod(F.xxhash64("node"), blocks_of(F.col("cell_size"))).cast("int")
+    units = cells.select("cell_a", "cell_b", own.alias("block_a"), own.alias("block_b"), "node")
+    found = materialize(with_possible_partner(units.join(points, "node"), percent), "jaccard-screened")
+    large = cells.filter(F.col("cell_size") > 2 * BLOCK).select("cell_a", "cell_b", "node")
+    if not large.limit(1).count():
+        return found
+    keys = ["cell_a", "cell_b", "node"]
+    marked = materialize(large.join(found.withColumn("found", F.lit(True)), keys, "left").select(*keys, F.col("found").isNull().alias("is_open")), "jaccard-marked")
+    sizes = marked.groupBy("cell_a", "cell_b").agg(F.count(F.lit(1)).alias("size"), F.count_if("is_open").alias("n_open")).filter("n_open > 0")
+    units = open_units(marked, materialize(sizes, "jaccard-open"))
+    return materialize(found.union(with_possible_partner(units.join(points, "node"), percent)).distinct(), "jaccard-screened")
+
+
 def with_partner(points: list[np.ndarray], percent: int) -> np.ndarray:
     """Which points have another one that they may reach the threshold with."""
     sizes = np.array([int(p.sum()) for p in points])
@@ -236,24 +271,62 @@ def with_partner(points: list[np.ndarray], percent: int) -> np.ndarray:
     return out
 
 
-def comparison_units(cells: DataFrame) -> DataFrame:
-    """(cell_a, cell_b, block_a, block_b, node): who is compared with whom, each unit of bounded size.
+def joined_by_size(rows: DataFrame, table: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """`rows` joined with `table` (one row per key; `size`: about how many rows have it): the few keys of many rows are
+    broadcast (their number is checked), so that none of them meets in one task, the others are shuffled."""
+    large = table.filter(F.col(size) > 2 * BLOCK)
+    if large.limit(BROADCAST_ID_ROWS + 1).count() > BROADCAST_ID_ROWS:
+        return rows.join(table, keys)  # over a billion rows; adaptive execution splits what is skewed
+    rest = rows.join(F.broadcast(large.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(large), keys).unionByName(rest.join(table.filter(F.col(size) <= 2 * BLOCK), keys))
 
-    Cells that overlap form clusters.  A cluster is compared as a whole (each member once, or
-    once per pair of blocks) where that ships fewer sets than its cells would; otherwise its cells are.
-    """
+
+@dataclass
+class Plan:
+    """What is compared: `units` first (cell_a, cell_b, block_a, block_b, node), then the cells of `large` clusters
+    (cell_a, cell_b, cell_size, node) that still have members in several components."""
+
+    units: DataFrame
+    large: DataFrame
+
+
+def comparison_plan(cells: DataFrame) -> Plan:
+    """Whole clusters of bounded size, and stars of the larger ones: members in blocks, each with its cell's representative."""
     leaders = cells.groupBy("cell_a", "cell_b").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("cell_size"))
-    marked = materialize(cells.join(leaders, ["cell_a", "cell_b"]), "jaccard-marked")
+    marked = materialize(joined_by_size(cells, leaders, ["cell_a", "cell_b"], "cell_size"), "jaccard-marked")
     clusters = connected(marked.select(F.col("node").alias("a"), F.col("leader").alias("b")), "jaccard-clusters")
-    sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    placed = materialize(marked.join(clusters, "node"), "jaccard-placed")
-    shipped = F.when(F.col("cell_size") <= 2 * BLOCK, 1).otherwise(F.ceil(F.col("cell_size") / BLOCK) - 1)
-    costs = placed.groupBy("root").agg(F.sum(shipped).alias("by_cells")).join(sizes, "root")
-    whole = F.col("size") * F.when(F.col("size") <= 2 * BLOCK, 1).otherwise(F.ceil(F.col("size") / BLOCK) - 1) <= F.col("by_cells")
-    choice = costs.select("root", "size", whole.alias("whole"))
-    by_cluster = clusters.join(choice.filter("whole"), "root").select(F.col("root").alias("cell_a"), F.lit(0).cast("long").alias("cell_b"), "node", "size")
-    by_cell = placed.join(choice.filter("not whole"), "root").select("cell_a", "cell_b", "node", F.col("cell_size").alias("size"))
-    return materialize(in_blocks(by_cluster, "size").union(in_blocks(by_cell, "size")), "jaccard-units")
+    large_roots = materialize(clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 2 * BLOCK), "jaccard-large")
+    zero = F.lit(0).cast("long")
+    whole = [zero.alias("cell_b"), F.lit(0).alias("block_a"), F.lit(0).alias("block_b"), "node"]
+    if not large_roots.limit(1).count():
+        return Plan(clusters.select(F.col("root").alias("cell_a"), *whole), marked.select("cell_a", "cell_b", "cell_size", "node").limit(0))
+    few = large_roots.limit(BROADCAST_ID_ROWS + 1).count() <= BROADCAST_ID_ROWS
+    roots = F.broadcast(large_roots) if few else large_roots
+    small = clusters.join(roots, "root", "left_anti").select(F.col("root").alias("cell_a"), *whole)
+    inside = materialize(clusters.join(roots, "root", "left_semi").select("node"), "jaccard-inside")
+    large = materialize(marked.join(inside, "node", "left_semi"), "jaccard-large-cells")
+    arms = materialize(large.select("leader", "node").distinct(), "jaccard-arms")
+    stars = joined_by_size(arms, arms.groupBy("leader").agg(F.count(F.lit(1)).alias("size")), ["leader"], "size")
+    stars = stars.withColumn("blocks", blocks_of(F.col("size")))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    places = F.when(F.col("node") == F.col("leader"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
+    stars = stars.withColumn("block_a", F.explode(places)).select(F.col("leader").alias("cell_a"), F.lit(1).cast("long").alias("cell_b"), "block_a", F.col("block_a").alias("block_b"), "node")
+    return Plan(materialize(small.union(stars), "jaccard-units"), large.select("cell_a", "cell_b", "cell_size", "node"))
+
+
+def unsettled_units(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """(cell_a, cell_b, block_a, block_b, node, known): pairs of blocks of the cells whose members are in several components.
+
+    `known` names the component.  Members of the cell's largest component (settled) meet all others, not each other.
+    """
+    known = large.join(roots, "node", "left").select("cell_a", "cell_b", "cell_size", "node", F.coalesce("root", "node").alias("known"))
+    known = materialize(known, "jaccard-known")
+    parts = known.groupBy("cell_a", "cell_b", "known").agg(F.count(F.lit(1)).alias("n"))
+    cells = parts.groupBy("cell_a", "cell_b").agg(F.max(F.struct("n", "known")).alias("most"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts"))
+    mixed = materialize(cells.filter("parts > 1").select("cell_a", "cell_b", "size", F.col("most.known").alias("main"), (F.col("size") - F.col("most.n")).alias("n_open")), "jaccard-mixed")
+    rows = joined_by_size(known, mixed.select("cell_a", "cell_b", "main", "size"), ["cell_a", "cell_b"], "size")
+    rows = materialize(rows.select("cell_a", "cell_b", "node", "known", (F.col("known") != F.col("main")).alias("is_open")), "jaccard-mixed-members")
+    return open_units(rows, mixed.drop("main"), "known")
 
 
 def group_counts(shingles: np.ndarray) -> np.ndarray:
@@ -307,6 +380,18 @@ def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, SETS)
 
 
+def all_sets(texts: DataFrame, size: int) -> DataFrame:
+    """(node, shingles) of the sets of all texts that have one (once in a batch)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHash()
+        for batch in batches:
+            found = {xxhash.xxh3_64_intdigest(s.tobytes()): s.tobytes() for _, s in distinct_texts(batch.column("text").to_pylist(), size, hashes) if len(s)}
+            yield pa.RecordBatch.from_arrays([pa.array([n - (1 << 64) * (n >> 63) for n in found], pa.int64()), pa.array(list(found.values()), pa.binary())], names=["node", "shingles"])
+
+    return texts.mapInArrow(run, SETS)
+
+
 class CountTree:
     """R-tree over count points, packed bottom-up: each node has its largest coordinates and its range of set sizes."""
 
@@ -361,12 +446,12 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Verified links that connect exactly what all links of these sets connect."""
+def forest(sets: list[np.ndarray], percent: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Verified links that, with the components `known` before, connect exactly what all links of these sets connect."""
     sizes = np.array([len(s) for s in sets])
     points = [group_counts(s) for s in sets]
     tree = CountTree(np.stack([folded(p, GROUPS) for p in points]), sizes, percent)
-    root = np.arange(len(sets))
+    root = np.arange(len(sets)) if known is None else np.unique(known, return_inverse=True)[1]
     links = []
     for k in range(len(sets)):
         others = tree.partners(k)
@@ -385,7 +470,9 @@ def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 
 
 def links_of_cells(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between nodes from cell members with their sets; whole cells are streamed in sorted order."""
+    """Links (a, b) between nodes from the members of units with their sets (and known components); units are streamed in sorted order."""
+    has_known = "known" in members.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, int]] = []
         for group in grouped_rows(batches, UNIT):
@@ -393,7 +480,8 @@ def links_of_cells(members: DataFrame, percent: int) -> DataFrame:
             if len(nodes) > 1:
                 shingles = group.column("shingles")
                 sets = [np.frombuffer(shingles[k].as_py(), np.uint64) for k in first.tolist()]
-                found += [(int(nodes[a]), int(nodes[b])) for a, b in forest(sets, percent)]
+                known = group.column("known").to_numpy()[first] if has_known else None
+                found += [(int(nodes[a]), int(nodes[b])) for a, b in forest(sets, percent, known)]
             if len(found) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
                 found = []
@@ -432,45 +520,61 @@ def jaccard_components(documents: DataFrame, size: int = 4, percent: int = 85, p
 
     Texts link when 100 * intersection >= percent * union of their `size`-word shingle sets;
     component_id is the smallest doc_id reached by links.  Null and empty texts have no
-    shingles and no links.  Rows that share a doc_id are one document: its texts' components
-    are reported row by row.  Rows with a null id link others but have component_id null
-    unless they reach an id.  Repeated rows stay repeated; an empty table gives no rows; other
-    columns are not read.
+    shingles and no links; very long texts are one set as any other.  Rows that share a doc_id are one document: its
+    texts' components are reported row by row.  Rows with a null id link others but have component_id null
+    unless they reach an id.  Repeated rows stay repeated, ties have no influence; an empty table gives no rows;
+    columns besides doc_id and text are not read.
     """
     spark = documents.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    classes = frequency_classes(documents, size)
+    classes, total = frequency_classes(documents, size)
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * (100 - percent) // 100 // PART_ENTRIES + 1)
     rows = materialize(signatures(documents, size, percent, classes, parts), "jaccard-signatures")
     ids = rows.filter(F.col("part").isNull()).select("doc_id", "n", "node")
     arrays = rows.filter(F.col("part").isNotNull()).select("part", "keys", "nodes")
     cells = materialize(arrays.groupBy("part").applyInPandas(cells_of_part, CELLS).distinct(), "jaccard-cells")
     points = rows.filter(F.col("points").isNotNull()).select("node", "points").dropDuplicates(["node"])
-    survivors = materialize(screened(in_blocks(cells, "cell_size").join(points, "node"), percent), "jaccard-screened")
-    members = comparison_units(survivors)
-    least = ids.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    wanted = materialize(least.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("first_id").alias("doc_id")).dropna(), "jaccard-wanted")
-    texts = keep_ids(documents, wanted.select("doc_id").distinct(), "doc_id")
-    few = wanted.limit(2_000_001).count() <= 2_000_000
-    texts = texts.join(F.broadcast(wanted) if few else wanted, "doc_id").select("node", text_bytes().alias("text"))
-    sets = shingle_sets(texts, size)
-    links = links_of_cells(members.join(sets, "node"), percent)
+    plan = comparison_plan(screened(cells, points, percent))
+    least = materialize(ids.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "jaccard-least")
+    links = links_of_cells(plan.units.join(sets_of(documents, least, plan.units.select("node").distinct(), size), "node"), percent)
     roots = connected(links, "jaccard-components")
-    named = roots.join(least, "node").groupBy("root").agg(F.min("first_id").alias("component_id"))
-    component = roots.join(named, "root").select("node", "component_id")
-    known = least.join(component, "node", "left").select("node", F.coalesce("component_id", "first_id").alias("component_id"))
-    out = ids.join(known, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    if plan.large.limit(1).count():
+        units = materialize(unsettled_units(plan.large, roots), "jaccard-unsettled")
+        if units.limit(1).count():
+            more = links_of_cells(units.join(sets_of(documents, least, units.select("node").distinct(), size), "node"), percent)
+            roots = connected(more.union(roots.select("node", "root")), "jaccard-components")
+    named = roots.join(least, "node").groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("size"))
+    component = joined_by_size(roots, materialize(named, "jaccard-named"), ["root"], "size").select("node", "component_id")
+    reached = F.col("component_id").isNotNull()
+    known = least.join(component, "node", "left").select("node", F.when(reached, F.col("component_id")).otherwise(F.col("first_id")).alias("component_id"), "copies")
+    linked = joined_by_size(ids.filter(F.col("node").isNotNull()), materialize(known, "jaccard-components"), ["node"], "copies")
+    alone = ids.filter(F.col("node").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return linked.select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(alone)
+
+
+def sets_of(documents: DataFrame, least: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(node, shingles) of distinct `nodes`, one text of each: that of its smallest id, or any where no row has an id."""
+    wanted = materialize(least.select("node", F.col("first_id").alias("doc_id")).join(nodes, "node", "left_semi"), "jaccard-wanted")
+    named = wanted.filter(F.col("doc_id").isNotNull())
+    texts = keep_ids(documents, named.select("doc_id").distinct(), "doc_id")
+    few = named.limit(BROADCAST_ID_ROWS + 1).count() <= BROADCAST_ID_ROWS
+    sets = shingle_sets(texts.join(F.broadcast(named) if few else named, "doc_id").select("node", text_bytes().alias("text")), size)
+    if wanted.filter(F.col("doc_id").isNull()).limit(1).count():
+        nameless = documents.filter(F.col("doc_id").isNull()).select(text_bytes().alias("text"))
+        found = all_sets(nameless, size).join(wanted.filter(F.col("doc_id").isNull()).select("node"), "node", "left_semi")
+        sets = sets.union(found.dropDuplicates(["node"]))
+    return sets
 
 
 def one_of_each_component(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `documents` that stand for their component (its smallest doc_id), all columns as they are.
 
-    Rows without an id stay, since nothing tells them apart; of rows that share a kept id one stays.
+    Rows without an id stay, since nothing tells them apart; of rows that share a kept id one stays.  Null and empty
+    texts link with nothing, so their rows stay; an empty table gives no rows; columns of any name are carried along.
     """
     components = materialize(jaccard_components(documents, size, percent), "jaccard-result")
     kept = materialize(components.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "jaccard-kept")
-    few = kept.limit(2_000_001).count() <= 2_000_000
+    few = kept.limit(BROADCAST_ID_ROWS + 1).count() <= BROADCAST_ID_ROWS
     ids = kept.select(F.col("doc_id").alias("__kept"))
     out = documents.join(F.broadcast(ids) if few else ids, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi")
     if kept.filter("rows > 1").limit(1).count():
