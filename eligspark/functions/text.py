@@ -22,6 +22,16 @@ RATIOS = (1.0, 1e3, 1e-3, 1e5, 1e-5, 1e7, 1e-7, 12.0, 1 / 12.0, 2.471, 1 / 2.471
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once, even where the body uses it inside lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
+def fenced(column: Column) -> Column:
+    """The same values, but not deterministic in the optimizer's eyes, so that a long expression isn't copied into each of its uses."""
+    return F.when(F.monotonically_increasing_id() >= 0, column)
+
+
 def collapse(text: Column) -> Column:
     """Every run of white space (with no-break spaces) is one space; trimmed; null is empty."""
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
@@ -176,6 +186,12 @@ def compact_number(value: Column) -> Column:
     return F.when(value == F.floor(value), value.cast("long").cast("string")).otherwise(value.cast("string"))
 
 
+def number_text(value: Column) -> Column:
+    """A number without a needless fraction, six significant digits else."""
+    whole = value == F.floor(value)
+    return F.when(whole, value.cast("decimal(38,0)").cast("string")).otherwise(F.regexp_replace(F.format_string("%.6g", value.cast("double")), r"(\.\d*?)0+$", "$1"))
+
+
 def listed(parts: Column, last: str = " and ") -> Column:
     """X28: "a, b and c"."""
     n = F.size(parts)
@@ -198,8 +214,7 @@ def document_list(text: Column) -> Column:
 def named_things(text: Column, keywords: tuple[str, ...] = ("Scheme", "Yojana", "Mission", "Programme", "Fund")) -> Column:
     """One to six capitalised words and a keyword; of names that differ in case only the first stays."""
     names = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"(?:\p{{Lu}}[\p{{L}}'-]*\s+){{1,6}}(?:{'|'.join(keywords)})\b"), F.lit(0))
-    lower = F.transform(names, lambda x: F.lower(x))
-    return F.filter(names, lambda x, i: F.array_position(lower, F.lower(x)) == i + 1)
+    return let(names, lambda n: let(F.transform(n, lambda x: F.lower(x)), lambda lower: F.filter(n, lambda x, i: F.array_position(lower, F.lower(x)) == i + 1)))
 
 
 def name_tokens(name: Column, generic: tuple[str, ...] = ("scheme", "yojana", "mission", "programme", "fund", "for", "the", "and")) -> Column:
@@ -241,8 +256,8 @@ def fuzzy_words_match(a: Column, b: Column) -> Column:
 def word_coverage(text: Column, by: Column) -> Column:
     """Share of the text's words, each time they occur, that `by` has; null without words."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    known = word_set(by)
-    return F.try_divide(F.size(F.filter(words, lambda w: F.array_contains(known, w))).cast("double"), F.size(words))
+    hits = let(word_set(by), lambda known: F.size(F.filter(words, lambda w: F.array_contains(known, w))))
+    return let(words, lambda ws: F.try_divide(hits.cast("double"), F.size(ws)))
 
 
 def stems(name: Column) -> Column:
@@ -251,26 +266,92 @@ def stems(name: Column) -> Column:
     return F.transform(words, lambda w: F.left(w, F.lit(5)))
 
 
-def denies(text: Column) -> Column:
+# Wording that claims, hedges or denies eligibility, by language.
+CLAIM = {
+    "en": r"(?i)\byou(?:'re|\s+are)\s+(?:(\w+)\s+)?(?:eligible|qualified|entitled)\b|\byou\s+(?:(\w+)\s+)?qualify\b|\byou\s+(?:will|shall)\s+(?:(\w+)\s+)?(?:get|receive)\b",
+    "hi": r"(?:पात्र|योग्य|हकदार|हक़दार)\s*(?:हैं|है|हो|होंगे|होंगी|होगा|होगी)(?![\u0900-\u0963\u0971-\u097F])|लाभ\s+(?:मिलेगा|मिल\s+जाएगा|ले\s+सकते)",
+    "te": r"అర్హులు(?![\u0C00-\u0C7F])(?!\s*కా)|అర్హత\s+(?:ఉంది|కలదు)|ప్రయోజనం\s+(?:పొందుతారు|లభిస్తుంది)",
+}
+HEDGE = {
+    "en": r"(?i)\b(?:may|might|could|would|if|whether|once|until|unless|before|after|confirm\w*|check\w*|verif\w*|not|possibly|potentially|provided|only)\b|n't",
+    "hi": r"सकते|सकती|सकता|नहीं|यदि|अगर|पुष्टि|जाँच|जांच|बाद|शायद|संभव|तभी",
+    "te": r"కావచ్చు|అవుతారో|అర్హులా|కాదు|కారు|ఉంటే|నిర్ధారించ|తనిఖీ|తర్వాత|ఉండవచ్చు|లేదో|ఏమో",
+}
+DENIAL = {
+    "en": r"(?i)\bnot\s+(?:be\s+)?eligible\b|\bineligible\b|\b(?:do|does)\s+not\s+qualify\b|\b(?:don|doesn)'t\s+qualify\b",
+    "hi": r"(?:पात्र|योग्य)\s+नहीं",
+    "te": r"అర్హులు\s+కా(?:రు|దు)",
+}
+# The Indic scripts, and the script of each language that has one of its own.
+INDIC = r"[\u0900-\u0D7F]"
+SCRIPTS = {"hi": r"[\u0900-\u097F]", "te": r"[\u0C00-\u0C7F]", "ta": r"[\u0B80-\u0BFF]", "bn": r"[\u0980-\u09FF]"}
+
+
+def by_language(lang: Column, make) -> Column:
+    """`make(code)` of the template language in `lang`, English for others."""
+    out = make("en")
+    for code in ("hi", "te"):
+        out = F.when(lang == code, make(code)).otherwise(out)
+    return out
+
+
+def denials(text: Column, lang: Column) -> Column:
     """The text says that someone isn't eligible."""
-    return text.rlike(r"(?i)\b(?:not|never|isn't|aren't|cannot be)\s+(?:\w+\s+)?eligible\b|\bineligible\b")
+    return F.coalesce(by_language(lang, lambda code: text.rlike(DENIAL[code])), F.lit(False))
+
+
+def unhedged_claims(text: Column, lang: Column) -> Column:
+    """Phrases that claim eligibility with no hedge in the 60 characters before or the 30 after within the sentence,
+    nor inside the phrase ("you may be eligible", "to confirm you qualify" are none)."""
+
+    def found(code: str) -> Column:
+        # sentence by sentence; what stands between claims is what surrounds them
+        sentences = F.split(F.coalesce(text, F.lit("")), "[.!?।]")
+
+        def claims_of(s: Column) -> Column:
+            phrases, around = F.regexp_extract_all(s, F.lit(CLAIM[code]), F.lit(0)), F.split(s, CLAIM[code])
+            marked = F.transform(phrases, lambda p, i: F.struct(p.alias("p"), F.get(around, i).alias("before"), F.get(around, i + 1).alias("after")))
+            clear = F.filter(marked, lambda m: ~(F.right(m["before"], F.lit(60)).rlike(HEDGE[code]) | F.left(F.coalesce(m["after"], F.lit("")), F.lit(30)).rlike(HEDGE[code]) | m["p"].rlike(HEDGE[code])))
+            return F.transform(clear, lambda m: m["p"])
+
+        return F.flatten(F.transform(sentences, claims_of))
+
+    return by_language(lang, found)
+
+
+def denies(text: Column) -> Column:
+    """X39 in English."""
+    return denials(text, F.lit("en"))
 
 
 def claims(text: Column) -> Column:
-    """Some sentence claims eligibility without a hedge or denial in it."""
-    sentences = F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?।])\s+")
-    hedge = r"(?i)\b(?:may|might|could|if|whether|check|confirm|likely|possibly|appears?|seems?)\b"
-    return F.exists(sentences, lambda s: s.rlike(r"(?i)\b(?:you|they|he|she)\s+(?:are|is|qualify|qualifies)\b.*\b(?:eligible|for)\b|\byou qualify\b") & ~s.rlike(hedge) & ~denies(s))
+    """X39 in English: whether any phrase claims eligibility."""
+    return F.size(unhedged_claims(text, F.lit("en"))) > 0
 
 
-# Relatives that a reason may name, with words that support each.
-RELATIVES = {"mother": ("mother", "parent"), "father": ("father", "parent"), "daughter": ("daughter", "girl", "child"), "son": ("son", "boy", "child"), "spouse": ("spouse", "husband", "wife")}
+# How a reason names a relative in English, Hindi and Telugu, and words of the facts that support it.
+RELATIVES = {
+    "daughter": ({"en": r"\byour\s+(?:\w+\s+)?daughters?\b", "hi": r"आपकी\s+(?:बेटी|बेटियों|पुत्री)", "te": r"మీ\s+(?:కూతురు|కుమార్తె)"}, ("daughter", "girl")),
+    "son": ({"en": r"\byour\s+(?:\w+\s+)?sons?\b", "hi": r"आपके\s+(?:बेटे|पुत्र)|आपका\s+बेटा", "te": r"మీ\s+(?:కొడుకు|కుమారుడు)"}, ("son", "boy")),
+    "child": ({"en": r"\byour\s+(?:\w+\s+)?(?:child|children|kids?|baby)\b", "hi": r"आपके\s+बच्च|आपका\s+बच्चा|आपकी\s+संतान", "te": r"మీ\s+(?:పిల్ల|బిడ్డ)"}, ("child", "kid", "baby", "son", "daughter", "girl", "boy", "year-old", "pregnan")),
+    "spouse": ({"en": r"\byour\s+(?:wife|husband|spouse)\b", "hi": r"आपकी\s+पत्नी|आपके\s+पति", "te": r"మీ\s+(?:భార్య|భర్త)"}, ("wife", "husband", "spouse", "married")),
+    "parent": ({"en": r"\byour\s+(?:mother|father|parents?)\b", "hi": r"आपकी\s+(?:माँ|मां|माता)|आपके\s+(?:पिता|माता-पिता)", "te": r"మీ\s+(?:తల్లి|తండ్రి|తల్లిదండ్రులు)"}, ("mother", "father", "parent")),
+}
 
 
-def unsupported_relatives(reason: Column, facts: Column) -> Column:
-    """Relatives that the reason names though no fact supports them."""
+def unsupported_relatives(reason: Column, facts: Column, lang: Column | None = None) -> Column:
+    """Relatives that the reason calls "your ..." though no fact mentions them; only in languages with patterns."""
+    lang = F.lit("en") if lang is None else lang
     lower = F.lower(F.array_join(facts, " "))
-    named = [F.when(reason.rlike(rf"(?i)\b{r}s?\b") & ~lower.rlike("|".join(rf"\b{w}" for w in words)), F.lit(r)) for r, words in RELATIVES.items()]
+    named = []
+    for who, (patterns, words) in RELATIVES.items():
+        said = F.lit(False)
+        for code, pattern in patterns.items():
+            said = F.when(lang == code, reason.rlike("(?i)" + pattern)).otherwise(said)
+        supported = F.lit(False)
+        for word in words:
+            supported = supported | F.contains(lower, F.lit(word))
+        named.append(F.when(F.coalesce(said, F.lit(False)) & ~supported, F.lit(who)))
     return F.array_compact(F.array(*named))
 
 

@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from eligspark.functions.text import bm25_tokens, phrase_norm, stems
+from eligspark.functions.text import bm25_tokens, fenced, phrase_norm, stems
+from eligspark.storage import materialize
+
+#: Hashes of frequent phrases are broadcast up to this many (8 bytes each).
+BROADCAST_PHRASES = 4_000_000
 
 # Words that carry no information in a phrase.
 BOILERPLATE = "the of to and a in for be is or by on with should must shall applicant from as an not any at are has have been this under scheme will who which that his her their its it per was were".split()
@@ -49,14 +53,33 @@ def is_informative(gram: Column, least: int = 2) -> Column:
     return F.size(F.filter(F.split(gram, " "), lambda w: ~w.isin(*BOILERPLATE))) >= least
 
 
+def informative_spans(words: str, telling: str, sizes: tuple[int, ...], least: int = 2) -> Column:
+    """Array of struct(hash, at, n) of the sequences in column `words` with at least `least` words whose entry in `telling` is 1."""
+
+    def spans(n: int) -> Column:
+        places = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
+        good = F.filter(places, lambda i: sum((F.get(F.col(telling), i + k) for k in range(n - 1)), F.get(F.col(telling), i - 1)) >= least)
+        return F.transform(good, lambda i: F.struct(F.xxhash64(F.slice(words, i, F.lit(n))).alias("hash"), i.alias("at"), F.lit(n).alias("n")))
+
+    return F.flatten(F.array(*[spans(n) for n in sizes]))
+
+
 def phrase_counts(documents: DataFrame, key: str, text: str, sizes: tuple[int, ...] = (4, 5, 6), support: int = 5) -> DataFrame:
-    """(gram, n): informative phrases by the number of records that have them; each record counts a phrase once, before the shuffle."""
+    """(gram, n): informative phrases by the number of records that have them; each record counts a phrase once.
+
+    Boilerplate goes before anything is shuffled.  Phrases are first counted by 64-bit hashes, which also combine on the
+    map side; strings are made only for those that may have the support, and counted again as strings.
+    """
     words = F.filter(F.split(phrase_norm(F.col(text)), " "), lambda w: w != "")
-    rows = documents.select(key, words.alias("__w"))
-    grams = F.array_distinct(F.flatten(F.array(*[ngrams(F.col("__w"), n) for n in sizes])))
-    exploded = rows.select(key, F.explode(grams).alias("gram"))
-    counts = exploded.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= support)
-    return counts.filter(is_informative(F.col("gram")))
+    rows = documents.select(F.monotonically_increasing_id().alias("__r"), fenced(words).alias("__w"))
+    rows = rows.select("__r", "__w", fenced(F.transform("__w", lambda w: F.when(w.isin(*BOILERPLATE), 0).otherwise(1))).alias("__t"))
+    rows = rows.select("__r", "__w", fenced(informative_spans("__w", "__t", sizes)).alias("__s"))
+    hashes = rows.select(F.explode(F.array_distinct(F.col("__s.hash"))).alias("hash"))
+    often = materialize(hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= support).select("hash"), "phrases")
+    few = often.limit(BROADCAST_PHRASES + 1).count() <= BROADCAST_PHRASES
+    found = rows.select("__r", "__w", F.explode("__s").alias("s")).select("__r", "__w", "s.*").join(F.broadcast(often) if few else often, "hash", "left_semi")
+    grams = found.select("__r", F.array_join(F.slice("__w", F.col("at"), F.col("n")), " ").alias("gram"))
+    return grams.groupBy("gram").agg(F.count_distinct("__r").alias("n")).filter(F.col("n") >= support)
 
 
 def top_phrases(counts: DataFrame, keep: int = 25, overlap: float = 0.75, pool: int = 2000) -> list[tuple[str, int]]:
@@ -87,6 +110,12 @@ def body_groups(df: DataFrame, key: str, body: Column, label: str) -> DataFrame:
     return groups.filter("n > 1").select("first_key", "n", "labels", (F.col("labels") > 1).alias("conflict"))
 
 
+def records_with(rows: DataFrame, key: str, texts: str) -> DataFrame:
+    """(text, n_records): in how many records each text of the lists `texts` occurs, once for each record."""
+    items = rows.select(key, F.explode(F.array_distinct(texts)).alias("text")).filter(F.trim(F.coalesce("text", F.lit(""))) != "")
+    return items.groupBy("text").agg(F.count_distinct(key).alias("n_records"))
+
+
 def class_distribution(df: DataFrame, label: str, small: int = 25) -> DataFrame:
     """(label, n, percent, small)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
@@ -136,3 +165,42 @@ def changed_binding(before: DataFrame, after: DataFrame, key: str, value: str) -
     """Keys of both tables whose value differs, with both values."""
     a, b = before.select(key, F.col(value).alias("before")), after.select(key, F.col(value).alias("after"))
     return a.join(b, key).filter("before <> after")
+
+
+#: Passages' anchors are broadcast up to this many rows; passages of under three pieces, which every text is searched for, up to so many.
+BROADCAST_ANCHORS, SHORT_PASSAGES = 1_000_000, 1_000
+
+
+def containing(texts: DataFrame, passages: DataFrame, key: str, passage: str, text: str = "text", longest: int = 4) -> DataFrame:
+    """(passage, key) of the texts that contain a passage whole, character by character.  Both sides have the column `text`.
+
+    Between its first and last space a passage consists of pieces that stand in the text as they are: the hash of up to
+    `longest` of them, its anchor, meets the texts' runs of as many pieces in an equi-join, and what matches is compared
+    character by character.  Passages without an inner piece are few (else ValueError) and are searched for in every text.
+    """
+    pieces = F.split(F.col(text), " ")
+    inner = F.when(F.size(pieces) > 2, F.slice(pieces, F.lit(2), F.size(pieces) - 2)).otherwise(F.array().cast("array<string>"))
+    wanted = passages.filter(F.coalesce(F.col(text), F.lit("")) != "").select(passage, F.col(text).alias("__p"), inner.alias("__i"))
+    wanted = wanted.withColumn("__n", F.least(F.size("__i"), F.lit(longest))).select(passage, "__p", "__n", F.xxhash64(F.slice("__i", F.lit(1), F.col("__n"))).alias("__h"))
+    short = wanted.filter("__n = 0").select(passage, "__p")
+    if short.limit(SHORT_PASSAGES + 1).count() > SHORT_PASSAGES:
+        raise ValueError("too many passages of one or two pieces")
+    anchors = wanted.filter("__n > 0")
+    rows = texts.select(key, F.col(text).alias("__t"), fenced(pieces).alias("__w"))
+
+    def runs(n: int) -> Column:
+        places = F.when(F.size("__w") >= n, F.sequence(F.lit(1), F.size("__w") - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.struct(F.lit(n).alias("__n"), F.xxhash64(F.slice("__w", i, F.lit(n))).alias("__h")))
+
+    lengths = [r["__n"] for r in anchors.select("__n").distinct().collect()]  # at most `longest`
+    out = []
+    if lengths:
+        met = rows.select(key, "__t", F.explode(F.array_distinct(F.flatten(F.array(*[runs(n) for n in lengths])))).alias("r")).select(key, "__t", "r.*")
+        few = anchors.limit(BROADCAST_ANCHORS + 1).count() <= BROADCAST_ANCHORS
+        met = met.join(F.broadcast(anchors) if few else anchors, ["__n", "__h"]).filter(F.contains("__t", F.col("__p")))
+        out.append(met.select(passage, key))
+    if short.limit(1).count():
+        out.append(rows.join(F.broadcast(short), F.contains("__t", F.col("__p"))).select(passage, key))  # a checked handful
+    if not out:
+        return passages.select(passage).limit(0).crossJoin(texts.select(key).limit(0))  # two empty sides
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])

@@ -178,6 +178,29 @@ def without_each_stratum(strata: DataFrame) -> DataFrame:
     return rows.select("stratum", F.round(F.try_divide(F.sum(part).over(total) - part, F.sum("population").over(total) - F.col("population")), 6).alias("estimate_without"))
 
 
+def gold_rows(gold: DataFrame, split: str, final: bool = False) -> DataFrame:
+    """scored gold rows of a split.  The test split is refused unless it is the `final` run, as are rows without a split."""
+    if split == "test" and not final:
+        raise ValueError("the test split is for the final run")
+    if gold.filter(F.col("split").isNull()).limit(1).count():
+        raise ValueError("some gold rows have no split")
+    return gold.filter(~F.coalesce(F.col("skip_scoring"), F.lit(False)) & (F.col("split") == split))
+
+
+def matched_labels(human: DataFrame, predicted: DataFrame, key: str, label: str = "label", prediction: str = "predicted") -> DataFrame:
+    """(key, label, predicted, kind): agree, differ, or which side lacks the key."""
+    joined = human.select(key, label, F.lit(True).alias("__h")).join(predicted.select(key, prediction, F.lit(True).alias("__p")), key, "full_outer")
+    kind = F.when(F.col("__p").isNull(), "no prediction").when(F.col("__h").isNull(), "no label").when(F.col(label) == F.col(prediction), "agree").otherwise("differ")
+    return joined.select(key, label, prediction, kind.alias("kind"))
+
+
+def error_kinds(messages: DataFrame, column: str) -> DataFrame:
+    """(kind, n): error messages by kind, particulars taken out."""
+    from eligspark.functions.text import error_kind
+
+    return messages.groupBy(error_kind(F.col(column)).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def confusion(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
     """(truth, predicted, n, row share)."""
     counts = rows.groupBy(truth, predicted).agg(F.count(F.lit(1)).alias("n"))

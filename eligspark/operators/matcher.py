@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from eligspark.functions.rules import DEPENDENT_WORDS, NEGATED, PRIOR_BENEFIT, in_range, marital_admitted, stages_admitted, usable
-from eligspark.functions.text import dot, is_priority
+from eligspark.functions.text import dot, fenced, is_priority
 from eligspark.schemas import CASTES, CONDITION, ON_BEHALF, RULES
 
 OCCUPATION_THRESHOLD, TOUCH_THRESHOLD, CLARIFY_SCORE, BENCHMARK_DISABILITY = 0.85, 0.48, 0.5, 40
@@ -27,14 +27,34 @@ CONSTRAINT_COLUMNS = {
     "age_min": "int", "age_max": "int", "income_cap": "bigint", "income_basis": "string", "land_min": "double", "land_max": "double", "class_min": "int", "class_max": "int", "stage": "string", "gender": "string",
     "category": "array<string>", "category_span": "string", "occupation": "array<string>", "occupation_span": "string", "residence": "string", "marital_status": "string", "level": "string", "state": "string",
     "bpl_household": "boolean", "requires_bocw": "boolean", "not_availing_other": "boolean", "citizen": "boolean", "requires_dependent": "boolean", "family_notes": "string", "residuals": "array<string>",
-    "multi_branch": "boolean", "missing": "boolean", "touches": "int",
+    "multi_branch": "boolean", "missing": "boolean", "touches": "int", "spans": "map<string,string>",
 }
 
 
+# Why a stated value doesn't decide a condition.
+ON_BEHALF_NOTE = "the person is asking on behalf of someone else; their own value does not decide this"
+DEPENDENT_NOTE = "the scheme requires a dependent, so this may be the dependent's attribute"
+
+
+def json_of(**parts: Column) -> Column:
+    """A JSON object with its nulls."""
+    return F.to_json(F.struct(*[v.alias(k) for k, v in parts.items()]), {"ignoreNullFields": "false"})
+
+
+def json_value(value: Column) -> Column:
+    """A scalar or list as JSON; null stays null."""
+    inside = F.to_json(F.array(value))
+    return F.when(value.isNotNull(), F.substring(inside, F.lit(2), F.length(inside) - 2))
+
+
 def completed(pairs: DataFrame) -> DataFrame:
-    """`pairs` with every profile and constraint column, null where it lacks one; confidence columns p_<field>_conf stay optional."""
+    """`pairs` with every profile and constraint column, null where it lacks one; confidence columns p_<field>_conf stay optional.
+
+    Columns that are there are fenced: conditions use them many times over, whatever expressions made them.
+    """
     wanted = {f"p_{k}": t for k, t in PROFILE_COLUMNS.items()} | {f"c_{k}": t for k, t in CONSTRAINT_COLUMNS.items()}
     have = set(pairs.columns)
+    pairs = pairs.withColumns({k: fenced(F.col(k)) for k in pairs.columns if k.startswith(("p_", "c_"))})
     return pairs.withColumns({k: F.lit(None).cast(t) for k, t in wanted.items() if k not in have})
 
 
@@ -50,13 +70,31 @@ class Conditions:
             cues = F.concat_ws(" ", F.replace(F.col("p_family"), F.lit("_"), F.lit(" ")), F.array_join(facts, " "))
             self.other_person = F.coalesce(cues.rlike(DEPENDENT_WORDS), F.lit(False))
         self.ambiguous = self.other_person | F.coalesce(F.col("c_requires_dependent"), F.lit(False))
+        self.whose = F.when(self.other_person, ON_BEHALF_NOTE).when(F.coalesce(F.col("c_requires_dependent"), F.lit(False)), DEPENDENT_NOTE)
         self.prior = (F.size(F.coalesce(F.col("p_prior_benefit_schemes"), F.array().cast("array<string>"))) > 0) | F.exists(facts, lambda x: x.rlike(PRIOR_BENEFIT) & ~x.rlike(NEGATED))
 
     def usable(self, key: str) -> Column:
         conf = f"p_{key}_conf"
         return usable(F.col(f"p_{key}"), F.col(conf) if conf in self.columns else None)
 
-    def add(self, field: str, present: Column, result: Column, ask: Column | None = None, kind: Column | None = None, decisive: Column | None = None, gate: bool | Column = False) -> None:
+    def confidence(self, key: str) -> Column:
+        conf = f"p_{key}_conf"
+        return F.when(F.col(f"p_{key}").isNotNull(), F.col(conf) if conf in self.columns else F.lit("medium"))
+
+    def unusable(self, key: str) -> Column:
+        """Why a value can't be used."""
+        return F.when(F.col(f"p_{key}").isNull(), "not stated").otherwise(F.concat(self.confidence(key), F.lit(" confidence")))
+
+    def span(self, field: str) -> Column:
+        """The scheme's own text for a field: of the map of all spans, or of the field's own column."""
+        own = f"c_{field}_span"
+        return F.coalesce(F.get(F.map_values(F.map_filter("c_spans", lambda k, _: k == field)), F.lit(0)), F.col(own) if own in self.columns else F.lit(None).cast("string"))
+
+    def add(
+        self, field: str, present: Column, result: Column, ask: Column | None = None, kind: Column | None = None, decisive: Column | None = None, gate: bool | Column = False,
+        constraint: Column | None = None, value: Column | None = None, key: str | None = None, note: Column | None = None, span: str | None = None,
+    ) -> None:
+        text = lambda c: F.lit(None).cast("string") if c is None else c
         row = F.struct(
             F.lit(len(self.found) + 1).alias("pos"),
             F.lit(field).alias("field"),
@@ -65,16 +103,21 @@ class Conditions:
             (F.lit(None).cast("string") if ask is None else F.when(result == "unknown", ask)).alias("ask_field"),
             (F.lit(None).cast("string") if kind is None or ask is None else F.when((result == "unknown") & ask.isNotNull(), kind)).alias("ask_kind"),
             (F.lit(gate) if isinstance(gate, bool) else gate).alias("gate"),
-            F.lit(None).cast("string").alias("note"),
+            text(note).alias("note"),
+            text(constraint).alias("constraint"),
+            (text(value) if value is not None else json_value(F.col(f"p_{key}")) if key else text(None)).alias("profile_value"),
+            (self.confidence(key) if key else text(None)).alias("confidence"),
+            self.span(span or field).alias("source_span"),
         ).cast(CONDITION)
         self.found.append(F.when(F.coalesce(present, F.lit(False)), row))
 
-    def compared(self, field: str, key: str, present: Column, good: Column, ambiguous: Column | None = None, gate: bool = False) -> None:
-        """Not usable: unknown, ask; ambiguous: unknown; else pass or fail."""
+    def compared(self, field: str, key: str, present: Column, good: Column, constraint: Column, ambiguous: bool = False, gate: bool = False, span: str | None = None) -> None:
+        """Not usable: unknown, ask; ambiguous (the value may be another person's): unknown; else pass or fail."""
         ok = self.usable(key)
         known = F.when(good, "pass").otherwise("fail")
-        result = F.when(~ok, "unknown").otherwise(known if ambiguous is None else F.when(ambiguous, "unknown").otherwise(known))
-        self.add(field, present, result, F.when(~ok, F.lit(key)), F.lit("missing"), gate=gate)
+        result = F.when(~ok, "unknown").otherwise(F.when(self.ambiguous, "unknown").otherwise(known) if ambiguous else known)
+        note = F.when(~ok, self.unusable(key)).when(self.ambiguous & F.lit(ambiguous), self.whose)
+        self.add(field, present, result, F.when(~ok, F.lit(key)), F.lit("missing"), gate=gate, constraint=constraint, key=key, note=note, span=span)
 
     def array(self) -> Column:
         return F.array_compact(F.array(*self.found))
@@ -122,44 +165,46 @@ def evaluate(pairs: DataFrame, rules: tuple[str, ...] = RULES) -> DataFrame:
     col, null_text = F.col, F.array().cast("array<string>")
     true = lambda name: F.coalesce(col(name), F.lit(False))
 
-    c.compared("age", "age", col("c_age_min").isNotNull() | col("c_age_max").isNotNull(), in_range(col("p_age"), col("c_age_min"), col("c_age_max")), c.ambiguous)  # M01
+    c.compared("age", "age", col("c_age_min").isNotNull() | col("c_age_max").isNotNull(), in_range(col("p_age"), col("c_age_min"), col("c_age_max")), json_of(min=col("c_age_min"), max=col("c_age_max")), True)  # M01
     ok = c.usable("annual_income_inr")
     kind = F.when(~ok, "missing").otherwise("refine")
-    c.add("income", col("c_income_cap").isNotNull(), F.when(~ok, "unknown").otherwise(income_result(col("p_annual_income_inr"), col("c_income_cap"), col("p_income_basis"), col("c_income_basis"))), F.when(~ok | col("p_income_basis").isNull(), F.lit("annual_income_inr")), kind)
+    c.add("income", col("c_income_cap").isNotNull(), F.when(~ok, "unknown").otherwise(income_result(col("p_annual_income_inr"), col("c_income_cap"), col("p_income_basis"), col("c_income_basis"))), F.when(~ok | col("p_income_basis").isNull(), F.lit("annual_income_inr")), kind, constraint=json_of(max_annual_inr=col("c_income_cap"), basis=col("c_income_basis")), key="annual_income_inr", note=F.when(~ok, c.unusable("annual_income_inr")))
     ok = c.usable("land_acres")
     kind = F.when(~ok, "missing").otherwise("refine")
-    c.add("land", col("c_land_min").isNotNull() | col("c_land_max").isNotNull(), F.when(~ok, "unknown").otherwise(land_result(col("p_land_acres"), col("c_land_min"), col("c_land_max"), col("p_land_basis"))), F.lit("land_acres"), kind)
-    c.compared("education_class", "education_class", col("c_class_min").isNotNull() | col("c_class_max").isNotNull(), in_range(col("p_education_class"), col("c_class_min"), col("c_class_max")))  # M04
+    c.add("land", col("c_land_min").isNotNull() | col("c_land_max").isNotNull(), F.when(~ok, "unknown").otherwise(land_result(col("p_land_acres"), col("c_land_min"), col("c_land_max"), col("p_land_basis"))), F.lit("land_acres"), kind, constraint=json_of(min_acres=col("c_land_min"), max_acres=col("c_land_max")), key="land_acres", note=F.when(~ok, c.unusable("land_acres")))
+    c.compared("education_class", "education_class", col("c_class_min").isNotNull() | col("c_class_max").isNotNull(), in_range(col("p_education_class"), col("c_class_min"), col("c_class_max")), json_of(min_class=col("c_class_min"), max_class=col("c_class_max")), span="education")  # M04
     admitted = stages_admitted(col("c_stage"))  # M05: no fail, and confidence plays no part
     stage = F.coalesce(col("p_education_stage"), F.when(col("p_education_class") <= 10, "school").when(col("p_education_class") > 10, "higher_secondary"))
     passes = F.coalesce(F.array_contains(admitted, stage), F.lit(False))
-    c.add("education_stage", F.coalesce(col("c_stage"), F.lit("")) != "", F.when(passes, "pass").otherwise("unknown"), F.when(admitted.isNotNull(), F.lit("education_stage")), F.when(stage.isNull(), "missing").otherwise("refine"))
-    c.compared("gender", "gender", col("c_gender") != "any", col("p_gender") == col("c_gender"), c.ambiguous)  # M06
+    c.add("education_stage", F.coalesce(col("c_stage"), F.lit("")) != "", F.when(passes, "pass").otherwise("unknown"), F.when(admitted.isNotNull(), F.lit("education_stage")), F.when(stage.isNull(), "missing").otherwise("refine"), constraint=json_value(col("c_stage")), value=json_value(stage), span="education")
+    c.compared("gender", "gender", col("c_gender") != "any", col("p_gender") == col("c_gender"), json_value(col("c_gender")), True)  # M06
 
     prefers = {f: is_priority(col(f"c_{f}_span")) & F.lit("priority" in rules) for f in ("category", "occupation")}  # M16
     holds, first_open = category_parts(c)
     can_fail = ~(true("c_multi_branch") & F.lit("multi_branch" in rules))
     some = F.exists(holds, lambda x: F.coalesce(x, F.lit(False)))
     result = F.when(some, "pass").when(first_open.isNotNull() | ~can_fail, "unknown").otherwise("fail")
-    c.add("category", (F.size("c_category") > 0) & ~prefers["category"], result, first_open, F.lit("missing"))  # M07
-    c.compared("residence", "residence", col("c_residence") != "any", col("p_residence") == col("c_residence"))  # M08
+    shown = F.to_json(F.struct(*[col(f"p_{k}").alias(k) for k in ("caste_category", "is_minority", "disability_percent")]))
+    c.add("category", (F.size("c_category") > 0) & ~prefers["category"], result, first_open, F.lit("missing"), constraint=F.to_json("c_category"), value=F.nullif(shown, F.lit("{}")))  # M07
+    c.compared("residence", "residence", col("c_residence") != "any", col("p_residence") == col("c_residence"), json_value(col("c_residence")))  # M08
     statuses = marital_admitted(col("c_marital_status"))  # M09
     ok = c.usable("marital_status")
     result = F.when(statuses.isNull() | ~ok | c.ambiguous, "unknown").when(F.array_contains(statuses, col("p_marital_status")), "pass").otherwise("fail")
     wanted = (F.coalesce(col("c_marital_status"), F.lit("")) != "") & ~F.coalesce(F.array_contains(statuses, "any"), F.lit(False))
-    c.add("marital_status", wanted, result, F.when(statuses.isNotNull() & ~ok, F.lit("marital_status")), F.lit("missing"))
+    c.add("marital_status", wanted, result, F.when(statuses.isNotNull() & ~ok, F.lit("marital_status")), F.lit("missing"), constraint=json_value(col("c_marital_status")), key="marital_status", note=F.when(statuses.isNotNull() & ~ok, c.unusable("marital_status")).when(statuses.isNotNull() & c.ambiguous, c.whose))
     central = F.coalesce(col("c_level") == "central", F.lit(False))  # M10
     ok = c.usable("state")
     result = F.when(central, "pass").when(~ok, "unknown").when(col("p_state") == col("c_state"), "pass").otherwise("fail")
-    c.add("state", central | col("c_state").isNotNull(), result, F.when(~central & ~ok, F.lit("state")), F.lit("missing"))
-    c.compared("bpl_household", "bpl_household", col("c_bpl_household"), col("p_bpl_household"))  # M11
-    c.compared("registered_construction_worker", "registered_construction_worker", col("c_requires_bocw"), col("p_registered_construction_worker"), gate=True)  # M12
+    place_json = F.when(central, F.lit('"central scheme"')).otherwise(json_value(col("c_state")))
+    c.add("state", central | col("c_state").isNotNull(), result, F.when(~central & ~ok, F.lit("state")), F.lit("missing"), constraint=place_json, key="state", note=F.when(central, "central scheme").when(~ok, c.unusable("state")))
+    c.compared("bpl_household", "bpl_household", col("c_bpl_household"), col("p_bpl_household"), F.lit("true"))  # M11
+    c.compared("registered_construction_worker", "registered_construction_worker", col("c_requires_bocw"), col("p_registered_construction_worker"), F.lit("true"), gate=True, span="requires_bocw_registration")  # M12
     registered = F.lit("bocw_occupation" in rules) & true("c_requires_bocw") & c.usable("registered_construction_worker") & true("p_registered_construction_worker")
     ok = c.usable("occupation")
     similar = F.coalesce(col("p_occupation_similarity") >= OCCUPATION_THRESHOLD, F.lit(False))
     result = F.when(registered | (ok & similar), "pass").otherwise("unknown")  # M13: never fails
-    c.add("occupation", (F.size("c_occupation") > 0) & ~prefers["occupation"], result, F.lit("occupation"), F.when(~ok, "missing").otherwise("refine"), gate=registered)
-    c.add("not_availing_other_scheme", col("c_not_availing_other"), F.lit("unknown"), decisive=c.prior)  # M14
+    c.add("occupation", (F.size("c_occupation") > 0) & ~prefers["occupation"], result, F.lit("occupation"), F.when(~ok, "missing").otherwise("refine"), gate=registered, constraint=F.to_json("c_occupation"), key="occupation", note=F.when(~registered & ~ok, c.unusable("occupation")))
+    c.add("not_availing_other_scheme", col("c_not_availing_other"), F.lit("unknown"), decisive=c.prior, constraint=F.lit("true"), note=F.when(~c.prior, "no prior benefit stated"))  # M14
 
     residuals = F.coalesce(col("c_residuals"), null_text)
     one = lambda cond, text: F.when(cond, F.array(text)).otherwise(null_text)
@@ -201,13 +246,14 @@ def verdict(df: DataFrame, rules: frozenset[str] = frozenset(RULES)) -> DataFram
 
 
 def condition_rows(evaluated: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """One row per condition: keys, pos, field, result, decisive, ask_field, ask_kind, gate."""
-    return evaluated.select(*keys, F.explode("conditions").alias("x")).select(*keys, "x.pos", "x.field", "x.result", "x.decisive", "x.ask_field", "x.ask_kind", "x.gate")
+    """One row per condition: keys and the fields of a condition."""
+    return evaluated.select(*keys, F.explode("conditions").alias("x")).select(*keys, "x.pos", "x.field", "x.result", "x.decisive", "x.ask_field", "x.ask_kind", "x.gate", "x.note", "x.constraint", "x.profile_value", "x.confidence", "x.source_span")
 
 
 def blocking_fields(evaluated: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """For each field that a question could settle, the kind of the first condition that asks for it."""
-    rows = condition_rows(evaluated, keys).filter("decisive and result = 'unknown' and ask_field is not null")
+    rows = evaluated.select(*keys, F.explode("conditions").alias("x")).filter("x.decisive and x.result = 'unknown' and x.ask_field is not null")
+    rows = rows.select(*keys, "x.pos", "x.ask_field", "x.ask_kind")
     return rows.groupBy(*keys, "ask_field").agg(F.min_by("ask_kind", "pos").alias("ask_kind"))
 
 

@@ -8,19 +8,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eligspark.functions.rules import NUMERIC_KINDS, SUBJECTS, confident, constraint_numbers, satisfies, stated_bound
-from eligspark.functions.text import digit_numbers, indian_grouping, is_grounded, is_requirement, listed, plain_norm, quotable
+from eligspark.functions import wording as T
+from eligspark.functions.rules import NUMERIC_KINDS, SUBJECTS, confident, constraint_numbers, marital_admitted, satisfies, stated_bound
+from eligspark.functions.text import denials, digit_numbers, indian_grouping, is_grounded, is_requirement, let, number_text, plain_norm, quotable, unhedged_claims
+from eligspark.operators.corpus import containing
+from eligspark.schemas import CASTES
 
-# Display order of the statuses and sentence templates by language.
+# Display order of the statuses, and the note that stands apart from the unverified conditions.
 STATUS_ORDER = {"eligible": 0, "needs_checking": 1, "not_eligible": 2}
-COUNT = {"en": ("%d condition of this scheme still to confirm.", "%d conditions of this scheme still to confirm."), "hi": ("इस योजना की %d शर्त की पुष्टि अभी बाकी है।", "इस योजना की %d शर्तों की पुष्टि अभी बाकी है।"), "te": ("ఈ పథకంలో %d షరతు ఇంకా నిర్ధారించాలి.", "ఈ పథకంలో %d షరతులు ఇంకా నిర్ధారించాలి.")}
-SAID = {"age": "You said your age is %s", "annual_income_inr": "You said your income is ₹%s a year", "land_acres": "You said you have %s acres of land", "disability_percent": "You said your disability is %s%%"}
-FIELD_LABELS = {"age": "age", "income": "income", "land": "land", "category": "disability"}
-
-
-def language(code: Column) -> Column:
-    """Languages without templates fall back to English."""
-    return F.when(code.isin("en", "hi", "te"), code).otherwise("en")
+DEPENDENT_NOTE = "the scheme requires a dependent (see the scheme text)"
+#: The central scheme's place as a condition's constraint.
+EVERYWHERE = '"central scheme"'
 
 
 def passed(conditions: Column) -> Column:
@@ -33,26 +31,30 @@ def classify_residual(residual: Column, conditions: Column) -> Column:
     A residual that equals a clause of a passed check is its restatement; one about the same quantity with a number
     that the check didn't use is stricter; the first condition that applies counts; anything else is other.
     """
-    norm = plain_norm(residual)
-    numbers = digit_numbers(residual)
 
-    def restates(c: Column) -> Column:
+    def restates(c: Column, norm: Column) -> Column:
         clauses = F.transform(F.split(F.coalesce(c["source_span"], F.lit("")), r" \| "), lambda x: plain_norm(x))
         return (norm != "") & F.array_contains(clauses, norm)
 
-    def stricter(c: Column) -> Column:
+    def stricter(c: Column, numbers: Column) -> Column:
         about = F.lit(False)
         for field, pattern in SUBJECTS.items():
             about = about | ((c["field"] == field) & residual.rlike(pattern))
         allowed = constraint_numbers(F.coalesce(c["constraint"], F.lit("")))
-        covered = F.forall(numbers, lambda n: F.exists(allowed, lambda a: F.abs(n - a) < 0.01))
-        return about & ~covered
+        return about & let(allowed, lambda known: ~F.forall(numbers, lambda n: F.exists(known, lambda a: F.abs(n - a) < 0.01)))
+
+    def judged(own: Column) -> Column:
+        first = lambda test: F.get(F.filter(own["good"], test), F.lit(0))["field"]
+        found = F.struct(first(lambda c: restates(c, own["norm"])).alias("a"), first(lambda c: stricter(c, own["numbers"])).alias("b"))
+        kind = lambda f: F.when(f["a"].isNotNull(), "restatement").when(f["b"].isNotNull(), "stricter").otherwise("other")
+        return let(found, lambda f: F.struct(kind(f).alias("kind"), F.coalesce(f["a"], f["b"]).alias("field")))
+
+    return let(F.struct(passed(conditions).alias("good"), plain_norm(residual).alias("norm"), digit_numbers(residual).alias("numbers")), judged)
 
-    good = passed(conditions)
-    first = lambda test: F.get(F.filter(good, test), F.lit(0))["field"]
-    a, b = first(restates), first(stricter)
-    kind = F.when(a.isNotNull(), "restatement").when(b.isNotNull(), "stricter").otherwise("other")
-    return F.struct(kind.alias("kind"), F.coalesce(a, b).alias("field"))
+
+def within(value: Column):
+    """Whether the value meets a bound, as a function of the bound."""
+    return lambda bound: bound.isNotNull() & F.coalesce(satisfies(value, bound), F.lit(False))
 
 
 def is_settled(residual: Column, field: Column, values: dict[str, Column], confidences: dict[str, Column] | None) -> Column:
@@ -60,9 +62,8 @@ def is_settled(residual: Column, field: Column, values: dict[str, Column], confi
     out = F.lit(False)
     for name, key in NUMERIC_KINDS.items():
         if key in values:
-            bound = stated_bound(residual, key)
             sure = confident(values[key], None if confidences is None else confidences.get(key, F.lit(None).cast("string")))
-            out = F.when(field == name, sure & bound.isNotNull() & F.coalesce(satisfies(values[key], bound), F.lit(False))).otherwise(out)
+            out = F.when(field == name, sure & let(stated_bound(residual, key), within(values[key]))).otherwise(out)
     return F.coalesce(out, F.lit(False))
 
 
@@ -71,17 +72,20 @@ def caveats(residuals: Column, conditions: Column, values: dict[str, Column], co
     the first of them that is a stricter bound which the person's answers don't settle."""
     judged = F.transform(F.filter(residuals, is_requirement), lambda r: F.struct(r.alias("residual"), classify_residual(r, conditions).alias("class")))
     judged = F.filter(judged, lambda x: (x["class"]["kind"] != "restatement") & ~((x["class"]["kind"] == "stricter") & is_settled(x["residual"], x["class"]["field"], values, confidences)))
-    trigger = F.get(F.filter(judged, lambda x: x["class"]["kind"] == "stricter"), F.lit(0))
-    return F.struct(F.transform(judged, lambda x: x["residual"]).alias("shown"), F.struct(trigger["residual"].alias("residual"), trigger["class"]["field"].alias("field")).alias("trigger"))
 
+    def put(kept: Column) -> Column:
+        first = let(F.get(F.filter(kept, lambda x: x["class"]["kind"] == "stricter"), F.lit(0)), lambda t: F.struct(t["residual"].alias("residual"), t["class"]["field"].alias("field")))
+        return F.struct(F.transform(kept, lambda x: x["residual"]).alias("shown"), first.alias("trigger"))
 
-def count_sentence(n: Column, lang: Column | None = None) -> Column:
-    """How many conditions are still to confirm, in the language."""
-    lang = F.lit("en") if lang is None else language(lang)
-    out = F.lit(None).cast("string")
-    for code, (one, many) in COUNT.items():
-        out = F.when(lang == code, F.when(n == 1, F.format_string(one, n)).otherwise(F.format_string(many, n))).otherwise(out)
-    return out
+    return let(judged, put)
+
+
+def count_sentence(n: Column, lang: Column | None = None, other: bool = False) -> Column:
+    """How many conditions (or other conditions) are still to confirm, in the language."""
+    lang = F.lit("en") if lang is None else T.language(lang)
+    noun = T.worded({k: v[1] for k, v in T.NOUN.items()}, lang)
+    noun = F.when(n == 1, T.worded({k: v[0] for k, v in T.NOUN.items()}, lang)).otherwise(noun)
+    return T.worded(T.COUNT_OTHER if other else T.COUNT, lang, n=n, noun=noun)
 
 
 def as_sentence(quote: Column) -> Column:
@@ -89,62 +93,157 @@ def as_sentence(quote: Column) -> Column:
 
 
 def value_text(key: str, value: Column) -> Column:
-    return indian_grouping(value) if key == "annual_income_inr" else F.regexp_replace(value.cast("string"), r"\.0$", "")
+    return indian_grouping(value) if key == "annual_income_inr" else number_text(value)
+
+
+def shown_label(condition: Column, lang: Column) -> Column:
+    """A checked condition with the value that it was checked with."""
+    label, value = T.named(T.FIELDS, condition["field"], lang), condition["profile_value"]
+    number = value.try_cast("double")
+    word = F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v")
+    text = F.when(number.isNotNull(), F.when(condition["field"] == "income", F.concat(F.lit("₹"), indian_grouping(number))).otherwise(number_text(number))).when(value.startswith('"'), word)
+    return F.when(text.isNotNull(), F.concat(label, F.lit(" ("), text, F.lit(")"))).otherwise(label)
+
+
+def checked_labels(conditions: Column, lang: Column) -> Column:
+    """Labels of what passed; a scheme for the whole country has checked no place."""
+    own = F.filter(passed(conditions), lambda c: ~((c["field"] == "state") & c["constraint"].eqNullSafe(F.lit(EVERYWHERE))))
+    return F.transform(own, lambda c: shown_label(c, lang))
 
 
-def downgrade_reason(trigger: Column, values: dict[str, Column], others: Column, source: Column) -> Column:
-    """Names the stricter condition, quoted where the scheme's own text has it, with the person's value where given."""
-    quote, label = quotable(trigger["residual"]), F.create_map(*[F.lit(x) for p in FIELD_LABELS.items() for x in p])[trigger["field"]]
+def downgrade_reason(trigger: Column, conditions: Column, values: dict[str, Column], confidences: dict[str, Column] | None, others: Column, source: Column, lang: Column) -> Column:
+    """Names the stricter condition, quoted where the scheme's own text has it, with the person's confident value where
+    given; then what else was checked and how many conditions are left."""
+    quote, label = quotable(trigger["residual"]), T.named(T.TRIGGER_LABEL, trigger["field"], lang)
     said = F.lit(None).cast("string")
     for field, key in NUMERIC_KINDS.items():
         if key in values:
-            said = F.when(trigger["field"] == field, F.format_string(SAID[key], value_text(key, values[key]))).otherwise(said)
+            sure = confident(values[key], None if confidences is None else confidences.get(key, F.lit(None).cast("string")))
+            said = F.when((trigger["field"] == field) & sure, T.worded(T.of(T.SAID_VALUE, key), lang, v=value_text(key, values[key]))).otherwise(said)
     grounded = is_grounded(quote, source)
-    body = F.when(said.isNotNull() & grounded, F.concat(said, F.lit("; this scheme's own text says: "), as_sentence(quote))).when(said.isNotNull(), F.concat(said, F.lit("; this scheme's own text sets its own "), label, F.lit(" condition, which has to be confirmed.")))
-    body = body.when(grounded, F.concat(F.lit("This scheme requires: "), as_sentence(quote), F.lit(" That couldn't be checked from what you told us."))).otherwise(F.concat(F.lit("This scheme has a "), label, F.lit(" condition that couldn't be checked from what you told us.")))
-    return F.concat_ws(" ", body, F.when(others > 0, F.format_string("%d other conditions of this scheme still to confirm.", others)))
+    first = (
+        F.when(said.isNotNull() & grounded, T.worded(T.OWN_TEXT, lang, said=said, quote=as_sentence(quote)))
+        .when(said.isNotNull(), T.worded(T.OWN_TEXT_UNQUOTED, lang, said=said, label=label))
+        .when(grounded, T.worded(T.REQUIRES, lang, quote=as_sentence(quote)))
+        .otherwise(T.worded(T.REQUIRES_UNQUOTED, lang, label=label))
+    )
+    rest = T.joined(checked_labels(F.filter(conditions, lambda c: c["field"] != trigger["field"]), lang), lang)
+    return F.concat_ws(" ", first, let(rest, lambda r: F.when(r != "", T.worded(T.CHECKED, lang, passed=r))), F.when(others > 0, count_sentence(others, lang, other=True)))
 
 
-def finalize(df: DataFrame, values: dict[str, Column], confidences: dict[str, Column] | None, source: Column) -> DataFrame:
-    """`df` (status, reason, unverified, conditions with constraint and source_span) with caveats, final_status, final_reason.
+def finalize(df: DataFrame, values: dict[str, Column], confidences: dict[str, Column] | None, source: Column, lang: Column | None = None) -> DataFrame:
+    """`df` (status, reason, unverified, conditions as the matcher makes them) with caveats, final_status, final_reason.
 
     Ruled-out candidates get no caveats; an eligible one with a trigger is lowered; other reasons get the caveat count.
+    `source` is the scheme's own text; quotes may also stand in the unverified conditions themselves.
     """
+    lang = F.lit("en") if lang is None else T.language(lang)
     live = F.col("status") != "not_eligible"
     df = df.withColumn("__c", F.when(live, caveats(F.col("unverified"), F.col("conditions"), values, confidences)))
     shown = F.coalesce(F.col("__c.shown"), F.array().cast("array<string>"))
     lowered = (F.col("status") == "eligible") & F.col("__c.trigger.residual").isNotNull()
-    counted = F.when(F.size(shown) > 0, F.concat_ws(" ", F.col("reason"), count_sentence(F.size(shown)))).otherwise(F.col("reason"))
-    return df.withColumns({"caveats": shown, "final_status": F.when(lowered, "needs_checking").otherwise(F.col("status")), "final_reason": F.when(lowered, downgrade_reason(F.col("__c.trigger"), values, F.size(shown) - 1, source)).otherwise(counted)}).drop("__c")
+    counted = F.when(F.size(shown) > 0, F.concat_ws(" ", F.col("reason"), count_sentence(F.size(shown), lang))).otherwise(F.col("reason"))
+    sources = F.concat_ws("\u0001", F.array_join("unverified", "\u0001"), source)
+    why = downgrade_reason(F.col("__c.trigger"), F.col("conditions"), values, confidences, F.size(shown) - 1, sources, lang)
+    return df.withColumns({"caveats": shown, "final_status": F.when(lowered, "needs_checking").otherwise(F.col("status")), "final_reason": F.when(lowered, why).otherwise(counted)}).drop("__c")
 
 
 def display_order(df: DataFrame, status: str = "status", rank: str = "rnk") -> list[Column]:
-    """Sort columns: status group, candidates with a personal pass first, retrieval rank."""
+    """Sort columns: status group, candidates with a personal pass first (place and board registration are none), retrieval rank."""
     group = F.lit(len(STATUS_ORDER))
     for name, n in STATUS_ORDER.items():
         group = F.when(F.col(status) == name, n).otherwise(group)
-    personal = F.exists("conditions", lambda c: c["decisive"] & (c["result"] == "pass") & (c["field"] != "state"))
+    personal = F.exists("conditions", lambda c: c["decisive"] & (c["result"] == "pass") & (c["field"] != "state") & ~F.coalesce(c["gate"], F.lit(False)))
     return [group, F.when(personal, 0).otherwise(1), F.col(rank)]
 
 
-# What a ruled-out candidate's failed condition says (English; %s is the stated requirement).
-FAILED = {"age": "The scheme's age limit is not met.", "income": "The income is above the scheme's limit.", "land": "The land holding is outside the scheme's limits.", "gender": "The scheme is for another gender.", "category": "The scheme is for other categories.", "state": "The scheme is for residents of another state."}
+def part(constraint: Column, key: str) -> Column:
+    return F.get_json_object(constraint, f"$.{key}")
+
+
+def bounds_rule(kind: str, low: Column, high: Column, lang: Column, exact: str | None = None) -> Column:
+    """The rule of a range, open or closed."""
+    rule = F.when(high.isNull(), T.worded(T.of(T.RULE, f"{kind}_min"), lang, lo=low)).when(low.isNull(), T.worded(T.of(T.RULE, f"{kind}_max"), lang, hi=high))
+    rule = rule.otherwise(T.worded(T.of(T.RULE, f"{kind}_range"), lang, lo=low, hi=high))
+    return rule if exact is None else F.when(low == high, T.worded(T.of(T.RULE, exact), lang, lo=low)).otherwise(rule)
 
 
-def failed_reason(conditions: Column) -> Column:
+def failed_sentence(c: Column, lang: Column) -> Column:
+    """What the scheme demands and what the person said, for one failed condition."""
+    con, value = c["constraint"], c["profile_value"]
+    number = lambda key: F.when(part(con, key).isNotNull(), number_text(part(con, key).try_cast("double")))
+    scalar = lambda x: F.get_json_object(F.concat(F.lit('{"v":'), x, F.lit("}")), "$.v")
+    rule, said = (lambda key, **v: T.worded(T.of(T.RULE, key), lang, **v)), (lambda key, **v: T.worded(T.of(T.SAID, key), lang, **v))
+    v, w = number_text(value.try_cast("double")), scalar(value)
+    family = F.when(part(con, "basis") == "family", T.worded(T.FAMILY, lang))
+    listed = F.from_json(con, "array<string>")
+    categories = T.joined(F.transform(listed, lambda x: T.named(T.CATEGORY, x, lang)), lang, T.OR)
+    told = F.array(
+        F.when(part(value, "caste_category").isNotNull() & F.exists(listed, lambda x: x.isin(*CASTES)), said("caste", v=part(value, "caste_category"))),
+        F.when((part(value, "is_minority") == "false") & F.array_contains(listed, "Minority"), said("minority")),
+        F.when(part(value, "disability_percent").isNotNull() & F.array_contains(listed, "PwD"), said("disability", v=number_text(part(value, "disability_percent").try_cast("double")))),
+    )
+    admitted = marital_admitted(scalar(con))
+    statuses = F.coalesce(T.joined(F.transform(F.array_sort(admitted), lambda x: T.named(T.MARITAL, x, lang)), lang, T.OR), scalar(con))
+    table = {
+        "age": (bounds_rule("age", number("min"), number("max"), lang, "age_exact"), said("age", v=v)),
+        "income": (rule("income", basis=family, cap=indian_grouping(part(con, "max_annual_inr").try_cast("double"))), said("income", v=indian_grouping(value.try_cast("double")))),
+        "land": (bounds_rule("land", number("min_acres"), number("max_acres"), lang), said("land", v=v)),
+        "education_class": (bounds_rule("class", number("min_class"), number("max_class"), lang), said("education_class", v=v)),
+        "gender": (rule("gender", g=T.named(T.GENDERS, scalar(con), lang)), said("gender", g=T.named(T.GENDER, w, lang))),
+        "category": (rule("category", cats=categories), T.joined(told, lang)),
+        "residence": (rule("residence", r=T.named(T.RESIDENCE, scalar(con), lang)), said("residence", r=T.named(T.RESIDENCE, w, lang))),
+        "marital_status": (rule("marital_status", ms=statuses), said("marital_status", ms=T.named(T.MARITAL, w, lang))),
+        "state": (rule("state", state=scalar(con)), said("state", v=w)),
+        "bpl_household": (rule("bpl_household"), said("bpl_household")),
+        "registered_construction_worker": (rule("registered_construction_worker"), said("registered_construction_worker")),
+    }
+    out = F.lit(None).cast("string")
+    for field, (demand, answer) in table.items():
+        sentence = F.concat(demand, F.when(answer != "", F.concat(F.lit("; "), answer)).otherwise(""), T.worded(T.STOP, lang))
+        out = F.when(c["field"] == field, sentence).otherwise(out)
+    return out
+
+
+def failed_reason(conditions: Column, lang: Column | None = None) -> Column:
     """Sentences for the failed decisive conditions, in order."""
-    table = F.create_map(*[F.lit(x) for p in FAILED.items() for x in p])
+    lang = F.lit("en") if lang is None else T.language(lang)
     failed = F.filter(conditions, lambda c: c["decisive"] & (c["result"] == "fail"))
-    return F.array_join(F.transform(failed, lambda c: F.coalesce(table[c["field"]], F.concat(F.lit("The "), F.replace(c["field"], F.lit("_"), F.lit(" ")), F.lit(" condition is not met.")))), " ")
+    return F.array_join(F.transform(failed, lambda c: failed_sentence(c, lang)), " ")
+
 
+def fallback_reason(conditions: Column, status: Column, lang: Column | None = None, unchecked: Column | None = None, clause: Column | None = None) -> Column:
+    """The template reason: what was checked, what is still to confirm, and the scheme's first clause (up to 200 characters).
 
-def fallback_reason(conditions: Column, status: Column) -> Column:
-    """The template reason: what was checked, and what is still to confirm."""
-    good = F.array_distinct(F.transform(F.filter(conditions, lambda c: c["decisive"] & (c["result"] == "pass")), lambda c: F.replace(c["field"], F.lit("_"), F.lit(" "))))
-    open_ = F.array_distinct(F.transform(F.filter(conditions, lambda c: c["decisive"] & (c["result"] == "unknown")), lambda c: F.replace(c["field"], F.lit("_"), F.lit(" "))))
-    checked = F.when(F.size(good) > 0, F.concat(F.lit("Checked: "), listed(good), F.lit(".")))
-    asked = F.when(F.size(open_) > 0, F.concat(F.lit("Still to confirm: "), listed(open_), F.lit(".")))
-    return F.when(status == "not_eligible", failed_reason(conditions)).otherwise(F.concat_ws(" ", checked, asked))
+    `unchecked`: whether the scheme has conditions of its own that nothing has checked.
+    """
+    lang = F.lit("en") if lang is None else T.language(lang)
+    fields = F.transform(F.filter(conditions, lambda c: c["decisive"] & (c["result"] == "unknown")), lambda c: c["field"])
+    more = F.lit(False) if unchecked is None else F.coalesce(unchecked, F.lit(False))
+    fields = let(fields, lambda f: F.array_distinct(F.when(more | (F.size(f) == 0), F.concat(f, F.array(F.lit("other")))).otherwise(f)))
+    pending = T.joined(F.transform(fields, lambda f: T.named(T.FIELDS, f, lang)), lang)
+    kind = lambda name, **v: T.worded(T.of(T.TEMPLATE, name), lang, **v)
+    put = lambda checked: F.when(status == "eligible", kind("eligible", passed=checked)).otherwise(let(pending, lambda p: F.when(checked != "", kind("partly", passed=checked, pending=p)).otherwise(kind("nothing", pending=p))))
+    text = let(T.joined(checked_labels(conditions, lang), lang), put)
+    if clause is not None:
+        short = F.when(F.length(clause) <= 200, clause).otherwise(F.concat(F.rtrim(F.left(clause, F.lit(200))), F.lit("…")))
+        text = F.concat(text, F.when(clause.isNotNull(), T.worded(T.of(T.TEMPLATE, "clause"), lang, clause=short)).otherwise(""))
+    return F.when(status == "not_eligible", failed_reason(conditions, lang)).otherwise(text)
+
+
+def with_explanations(rows: DataFrame, explanations: DataFrame) -> DataFrame:
+    """`rows` (query_id, slug, status, template) with reason, citations and status of their explanation
+    (query_id, slug, status, reason, citations), where there is one; else the template reason and the matcher's status."""
+    given = explanations.select("query_id", "slug", F.col("status").alias("__status"), F.col("reason").alias("__reason"), F.col("citations").alias("__citations"))
+    out = rows.drop("citations").join(given, ["query_id", "slug"], "left")
+    return out.withColumns({"status": F.coalesce("__status", "status"), "reason": F.coalesce("__reason", "template"), "citations": F.col("__citations")}).drop("__status", "__reason", "__citations")
+
+
+def span_citations(spans: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(slug, span, chunk_id): the first of the scheme's chunks that contains the span word for word.  spans: (slug, span); chunks: (slug, chunk_id, raw_text, pos)."""
+    wanted = spans.filter(F.coalesce("span", F.lit("")) != "").select(F.struct("slug", "span").alias("s"), F.col("span").alias("text")).distinct()
+    found = containing(chunks.select(F.struct("slug", "pos", "chunk_id").alias("c"), F.col("raw_text").alias("text")), wanted, "c", "s").filter("c.slug = s.slug")
+    return found.groupBy(F.col("s.slug").alias("slug"), F.col("s.span").alias("span")).agg(F.min(F.struct("c.pos", "c.chunk_id")).alias("first")).select("slug", "span", "first.chunk_id")
 
 
 def relevance_flags(flags: DataFrame, facts: DataFrame, residuals: DataFrame, checked: DataFrame) -> DataFrame:
@@ -172,18 +271,28 @@ def citation_errors(quote: Column, chunk: Column, same_scheme: Column, least: in
     )
 
 
-def reason_errors(reason: Column, allowed_numbers: Column, facts: Column, most_sentences: int = 2) -> Column:
-    """What is wrong with a generated reason: length, claims, numbers that nothing supports, relatives that no fact names."""
-    from eligspark.functions.text import claims, derivable, sentence_count, unsupported_relatives
+def reason_errors(reason: Column, status: Column, allowed_numbers: Column, facts: Column, lang: Column | None = None, known_places: Column | None = None, places: tuple[str, ...] = (), most_sentences: int = 2) -> Column:
+    """What is wrong with a generated reason: script and length, a claim that the status doesn't bear out or a denial of
+    an eligible result, numbers that nothing supports, relatives that no fact names, and places that are nowhere known."""
+    from eligspark.functions.text import INDIC, SCRIPTS, derivable, sentence_count, unsupported_relatives
 
+    lang = F.lit("en") if lang is None else lang
     loose = F.filter(digit_numbers(reason), lambda n: ~derivable(n, allowed_numbers))
+    wrong_script = F.when(lang == "en", reason.rlike(INDIC))
+    for code, script in SCRIPTS.items():
+        wrong_script = wrong_script.when(lang == code, ~reason.rlike(script))
+    named = F.filter(F.array(*[F.lit(p) for p in places]).cast("array<string>"), lambda p: F.contains(F.lower(reason), F.lower(p)) & ~F.array_contains(F.coalesce(known_places, F.array().cast("array<string>")), p)) if known_places is not None else None
+    blank = F.trim(F.coalesce(reason, F.lit(""))) == ""
     return F.array_compact(
         F.array(
-            F.when(F.trim(F.coalesce(reason, F.lit(""))) == "", "empty"),
+            F.when(blank, "empty"),
+            F.when(~blank & wrong_script, "wrong script"),
             F.when(sentence_count(reason) > most_sentences, "too many sentences"),
-            F.when(claims(reason), "claims eligibility"),
+            F.when((status != "eligible") & (F.size(unhedged_claims(reason, T.language(lang))) > 0), "claims eligibility"),
+            F.when((status == "eligible") & denials(reason, T.language(lang)), "denies eligibility"),
             F.when(F.size(loose) > 0, "number without support"),
-            F.when(F.size(unsupported_relatives(reason, facts)) > 0, "relative without support"),
+            F.when(F.size(unsupported_relatives(reason, facts, lang)) > 0, "relative without support"),
+            F.lit(None).cast("string") if named is None else F.when(F.size(named) > 0, "place without support"),
         )
     )
 
@@ -193,6 +302,11 @@ def verbatim_flags(conditions: Column, source: Column) -> Column:
     return F.transform(conditions, lambda c: F.contains(source, c))
 
 
+def without_dependent_note(unverified: Column) -> Column:
+    """struct(unverified, requires_dependent): the note about a dependent stands apart."""
+    return F.struct(F.array_remove(unverified, DEPENDENT_NOTE).alias("unverified"), F.array_contains(unverified, DEPENDENT_NOTE).alias("requires_dependent"))
+
+
 def clarified_text(turns: DataFrame, conversation: str = "conv_id") -> DataFrame:
     """The user's turns of a conversation in order, joined by spaces, and how many there are."""
     mine = turns.filter("role = 'user'").groupBy(conversation).agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))

@@ -121,6 +121,11 @@ def sampling_weights(population: DataFrame, sample: DataFrame, stratum: str) ->
     return rows.withColumn("weight", F.round(F.try_divide(F.col("population") / F.sum("population").over(total), F.col("sampled") / F.sum("sampled").over(total)), 6))
 
 
+def random_sample(df: DataFrame, key: str, n: int, seed: str = "42") -> DataFrame:
+    """N rows in hashed order; the limit runs in every task before one task takes the best of all."""
+    return df.orderBy(hash_order(seed, F.col(key)), key).limit(n)
+
+
 def spread_by_length(df: DataFrame, length: str, key: str, limit: int) -> DataFrame:
     """`limit` rows spread over the lengths: positions int(i * n / limit) of the sorted rows."""
     n = df.count()

@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from eligspark.functions.text import bm25_tokens
+from eligspark.functions.text import bm25_tokens, is_unit, let
+from eligspark.storage import materialize
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 CANDIDATES, RRF_K = 50, 60
 MODES = ("hybrid", "dense", "bm25")
 #: Queries of one dense block; further queries go in further blocks.
 QUERY_BLOCK = 4096
+#: Query terms are broadcast up to this many rows; scans are filtered by up to so many distinct terms.
+BROADCAST_TERMS, PUSHED_TERMS = 1_000_000, 500
 
 
 def postings(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -47,17 +51,126 @@ def idf_table(posted: DataFrame, stats: DataFrame) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("mean_idf") * EPSILON).otherwise(F.col("raw")).alias("idf"))  # one row
 
 
+def vocabulary(documents: DataFrame, text: str = "text") -> DataFrame:
+    """(term, df, cf_first): document frequencies in one pass that combines on the map side.  A text's length travels with its
+    first term, so the lengths add up in the same pass."""
+    words = documents.select(bm25_tokens(F.col(text)).alias("__w"))
+    rows = words.select(F.size("__w").cast("long").alias("len"), F.posexplode(F.array_distinct("__w")).alias("at", "term"))
+    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("at") == 0, F.col("len")).otherwise(0)).alias("cf_first"))
+
+
+def weighed_terms(words: DataFrame, n_docs: int) -> tuple[DataFrame, float]:
+    """(term, df, idf) of a vocabulary, negative values being EPSILON times the mean, and the average length."""
+    raw = words.withColumn("raw", raw_idf(F.col("df"), F.lit(float(n_docs))))
+    mean, total = raw.agg(F.avg("raw"), F.sum("cf_first")).first()
+    idf = F.when(F.col("raw") < 0, F.lit(EPSILON * (mean or 0.0))).otherwise(F.col("raw"))
+    return raw.select("term", "df", idf.alias("idf")), (total or 0) / max(1, n_docs)
+
+
+def asked_terms(queries: DataFrame, query: str, text: str) -> DataFrame:
+    """(query, term, qtf): repeated query words count each time."""
+    return queries.select(query, F.explode(bm25_tokens(F.col(text))).alias("term")).groupBy(query, "term").agg(F.count(F.lit(1)).alias("qtf"))
+
+
+def scored_postings(posted: DataFrame, wanted: DataFrame, avgdl: float, query: str, key: str) -> DataFrame:
+    """(query, key, score) from (key, term, len, tf) and (query, term, qtf, idf); the queries' side is broadcast if it is proven small."""
+    few = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    scored = posted.join(F.broadcast(wanted) if few else wanted, "term")
+    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(avgdl)))
+    return scored.groupBy(query, key).agg(F.sum(part).alias("score")).filter("score > 0")  # F01
+
+
 def bm25_scores(queries: DataFrame, documents: DataFrame, query: str = "item_id", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(query, key, score): J03.  Terms that no query asks for go before the first shuffle; a text's length travels with its terms,
-    so lengths need no join; repeated query words count each time."""
-    asked = queries.select(query, F.explode(bm25_tokens(F.col(text))).alias("term")).groupBy(query, "term").agg(F.count(F.lit(1)).alias("qtf"))
-    stats = corpus_stats(documents, text)
-    wanted = asked.join(idf_table(postings(documents, key, text), stats), "term")
+    """(query, key, score): J03.  Texts are read twice: for the vocabulary, and for the terms that queries ask for, which alone
+    are shuffled, with their text's length.  For repeated searches build a `LexicalIndex`."""
+    words, avgdl = weighed_terms(materialize(vocabulary(documents, text), "bm25-vocabulary"), documents.count())
+    wanted = materialize(asked_terms(queries, query, text).join(words, "term").select(query, "term", "qtf", "idf"), "bm25-asked")
     terms = documents.select(key, bm25_tokens(F.col(text)).alias("__w")).select(key, F.size("__w").alias("len"), F.explode("__w").alias("term"))
-    posted = terms.join(asked.select("term").distinct(), "term", "left_semi").groupBy(key, "term", "len").agg(F.count(F.lit(1)).alias("tf"))
-    scored = posted.join(wanted, "term").crossJoin(F.broadcast(stats.select("avgdl")))  # one row
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    return scored.groupBy(query, key).agg(F.sum(part).alias("score")).filter("score > 0")  # F01
+    names = wanted.select("term").distinct()
+    few = names.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    posted = terms.join(F.broadcast(names) if few else names, "term", "left_semi").groupBy(key, "term", "len").agg(F.count(F.lit(1)).alias("tf"))
+    return scored_postings(posted, wanted, avgdl, query, key)
+
+
+def fingerprint(rows: DataFrame) -> str:
+    """The same for the same rows in any order."""
+    n, both, total = rows.select(F.xxhash64(*sorted(rows.columns)).alias("h")).agg(F.count(F.lit(1)), F.expr("bit_xor(h)"), F.sum(F.col("h").cast("decimal(38,0)"))).first()
+    return f"{n}:{both}:{total}"
+
+
+@dataclass
+class LexicalIndex:
+    """A stored index: postings sorted by term (so that a search reads the row groups of its terms alone), weights, a manifest."""
+
+    spark: SparkSession
+    path: str
+    avgdl: float
+    key: str
+
+    @classmethod
+    def build(cls, documents: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> LexicalIndex:
+        """Write the index of `documents` under `path`; the manifest comes last, so a broken build is no index."""
+        spark = documents.sparkSession
+        words = documents.select(key, bm25_tokens(F.col(text)).alias("__w")).select(key, F.size("__w").alias("len"), F.explode("__w").alias("term"))
+        posted = words.groupBy(key, "term", "len").agg(F.count(F.lit(1)).alias("tf"))
+        posted.repartitionByRange(F.col("term"), F.xxhash64(key)).sortWithinPartitions("term", key).write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
+        stored = spark.read.parquet(f"{path}/postings")
+        n = documents.count()
+        dfs = stored.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf_first"))
+        weights, avgdl = weighed_terms(materialize(dfs, "index-terms"), n)
+        weights.repartitionByRange(F.col("term")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+        manifest = [(fingerprint(documents.select(key, text)), n, float(avgdl), key)]
+        spark.createDataFrame(manifest, "source string, n_docs long, avgdl double, key string").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+        return cls(spark, path, avgdl, key)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, documents: DataFrame | None = None, text: str = "text") -> LexicalIndex:
+        """The index under `path`; ValueError if it was built from other documents than those given."""
+        about = spark.read.json(f"{path}/manifest").first()
+        if documents is not None and about["source"] != fingerprint(documents.select(about["key"], text)):
+            raise ValueError("the index was built from other documents")
+        return cls(spark, path, about["avgdl"], about["key"])
+
+    def search(self, queries: DataFrame, k: int = 10, query: str = "item_id", text: str = "text") -> DataFrame:
+        """The best k documents of each query, as `search_bm25` gives them."""
+        asked = asked_terms(queries, query, text)
+        names = [r["term"] for r in asked.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
+        terms, posted = self.spark.read.parquet(f"{self.path}/terms"), self.spark.read.parquet(f"{self.path}/postings")
+        if len(names) <= PUSHED_TERMS:  # the scans read only the row groups that may have them
+            terms, posted = terms.filter(F.col("term").isin(*names)), posted.filter(F.col("term").isin(*names))
+        wanted = asked.join(terms, "term").select(query, "term", "qtf", "idf")
+        return top_k(scored_postings(posted, wanted, self.avgdl, query, self.key), query, self.key, k)
+
+
+@dataclass
+class VectorIndex:
+    """Stored vectors with a manifest of their number and width."""
+
+    spark: SparkSession
+    path: str
+    key: str
+
+    @classmethod
+    def build(cls, vectors: DataFrame, path: str, key: str = "vec_id", column: str = "embedding") -> VectorIndex:
+        """Write the vectors; ValueError if they differ in width or some aren't of length 1."""
+        spark = vectors.sparkSession
+        n, low, high, bad = vectors.agg(F.count(F.lit(1)), F.min(F.size(column)), F.max(F.size(column)), F.count_if(~is_unit(F.col(column)))).first()
+        if low != high or bad:
+            raise ValueError("vectors must be of one width and of length 1")
+        vectors.select(F.col(key).alias("key"), F.col(column).alias("vector")).write.mode("overwrite").parquet(f"{path}/vectors")
+        spark.createDataFrame([(fingerprint(vectors.select(key, column)), n, low or 0, key)], "source string, n long, width int, key string").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+        return cls(spark, path, key)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, vectors: DataFrame | None = None, column: str = "embedding") -> VectorIndex:
+        about = spark.read.json(f"{path}/manifest").first()
+        if vectors is not None and about["source"] != fingerprint(vectors.select(about["key"], column)):
+            raise ValueError("the index was built from other vectors")
+        return cls(spark, path, about["key"])
+
+    def search(self, queries: DataFrame, k: int = 10, query: str = "item_id", column: str = "embedding") -> DataFrame:
+        rows = self.spark.read.parquet(f"{self.path}/vectors")
+        return search_dense(queries.select(query, F.col(column).alias("vector")), rows, k, query, "key", "vector").withColumnRenamed("key", self.key)
 
 
 def top_k(scores: DataFrame, query: str, key: str, k: int, score: str = "score") -> DataFrame:
@@ -132,10 +245,10 @@ def roll_up(hits: DataFrame, group: str, query: str = "item_id", key: str = "doc
 
 def hashed_embedding(text: Column, size: int = 64) -> Column:
     """The offline stand-in for a text encoder: hashed term frequencies, scaled to length 1."""
-    terms = bm25_tokens(text)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda d: F.size(F.filter(terms, lambda w: F.pmod(F.xxhash64(w), F.lit(size)) == d)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
+    places = F.transform(bm25_tokens(text), lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int"))
+    counts = let(places, lambda p: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda d: F.size(F.filter(p, lambda x: x == d)).cast("double")))
+    scaled = lambda c: let(F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x)), lambda norm: F.transform(c, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0))))
+    return let(counts, scaled)
 
 
 def embedded(texts: DataFrame, encode, column: str = "text", vector: str = "vector") -> DataFrame:

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from eligspark.functions.rules import NUMERIC_KINDS
+from eligspark.functions.text import document_list, is_grounded
 from eligspark.operators import matcher, search
-from eligspark.operators.postprocess import display_order, fallback_reason
+from eligspark.operators.postprocess import display_order, fallback_reason, finalize, with_explanations, without_dependent_note
 from eligspark.schemas import RULES, STATUSES
 
 #: Results served, candidates explained, chunks shown with one, longest query.
@@ -98,15 +100,21 @@ def notices(names: DataFrame, known: DataFrame) -> DataFrame:
     return numbered.join(matching_names(numbered.select("id", "tokens"), known), "id", "left_anti").select("query_id", "name")
 
 
-def match(queries: DataFrame, chunks: DataFrame, profiles: DataFrame, constraints: DataFrame, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, k: int = SERVED, rules: tuple[str, ...] = RULES) -> DataFrame:
-    """Retrieve, evaluate, explain and order for all queries in one plan.
+def match(queries: DataFrame, chunks: DataFrame, profiles: DataFrame, constraints: DataFrame, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, k: int = SERVED, rules: tuple[str, ...] = RULES, meanings: DataFrame | None = None, explanations: DataFrame | None = None, schemes: DataFrame | None = None, index: search.LexicalIndex | None = None) -> DataFrame:
+    """Retrieve, evaluate, explain, finalize and order for all queries in one plan.
 
-    queries (query_id, text), chunks (chunk_id long, slug, text), profiles (query_id, p_*), constraints (slug, c_*); with
-    vectors (chunk_id, embedding) and query_vectors (query_id, embedding) the search is hybrid.  A candidate without a
-    record needs checking.  Returns one row per query and result with status, reason, template reason, question and place.
+    queries (query_id, text, and maybe lang), chunks (chunk_id long, slug, text, and maybe section), profiles (query_id, p_*),
+    constraints (slug, c_*).  With vectors (chunk_id, embedding) and query_vectors (query_id, embedding) the search is hybrid;
+    with `meanings` (text, vector) of occupations, facts and residuals occupations are compared (J08) and facts touch
+    residuals (J09); `explanations` (query_id, slug, status, reason, citations) take the place of template reasons (J10);
+    `schemes` (slug, eligibility_text, documents_text) give the text that quotes must stand in, and the documents.  With
+    `index` the search reads a stored index instead of the chunks' texts.  A candidate without a record needs checking.
+
+    One row per query and result: status and reason of the matcher, template, caveats, final_status, final_reason, flags,
+    documents, question and place.
     """
     texts = queries.select("query_id", F.left("text", F.lit(LONGEST_QUERY)).alias("text"))
-    hits = search.search_bm25(texts, chunks, search.CANDIDATES, "query_id", "chunk_id")
+    hits = index.search(texts, search.CANDIDATES, "query_id") if index is not None else search.search_bm25(texts, chunks, search.CANDIDATES, "query_id", "chunk_id")
     if vectors is not None and query_vectors is not None:
         near = search.search_dense(query_vectors, vectors, search.CANDIDATES, "query_id", "chunk_id")
         hits = search.fuse(near, hits, "query_id", "chunk_id")
@@ -114,8 +122,51 @@ def match(queries: DataFrame, chunks: DataFrame, profiles: DataFrame, constraint
     found = rolled.select("query_id", "slug", F.col("chunk_id").alias("evidence_id"), "score", F.col("group_rnk").alias("rnk"))
     records = constraints.withColumn("__there", F.lit(True))
     pairs = found.join(profiles, "query_id", "left").join(records, "slug", "left").withColumn("c_missing", F.col("__there").isNull()).drop("__there")
+    if "lang" in queries.columns:
+        pairs = pairs.join(queries.select("query_id", "lang"), "query_id", "left")
+    return answers(with_meanings(pairs, meanings), chunks, rules, explanations, schemes)
+
+
+def with_meanings(pairs: DataFrame, meanings: DataFrame | None) -> DataFrame:
+    """`pairs` with the similarity of the nearest listed occupation and the number of facts that touch a residual."""
+    if meanings is None:
+        return pairs
+    have = set(pairs.columns)
+    if {"p_occupation", "c_occupation"} <= have:
+        near = matcher.occupation_similarity(pairs, meanings, ("query_id", "slug"))
+        pairs = pairs.drop("p_occupation_similarity").join(near.select("query_id", "slug", "p_occupation_similarity"), ["query_id", "slug"], "left")
+    if {"p_facts", "c_residuals"} <= have:
+        facts = pairs.select("query_id", F.explode("p_facts").alias("fact")).distinct()
+        residuals = pairs.select("query_id", "slug", F.explode("c_residuals").alias("residual"))
+        touched = matcher.residual_touches(facts, residuals, meanings).groupBy("query_id", "slug").agg(F.count(F.lit(1)).cast("int").alias("c_touches"))
+        pairs = pairs.drop("c_touches").join(touched, ["query_id", "slug"], "left")
+    return pairs
+
+
+def answers(pairs: DataFrame, chunks: DataFrame, rules: tuple[str, ...] = RULES, explanations: DataFrame | None = None, schemes: DataFrame | None = None) -> DataFrame:
+    """Everything after retrieval for (query_id, slug, rnk, p_*, c_*) rows: verdicts, reasons, caveats, downgrades, flags, question, order."""
     rows = matcher.evaluate(pairs, rules)
+    lang = F.col("lang") if "lang" in pairs.columns else F.lit("en")
+    if {"section", "raw_text"} <= set(chunks.columns):
+        clause = first_clause(chunks.withColumn("chunk_id", F.col("chunk_id").cast("string"))).select("slug", F.col("raw_text").alias("__clause"))
+        rows = rows.join(clause, "slug", "left")
+    else:
+        rows = rows.withColumn("__clause", F.lit(None).cast("string"))
+    if schemes is not None:
+        own = schemes.select("slug", F.col("eligibility_text").alias("__source"), document_list(F.col("documents_text")).alias("documents"))
+        rows = rows.join(own, "slug", "left")
+    else:
+        rows = rows.withColumns({"__source": F.lit(""), "documents": F.array().cast("array<string>")})
+    unchecked = (F.size("own_conditions") > 0) | (F.size("unverified") > 0)
+    rows = rows.withColumns({"template": fallback_reason(F.col("conditions"), F.col("status"), lang, unchecked, F.col("__clause")), "matcher_reason": F.col("reason")})
+    rows = with_explanations(rows, explanations) if explanations is not None else rows.withColumn("reason", F.col("template"))
+    values = {key: F.col(f"p_{key}") for key in NUMERIC_KINDS.values()}
+    sure = {key: F.col(f"p_{key}_conf") if f"p_{key}_conf" in pairs.columns else F.lit("medium") for key in NUMERIC_KINDS.values()}
+    rows = finalize(rows, values, sure, F.col("__source"), lang)
     asked = matcher.clarifying_field(rows).select("query_id", F.col("field").alias("ask_field"))
-    rows = rows.join(asked, "query_id", "left").withColumn("question", question(F.col("ask_field"))).withColumn("explanation", fallback_reason(F.col("conditions"), F.col("status")))
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(*display_order(rows)))
-    return rows.withColumn("place", place)
+    rows = rows.join(asked, "query_id", "left").withColumn("question", question(F.col("ask_field")))
+    split = without_dependent_note(F.col("unverified"))
+    rows = rows.withColumns({"requires_dependent_note": split["requires_dependent"], "unverified": split["unverified"]})
+    rows = rows.withColumns({"unverified_verbatim": F.transform("unverified", lambda x: is_grounded(x, F.col("__source"))), "caveats_verbatim": F.transform("caveats", lambda x: is_grounded(x, F.col("__source")))})
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(*display_order(rows, "final_status")))
+    return rows.withColumn("place", place).drop("__source", "__clause")

@@ -131,8 +131,9 @@ def describe_exclusive_quartiles(spark, sf_dir):
 
 
 def inventory_full_outer(spark, sf_dir):
-    """Documents against labels by id; sizes are made from the ids."""
-    left = docs(spark, sf_dir).filter("doc_id % 3 > 0").select("doc_id", (F.col("doc_id") % 10).alias("size"))
+    """Documents against labels by id (every third document under another one); sizes are made from the ids."""
+    name = F.when(F.col("doc_id") % 3 == 0, -1 - F.col("doc_id")).otherwise(F.col("doc_id"))
+    left = docs(spark, sf_dir).select(name.alias("doc_id"), (F.col("doc_id") % 10).alias("size"))
     right = table(spark, sf_dir, "labels").select("doc_id", (F.col("doc_id") % 10 + F.when(F.col("doc_id") % 7 == 0, 1).otherwise(0)).alias("size"))
     return inventory(left, right, "doc_id", "size").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
@@ -230,7 +231,7 @@ q as (select lang, v, k, n, p, least(greatest((n + 1) * p, 1.0), n) as place fro
 w as (select lang, n, p, sum(v * case when k = floor(place) then 1 - (place - floor(place)) when k = floor(place) + 1 then place - floor(place) end) as x from q group by all)
 select r.lang, count(*) as n, min(v) as min, round(any_value(a.x), 6) as q1, round(any_value(b.x), 6) as median, round(any_value(c.x), 6) as q3, max(v) as max, round(avg(v), 1) as mean
 from r join w a on a.lang = r.lang and a.p = 0.25 join w b on b.lang = r.lang and b.p = 0.5 join w c on c.lang = r.lang and c.p = 0.75 group by r.lang having count(*) >= 2""",
-    "inventory_full_outer": """with l as (select doc_id, doc_id % 10 as s from documents where doc_id % 3 > 0), r as (select doc_id, doc_id % 10 + case when doc_id % 7 = 0 then 1 else 0 end as s from labels)
+    "inventory_full_outer": """with l as (select case when doc_id % 3 = 0 then -1 - doc_id else doc_id end as doc_id, doc_id % 10 as s from documents), r as (select doc_id, doc_id % 10 + case when doc_id % 7 = 0 then 1 else 0 end as s from labels)
 select status, count(*) as n from (select case when r.s is null then 'missing' when l.s is null then 'extra' when l.s <> r.s then 'wrong_size' else 'same' end as status from l full join r using (doc_id)) group by status""",
     "length_band_counts": "select band, count(*) as n from (select case when n_chars <= 500 then 'short' when n_chars <= 4000 then 'middle' else 'long' end as band from documents where n_chars is not null) group by band",
     "truncated_sheet": "select doc_id, md5(left(coalesce(text, ''), 400)) as head_md5 from documents",

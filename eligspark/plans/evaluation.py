@@ -14,6 +14,7 @@ from eligspark.operators.providers import matching_names, reconcile
 from eligspark.operators.search import search_dense
 from eligspark.plans.fixtures import PROFILES, profiles
 from eligspark.sources.records import last_written
+from eligspark.storage import materialize
 from eligspark.streaming.state import error_runs
 from eligspark.tables import table
 
@@ -174,12 +175,12 @@ def usage_rollup(spark, sf_dir):
 def unknown_name_notice(spark, sf_dir):
     """Part names each of whose words is like some word of a brand-mate's name that isn't the same part."""
     parts = table(spark, sf_dir, "part").select("p_partkey", F.array_distinct(F.split(F.lower("p_name"), " ")).alias("tokens"))
-    asked = parts.filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("id"), "tokens")
+    asked = parts.select(F.col("p_partkey").alias("id"), "tokens")
     return matching_names(asked, parts.select(F.col("p_partkey").alias("id2"), F.col("tokens").alias("tokens2"))).filter("id <> id2")
 
 
 def batch_reconcile(spark, sf_dir):
-    asked = docs(spark, sf_dir).filter("doc_id % 2 = 0").select(F.col("doc_id").alias("slug"))
+    asked = docs(spark, sf_dir).select(F.col("doc_id").alias("slug"))
     given = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("slug"), F.when(F.col("doc_id") % 9 == 0, "junk").when(F.col("quality") == 1, "good").otherwise("bad").alias("category"))
     return reconcile(asked, given, ("good", "bad"))
 
@@ -200,7 +201,7 @@ def majority_baseline(spark, sf_dir):
 
 
 def lr_embeddings_cv(spark, sf_dir):
-    rows = vectors_in_folds(spark, sf_dir).cache()
+    rows = materialize(vectors_in_folds(spark, sf_dir), "folds")
     return E.summary_scores(ml.fold_predictions(rows, "lr", c=1.0), "y", "predicted")
 
 
@@ -298,7 +299,7 @@ select field, stated, "right", blank, false_fill, round("right" / nullif(stated,
 select user_id, count(*) as failures, min(ts) as first, max(ts) as last, max(ts) + interval 60 second as rests_until from i group by user_id, g having count(*) >= 3""",
     "error_class": "select event_type, case event_id % 5 when 0 then 'minute' when 1 then 'daily' when 3 then 'fatal' else 'retryable' end as kind, count(*) as n from events group by all",
     "usage_rollup": "select user_id % 10 as provider, event_type, count(*) as calls, cast(coalesce(sum(cast(json_extract_string(props, '$.k') as bigint)), 0) as bigint) as tokens from events group by all",
-    "batch_reconcile": """with a as (select distinct doc_id as slug from documents where doc_id % 2 = 0), g as (select doc_id as slug, min(case when doc_id % 9 = 0 then 'junk' when quality = 1 then 'good' else 'bad' end) as c from labels group by doc_id)
+    "batch_reconcile": """with a as (select distinct doc_id as slug from documents), g as (select doc_id as slug, min(case when doc_id % 9 = 0 then 'junk' when quality = 1 then 'good' else 'bad' end) as c from labels group by doc_id)
 select slug, case when c in ('good', 'bad') then c end as category, case when c is null then 'missing' when c not in ('good', 'bad') then 'invalid' end as error from a left join g using (slug)""",
     "majority_baseline": """with f as (select *, cast((row_number() over (partition by label order by md5('42' || vec_id), vec_id) - 1) % 5 as int) as fold from embeddings), c as (select fold, label, count(*) as n from f group by all),
 t as (select o.fold, l.label, (select coalesce(sum(n), 0) from c where c.label = l.label and c.fold <> o.fold) as train from (select distinct fold from f) o, (select distinct label from f) l),

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eligspark.functions.rules import satisfies, stated_bound
-from eligspark.functions.text import conversion_ratios, derivable, digit_numbers, indian_grouping, is_grounded, is_priority, is_requirement, plain_norm
+from eligspark.functions.text import conversion_ratios, derivable, digit_numbers, indian_grouping, is_priority, is_requirement, plain_norm
 from eligspark.operators import matcher as M
+from eligspark.operators.corpus import containing
 from eligspark.operators.evaluation import first_change
 from eligspark.operators.postprocess import also_noted, clarified_text, display_order
 from eligspark.operators.providers import constraint_errors
@@ -107,16 +108,16 @@ def preferences_split(spark, sf_dir):
 
 
 def bound_texts(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1")
+    rows = table(spark, sf_dir, "lineitem")
     q, k = F.floor("l_quantity").cast("int"), F.col("l_orderkey") % 6
     text = F.when(k == 0, F.concat(F.lit("must be at least "), q, F.lit(" years"))).when(k == 1, F.concat(F.lit("below "), q, F.lit(" years"))).when(k == 2, F.concat(F.lit("between "), q, F.lit(" and "), q + 20, F.lit(" years")))
     text = text.when(k == 3, F.concat(F.lit("not more than "), q, F.lit(" years"))).when(k == 4, F.concat(q, F.lit(" or above"))).otherwise("of any age")
-    return rows.select("l_orderkey", text.alias("text"), (F.col("l_orderkey") % 70).cast("double").alias("v"))
+    return rows.select("l_orderkey", "l_linenumber", text.alias("text"), (F.col("l_orderkey") % 70).cast("double").alias("v"))
 
 
 def stricter_bound_parse(spark, sf_dir):
     rows = bound_texts(spark, sf_dir).withColumn("b", stated_bound(F.col("text"), "age"))
-    return rows.select("l_orderkey", F.col("b.low").alias("low"), F.col("b.low_inclusive").alias("low_inclusive"), F.col("b.high").alias("high"), F.col("b.high_inclusive").alias("high_inclusive"), F.when(F.col("b").isNotNull(), satisfies(F.col("v"), F.col("b"))).alias("met"))
+    return rows.select("l_orderkey", "l_linenumber", F.col("b.low").alias("low"), F.col("b.low_inclusive").alias("low_inclusive"), F.col("b.high").alias("high"), F.col("b.high_inclusive").alias("high_inclusive"), F.when(F.col("b").isNotNull(), satisfies(F.col("v"), F.col("b"))).alias("met"))
 
 
 def requirement_filter(spark, sf_dir):
@@ -131,9 +132,9 @@ def restatement_match(spark, sf_dir):
 
 def grounded_quotes(spark, sf_dir):
     """Benchmark passages that stand in documents once white space is collapsed."""
-    quotes = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.join(F.broadcast(quotes), is_grounded(F.col("quote"), F.col("text"))).select("item_id", "doc_id")
+    one = F.regexp_replace("text", r"\s+", " ")
+    quotes = table(spark, sf_dir, "benchmark").select("item_id", F.trim(F.rtrim(one, F.lit("…"))).alias("text"))
+    return containing(table(spark, sf_dir, "documents").select("doc_id", one.alias("text")), quotes, "doc_id", "item_id")
 
 
 def caveats_minus_shown(spark, sf_dir):
@@ -218,9 +219,9 @@ select query_id, case when round(score, 9) >= 0.5 then ask_field end as field, c
     "display_order": f"with {STATUS} select query_id, slug, status, row_number() over (partition by query_id order by case status when 'eligible' then 0 when 'needs_checking' then 1 else 2 end, 1 - personal, rnk) as place from st",
     "preferences_split": """select p_partkey, regexp_matches(concat_ws(' ', case when p_partkey % 7 = 0 then 'priority to' end, case when p_partkey % 11 = 0 then 'Preferential' end, p_name, p_type),
   '\\bprior(?:ity|ities|itis\\w*|itiz\\w*)\\b|\\bprefer(?:ence|ences|ential|red)\\b|\\breservation\\b|first be assigned', 'i') as is_preference from part""",
-    "stricter_bound_parse": """with t as (select l_orderkey, cast(floor(l_quantity) as int) as q, l_orderkey % 6 as k, cast(l_orderkey % 70 as double) as v from lineitem where l_linenumber = 1),
-b as (select l_orderkey, v, case when k in (0, 2, 4) and q >= 1 then cast(q as double) end as low, case when k in (1, 3) then cast(q as double) when k = 2 then cast(q + 20 as double) end as high, k from t)
-select l_orderkey, low, case when k < 5 then low is not null end as low_inclusive, high, case when k < 5 then k in (2, 3) end as high_inclusive,
+    "stricter_bound_parse": """with t as (select l_orderkey, l_linenumber, cast(floor(l_quantity) as int) as q, l_orderkey % 6 as k, cast(l_orderkey % 70 as double) as v from lineitem),
+b as (select l_orderkey, l_linenumber, v, case when k in (0, 2, 4) and q >= 1 then cast(q as double) end as low, case when k in (1, 3) then cast(q as double) when k = 2 then cast(q + 20 as double) end as high, k from t)
+select l_orderkey, l_linenumber, low, case when k < 5 then low is not null end as low_inclusive, high, case when k < 5 then k in (2, 3) end as high_inclusive,
   case when k < 5 then (low is null or v >= low) and (high is null or case when k = 1 then v < high else v <= high end) end as met from b""",
     "requirement_filter": f"select lang, count(*) as n from documents where regexp_matches(regexp_replace(text, '\\b(?:is|are|shall be|will be)\\s+also\\s+eligible\\b', ' ', 'gi'), '{REQ}', 'i') group by lang",
     "restatement_match": f"""with d as (select distinct doc_id, {NORM.format('line')} as norm from (select doc_id, unnest(string_split(text, chr(10))) as line from documents)),

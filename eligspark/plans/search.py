@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eligspark.functions.text import STOP_WORDS, bm25_tokens
+from eligspark.functions.text import STOP_WORDS, bm25_tokens, dot, is_unit
 from eligspark.operators import search as S
 from eligspark.operators.evaluation import false_inclusion, retrieval_metrics, scored_positive, upper_median
 from eligspark.plans.fixtures import GOLD, gold
+from eligspark.storage import materialize, scratch_path
 from eligspark.tables import table
 
 STOPS = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
@@ -92,7 +93,10 @@ def rollup_best_per_source(spark, sf_dir):
 
 def by_mode(spark, sf_dir):
     """Hits of the three modes with their mode."""
-    parts = [bm25(spark, sf_dir).select("item_id", "doc_id", "rnk", F.lit("bm25").alias("mode")), dense(spark, sf_dir).select("item_id", F.col("vec_id").alias("doc_id"), "rnk", F.lit("dense").alias("mode")), hybrid(spark, sf_dir).select("item_id", "doc_id", "rnk", F.lit("hybrid").alias("mode"))]
+    lexical = materialize(bm25(spark, sf_dir, S.CANDIDATES), "by-mode")
+    near = materialize(dense(spark, sf_dir, S.CANDIDATES).withColumnRenamed("vec_id", "doc_id"), "by-mode")
+    lists = {"bm25": lexical, "dense": near, "hybrid": S.fuse(near, lexical)}
+    parts = [rows.filter("rnk <= 10").select("item_id", "doc_id", "rnk", F.lit(mode).alias("mode")) for mode, rows in lists.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -133,7 +137,31 @@ def evidence_coverage(spark, sf_dir):
     return rows.select("item_id", "doc_id", F.size("q").cast("long").alias("n_query"), F.size(F.array_intersect("q", "d")).cast("long").alias("n_shared"))
 
 
+def search_stored_index(spark, sf_dir):
+    """A lexical index of the documents is written, opened again with its manifest's guard, and searched."""
+    path = scratch_path(spark, "lexical-index")
+    S.LexicalIndex.build(docs(spark, sf_dir), path)
+    return ranked(S.LexicalIndex.load(spark, path, docs(spark, sf_dir)).search(items(spark, sf_dir)))
+
+
+def dense_stored_index(spark, sf_dir):
+    path = scratch_path(spark, "vector-index")
+    vectors = table(spark, sf_dir, "embeddings")
+    S.VectorIndex.build(vectors, path)
+    return ranked(S.VectorIndex.load(spark, path, vectors).search(query_vectors(spark, sf_dir)), "vec_id")
+
+
+def hashed_embeddings(spark, sf_dir):
+    """The offline encoder's vectors have length 1 (or 0, without tokens)."""
+    vector = S.hashed_embedding(F.col("text"), 16)
+    rows = docs(spark, sf_dir).select("doc_id", vector.alias("v"))
+    return rows.select("doc_id", F.size("v").cast("long").alias("width"), F.round(F.sqrt(dot(F.col("v"), F.col("v"))), 6).alias("norm"), (is_unit(F.col("v")) | F.forall("v", lambda x: x == 0)).alias("fits"))
+
+
 QUERIES = {
+    "search_stored_index": search_stored_index,
+    "dense_stored_index": dense_stored_index,
+    "hashed_embeddings": hashed_embeddings,
     "tokens_per_doc": tokens_per_doc,
     "postings_df": postings_df,
     "bm25_stats": bm25_stats,
@@ -172,3 +200,7 @@ select n_queries, n_with_excluded, round(n_with_excluded / n_queries, 4) as rate
     "evidence_coverage": f"""with {BM25}, q2 as (select item_id, list_distinct({TOKENS}) as q from benchmark), d2 as (select doc_id, list_distinct(w) as dd from d)
 select item_id, doc_id, cast(len(q) as bigint) as n_query, cast(len(list_intersect(q, dd)) as bigint) as n_shared from lex join q2 using (item_id) join d2 using (doc_id) where rnk = 1""",
 }
+
+ORACLES["search_stored_index"] = ORACLES["search_bm25"]
+ORACLES["dense_stored_index"] = ORACLES["search_dense"]
+ORACLES["hashed_embeddings"] = f"select doc_id, cast(16 as bigint) as width, case when len({TOKENS}) > 0 then 1.0::double else 0.0::double end as norm, true as fits from documents"

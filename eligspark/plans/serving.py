@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eligspark.operators import serving as V
-from eligspark.plans.fixtures import PROFILES, constraints, profiles
+from eligspark.plans.fixtures import CONSTRAINTS, MATCHING, PROFILES, candidates, constraints, profiles
 from eligspark.plans.matching import STATUS, evaluated
 from eligspark.plans.search import BM25
 from eligspark.tables import table
@@ -44,10 +44,30 @@ def serve_match(spark, sf_dir):
 def serve_verdicts(spark, sf_dir):
     queries = table(spark, sf_dir, "benchmark").select(((F.col("item_id") + 1) * 25).alias("query_id"), "text")
     rows = V.match(queries, as_chunks(spark, sf_dir), profiles(spark, sf_dir), constraints(spark, sf_dir))
-    return rows.select("query_id", "slug", "status", "reason", "explanation", "question", F.col("place").cast("long").alias("place"))
+    return rows.select("query_id", "slug", "final_status", "matcher_reason", F.col("place").cast("long").alias("place"))
 
 
-QUERIES = {"person_facts": person_facts, "status_counts": status_counts, "explain_top5": explain_top5, "first_clause_lookup": first_clause_lookup, "serve_match": serve_match, "serve_verdicts": serve_verdicts}
+def serve_meanings(spark, sf_dir):
+    """Occupations are compared and facts touch residuals inside the serving plan, by vectors made from the keys."""
+    pairs = evaluated_pairs(spark, sf_dir)
+    vector = lambda k: F.array(F.when(k % 2 == 0, 1.0).otherwise(0.0), F.when(k % 2 == 0, 0.0).otherwise(1.0))
+    mine = pairs.select(F.col("p_occupation").alias("text"), vector(F.length("p_occupation")).alias("vector"))
+    listed = pairs.select(F.explode("c_occupation").alias("text")).select("text", vector(F.length("text")).alias("vector"))
+    facts = pairs.select(F.explode("p_facts").alias("text")).select("text", vector(F.length("text")).alias("vector"))
+    residuals = pairs.select(F.explode("c_residuals").alias("text")).select("text", vector(F.length("text")).alias("vector"))
+    meanings = mine.union(listed).union(facts).union(residuals).distinct()
+    rows = V.with_meanings(pairs, meanings)
+    return rows.select("query_id", "slug", F.round("p_occupation_similarity", 4).alias("similarity"), F.coalesce("c_touches", F.lit(0)).cast("long").alias("touches"))
+
+
+def evaluated_pairs(spark, sf_dir):
+    """Candidates with an occupation, facts and residuals whose lengths the keys decide."""
+    q, s = F.col("query_id"), F.col("slug")
+    word = lambda name, k: F.concat(F.lit(name), F.when(k % 2 == 0, "e").otherwise("od"))
+    return candidates(spark, sf_dir).select("query_id", "slug", word("weav", q).alias("p_occupation"), F.when(s % 3 > 0, F.array(word("farm", s))).alias("c_occupation"), F.array(word("fact", q)).alias("p_facts"), F.when(s % 4 == 1, F.array(word("rest", s), F.lit("odd"))).alias("c_residuals"))
+
+
+QUERIES = {"person_facts": person_facts, "status_counts": status_counts, "explain_top5": explain_top5, "first_clause_lookup": first_clause_lookup, "serve_match": serve_match, "serve_verdicts": serve_verdicts, "serve_meanings": serve_meanings}
 ORACLES = {
     "person_facts": f"""with {PROFILES}, f as (select query_id, 1 as k, 'occupation' as field, occupation as text from profiles_fx union all select query_id, 2, 'state', state::varchar from profiles_fx union all select query_id, 3, 'age', age::varchar from profiles_fx
 union all select query_id, 4, 'annual_income_inr', income::varchar from profiles_fx union all select query_id, 5, 'applying_for', case when on_behalf then 'child' end from profiles_fx)
@@ -59,3 +79,16 @@ r as (select *, row_number() over (partition by slug order by section = 'overvie
     "serve_match": f"""with {BM25}, h as (select l.*, cast(regexp_extract(source, '(\\d+)', 1) as bigint) as slug from lex l join documents using (doc_id) where rnk <= 50), b as (select *, row_number() over (partition by item_id, slug order by rnk) as k from h)
 select (item_id + 1) * 25 as query_id, slug, doc_id, g as rnk from (select *, row_number() over (partition by item_id order by rnk) as g from b where k = 1) where g <= 10""",
 }
+# lengths: weave 5, weavod 6, farme 5, farmod 6, facte 5, factod 6, reste 5, restod 6, odd 3; vectors agree where lengths are both even or both odd
+ORACLES["serve_meanings"] = f"""with {MATCHING} select query_id, slug, case when slug % 3 > 0 then case when query_id % 2 = slug % 2 then 1.0::double else 0.0::double end end as similarity,
+  cast(case when slug % 4 = 1 then 1 else 0 end as bigint) as touches from cands_fx"""
+SERVED = ORACLES["serve_match"]
+VERDICTS = (
+    STATUS.replace(MATCHING, f"{PROFILES}, {CONSTRAINTS}, cands_fx as (select query_id, slug, rnk from served)")
+    .replace("from cands_fx c join profiles_fx p using (query_id)", "from cands_fx c left join profiles_fx p using (query_id)")
+    .replace("p.conf in ('high', 'medium') as ok", "coalesce(p.conf in ('high', 'medium'), false) as ok")
+    .replace("\nst as (select query_id", "\nstt as (select query_id")
+)
+ORACLES["serve_verdicts"] = f"""{SERVED.rsplit("select (item_id", 1)[0].rstrip()}, served as (select (item_id{SERVED.rsplit("select (item_id", 1)[1]}), {VERDICTS},
+al as (select query_id, slug, rnk, status, reason, personal from stt union all select query_id, slug, rnk, 'needs_checking', 'no constraint record', 0 from served where slug not in (select slug from constraints_fx))
+select query_id, slug, status as final_status, reason as matcher_reason, row_number() over (partition by query_id order by case status when 'eligible' then 0 when 'needs_checking' then 1 else 2 end, 1 - personal, rnk) as place from al"""

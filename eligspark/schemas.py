@@ -24,7 +24,10 @@ PROFILE = (
 GOLD = (
     "id string, description string, language string, expected_schemes array<string>, excluded_schemes array<string>, test_type string, notes string, skip_scoring boolean, split string"
 )
-CONDITION = "struct<pos:int,field:string,result:string,decisive:boolean,ask_field:string,ask_kind:string,gate:boolean,note:string>"
+CONDITION = (
+    "struct<pos:int,field:string,result:string,decisive:boolean,ask_field:string,ask_kind:string,gate:boolean,note:string,"
+    "constraint:string,profile_value:string,confidence:string,source_span:string>"
+)
 
 # Closed sets of the data model.
 STATUSES = ("eligible", "needs_checking", "not_eligible")
@@ -44,6 +47,10 @@ def over_null_template(df: DataFrame, schema: str) -> DataFrame:
 
 
 def as_list(column: Column) -> Column:
-    """A JSON string or list of strings as a list without blank entries."""
-    parsed = F.coalesce(F.from_json(column, "array<string>"), F.array(F.get_json_object(F.concat(F.lit('{"v":'), column, F.lit("}")), "$.v")))
+    """A JSON string, list of strings or object (its values, in order, lists among them flattened) as a list without blank entries."""
+    inner = F.map_values(F.from_json(column, "map<string,string>"))
+    flat = F.flatten(F.transform(inner, lambda x: F.when(x.startswith("["), F.from_json(x, "array<string>")).otherwise(F.array(x))))
+    single = F.array(F.get_json_object(F.concat(F.lit('{"v":'), column, F.lit("}")), "$.v"))
+    start = F.left(F.ltrim(column), F.lit(1))
+    parsed = F.when(start == "[", F.from_json(column, "array<string>")).when(start == "{", flat).otherwise(single)
     return F.filter(parsed, lambda x: F.coalesce(F.trim(x), F.lit("")) != "")

@@ -49,9 +49,14 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | None
     return reader.json(path)
 
 
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV with a header as `write_report` writes it: quotes are doubled, fields may span lines and keep their spaces."""
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+
+
 def read_labelled_csv(spark: SparkSession, path: str, label: str) -> DataFrame:
     """A CSV with a header; rows with a blank label are left out."""
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).filter(F.trim(F.coalesce(F.col(label), F.lit(""))) != "")
+    return read_csv(spark, path).filter(F.trim(F.coalesce(F.col(label), F.lit(""))) != "")
 
 
 def vectors_for(ids: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
@@ -110,7 +115,7 @@ def write_records(df: DataFrame, path: str, partition: str | None = None) -> Non
 
 def write_report(df: DataFrame, path: str) -> None:
     """A bounded report as one CSV with a header."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    df.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_blind_sheet(df: DataFrame, path: str, text: str, labels: tuple[str, ...], width: int = 400) -> None:

@@ -11,23 +11,30 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no checkpoint folder (tests, notebooks).
+#: Used only where the session names no checkpoint folder and all of it runs on one machine (tests, notebooks).
 DEFAULT_SHARED_DIR = "/tmp/checkpoints/eligspark"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session; sets the default one only where none is set."""
+    """The shared folder of this session; ValueError on a cluster that names none, because a machine's own folder isn't shared."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(DEFAULT_SHARED_DIR)
     return DEFAULT_SHARED_DIR
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """This application's own folder in the shared one."""
+    return f"{shared_dir(spark)}/eligspark-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A fresh path for one intermediate table."""
-    return f"{shared_dir(spark)}/eligspark/{tag}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -39,7 +46,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Delete every scratch table of this application's shared folder (call when results are written)."""
+    """Delete this application's scratch tables, and no other's (call when results are written)."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/eligspark")
+    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -20,4 +20,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from eligspark.storage import clear_scratch
+
+    clear_scratch(session)
     session.stop()

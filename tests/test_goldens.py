@@ -159,15 +159,24 @@ def test_text_functions(spark):
     assert one(spark, X.error_class(F.lit("429 rate limit"))) == "minute"
 
 
-def test_chunking():
-    assert chunking.without_scraps(["short", "x" * 50, "tail"]) == ["short " + "x" * 50 + " tail"]
-    assert chunking.sentences("Pay Rs. 500 now. The next one.") == ["Pay Rs. 500 now.", "The next one."]
-    assert chunking.sentences("B.Sc. Agriculture holders • Second item") == ["B.Sc. Agriculture holders", "Second item"]
-    assert all(len(p) <= chunking.LONG for p in chunking.within_length("word, " * 300))
+def test_chunking(spark):
+    scraps = lambda *parts: one(spark, chunking.without_scraps(F.array(*map(F.lit, parts))))
+    assert scraps("short", "x" * 50, "tail") == ["short " + "x" * 50 + " tail"]
+    assert scraps("a", "b") == ["a b"] and scraps("x" * 40, "y" * 40, "z") == ["x" * 40, "y" * 40 + " z"] and scraps("a", "x" * 39, "y" * 45) == ["a " + "x" * 39, "y" * 45]
+    split = lambda text: one(spark, chunking.sentences(F.lit(text)))
+    assert split("Pay Rs. 500 now. The next one.") == ["Pay Rs. 500 now.", "The next one."]
+    assert split("B.Sc. Agriculture holders • Second item") == ["B.Sc. Agriculture holders", "Second item"]
+    assert split("They hold an M.Sc. The rest too.") == ["They hold an M.Sc.", "The rest too."]
+    assert split("Either: 1. First thing 2) Second; 3. Third") == ["Either:", "1. First thing 2) Second;", "3. Third"]
+    assert split("The scheme is discontinuedIn case of need e.g. PMEGP (see Dr. Rao)!") == ["The scheme is discontinued", "In case of need e.g. PMEGP (see Dr. Rao)!"]
+    pieces = one(spark, chunking.within_length(F.lit(("word, " * 300).strip())))
+    assert all(len(p) <= chunking.LONG for p in pieces) and " ".join(pieces) == ("word, " * 300).strip()
+    assert [len(p) for p in one(spark, chunking.within_length(F.lit("x" * 900)))] == [400, 400, 100]
+    assert one(spark, chunking.within_length(F.lit("y" * 150 + ", " + "z " * 160))) == ["y" * 150 + ", " + ("z " * 124).strip(), ("z " * 36).strip()]
     long = ["a" * 60, "b" * 60]
-    got = chunking.clauses(f"{long[0]}. Exclusions: X{long[1]}.")
-    assert [s for s, _ in got] == ["eligibility", "exclusions"]
-    assert chunking.clauses("NA") == [] and chunking.clauses(None) == []
+    found = lambda text: one(spark, chunking.clauses(F.lit(text).cast("string")))
+    assert [c["section"] for c in found(f"{long[0]}. Exclusions: X{long[1]}.")] == ["eligibility", "exclusions"]
+    assert found("NA") == [] and found(None) == [] and found("") == []
 
 
 def residual(spark, text):
