@@ -15,7 +15,7 @@ so a cell gives a spanning forest of its links, never all pairs.
 
 Cells with the same members are one cell, and cells that overlap (those of a family of near copies, say)
 form a cluster.  A cluster of at most 1,024 texts is compared as a whole.  In a larger one every member is first
-compared with the representatives of its cells, in blocks of about 512, which links a family of any size in
+compared with the representative of one of its cells, in blocks of about 512, which links a family of any size in
 rows that grow with its members; only cells whose members are still in several components are then compared, those
 outside the cell's largest component with all others, in pairs of blocks.  So each unit of comparison has a
 bounded size, and no pair of a cell is left out unless links connect it already.
@@ -291,7 +291,8 @@ class Plan:
 
 
 def comparison_plan(cells: DataFrame) -> Plan:
-    """Whole clusters of bounded size, and stars of the larger ones: members in blocks, each with its cell's representative."""
+    """Whole clusters of bounded size, and stars of the larger ones: members in blocks, each with the representative (least
+    member) of one of its cells, the least of them."""
     leaders = cells.groupBy("cell_a", "cell_b").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("cell_size"))
     marked = materialize(joined_by_size(cells, leaders, ["cell_a", "cell_b"], "cell_size"), "jaccard-marked")
     clusters = connected(marked.select(F.col("node").alias("a"), F.col("leader").alias("b")), "jaccard-clusters")
@@ -305,7 +306,8 @@ def comparison_plan(cells: DataFrame) -> Plan:
     small = clusters.join(roots, "root", "left_anti").select(F.col("root").alias("cell_a"), *whole)
     inside = materialize(clusters.join(roots, "root", "left_semi").select("node"), "jaccard-inside")
     large = materialize(marked.join(inside, "node", "left_semi"), "jaccard-large-cells")
-    arms = materialize(large.select("leader", "node").distinct(), "jaccard-arms")
+    nearest = large.groupBy("node").agg(F.min("leader").alias("leader")).select("leader", "node")  # one star for each member
+    arms = materialize(nearest.union(nearest.select("leader", F.col("leader").alias("node"))).distinct(), "jaccard-arms")
     stars = joined_by_size(arms, arms.groupBy("leader").agg(F.count(F.lit(1)).alias("size")), ["leader"], "size")
     stars = stars.withColumn("blocks", blocks_of(F.col("size")))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
