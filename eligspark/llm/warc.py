@@ -7,8 +7,9 @@ ARC lacks: a record id (a name-based UUID of address, time and digest), an ISO t
 record type and the payload digest.  Of records with equal payloads one becomes a response and
 the others revisits that name it and keep only the protocol's header lines.
 
-Archives are written by Spark's own writer into the shared folder, compressed, one file for
-each part, and read back as whole files that are decompressed and parsed as a stream.
+Archives are written in the shared folder with one gzip member for each record, as the format wants it, so that a record
+can be read without those before it; a file is closed at `FILE_BYTES`.  They are read back as streams: payloads are held
+against their digests, and a revisit's WARC-Refers-To is resolved to the record that has that id.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eligspark.storage import scratch_path
+from eligspark.storage import materialize, scratch_path
 
 # The header fields of both versions of the legacy format.
 FIELDS = {
@@ -33,11 +34,14 @@ FIELDS = {
     2: ["URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"],
 }
 CRLF = b"\r\n"
-#: Records of one legacy file and of one written archive file, at most.
+#: Records of one legacy file, at most, and compressed bytes at which a written archive file is closed.
 LEGACY_RECORDS = 500
-FILE_RECORDS = 20_000
-#: Response ids are broadcast up to this many groups of equal payloads; beyond it the join shuffles.
-BROADCAST_GROUPS = 200_000
+FILE_BYTES = 16 << 20
+#: Responses are broadcast up to this many groups of equal payloads; beyond it only those of groups of over `COMMON` pages.
+BROADCAST_GROUPS = 500_000
+COMMON = 10_000
+#: A gzip member without content: what Spark's text writer puts behind the members of a file.
+EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000030300000000000000000000")[:20]
 EPOCH = datetime(2020, 1, 1, tzinfo=UTC)
 
 
@@ -216,72 +220,93 @@ def page_as_legacy(page_id: int | None, url: str | None, html: bytes) -> LegacyR
     return LegacyRecord({"URL": address, "IP-address": "0.0.0.0", "Archive-date": moment, "Content-type": "text/html", "Result-code": "200", "Filename": "pages.arc"}, head.encode() + html)
 
 
-CONVERTED = "page_id long, html_sha1 string, record binary"
+def gzip_member(data: bytes) -> bytes:
+    machine = zlib.compressobj(1, zlib.DEFLATED, 31)
+    return machine.compress(data) + machine.flush()
 
 
-def converted_pages(pages: DataFrame) -> DataFrame:
-    """Pages through legacy files of both versions to WARC records, with the hexadecimal digest of the payload."""
+def read_legacy(spark: SparkSession, path: str) -> DataFrame:
+    """(url, archive_date, content_type, warc_type, record_id, payload_digest, record) of all legacy files under `path`,
+    plain or gzip-compressed, each record converted; malformed files raise."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, LEGACY_RECORDS):
-                part = batch.slice(at, LEGACY_RECORDS)
-                legacy = [page_as_legacy(*row) for row in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html")))]
-                number += 1
-                ids, digests, records = [], [], []
-                for record in parse_legacy(legacy_file(legacy, 1 + number % 2)):
-                    warc = convert(record)
-                    page = http_headers(split_http(warc.block)[0])["x-page-id"]
-                    ids.append(int(page) if page else None)
-                    digests.append(base64.b32decode(warc.headers["WARC-Payload-Digest"].removeprefix("sha1:")).hex())
-                    records.append(record_bytes(warc))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.string()), pa.array(records, pa.binary())], names=["page_id", "html_sha1", "record"])
+            for content in batch.column("content"):
+                data = content.as_py()
+                data = b"".join(inflated(data)) if data[:2] == b"\x1f\x8b" else data
+                out = [(r.fields, convert(r)) for r in parse_legacy(data)]
+                columns = [[f[k] for f, _ in out] for k in ("URL", "Archive-date", "Content-type")] + [[w.headers[k] for _, w in out] for k in ("WARC-Type", "WARC-Record-ID", "WARC-Payload-Digest")]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns), pa.array([record_bytes(w) for _, w in out], pa.binary())], names=["url", "archive_date", "content_type", "warc_type", "record_id", "payload_digest", "record"])
 
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("html"))
-    return rows.mapInArrow(run, CONVERTED)
+    schema = "url string, archive_date string, content_type string, warc_type string, record_id string, payload_digest string, record binary"
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content").mapInArrow(run, schema)
 
 
-def response_ids(pages: DataFrame, least_bytes: int) -> DataFrame:
-    """(html_sha1, response_page, response_url): of each group of equal payloads of `least_bytes` or more, the largest page id."""
-    html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.sha1(html).alias("html_sha1"), F.octet_length(html).alias("n"))
+def responses_of(keyed: DataFrame, least_bytes: int) -> DataFrame:
+    """(html_sha1, response_page, response_url, copies): of each group of equal payloads of `least_bytes` or more, the largest page id."""
     groups = keyed.filter(F.col("n") >= least_bytes).groupBy("html_sha1").agg(F.max("page_id").alias("response_page"), F.max_by("url", "page_id").alias("response_url"), F.count(F.lit(1)).alias("copies"))
-    return groups.filter("copies > 1 and response_page is not null").select("html_sha1", "response_page", "response_url")
+    return groups.filter("copies > 1 and response_page is not null")
 
 
-def archive_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """One WARC record (without its closing line ends) per page: responses, and revisits of the largest id with equal payload."""
+def with_responses(pages: DataFrame, least_bytes: int) -> DataFrame:
+    """(page_id, url, html, response_page, response_url): found before any record is made; a group of very many pages never
+    meets in one task."""
+    html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html).alias("html_sha1"), F.octet_length(html).alias("n"))
+    responses = materialize(responses_of(keyed.drop("html"), least_bytes), "warc-responses")
+    rows = keyed.drop("n")
+    if responses.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(responses.drop("copies")), "html_sha1", "left")
+    common = responses.filter(F.col("copies") > COMMON).drop("copies")
+    if common.limit(BROADCAST_GROUPS + 1).count() > BROADCAST_GROUPS:
+        return rows.join(responses.drop("copies"), "html_sha1", "left")  # over five billion pages; adaptive execution splits what is skewed
+    rest = rows.join(F.broadcast(common.select("html_sha1")), "html_sha1", "left_anti").join(responses.filter(F.col("copies") <= COMMON).drop("copies"), "html_sha1", "left")
+    return rows.join(F.broadcast(common), "html_sha1").unionByName(rest)
+
+
+def page_records(part: pa.RecordBatch, version: int) -> Iterator[ArchiveRecord]:
+    """The pages of a batch through a legacy file of the version to archive records, revisits among them."""
+    rows = list(zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html", "response_page", "response_url"))))
+    data = legacy_file([page_as_legacy(*r[:3]) for r in rows], version)
+    for record, (page, _, _, response, url) in zip(parse_legacy(data), rows):
+        warc = convert(record)
+        if response is not None and page != response:
+            named = page_as_legacy(response, url, b"").fields
+            identity = record_identity(named["URL"], named["Archive-date"], warc.headers["WARC-Payload-Digest"].removeprefix("sha1:"))
+            warc = as_revisit(warc, {"WARC-Refers-To": identity, "WARC-Refers-To-Target-URI": named["URL"]})
+        yield warc
+
+
+def archive_files(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """(file): gzip members of one WARC record for each page, as many in a row as make a file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held = 0, bytearray()
         for batch in batches:
-            out = []
-            for page, digest, record, response, url in zip(*(batch.column(c).to_pylist() for c in ("page_id", "html_sha1", "record", "response_page", "response_url"))):
-                if response is not None and page != response:
-                    legacy = page_as_legacy(response, url, b"").fields
-                    identity = record_identity(legacy["URL"], legacy["Archive-date"], base64.b32encode(bytes.fromhex(digest)).decode())
-                    stored = next(parse_archive(iter([record])))
-                    record = record_bytes(as_revisit(stored, {"WARC-Refers-To": identity, "WARC-Refers-To-Target-URI": legacy["URL"], "X-Refers-To-Page": str(response)}))
-                out.append(record)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+            for at in range(0, batch.num_rows, LEGACY_RECORDS):
+                number += 1
+                for warc in page_records(batch.slice(at, LEGACY_RECORDS), 1 + number % 2):
+                    held += gzip_member(record_bytes(warc) + CRLF + CRLF)
+                    if len(held) >= FILE_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array([bytes(held)], pa.binary())], names=["file"])
+                        held = bytearray()
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([bytes(held)], pa.binary())], names=["file"])
 
-    rows = converted_pages(pages)
-    responses = response_ids(pages, least_bytes)
-    few = responses.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
-    joined = rows.join(F.broadcast(responses) if few else responses, "html_sha1", "left")
-    return joined.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("record"))
+    return with_responses(pages, least_bytes).mapInArrow(run, "file binary")
 
 
-def write_archives(records: DataFrame, path: str) -> None:
-    """Write records as gzip-compressed WARC files under `path`, at most FILE_RECORDS in each."""
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).option("zlib.compress.level", "BEST_SPEED").text(path)
+def write_archives(files: DataFrame, path: str) -> None:
+    """Write rows of gzip members as one file each; what the writer puts behind a row is an empty member."""
+    writer = files.select(F.col("file").cast("string").alias("file")).write.option("maxRecordsPerFile", 1).option("compression", "none")
+    writer.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).text(path)
 
 
-READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string, record_id string, warc_date string"
+READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to_id string, target_uri string, record_id string, warc_date string"
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The page records of all archives under `path`; digests of stored payloads are verified."""
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """The page records of all archives under `path` as they name themselves and others; digests of stored payloads are verified."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,18 +319,40 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
                     if headers["WARC-Type"] == "response" and (base32_sha1(payload) != digest or len(payload) != int(http["content-length"])):
                         raise ValueError(f"payload of {headers['WARC-Record-ID']} differs from its digest or length")
-                    page, refers = http["x-page-id"], headers.get("X-Refers-To-Page")
-                    rows.append((int(page) if page else None, int(http["content-length"]), digest, headers["WARC-Type"], int(refers) if refers else None, headers["WARC-Target-URI"], headers["WARC-Record-ID"], headers["WARC-Date"]))
-                names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "record_id", "warc_date")
-                types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
+                    page = http["x-page-id"]
+                    rows.append((int(page) if page else None, int(http["content-length"]), digest, headers["WARC-Type"], headers.get("WARC-Refers-To"), headers["WARC-Target-URI"], headers["WARC-Record-ID"], headers["WARC-Date"]))
+                names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to_id", "target_uri", "record_id", "warc_date")
+                types = (pa.int64(), pa.int64(), *[pa.string()] * 6)
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=list(names))
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
-    return files.select("content").mapInArrow(run, READ)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(run, READ)
+
+
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """`read_records` with refers_to: the page of the response whose record id a revisit names; raises on a name without a record."""
+    rows = materialize(read_records(spark, path), "warc-records")
+    wanted = rows.filter(F.col("refers_to_id").isNotNull()).groupBy("refers_to_id").agg(F.count(F.lit(1)).alias("revisits"))
+    named = rows.filter("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to_id")).agg(F.max("page_id").alias("refers_to"))
+    table = materialize(wanted.join(named, "refers_to_id", "left"), "warc-references")
+    lost = table.filter(F.col("refers_to").isNull()).select("refers_to_id").limit(3).collect()
+    if lost:
+        raise ValueError(f"revisits name records that are nowhere: {[r[0] for r in lost]}")
+    names = table.select("refers_to_id", "refers_to")
+    common = table.filter(F.col("revisits") > COMMON).select("refers_to_id", "refers_to")
+    if table.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
+        out = rows.join(F.broadcast(names), "refers_to_id", "left")
+    elif common.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
+        rest = rows.join(F.broadcast(common.select("refers_to_id")), "refers_to_id", "left_anti")
+        rest = rest.join(table.filter(F.col("revisits") <= COMMON).select("refers_to_id", "refers_to"), "refers_to_id", "left")
+        out = rows.join(F.broadcast(common), "refers_to_id").unionByName(rest)
+    else:
+        out = rows.join(names, "refers_to_id", "left")
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "record_id", "warc_date")
 
 
 def archive_round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Convert, write and read back `pages` (page_id, url, html); one row per page as `read_archives` gives it.
+    """Convert, write and read back `pages` (page_id, url, html); one row per page as `read_archives` gives it.  Very long
+    payloads are records as any other.
 
     Null pages are empty payloads, null addresses about:blank, null ids stay null (they are
     never chosen as the response unless no row of the group has an id; then all are
@@ -314,7 +361,7 @@ def archive_round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
-    write_archives(archive_records(pages, least_bytes), path)
+    write_archives(archive_files(pages, least_bytes), path)
     return read_archives(spark, path)
 
 

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import zlib
 
 import pytest
 
@@ -52,6 +53,51 @@ def test_archive_parsing_by_pieces(step):
         list(A.parse_archive(iter([data[:-30]])))
 
 
+def test_a_member_of_its_own_for_each_record(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(A, "FILE_BYTES", 3000)
+    pages = spark.createDataFrame([(k, f"http://h/{k}", prose(random.Random(k), 80)) for k in range(40)], "page_id long, url string, html string").coalesce(1)
+    A.write_archives(A.archive_files(pages), str(tmp_path / "w"))
+    files = sorted((tmp_path / "w").glob("part-*"))
+    assert len(files) > 3 and all(f.stat().st_size < 3000 + 2000 for f in files)
+    seen = 0
+    for f in files:
+        data, members = f.read_bytes(), []
+        while data:
+            machine = zlib.decompressobj(31)
+            members.append(machine.decompress(data))
+            data = machine.unused_data
+        assert members[-1] == b"" and all(len(list(A.parse_archive(iter([m])))) == 1 for m in members[:-1])
+        seen += len(members) - 1
+    assert seen == 40 and A.read_archives(spark, str(tmp_path / "w")).count() == 40
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_legacy_files_are_read(spark, tmp_path, packed):
+    for version in (1, 2):
+        data = A.legacy_file(legacy(5, version), version)
+        (tmp_path / f"{version}.arc").write_bytes(A.gzip_member(data[:100]) + A.gzip_member(data[100:]) if packed else data)
+    rows = A.read_legacy(spark, str(tmp_path)).collect()
+    assert len(rows) == 10 and {r.warc_type for r in rows} == {"response"}
+    want = {A.record_bytes(A.convert(r)) for v in (1, 2) for r in A.parse_legacy(A.legacy_file(legacy(5, v), v))}
+    assert {bytes(r.record) for r in rows} == want
+
+
+def test_references_are_resolved_by_id(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([(k, f"http://h/{k}", "same" if k % 2 else f"own {k}") for k in range(60)], "page_id long, url string, html string")
+    A.write_archives(A.archive_files(pages), str(tmp_path / "w"))
+    rows = A.read_records(spark, str(tmp_path / "w")).collect()
+    ids = {r.record_id: r.page_id for r in rows}
+    assert {ids[r.refers_to_id] for r in rows if r.record_type == "revisit"} == {59}
+    for most, common in ((0, 5), (0, 100)):
+        monkeypatch.setattr(A, "BROADCAST_GROUPS", most if common == 100 else 1)
+        monkeypatch.setattr(A, "COMMON", common)
+        got = A.archive_round_trip(pages).collect()
+        assert sorted((r.page_id, r.refers_to) for r in got) == [(k, 59 if k % 2 and k < 59 else None) for k in range(60)]
+    A.write_archives(A.archive_files(pages).limit(0).union(spark.createDataFrame([(A.gzip_member(A.record_bytes(A.as_revisit(A.convert(legacy(1)[0]), {"WARC-Refers-To": "<urn:uuid:0>"})) + b"\r\n\r\n"),)], "file binary")), str(tmp_path / "lost"))
+    with pytest.raises(ValueError):
+        A.read_archives(spark, str(tmp_path / "lost"))
+
+
 def test_round_trip_of_pages(spark):
     rnd = random.Random(9)
     html = [prose(rnd, 50) for _ in range(6)] + ["", None, "a\r\n\r\nb\r\n"]
