@@ -7,7 +7,7 @@ the end of a text is one, and other tokens share classes by the hash of their la
 The log-bilinear model predicts the next class: the representations of the two classes before,
 each through its position's matrix, add up to a predicted representation, whose product with a
 class's target vector plus the class's bias is its score.  Training contrasts the triples'
-classes with noise drawn from the class frequencies (in expectation over the noise).  Distinct
+classes with noise classes drawn from the class frequencies, fresh ones in each step.  Distinct
 triples are dealt by context; every round passes over all of them, weighted by count, in every
 part, and averages the parts' models by their tokens.  The contexts' sums then give normalised
 log-probabilities, and a token's share of its class (add-one within the class, with one place
@@ -111,8 +111,8 @@ def token_counts(texts: DataFrame, parts: int) -> DataFrame:
     return partial.groupBy("part").applyInPandas(add, VOCABULARY)
 
 
-def most_frequent(vocabulary: DataFrame, n: int) -> list[int]:
-    """Hashes of the n most frequent words (not the end), ties by hash."""
+def most_frequent(vocabulary: DataFrame, n: int) -> dict[int, int]:
+    """Hashes of the n most frequent words (not the end), ties by hash, with their counts."""
     end = xxhash.xxh3_64_intdigest(END)
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +124,7 @@ def most_frequent(vocabulary: DataFrame, n: int) -> list[int]:
                 yield pa.RecordBatch.from_arrays([pa.array(h[order].view(np.int64)), pa.array(c[order])], names=["hash", "count"])
 
     rows = vocabulary.select("hashes", "counts").mapInArrow(top, "hash long, count long").orderBy(F.desc("count"), "hash").limit(n).collect()
-    return [r["hash"] % (1 << 64) for r in rows]
+    return {r["hash"] % (1 << 64): r["count"] for r in rows}
 
 
 def tail_statistics(vocabulary: DataFrame, head: list[int], n_tails: int) -> tuple[np.ndarray, np.ndarray]:
@@ -276,9 +276,11 @@ def new_model(own: np.ndarray, width: int = 24, seed: int = 3) -> tuple[LogBilin
 
 #: Rounds of training; steps of a round in each part at least (more passes where a part has few contexts), and contexts of a step.
 ROUNDS, STEPS, CONTEXTS = 3, 120, 512
+#: Noise classes drawn for a step (its contexts share them), and how many times as much noise as text there is.
+DRAWN, NOISE = 256, 10
 
 
-def train_part(model: LogBilinear, frequency: np.ndarray, code: np.ndarray, count: np.ndarray, done: float = 0.0, share: float = 1.0, least: int = STEPS, noise: int = 10, rate: float = 0.02) -> LogBilinear:
+def train_part(model: LogBilinear, frequency: np.ndarray, code: np.ndarray, count: np.ndarray, done: float = 0.0, share: float = 1.0, least: int = STEPS, noise: int = NOISE, rate: float = 0.02) -> LogBilinear:
     """Whole passes of noise-contrastive estimation (Adam) over distinct triples in order of their codes, weighted by their counts.
 
     Steps take contexts in a hashed order.  A context of more than a step's usual tokens is in every step of a
@@ -288,7 +290,8 @@ def train_part(model: LogBilinear, frequency: np.ndarray, code: np.ndarray, coun
     n = len(model.bias)
     names = [f.name for f in fields(model)]
     model = LogBilinear(*(getattr(model, k).copy() for k in names))
-    log_noise, weight = np.log(noise * frequency).astype(np.float32), (noise * frequency).astype(np.float32)
+    log_noise, upto = np.log(noise * frequency).astype(np.float32), np.cumsum(frequency)
+    rng = np.random.default_rng([int(code[0]), len(code), round(1000 * done)])  # a retried task draws the same
     pair = code // n
     starts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
     ends, tokens = np.r_[starts[1:], len(code)], np.add.reduceat(count, starts)
@@ -310,22 +313,21 @@ def train_part(model: LogBilinear, frequency: np.ndarray, code: np.ndarray, coun
         far, near = np.divmod(pair[starts[take]], n)
         cf, cn = model.context[far], model.context[near]
         q = cf @ model.far + cn @ model.near
-        odds = q @ model.target.T
-        odds += model.bias - log_noise
-        np.clip(odds, -30, 30, out=odds)
-        np.negative(odds, out=odds)
-        np.exp(odds, out=odds)
-        odds += 1
-        p = np.reciprocal(odds, out=odds)
-        hit = positive * (1 - p[row, word])
-        g = p * weight  # noise part, in expectation: k Pn(w) sigma(odds)
+        drawn = np.minimum(np.searchsorted(upto, rng.random(DRAWN)), n - 1)
+        odds = q @ model.target[drawn].T + (model.bias[drawn] - log_noise[drawn])
+        g = (noise / DRAWN) / (1 + np.exp(-np.clip(odds, -30, 30)))
         g *= (tokens[take] * part).astype(np.float32)[:, None]
-        g[row, word] -= hit
-        dq = g @ model.target
-        dc = np.zeros_like(model.context)
+        own = np.einsum("ij,ij->i", q[row], model.target[word]) + model.bias[word] - log_noise[word]
+        hit = -positive / (1 + np.exp(np.clip(own, -30, 30)))
+        edges = np.r_[0, np.cumsum(sizes)[:-1]]
+        dq = g @ model.target[drawn] + np.add.reduceat(hit[:, None] * model.target[word], edges)
+        dc, dt = np.zeros_like(model.context), np.zeros_like(model.target)
         np.add.at(dc, far, dq @ model.far.T)
         np.add.at(dc, near, dq @ model.near.T)
-        grads = {"context": dc, "near": cn.T @ dq, "far": cf.T @ dq, "target": g.T @ q, "bias": g.sum(0)}
+        np.add.at(dt, drawn, g.T @ q)
+        np.add.at(dt, word, hit[:, None] * q[row])
+        db = np.bincount(drawn, g.sum(0), n) + np.bincount(word, hit, n)
+        grads = {"context": dc, "near": cn.T @ dq, "far": cf.T @ dq, "target": dt, "bias": db.astype(np.float32)}
         step = rate * min(1.0, 3 * (1 - done - share * t / (passes * steps)) + 0.05)
         for k in names:
             first[k] = 0.9 * first[k] + 0.1 * grads[k]
@@ -446,6 +448,14 @@ class Scorer:
     tokens: int
     types: int
     n_head: int = HEAD
+    head_counts: tuple[int, ...] = ()
+
+    def frequent(self) -> np.ndarray:
+        """Counts of the end and the head's words by their class; -1 for tail classes."""
+        known = np.full(1 + self.n_head + len(self.tail_tokens), -1, np.int64)
+        known[0] = self.tokens - sum(self.head_counts) - int(self.tail_tokens.sum())
+        known[1 : 1 + len(self.head_counts)] = self.head_counts
+        return known
 
     def classes(self) -> WordClass:
         return WordClass(self.head, self.n_head, len(self.tail_tokens))
@@ -505,28 +515,35 @@ def result(part: pa.RecordBatch, scorer: Scorer, out: list[tuple]) -> pa.RecordB
     return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), n, known, pa.array([scorer.tokens] * len(out), pa.int64()), base, score], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
-PIECES = "rid long, doc_id long, held_out boolean, n_tokens long, class_score double, hashes array<long>, tails array<int>, times array<int>"
+PIECES = "rid long, doc_id long, held_out boolean, n_tokens long, class_score double, head_known long, head_base double, hashes array<long>, tails array<int>, times array<int>"
 
 
 def scored_by_join(texts: DataFrame, scorer: Scorer, vocabulary: DataFrame) -> DataFrame:
-    """The same scores for a vocabulary of any size: distinct tokens of each text meet their counts in a join."""
+    """The same scores for a vocabulary of any size: distinct tokens of each text meet their counts in a join.
+
+    The end and the head's words, which most texts have, are counted by the scorer itself, so that they are no keys of the join.
+    """
     shared = texts.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
-        classes = s.classes()
+        classes, frequent = s.classes(), s.frequent()
         for batch in batches:
-            cols: dict[str, list] = {k: [] for k in ("n_tokens", "class_score", "hashes", "tails", "times")}
+            cols: dict[str, list] = {k: [] for k in ("n_tokens", "class_score", "head_known", "head_base", "hashes", "tails", "times")}
             for text in batch.column("text").to_pylist():
                 words = text.lower().split()
                 cls = np.fromiter((*map(classes.__getitem__, words), 0), np.int64, len(words) + 1)
                 cols["n_tokens"].append(len(words) + 1)
                 cols["class_score"].append(s.scores.texts([cls])[0])
-                times = Counter([*words, END])
+                head = frequent[cls]
+                head = head[head >= 0]
+                cols["head_known"].append(int((head > 0).sum()))
+                cols["head_base"].append(float(s.base(head).sum()))
+                times = Counter(w for w, c in zip(words, cls.tolist()) if c > s.n_head)
                 cols["hashes"].append([xxhash.xxh3_64_intdigest(w) - (1 << 64) * (xxhash.xxh3_64_intdigest(w) >> 63) for w in times])
-                cols["tails"].append([-1 if w == END else classes[w] - 1 - s.n_head for w in times])
+                cols["tails"].append([classes[w] - 1 - s.n_head for w in times])
                 cols["times"].append(list(times.values()))
-            types = (pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            types = (pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), batch.column("held_out"), *(pa.array(v, t) for v, t in zip(cols.values(), types))], names=["rid", "doc_id", "held_out", *cols])
 
     def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -541,8 +558,10 @@ def scored_by_join(texts: DataFrame, scorer: Scorer, vocabulary: DataFrame) -> D
     share = F.when(F.col("tail") >= 0, F.log10((F.col("c") + 1) / F.get(sizes, F.col("tail")))).otherwise(0.0)
     base = F.log10((F.col("c") + 1) / F.lit(float(scorer.tokens + scorer.types + 1)))
     sums = counted.groupBy("rid").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).cast("long").alias("n_known"), F.sum(base * F.col("times")).alias("base_score"), F.sum(share * F.col("times")).alias("share"))
-    joined = rows.join(sums, "rid")
-    return joined.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(scorer.tokens).cast("long").alias("train_tokens"), "base_score", (F.col("class_score") + F.col("share")).alias("score"))
+    joined = rows.drop("hashes", "tails", "times").join(sums, "rid", "left")  # a text may have no tail token
+    known, base = F.col("head_known") + F.coalesce("n_known", F.lit(0)), F.col("head_base") + F.coalesce("base_score", F.lit(0.0))
+    score = F.col("class_score") + F.coalesce("share", F.lit(0.0))
+    return joined.select("doc_id", "held_out", "n_tokens", known.cast("long").alias("n_known"), F.lit(scorer.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
 
 
 def score_documents(documents: DataFrame, most_broadcast: int = BROADCAST_TOKENS, parts: int | None = None) -> DataFrame:
@@ -551,7 +570,7 @@ def score_documents(documents: DataFrame, most_broadcast: int = BROADCAST_TOKENS
     Learns from all rows that aren't held out.  Null and empty texts are the end token alone;
     a null id counts as an empty id text (held in, crc32 0) and stays null; repeated rows count
     and are scored each time; with no training rows every token is unseen; an empty table gives
-    no rows; other columns are not read.  Sums run in text order, so ties don't arise.
+    no rows; very long texts are scored whole; other columns are not read.  Sums run in text order, so ties don't arise.
     """
     spark = documents.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -560,11 +579,12 @@ def score_documents(documents: DataFrame, most_broadcast: int = BROADCAST_TOKENS
     vocabulary = materialize(token_counts(training, parts), "lm-vocabulary")
     types, tokens = vocabulary.agg(F.coalesce(F.sum("n_types"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
     n_head, n_tails = class_sizes(types)
-    head = most_frequent(vocabulary, n_head)
+    frequent = most_frequent(vocabulary, n_head)
+    head = list(frequent)
     tail_tokens, tail_types = tail_statistics(vocabulary, head, n_tails)
     triples = materialize(class_triples(training, head, n_head, n_tails, -(-tokens // PART_TOKENS) or 1), "lm-triples")
     model = trained(triples, 1 + n_head + n_tails)
-    scorer = Scorer(ClassScores(model, context_sums(model, spark, parts)), head, tail_tokens, tail_types, tokens, types, n_head)
+    scorer = Scorer(ClassScores(model, context_sums(model, spark, parts)), head, tail_tokens, tail_types, tokens, types, n_head, tuple(frequent.values()))
     if types > most_broadcast:
         return scored_by_join(texts, scorer, vocabulary)
     hashes, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
