@@ -47,3 +47,39 @@ def test_stages(spark, folder):
 
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder).columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+
+
+def tables(spark, path, documents, labels=(), items=()):
+    names = "doc_id long, text string, lang string, source string, n_chars long, rate double, law string, __row string, n_copies int"
+    spark.createDataFrame([(i, t, "en", "src0", len(t or ""), 0.5, "law", "row", 3) for i, t in documents], names).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def test_clashing_columns_repeated_rows_and_long_texts(spark, tmp_path):
+    rnd = random.Random(3)
+    long = prose(rnd, 9000)
+    rows = [*((k, prose(rnd, 40)) for k in range(12)), (1, None), (None, ""), (20, long), (21, long), (3, "x"), (None, None)]
+    rows += [rows[4], rows[4]]
+    path = tables(spark, tmp_path, rows)
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, path)
+        got = docs.collect()
+        if name != "sharding":
+            assert docs.columns == columns
+        if name == "near_duplicates":
+            assert sorted(r.doc_id for r in got) == [*range(12), 20]
+        if name == "mixing":
+            read = len(got)
+    assert len(got) == read and {r.doc_id for r in got} <= {*range(12), 20}
+
+
+def test_empty_tables(spark, tmp_path):
+    path = tables(spark, tmp_path, [])
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, path)
+        assert docs.count() == 0

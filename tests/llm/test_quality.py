@@ -1,8 +1,11 @@
 """Statistics against plain counting, learned lists on planted junk, and clean rows kept."""
 
+import os
 import re
 from collections import Counter
 
+import pytest
+
 from eligspark.llm import quality as Q
 from tests.llm.fixtures import documents, frame, key
 
@@ -58,3 +61,13 @@ def test_no_labels_keep_what_the_base_keeps(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert Q.learn_rules(Q.labelled_statistics(docs, labels)) == []
     assert Q.judge(docs, []).filter("kept = base_failed").count() == 0
+
+
+def test_rules_hold_on_rows_that_they_were_not_learned_from(spark):
+    path = "/root/testdata/sf0.01"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    rows = Q.labelled_statistics(spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet"))
+    scores = Q.held_out_scores(rows)
+    assert scores["n"] > 50 and scores["recall"] >= 0.9 and scores["others_left_alone"] >= 0.98
+    assert Q.held_out_scores([]) == {"n": 0, "recall": 1.0, "precision": 1.0, "others_left_alone": 1.0}
