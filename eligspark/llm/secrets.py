@@ -1,10 +1,11 @@
 """Secret scan: exact base patterns plus a character convolutional network over other candidates.
 
-Base findings are what three fixed patterns match.  Every other candidate (a run of key-like
+Base findings are what three fixed patterns match.  They and every other candidate (a run of key-like
 characters of at least 16 characters with letters and digits, or with several changes of
-case) is judged with its surroundings by a small convolutional network written in numpy.
-The network is trained on labelled findings, its scores are calibrated (Platt) on findings
-that it has not seen, and the decision threshold is the highest one that keeps the stated
+case) are judged with their surroundings by a small convolutional network written in numpy; base findings
+stay whatever it says, and how many of them it accepts is reported beside them, so that its recall can be read from any
+table.  The network is trained on labelled findings, its scores (the highest over a finding's windows, as in use) are
+calibrated (Platt) on findings that it has not seen, and the decision threshold is the highest one that keeps the stated
 recall on them.
 """
 
@@ -16,6 +17,7 @@ import string
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -36,7 +38,7 @@ DIGIT, ALPHA, TURN = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]"), re.compile(r
 LEFT, BODY, RIGHT = 16, 48, 8
 WIDTH, CHANNELS, LETTERS, EMBED = 5, 24, 98, 8
 
-SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_model long"
+SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_model long, n_base_accepted long"
 
 
 def base_findings(text: str) -> list[tuple[int, int, int]]:
@@ -116,8 +118,9 @@ class Network:
         return 1 / (1 + np.exp(-(self.scale * np.concatenate(scores) + self.shift)))
 
 
-def train(x: np.ndarray, y: np.ndarray, seed: int = 7, epochs: int = 10, rate: float = 4e-3, recall: float = 0.98) -> Network:
-    """Fit on three quarters of the labelled findings; calibrate and set the threshold on the rest."""
+def train(findings: list[list[np.ndarray]], y: np.ndarray, seed: int = 7, epochs: int = 10, rate: float = 4e-3, recall: float = 0.98) -> Network:
+    """Fit on three quarters of the labelled findings (each one's windows; the first is fitted); calibrate and set the threshold on the rest."""
+    x = np.stack([f[0] for f in findings])
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(x))
     fit, held = order[: 3 * len(x) // 4], order[3 * len(x) // 4 :]
@@ -161,13 +164,15 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 7, epochs: int = 10, rate: f
                 second[n] = 0.999 * second[n] + 0.001 * grads[n] ** 2
                 change = rate * (first[n] / (1 - 0.9**t)) / (np.sqrt(second[n] / (1 - 0.999**t)) + 1e-8)
                 setattr(net, n, getattr(net, n) - change)
-    calibrate(net, x[held], y[held], recall)
+    calibrate(net, [findings[k] for k in held], y[held], recall)
     return net
 
 
-def calibrate(net: Network, x: np.ndarray, y: np.ndarray, recall: float) -> None:
-    """Platt's scaling on held-out findings, then the highest threshold that keeps `recall` there."""
-    z = np.concatenate([net.logits(x[k : k + 512]) for k in range(0, len(x), 512)])
+def calibrate(net: Network, rows: list[list[np.ndarray]], y: np.ndarray, recall: float) -> None:
+    """Platt's scaling on held-out findings, each by its highest window, then the highest threshold that keeps `recall` there."""
+    x = np.stack([w for r in rows for w in r])
+    starts = np.r_[0, np.cumsum([len(r) for r in rows])[:-1]]
+    z = np.maximum.reduceat(np.concatenate([net.logits(x[k : k + 512]) for k in range(0, len(x), 512)]), starts)
     positive, negative = y.sum(), len(y) - y.sum()
     goal = np.where(y == 1, (positive + 1) / (positive + 2), 1 / (negative + 2))
     a, b = 1.0, 0.0
@@ -205,6 +210,10 @@ def labelled_findings(n: int = 6000, seed: int = 11) -> tuple[list[tuple[str, in
         lambda: ".".join("ey" + chars(b62 + "_-", rng.integers(12, 40)) for _ in range(3)),
         lambda: chars(up, rng.integers(24, 41)),
         lambda: "-".join(chars(b62, 8) for _ in range(4)),
+        lambda: chars("0123456789abcdef", rng.integers(16, 65)),
+        lambda: "AKIA" + chars(up, rng.integers(14, 21)),
+        lambda: chars(string.digits, rng.integers(16, 20)),
+        lambda: pick(WORDS) + pick([" = ", "=", ": ", '": "', "='"]) + chars(b62 + "_-", rng.integers(12, 33)),
     ]
     harmless = [
         lambda: "/".join(plain() for _ in range(rng.integers(3, 7))) + pick(["", ".html", ".tar.gz", "/v2", "/2024"]) + str(rng.integers(0, 99)),
@@ -233,10 +242,19 @@ def labelled_findings(n: int = 6000, seed: int = 11) -> tuple[list[tuple[str, in
     return texts, np.array(labels, np.float32)
 
 
-def trained_network() -> Network:
-    """The network of the standard labelled findings (first window of each)."""
-    texts, labels = labelled_findings()
-    return train(np.stack([windows(*t)[0] for t in texts]), labels)
+@lru_cache(maxsize=4)
+def trained_network(findings: int = 6000, seed: int = 11) -> Network:
+    """The network of the labelled findings of a seed; made once in a process."""
+    texts, labels = labelled_findings(findings, seed)
+    return train([windows(*t) for t in texts], labels)
+
+
+def highest(net: Network, rows: list[np.ndarray], owners: list[int], n: int) -> np.ndarray:
+    """The highest probability of each of n findings over its windows."""
+    out = np.zeros(n)
+    for at in range(0, len(rows), 4096):
+        np.maximum.at(out, owners[at : at + 4096], net.probabilities(np.stack(rows[at : at + 4096])))
+    return out
 
 
 def joined(found: list[tuple[int, int, int]]) -> str:
@@ -244,13 +262,14 @@ def joined(found: list[tuple[int, int, int]]) -> str:
 
 
 def scan_secrets(documents: DataFrame, network: Network | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per row of `documents`: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_model.
+    """One row per row of `documents`: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_model, n_base_accepted.
 
     `spans` lists base findings and the network's further ones as kind:start:end in code
     points, by start and then kind.  Null and empty texts have no findings (the digest is that
     of the empty string); null ids stay null; repeated rows stay repeated; an empty table gives
     no rows; other columns are not read.  Long candidates are judged by overlapping windows
-    that cover them whole; the highest score counts.
+    that cover them whole; the highest score counts.  Very long texts are read whole; spans that tie in their
+    start go by kind.  n_model: spans that the network adds; n_base_accepted: base findings that it accepts, too.
     """
     network = network or trained_network()
     shared = documents.sparkSession.sparkContext.broadcast(network)
@@ -261,23 +280,24 @@ def scan_secrets(documents: DataFrame, network: Network | None = None, id_column
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             base = [base_findings(t) for t in texts]
-            owner, spans, rows = [], [], []
-            for k, text in enumerate(texts):
-                for a, b in candidates(text, base[k]):
-                    for w in windows(text, a, b):
-                        owner.append(k)
-                        spans.append((a, 3, b))
-                        rows.append(w)
+            found = [(k, f) for k, b in enumerate(base) for f in b]
+            known = len(found)
+            found += [(k, (a, 3, b)) for k, text in enumerate(texts) for a, b in candidates(text, base[k])]
+            pieces = [(j, w) for j, (k, f) in enumerate(found) for w in windows(texts[k], f[0], f[2])]
+            good = highest(net, [w for _, w in pieces], [j for j, _ in pieces], len(found)) >= net.threshold
             extra: list[set] = [set() for _ in texts]
-            for at in range(0, len(rows), 4096):
-                scores = net.probabilities(np.stack(rows[at : at + 4096]))
-                for j in np.flatnonzero(scores >= net.threshold).tolist():
-                    extra[owner[at + j]].add(spans[at + j])
+            accepted = [0] * len(texts)
+            for j in np.flatnonzero(good).tolist():
+                k, f = found[j]
+                if j < known:
+                    accepted[k] += 1
+                else:
+                    extra[k].add(f)
             counts = {n: pa.array([sum(f[1] == k for f in b) for b in base], pa.int64()) for k, n in enumerate(names)}
             digests = [hashlib.sha256(joined(b).encode()).hexdigest() for b in base]
             everything = [joined([*b, *e]) for b, e in zip(base, extra)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *counts.values(), pa.array(digests, pa.string()), pa.array(everything, pa.string()), pa.array([len(e) for e in extra], pa.int64())], names=["doc_id", *names, "base_sha256", "spans", "n_model"]
+                [batch.column("doc_id"), *counts.values(), pa.array(digests, pa.string()), pa.array(everything, pa.string()), pa.array([len(e) for e in extra], pa.int64()), pa.array(accepted, pa.int64())], names=["doc_id", *names, "base_sha256", "spans", "n_model", "n_base_accepted"]
             )
 
     columns = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))

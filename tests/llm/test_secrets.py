@@ -1,9 +1,12 @@
 """Secret scan against the patterns' definition, and held-out recall of the network."""
 
 import hashlib
+import os
 import re
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from eligspark.llm import secrets as S
 from tests.llm.fixtures import documents, frame
@@ -43,6 +46,15 @@ def test_network_finds_secrets_and_leaves_look_alikes():
     assert (p[labels == 0] >= net.threshold).mean() <= 0.02
 
 
+def test_network_accepts_findings_of_tables(spark):
+    """Recall on base findings of the test tables, which are not in the training set, and look-alikes beside them left alone."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    rows = S.scan_secrets(spark.read.parquet(path)).agg(F.sum(F.col("n_assign") + F.col("n_access") + F.col("n_hex")).alias("n"), F.sum("n_base_accepted").alias("accepted")).first()
+    assert rows.n > 20 and rows.accepted / rows.n >= 0.95
+
+
 def test_frame(spark):
     rows = [*enumerate(TEXTS), (None, "see ghp_a8Kd93JsmQpWz71LxVbN4TtYcE20RfUhG6oX for access")]
     got = {(r.doc_id, r.base_sha256): r for r in S.scan_secrets(frame(spark, rows)).collect()}
