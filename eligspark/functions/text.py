@@ -58,11 +58,11 @@ def phrase_norm(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
 
 
-def flexible(phrase: str) -> str:
-    """A pattern for `phrase` that allows any white space, also none, between its characters' words."""
-    import re
-
-    return r"\s*".join(re.escape(w) for w in phrase.split())
+def flexible(phrase: Column) -> Column:
+    """A pattern for the phrase that allows its spaces to be missing, and spaces beside its hyphens."""
+    spaced = F.replace(F.replace(phrase, F.lit(r"\E"), F.lit("")), F.lit(" "), F.lit(r"\E\s?\Q"))
+    hyphens = F.replace(spaced, F.lit("-"), F.lit(r"\E\s?-\s?\Q"))
+    return F.concat(F.lit(r"\Q"), hyphens, F.lit(r"\E"))
 
 
 def visible_text(html: Column) -> Column:
@@ -96,9 +96,38 @@ def tag_chips(blob: Column) -> Column:
 
 
 def looks_like_tag(tag: Column) -> Column:
-    """every word of the chip starts with a capital or digit, or is a short joining word."""
+    """every word of the chip starts with a capital or with no letter."""
     words = F.filter(F.split(tag, r"[\s-]+"), lambda w: w != "")
-    return (F.size(words) > 0) & F.forall(words, lambda w: w.rlike(r"^[\p{Lu}\p{N}&(]") | w.isin("and", "of", "the", "for", "in", "to"))
+    return let(words, lambda ws: (F.size(ws) > 0) & F.forall(ws, lambda w: w.rlike(r"^(?:[^\p{L}]|\p{Lu})")))
+
+
+def tag_blob(preamble: Column, name: Column, states: tuple[str, ...]) -> Column:
+    """struct(state, level, tags, flags) of the text between two copies of a scheme's name and the tags behind the second.
+
+    A state before the second copy means its level, other text there the central one; a leading acronym is no tag, nor is a
+    chip that isn't written as one.
+    """
+    blob, pattern = F.trim(F.coalesce(preamble, F.lit(""))), flexible(F.coalesce(name, F.lit("")))
+    named = F.coalesce(name, F.lit("")) != ""
+    rest = F.when(named, F.regexp_replace(blob, F.concat(F.lit("^"), pattern), F.lit(""))).otherwise(blob)
+
+    def read(parts: Column) -> Column:
+        found = F.size(parts) == 2
+        before, after = F.when(found, F.trim(parts[0])).otherwise(""), F.when(found, F.get(parts, F.lit(1))).otherwise(F.get(parts, F.lit(0)))
+        state = F.when(before.isin(*states), before)
+        level = F.when(state.isNotNull(), "state").when(before != "", "central")
+        chips = let(tag_chips(after), lambda c: F.when(F.get(c, F.lit(0)).rlike("^[A-Z0-9]{2,12}$"), F.slice(c, F.lit(2), F.greatest(F.size(c) - 1, F.lit(0)))).otherwise(c))
+
+        def done(c: Column) -> Column:
+            tags = F.filter(c, looks_like_tag)
+            flags = F.array(F.when(~found, "tag_blob_name_not_found"), F.when(level.isNull(), "level_uncertain"), F.when(F.size(tags) < F.size(c), "tag_blob_noise_filtered"))
+            return F.struct(state.alias("state"), level.alias("level"), tags.alias("tags"), F.array_compact(flags).alias("flags"))
+
+        return let(chips, done)
+
+    none = F.lit(None).cast("string")
+    empty = F.struct(none.alias("state"), none.alias("level"), F.array().cast("array<string>").alias("tags"), F.array(F.lit("tag_blob_empty")).alias("flags"))
+    return F.when(blob == "", empty).otherwise(let(F.when(named, F.split(rest, pattern, F.lit(2))).otherwise(F.array(rest)), read))
 
 
 def day_first_date(text: Column) -> Column:

@@ -10,9 +10,9 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from eligspark.functions.text import without_fences
+from eligspark.operators.sampling import global_rank
 
 COOLDOWN_S, STRIKES, MOST_RETRIES = 60, 3, 2
 FUZZY_RATIO = 0.82
@@ -90,8 +90,7 @@ def with_retries(items: DataFrame, call: Callable[[DataFrame], DataFrame], most:
 
 def batched_prompts(rows: DataFrame, key: str, text: str, head: str, per_batch: int = 10) -> DataFrame:
     """(batch, keys, prompt): numbered items, `per_batch` in each prompt."""
-    place = F.row_number().over(W.orderBy(key)) - 1
-    dealt = rows.withColumn("batch", F.floor(place / per_batch).cast("int"))
+    dealt = global_rank(rows.select(key, text), [key], "__k").withColumn("batch", F.floor((F.col("__k") - 1) / per_batch).cast("int"))
     parts = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(text).alias("t"))))
     grouped = dealt.groupBy("batch").agg(parts.alias("p"))
     return grouped.select("batch", F.transform("p", lambda x: x["k"]).alias("keys"), F.concat(F.lit(head + "\n"), F.array_join(F.transform("p", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["t"])), "\n")).alias("prompt"))
@@ -128,13 +127,22 @@ def profile_errors(profile: dict[str, Column], evidence: dict[str, Column], text
     return F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>")
 
 
-def translation_errors(original: Column, translated: Column) -> Column:
-    """Numbers added or lost, negation lost."""
-    from eligspark.functions.text import digit_numbers
+def translation_errors(original: Column, translated: Column, places: tuple[str, ...] = (), state: Column | None = None) -> Column:
+    """Numbers added or lost, negation lost, sentences merged, a place named that neither the text nor the profile has."""
+    from eligspark.functions.text import derivable, digit_numbers, sentence_count
 
-    a, b = F.array_sort(F.array_distinct(digit_numbers(original))), F.array_sort(F.array_distinct(digit_numbers(translated)))
+    a, b = F.array_distinct(digit_numbers(original)), F.array_distinct(digit_numbers(translated))
     no = r"(?i)\b(?:no|not|never|without|none)\b|n't|नहीं|లేదు|లేను"
-    return F.array_compact(F.array(F.when(F.size(F.array_except(b, a)) > 0, "number added"), F.when(F.size(F.array_except(a, b)) > 0, "number lost"), F.when(original.rlike(no) & ~translated.rlike(no), "negation lost")))
+    own = F.coalesce(F.lit(None).cast("string") if state is None else state, F.lit(""))
+    added = [F.contains(F.lower(translated), F.lit(p.lower())) & ~F.contains(F.lower(original), F.lit(p.lower())) & (own != p) for p in places]
+    checks = [
+        F.when(F.exists(b, lambda n: ~derivable(n, a)), "number added"),
+        F.when(F.exists(a, lambda n: ~derivable(n, b)), "number lost"),
+        F.when(original.rlike(no) & ~translated.rlike(no), "negation lost"),
+        F.when((sentence_count(original) >= 2) & (sentence_count(translated) < sentence_count(original) - 1), "sentences merged"),
+        *[F.when(x, f"place added: {p}") for x, p in zip(added, places)],
+    ]
+    return F.array_compact(F.array(*checks))
 
 
 def constraint_errors(c: dict[str, Column], spans: dict[str, Column], source: Column) -> Column:
@@ -192,29 +200,29 @@ def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
-# Number words of the profile reader.
+# Number words of the profile reader, and what multiplies or halves.
 ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
 TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
-NUMBER_WORDS = {w: k for k, w in enumerate(ONES)} | {w: 10 * (k + 2) for k, w in enumerate(TENS)}
+ORDINALS = "zeroth first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth thirteenth fourteenth fifteenth sixteenth seventeenth eighteenth nineteenth".split()
+FRACTIONS = {"half": 0.5, "quarter": 0.25}
+NUMBER_WORDS = {w: k for k, w in enumerate(ONES)} | {w: 10 * (k + 2) for k, w in enumerate(TENS)} | {w: k for k, w in enumerate(ORDINALS)} | FRACTIONS
 
 
 def spoken_numbers(text: str) -> list[float]:
-    """X16 (words): numbers in English words, with tens and ones joined ("seventy five") and multiplied by hundred."""
+    """X16 (words): numbers in English words, ordinals, halves and quarters among them; tens and ones are joined ("seventy five"),
+    "hundred" multiplies, a fraction after "and" is added ("two and a half")."""
     out: list[float] = []
-    total = None
+    total, joining = None, False
     for word in re.findall(r"[a-z]+", text.lower()):
         value = NUMBER_WORDS.get(word)
-        if value is not None:
-            if total is not None and total % 10 == 0 and total >= 20 and value < 10:
-                total += value
-            else:
-                if total is not None:
-                    out.append(float(total))
-                total = value
-        elif word == "hundred" and total is not None:
+        if value is None and word == "hundred" and total is not None:
             total *= 100
-        elif word != "and" or total is None:
-            if total is not None:
-                out.append(float(total))
-            total = None
+        elif value is None and word in ("and", "a") and total is not None:
+            joining = joining or word == "and"
+        elif value is None:
+            out, total, joining = (out if total is None else [*out, float(total)]), None, False
+        elif total is not None and ((total % 100 >= 20 and total % 10 == 0 and 0 < value < 10 and value >= 1) or (total % 100 == 0 and total >= 100 and 0 < value < 100) or (joining and value < 1)):
+            total, joining = total + value, False
+        else:
+            out, total, joining = (out if total is None else [*out, float(total)]), value, False
     return [*out, float(total)] if total is not None else out

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from eligspark.storage import materialize
+
 
 def rlike(pattern: str) -> Callable[[Column], Column]:
     return lambda text: text.rlike(pattern)
@@ -45,13 +47,36 @@ def hash_order(seed: str, key: Column) -> Column:
     return F.md5(F.concat(F.lit(seed), key.cast("string")))
 
 
+def hashed_rank(df: DataFrame, by: str, key: str, seed: str, name: str) -> DataFrame:
+    """`df` with the place (from 1) of each row in its group's hashed order (ties by key).
+
+    A group is ranked in 4,096 slices of its hashes, each of which starts after the rows of those before it, so that a
+    group that holds most of the table is no single task.
+    """
+    rows = df.withColumns({"__h": hash_order(seed, F.col(key)), "__s": F.left(hash_order(seed, F.col(key)), F.lit(3))})
+    counts = rows.groupBy(by, "__s").agg(F.count(F.lit(1)).alias("__c"))
+    before = W.partitionBy(by).orderBy("__s").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(by, "__s", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__o"))
+    placed = rows.join(offsets.withColumnsRenamed({by: "__by", "__s": "__t"}), F.col(by).eqNullSafe(F.col("__by")) & (F.col("__s") == F.col("__t")))
+    within = W.partitionBy(by, "__s").orderBy("__h", key)
+    return placed.withColumn(name, (F.col("__o") + F.row_number().over(within)).cast("long")).drop("__h", "__s", "__c", "__o", "__by", "__t")
+
+
+def global_rank(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """`df` with each row's place (from 1) in the order, by ranges that are ranked on their own and start after those before them."""
+    dealt = materialize(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ranked")
+    counts = dealt.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))  # one row for each partition
+    offsets = counts.select("__p", F.coalesce(F.sum("__c").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__o"))
+    within = W.partitionBy("__p").orderBy(*order)
+    return dealt.join(F.broadcast(offsets), "__p").withColumn(name, (F.col("__o") + F.row_number().over(within)).cast("long")).drop("__p", "__o")
+
+
 def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, seed: str = "42") -> DataFrame:
     """Rows of an even allocation over the strata (a bounded table of counts), drawn in hashed order."""
     sizes = {str(r[stratum]): r["n"] for r in df.groupBy(stratum).agg(F.count(F.lit(1)).alias("n")).collect()}
     given = allocate(n, sizes)
     places = F.coalesce(F.create_map(*[F.lit(x) for p in given.items() for x in p])[F.col(stratum).cast("string")], F.lit(0)) if given else F.lit(0)
-    order = W.partitionBy(stratum).orderBy(hash_order(seed, F.col(key)), key)
-    return df.withColumn("pick", F.row_number().over(order)).filter(F.col("pick") <= places)
+    return hashed_rank(df, stratum, key, seed, "pick").filter(F.col("pick") <= places)
 
 
 def with_least(sample: DataFrame, pool: DataFrame, level: str, key: str, stratum: str, least: dict[str, int], seed: str = "42") -> DataFrame:
@@ -81,15 +106,13 @@ def largest_remainder(df: DataFrame, by: str, total: int) -> DataFrame:
 def dev_test_split(df: DataFrame, by: str, key: str, dev: int, seed: str = "20260922") -> DataFrame:
     """`df` with split dev or test: each type's places by largest remainder, in hashed order."""
     places = largest_remainder(df, by, dev).select(by, "places")
-    order = W.partitionBy(by).orderBy(hash_order(seed, F.col(key)), key)
-    rows = df.withColumn("__k", F.row_number().over(order)).join(F.broadcast(places), by)
+    rows = hashed_rank(df, by, key, seed, "__k").join(F.broadcast(places), by)
     return rows.withColumn("split", F.when(F.col("__k") <= F.col("places"), "dev").otherwise("test")).drop("__k", "places")
 
 
 def folds(df: DataFrame, label: str, key: str, k: int = 5, seed: str = "42") -> DataFrame:
     """Stratified folds: within a class in hashed order, dealt round."""
-    order = W.partitionBy(label).orderBy(hash_order(seed, F.col(key)), key)
-    return df.withColumn("fold", ((F.row_number().over(order) - 1) % k).cast("int"))
+    return hashed_rank(df, label, key, seed, "__k").withColumn("fold", ((F.col("__k") - 1) % k).cast("int")).drop("__k")
 
 
 def group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
@@ -131,4 +154,4 @@ def spread_by_length(df: DataFrame, length: str, key: str, limit: int) -> DataFr
     n = df.count()
     step = n / limit if limit else 0
     wanted = df.sparkSession.createDataFrame([(int(i * step) + 1,) for i in range(min(limit, n))], "__k long")
-    return df.withColumn("__k", F.row_number().over(W.orderBy(length, key)).cast("long")).join(F.broadcast(wanted), "__k").drop("__k")
+    return global_rank(df, [length, key], "__k").join(F.broadcast(wanted), "__k").drop("__k")

@@ -74,6 +74,17 @@ def tag_chips(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(chips, "|").alias("chips"), F.size(F.filter(chips, X.looks_like_tag)).cast("long").alias("n_tags"))
 
 
+def tag_blobs(spark, sf_dir):
+    """State, level, tags and flags out of a page's head, whose copies of the name differ in their spaces."""
+    k = F.col("p_partkey")
+    name, other = F.concat(F.lit("Loan-B for "), F.col("p_brand")), F.concat(F.lit("Loan - Bfor"), F.col("p_brand"))
+    second = F.when(k % 4 == 0, "something else ").otherwise(name)
+    blob = F.when(k % 7 == 0, " ").otherwise(F.concat(other, chosen(k, ("Kerala", " Ministry of Aid ", "")), second, F.lit("AABCSSubsidyScheduled Caste"), F.when(k % 5 == 0, "sign in").otherwise("")))
+    got = X.tag_blob(blob, name, ("Kerala", "Goa"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", got.alias("t"))
+    return rows.select("p_partkey", "t.state", "t.level", F.array_join("t.tags", "|").alias("tags"), F.array_join("t.flags", "|").alias("flags"))
+
+
 def stated_dates(spark, sf_dir):
     """Day-first dates out of texts, and their long form."""
     text = F.when(F.col("o_orderkey") % 10 == 0, "valid from 31/02/2020").otherwise(F.concat(F.lit("updated "), F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit(" again")))
@@ -211,7 +222,7 @@ def clauses_within_length(spark, sf_dir):
 
 
 QUERIES = {
-    "text_normal_forms": text_normal_forms, "run_on_sentences": run_on_sentences, "quotable_heads": quotable_heads, "word_measures": word_measures, "tag_chips": tag_chips, "stated_dates": stated_dates,
+    "text_normal_forms": text_normal_forms, "run_on_sentences": run_on_sentences, "quotable_heads": quotable_heads, "word_measures": word_measures, "tag_chips": tag_chips, "tag_blobs": tag_blobs, "stated_dates": stated_dates,
     "rule_words": rule_words, "json_numbers": json_numbers, "worded_counts": worded_counts, "names_in_texts": names_in_texts, "replies_and_errors": replies_and_errors, "claims_and_relatives": claims_and_relatives,
     "mended_texts": mended_texts, "vector_checks": vector_checks, "conversions": conversions, "sentence_breaks": clause_split_simple, "clauses_within_length": clauses_within_length,
 }
@@ -247,7 +258,11 @@ select doc_id, regexp_replace(regexp_replace(t, '^(?:note\\s*\\d*\\s*[:.\\-]\\s*
     "word_measures": f"""with w as (select doc_id, {WORDS.format('text')} as w, {WORDS.format('left(text, 200)')} as h, list_filter(regexp_extract_all(lower(left(text, 80)), '[a-z]+'), lambda x: length(x) >= 4) as s from documents)
 select doc_id, round(len(list_filter(w, lambda x: list_contains(h, x)))::double / nullif(len(w), 0), 6) as coverage, array_to_string(list_transform(s, lambda x: left(x, 5)), ',') as stems from w""",
     "tag_chips": f"""with c as (select p_partkey, {CHIPS} as c from part) select p_partkey, array_to_string(c, '|') as chips,
-  cast(len(list_filter(c, lambda x: len(list_filter(regexp_split_to_array(x, '[\\s-]+'), lambda w: w <> '' and not regexp_matches(w, '^[\\p{{Lu}}\\p{{N}}&(]') and not list_contains(['and', 'of', 'the', 'for', 'in', 'to'], w))) = 0)) as bigint) as n_tags from c""",
+  cast(len(list_filter(c, lambda x: len(list_filter(regexp_split_to_array(x, '[\\s-]+'), lambda w: w <> '' and not regexp_matches(w, '^(?:[^\\p{{L}}]|\\p{{Lu}})'))) = 0)) as bigint) as n_tags from c""",
+    "tag_blobs": """with t as (select p_partkey, p_partkey % 3 as a, p_partkey % 4 = 0 as lost, p_partkey % 5 = 0 as noisy, p_partkey % 7 = 0 as gone from part)
+select p_partkey, case when not gone and not lost and a = 0 then 'Kerala' end as state, case when not gone and not lost then case a when 0 then 'state' when 1 then 'central' end end as level,
+  case when gone then '' when noisy then 'Subsidy' else 'Subsidy|Scheduled Caste' end as tags,
+  case when gone then 'tag_blob_empty' else concat_ws('|', case when lost then 'tag_blob_name_not_found' end, case when lost or a = 2 then 'level_uncertain' end, case when noisy or lost then 'tag_blob_noise_filtered' end) end as flags from t""",
     "stated_dates": "select o_orderkey, case when o_orderkey % 10 > 0 then strftime(o_orderdate, '%Y-%m-%d') end as day, case when o_orderkey % 10 > 0 then strftime(o_orderdate, '%-d %B %Y') end as long_form from orders",
     "rule_words": f"""select p_partkey, {chosen_sql('p_partkey', ('family', 'individual', 'family', None, 'individual'))} as income, {chosen_sql('p_partkey', ('leased', 'owned', 'leased', 'owned', None))} as land,
   {chosen_sql('p_partkey', STAGES)} as stages, {chosen_sql('p_partkey', MARITAL)} as marital, p_partkey % 3 = 1 as constrains, {chosen_sql('p_partkey', (True, True, True, False, True))} as says_nothing,

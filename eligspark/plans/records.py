@@ -189,7 +189,7 @@ def offline_replies(spark, sf_dir):
 PROFILES = (("I am 34 years old", 34), ("my father is 70", 70), ("I am 34 years old", 200), ("I earn well", 20))
 WRONG = ("", "age: not said of oneself", "age: out of bounds; age: evidence is not in the text", "age: evidence is not in the text")
 SPANS = ("I am 34", "father is 70", "I am 200", "I am twenty")
-TRANSLATED = (("मैं 34 साल का नहीं हूँ", "I am not 34 years old", ""), ("5 acres", "6 acres", "number added; number lost"), ("I do not own land", "I own land", "negation lost"), ("2 cows", "2 cows", ""))
+TRANSLATED = (("मैं 34 साल का नहीं हूँ", "I am not 34 years old", ""), ("5 acres", "6 acres", "number added; number lost"), ("I do not own land", "I own land", "negation lost"), ("2 cows", "2 cows", ""), ("One. Two. Three. Four.", "One and all in Kerala", "sentences merged; place added: Kerala"))
 
 
 def profile_checks(spark, sf_dir):
@@ -197,7 +197,7 @@ def profile_checks(spark, sf_dir):
     k = F.col("p_partkey")
     text, age, span = chosen(k, tuple(p[0] for p in PROFILES)), chosen(k, tuple(p[1] for p in PROFILES)).cast("int"), chosen(k, SPANS)
     errors = L.profile_errors({"age": age}, {"age": span}, text)
-    moved = L.translation_errors(chosen(k, tuple(t[0] for t in TRANSLATED)), chosen(k, tuple(t[1] for t in TRANSLATED)))
+    moved = L.translation_errors(chosen(k, tuple(t[0] for t in TRANSLATED)), chosen(k, tuple(t[1] for t in TRANSLATED)), ("Goa", "Kerala"), F.lit("Goa"))
     return parts(spark, sf_dir).select("p_partkey", F.array_join(errors, "; ").alias("errors"), F.array_join(moved, "; ").alias("translation"), L.is_nearly_empty([F.when(k % 2 == 0, k), F.when(k % 3 == 0, k), F.lit(None)]).alias("nearly_empty"))
 
 
