@@ -6,20 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from eligspark.llm.alignment import align
 from eligspark.llm.bwt_dedup import remove_repeats
 from eligspark.llm.decontaminate import decontaminate, decontamination_sql
 from eligspark.llm.jaccard import jaccard_components, jaccard_sql
+from eligspark.llm.kmeans import cluster_vectors, clustering_sql
 from eligspark.llm.lm import score_documents
 from eligspark.llm.mixing import mixing_rates
 from eligspark.llm.quality import judge, labelled_statistics, learn_rules
 from eligspark.llm.secrets import scan_secrets
 from eligspark.llm.sharding import shard_documents
 from eligspark.llm.tokens import count_tokens
+from eligspark.llm.toxicity import score_toxicity
 from eligspark.llm.warc import archive_round_trip, archive_sql
 from eligspark.tables import table
 
 #: The tokenizer file of the token counts, by its name among the public tokenizers.
 TOKENIZER = "word_bpe_49k.json"
+#: Tokenizers A and B of the alignment.
+ALIGNED = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 
 
 def tokenizer_definition(name: str = TOKENIZER) -> str:
@@ -30,6 +35,14 @@ def tokenizer_definition(name: str = TOKENIZER) -> str:
         return f.read()
 
 
+def tokenizer_model(name: str) -> bytes:
+    """Content of a public tokenizer model (bounded: about 1 MB)."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read()
+
+
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -72,6 +85,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clusters = cluster_vectors(table(spark, sf_dir, "embeddings"))
+    return clusters.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"), tokenizer_definition(ALIGNED[0]), tokenizer_model(ALIGNED[1]))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_token_counts": op2_token_counts,
@@ -83,10 +109,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
+    "op11_toxicity": op11_toxicity,
+    "op12_clusters": op12_clusters,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLES: dict[str, str] = {
     "op3_decontamination": decontamination_sql(),
     "op4_jaccard_join": jaccard_sql(size=4, percent=85),
     "op8_warc": archive_sql(least_bytes=0),
+    "op12_clusters": clustering_sql(),
 }
