@@ -45,6 +45,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_scratch(df: DataFrame) -> None:
+    """Delete the scratch table that `df` was read from, once a later table that no longer needs it is written; other files stay."""
+    spark = df.sparkSession
+    jvm, root = spark.sparkContext._jvm, scratch_root(spark)
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        if f"{jvm.org.apache.hadoop.fs.Path(root).toUri().getPath()}/" in f"{path.toUri().getPath()}/":
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete this application's scratch tables, and no other's (call when results are written)."""
     jvm = spark.sparkContext._jvm
