@@ -11,6 +11,7 @@ Learning takes a bounded sample of labelled rows; scoring is one pass over all w
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from eligspark.llm.common import ODD, mix64, slices
 
 #: Labelled rows that the models are learned from at most, and their words: those of the lowest hashed ids, in that order.
-MOST_LABELLED, MOST_WORDS = 12_000, 8_000_000
+MOST_LABELLED, MOST_WORDS = 8_000, 3_000_000
 #: Bigrams of fewer texts are left to the continuation counts (their mass stays in the backoff weight).
 LEAST_TEXTS = 2
 FOLDS = 3
@@ -293,19 +294,20 @@ class Detector:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fitted(texts: list[list[bytes]], toxic: np.ndarray) -> Detector:
-    """Models from all texts, calibration from texts that models of the other folds compare; equal texts share a fold."""
+def fitted(texts: list[bytes], toxic: np.ndarray) -> Detector:
+    """Models from all texts (words joined by spaces), calibration from texts that models of the other folds compare; equal texts share a fold."""
     share = (toxic.sum() + 0.1) / (len(toxic) + 1)
     numbers: dict[bytes, int] = {}
-    coded = [np.array([numbers.setdefault(w, len(numbers)) for w in t], np.int64) for t in texts]
-    hashes, stems = word_hashes(list(numbers)), stem_hashes(list(numbers))
-    fold = np.array([xxhash.xxh3_64_intdigest(b" ".join(t)) % FOLDS for t in texts], int)
+    coded = [np.array([numbers.setdefault(w, len(numbers)) for w in t.split()], np.int64) for t in texts]
+    vocabulary = list(numbers)
+    hashes, stems = word_hashes(vocabulary), stem_hashes(vocabulary)
+    fold = np.array([xxhash.xxh3_64_intdigest(t) % FOLDS for t in texts], int)
     x, y = [], []
     for f in range(FOLDS):
         inner, outer = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
         if len(outer) and 0 < toxic[inner].sum() < len(inner):
-            models = learned([coded[k] for k in inner], toxic[inner], hashes, stems)
-            x.append(features(Lexicon(models), [texts[k] for k in outer]))
+            lexicon = Lexicon(learned([coded[k] for k in inner], toxic[inner], hashes, stems))
+            x += [features(lexicon, [[vocabulary[i] for i in coded[k].tolist()] for k in outer[at : at + 500]]) for at in range(0, len(outer), 500)]
             y.append(toxic[outer])
     if not x or not 0 < np.concatenate(y).sum() < len(np.concatenate(y)):
         return Detector(None, np.zeros(0), float(share))
@@ -335,8 +337,17 @@ def learn(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, mo
     found = rows.mapInArrow(run, "doc_id long, toxic int, n long, name long, words binary")
     found = found.groupBy("name", "toxic").agg(F.min_by("words", "doc_id").alias("words"), F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
     before = F.sum("n").over(_order())
-    table = found.withColumn("sum", before).filter(F.col("sum") <= most_words).select("toxic", "words", F.xxhash64("doc_id").alias("h"), "name").toArrow().sort_by([("h", "ascending"), ("name", "ascending")])
-    return fitted([w.split() for w in table.column("words").to_pylist()], (table.column("toxic").to_numpy() > 0).astype(int))
+    sample = found.withColumn("sum", before).filter(F.col("sum") <= most_words).select("toxic", "words", F.xxhash64("doc_id").alias("h"), "name")
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All of the bounded sample in one task; its pickled detector is the one row."""
+        parts = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
+        rows = pa.concat_tables(parts).sort_by([("h", "ascending"), ("name", "ascending")]) if parts else None
+        texts, toxic = (rows.column("words").to_pylist(), rows.column("toxic").to_numpy() > 0) if parts else ([], np.zeros(0))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fitted(texts, toxic.astype(int)))], pa.binary())], names=["detector"])
+
+    made = sample.coalesce(1).mapInArrow(fit, "detector binary").first()
+    return pickle.loads(made["detector"]) if made else fitted([], np.zeros(0, int))  # without rows there is no task
 
 
 def _order():
