@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from eligspark.functions.text import bm25_tokens, fenced, phrase_norm, stems
+from eligspark.operators.sampling import global_rank
 from eligspark.storage import materialize
 
 #: Hashes of frequent phrases are broadcast up to this many (8 bytes each).
@@ -82,19 +83,25 @@ def phrase_counts(documents: DataFrame, key: str, text: str, sizes: tuple[int, .
     return grams.groupBy("gram").agg(F.count_distinct("__r").alias("n")).filter(F.col("n") >= support)
 
 
-def top_phrases(counts: DataFrame, keep: int = 25, overlap: float = 0.75, pool: int = 2000) -> list[tuple[str, int]]:
-    """Greedy choice over the best `pool` phrases (records, then length, then text): a phrase goes if its content words overlap a kept one's too much.
+def top_phrases(counts: DataFrame, keep: int = 25, overlap: float = 0.75, page: int = 500) -> list[tuple[str, int]]:
+    """Greedy choice of phrases by records, then length, then text: one goes if its content words overlap a kept one's too much.
 
-    Sequential by nature; only the bounded pool comes to the driver.
+    Ranked once over ranges; the driver reads pages of `page` phrases, each twice as long as the one before (up to 16
+    pages' length), until the last choice is made or no phrase is left.  It holds one page and at most `keep` word sets.
     """
-    rows = counts.withColumn("len", F.length("gram")).orderBy(F.desc("n"), F.desc("len"), "gram").limit(pool).collect()
+    rows = counts.withColumns({"__n": -F.col("n"), "__len": -F.length("gram")})
+    ranked = materialize(global_rank(rows, ["__n", "__len", "gram"], "__rank").select("gram", "n", "__rank"), "phrases-ranked")
     kept: list[tuple[str, int, set]] = []
-    for r in rows:
-        words = {w for w in r["gram"].split(" ") if w not in BOILERPLATE}
-        if all(len(words & k) / max(1, min(len(words), len(k))) < overlap for _, _, k in kept):
-            kept.append((r["gram"], r["n"], words))
-        if len(kept) == keep:
+    at, width = 0, page
+    while len(kept) < keep:
+        rows = ranked.filter((F.col("__rank") > at) & (F.col("__rank") <= at + width)).collect()
+        for r in sorted(rows, key=lambda r: r["__rank"]):
+            words = {w for w in r["gram"].split(" ") if w not in BOILERPLATE}
+            if len(kept) < keep and all(len(words & k) / max(1, min(len(words), len(k))) < overlap for _, _, k in kept):
+                kept.append((r["gram"], r["n"], words))
+        if not rows:
             break
+        at, width = at + width, min(2 * width, 16 * page)
     return [(g, n) for g, n, _ in kept]
 
 

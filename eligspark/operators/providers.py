@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
@@ -15,7 +14,6 @@ from eligspark.functions.text import without_fences
 from eligspark.operators.sampling import global_rank
 
 COOLDOWN_S, STRIKES, MOST_RETRIES = 60, 3, 2
-FUZZY_RATIO = 0.82
 
 
 class Offline:
@@ -171,58 +169,6 @@ def is_nearly_empty(fields: list[Column], least: int = 2) -> Column:
     return F.size(F.array_compact(F.array(*[F.when(f.isNotNull(), 1) for f in fields]))) < least
 
 
-def matching_names(candidates: DataFrame, corpus: DataFrame, ratio: float = FUZZY_RATIO) -> DataFrame:
-    """Candidates (id, tokens) each of whose tokens is like some token of one corpus name (id2, tokens2).
-
-    Tokens are compared once per distinct pair of equal first letters or near lengths, by the ratio of matching blocks.
-    """
-    a = candidates.select("id", F.explode(F.array_distinct("tokens")).alias("t"))
-    b = corpus.select("id2", F.explode(F.array_distinct("tokens2")).alias("u"))
-    # similar enough tokens have at least one letter pair in common or are equal
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(2))))
-    x = a.select("t").distinct().withColumn("g", F.explode(grams(F.col("t"))))
-    y = b.select("u").distinct().withColumn("g", F.explode(grams(F.col("u"))))
-    close = (2 * F.least(F.length("t"), F.length("u")) >= ratio * (F.length("t") + F.length("u")))
-    pairs = x.join(y, "g").filter(close).select("t", "u").distinct()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf[[SequenceMatcher(None, t, u).ratio() >= ratio for t, u in zip(pdf["t"], pdf["u"])]]
-
-    like = pairs.mapInPandas(run, "t string, u string")
-    sizes = a.groupBy("id").agg(F.count_distinct(F.col("t")).alias("n"))
-    hits = a.join(like, "t").join(b, "u").groupBy("id", "id2").agg(F.count_distinct(F.col("t")).alias("m"))
-    return hits.join(sizes, "id").filter("m = n").select("id", "id2")
-
-
 def ratio(a: str, b: str) -> float:
     """The ratio of matching blocks of two strings."""
     return SequenceMatcher(None, a, b).ratio()
-
-
-# Number words of the profile reader, and what multiplies or halves.
-ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
-TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
-ORDINALS = "zeroth first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth thirteenth fourteenth fifteenth sixteenth seventeenth eighteenth nineteenth".split()
-FRACTIONS = {"half": 0.5, "quarter": 0.25}
-NUMBER_WORDS = {w: k for k, w in enumerate(ONES)} | {w: 10 * (k + 2) for k, w in enumerate(TENS)} | {w: k for k, w in enumerate(ORDINALS)} | FRACTIONS
-
-
-def spoken_numbers(text: str) -> list[float]:
-    """X16 (words): numbers in English words, ordinals, halves and quarters among them; tens and ones are joined ("seventy five"),
-    "hundred" multiplies, a fraction after "and" is added ("two and a half")."""
-    out: list[float] = []
-    total, joining = None, False
-    for word in re.findall(r"[a-z]+", text.lower()):
-        value = NUMBER_WORDS.get(word)
-        if value is None and word == "hundred" and total is not None:
-            total *= 100
-        elif value is None and word in ("and", "a") and total is not None:
-            joining = joining or word == "and"
-        elif value is None:
-            out, total, joining = (out if total is None else [*out, float(total)]), None, False
-        elif total is not None and ((total % 100 >= 20 and total % 10 == 0 and 0 < value < 10 and value >= 1) or (total % 100 == 0 and total >= 100 and 0 < value < 100) or (joining and value < 1)):
-            total, joining = total + value, False
-        else:
-            out, total, joining = (out if total is None else [*out, float(total)]), value, False
-    return [*out, float(total)] if total is not None else out

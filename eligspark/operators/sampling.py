@@ -110,6 +110,26 @@ def dev_test_split(df: DataFrame, by: str, key: str, dev: int, seed: str = "2026
     return rows.withColumn("split", F.when(F.col("__k") <= F.col("places"), "dev").otherwise("test")).drop("__k", "places")
 
 
+def language_swaps(split: DataFrame, key: str, language: str, positive: Column, common: str = "en", seed: str = "20260922") -> DataFrame:
+    """`split` with a positive dev row in every language that has a positive row at all.
+
+    A language without one takes its first positive test row in hashed order; in its place a positive dev row of the
+    `common` language goes to test.  Both sides are numbered (languages by name, rows in hashed order) and meet on the
+    number: one pass for all languages.  Languages beyond the rows of the common language stay without; null languages
+    and keys don't take part; the number of languages is bounded, that of rows isn't: rows are ranked by a limit.
+    """
+    rows = split.filter(positive & F.col(key).isNotNull() & F.col(language).isNotNull()).select(F.col(key).alias("__key"), F.col(language).alias("__lang"), (F.col("split") == "dev").alias("__dev"))
+    hashed = hash_order(seed, F.col("__key"))
+    lacking = rows.groupBy("__lang").agg(F.max("__dev").alias("has"), F.min(F.when(~F.col("__dev"), F.struct(hashed.alias("h"), F.col("__key").alias("k")))).alias("first"))
+    lacking = materialize(lacking.filter("not has").select("__lang", F.col("first.k").alias("incoming")).withColumn("__n", F.row_number().over(W.orderBy("__lang"))), "swaps")  # one row a language
+    outgoing = rows.filter(F.col("__dev") & (F.col("__lang") == common)).orderBy(hashed, "__key").limit(max(lacking.count(), 1))
+    outgoing = outgoing.withColumn("__n", F.row_number().over(W.orderBy(hashed, "__key"))).select("__n", F.col("__key").alias("outgoing"))
+    swaps = lacking.join(outgoing, "__n").select("incoming", "outgoing")
+    moved = swaps.select(F.explode(F.array(F.struct(F.col("incoming").alias("k"), F.lit("dev").alias("s")), F.struct(F.col("outgoing").alias("k"), F.lit("test").alias("s")))).alias("x")).select(F.col("x.k").alias("__moved"), F.col("x.s").alias("__to"))
+    out = split.join(F.broadcast(moved), F.col(key) == F.col("__moved"), "left")
+    return out.withColumn("split", F.coalesce("__to", "split")).drop("__moved", "__to")
+
+
 def folds(df: DataFrame, label: str, key: str, k: int = 5, seed: str = "42") -> DataFrame:
     """Stratified folds: within a class in hashed order, dealt round."""
     return hashed_rank(df, label, key, seed, "__k").withColumn("fold", ((F.col("__k") - 1) % k).cast("int")).drop("__k")

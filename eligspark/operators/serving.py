@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from eligspark.functions.rules import NUMERIC_KINDS
 from eligspark.functions.text import document_list, is_grounded
 from eligspark.operators import matcher, search
+from eligspark.operators.names import notices
 from eligspark.operators.postprocess import display_order, fallback_reason, finalize, with_explanations, without_dependent_note
 from eligspark.schemas import RULES, STATUSES
 
@@ -92,15 +93,7 @@ def question(field: Column) -> Column:
     return F.create_map(*[F.lit(x) for p in QUESTIONS.items() for x in p])[field]
 
 
-def notices(names: DataFrame, known: DataFrame) -> DataFrame:
-    """(query_id, name) of named schemes that are like no known one.  names: (query_id, name, tokens); known: (id2, tokens2)."""
-    from eligspark.operators.providers import matching_names
-
-    numbered = names.withColumn("id", F.xxhash64("query_id", "name"))
-    return numbered.join(matching_names(numbered.select("id", "tokens"), known), "id", "left_anti").select("query_id", "name")
-
-
-def match(queries: DataFrame, chunks: DataFrame, profiles: DataFrame, constraints: DataFrame, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, k: int = SERVED, rules: tuple[str, ...] = RULES, meanings: DataFrame | None = None, explanations: DataFrame | None = None, schemes: DataFrame | None = None, index: search.LexicalIndex | None = None) -> DataFrame:
+def match(queries: DataFrame, chunks: DataFrame, profiles: DataFrame, constraints: DataFrame, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, k: int = SERVED, rules: tuple[str, ...] = RULES, meanings: DataFrame | None = None, explanations: DataFrame | None = None, schemes: DataFrame | None = None, index: search.LexicalIndex | None = None, named: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """Retrieve, evaluate, explain, finalize and order for all queries in one plan.
 
     queries (query_id, text, and maybe lang), chunks (chunk_id long, slug, text, and maybe section), profiles (query_id, p_*),
@@ -109,6 +102,8 @@ def match(queries: DataFrame, chunks: DataFrame, profiles: DataFrame, constraint
     residuals (J09); `explanations` (query_id, slug, status, reason, citations) take the place of template reasons (J10);
     `schemes` (slug, eligibility_text, documents_text) give the text that quotes must stand in, and the documents.  With
     `index` the search reads a stored index instead of the chunks' texts.  A candidate without a record needs checking.
+    With `named` (query_id, name, tokens) and `known` (id2, tokens2) every row of a query lists the schemes that the query
+    names and nobody knows, as `unknown_names` in name order (D13).
 
     One row per query and result: status and reason of the matcher, template, caveats, final_status, final_reason, flags,
     documents, question and place.
@@ -124,7 +119,11 @@ def match(queries: DataFrame, chunks: DataFrame, profiles: DataFrame, constraint
     pairs = found.join(profiles, "query_id", "left").join(records, "slug", "left").withColumn("c_missing", F.col("__there").isNull()).drop("__there")
     if "lang" in queries.columns:
         pairs = pairs.join(queries.select("query_id", "lang"), "query_id", "left")
-    return answers(with_meanings(pairs, meanings), chunks, rules, explanations, schemes)
+    out = answers(with_meanings(pairs, meanings), chunks, rules, explanations, schemes)
+    if named is None or known is None:
+        return out
+    unknown = notices(named, known).groupBy("query_id").agg(F.array_sort(F.collect_list("name")).alias("unknown_names"))
+    return out.join(unknown, "query_id", "left").withColumn("unknown_names", F.coalesce("unknown_names", F.array().cast("array<string>")))
 
 
 def with_meanings(pairs: DataFrame, meanings: DataFrame | None) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from eligspark.plans import corpus, evaluation, functions, matching, records, rules, search, serving, validation
+from eligspark.plans import corpus, evaluation, functions, matching, names, records, rules, search, serving, validation
 
-MODULES = (search, matching, corpus, evaluation, serving, functions, rules, records, validation)
+MODULES = (search, matching, corpus, evaluation, serving, functions, rules, records, validation, names)
 QUERIES: dict = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

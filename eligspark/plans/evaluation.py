@@ -10,7 +10,8 @@ from eligspark.operators import evaluation as E
 from eligspark.operators import ml
 from eligspark.operators import sampling as R
 from eligspark.operators.postprocess import citation_errors
-from eligspark.operators.providers import matching_names, reconcile
+from eligspark.operators.names import matching_names
+from eligspark.operators.providers import reconcile
 from eligspark.operators.search import search_dense
 from eligspark.plans.fixtures import PROFILES, profiles
 from eligspark.sources.records import last_written

@@ -10,7 +10,7 @@ from eligspark.functions import text as X
 from eligspark.operators import chunking, postprocess
 from eligspark.operators import matcher as M
 from eligspark.operators.search import fuse
-from eligspark.schemas import RULES
+from eligspark.schemas import CONDITION, RULES
 
 
 def one(spark, expression, **columns):
@@ -193,9 +193,9 @@ def test_residuals(spark):
 
 @pytest.mark.parametrize(("age", "status"), [(25, "eligible"), (19, "needs_checking"), (None, "needs_checking")])
 def test_finalize_only_lowers(spark, age, status):
-    c = "array(named_struct('field','age','result','pass','decisive',true,'constraint','{\"min\":18}','source_span','x'))"
+    c = F.from_json(F.lit('[{"field":"age","result":"pass","decisive":true,"constraint":"{\\"min\\":18}","source_span":"x"}]'), f"array<{CONDITION}>")
     for before in ("eligible", "needs_checking", "not_eligible"):
-        df = spark.range(1).select(F.lit(before).alias("status"), F.lit("why").alias("reason"), F.array(F.lit("age must be at least 21 years")).alias("unverified"), F.expr(c).alias("conditions"), F.lit(age).cast("int").alias("age"))
+        df = spark.range(1).select(F.lit(before).alias("status"), F.lit("why").alias("reason"), F.array(F.lit("age must be at least 21 years")).alias("unverified"), c.alias("conditions"), F.lit(age).cast("int").alias("age"))
         got = postprocess.finalize(df, {"age": F.col("age")}, {"age": F.lit("high")}, F.lit("the age must be at least 21 years here")).first()
         assert got.final_status == (status if before == "eligible" else before)
         assert (got.caveats == []) == (before == "not_eligible" or age == 25)

@@ -2,6 +2,7 @@
 
 import os
 import random
+from datetime import datetime, timedelta
 import subprocess
 import sys
 
@@ -10,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from eligspark.operators import dedup, ml, providers, sampling
+from eligspark.operators import corpus, dedup, evaluation, ml, names, providers, sampling
 from eligspark.operators.chunking import chunks
 from eligspark.sources import records
 from eligspark.streaming import state
@@ -161,8 +162,7 @@ def test_keys_and_retries(spark):
 def test_names_and_numbers(spark):
     a = spark.createDataFrame([(1, ["kissan", "samman"]), (2, ["other"])], "id long, tokens array<string>")
     b = spark.createDataFrame([(7, ["kisan", "saman", "nidhi"])], "id2 long, tokens2 array<string>")
-    assert [tuple(r) for r in providers.matching_names(a, b).collect()] == [(1, 7)]
-    assert providers.spoken_numbers("seventy five and two hundred") == [75.0, 200.0]
+    assert [tuple(r) for r in names.matching_names(a, b).collect()] == [(1, 7)]
 
 
 def test_extraction_checks(spark):
@@ -174,6 +174,81 @@ def test_extraction_checks(spark):
     assert row.select(kept.alias("k")).first().k == ["must own land"]
 
 
+def test_stream_of_key_runs_equals_batch(spark, tmp_path):
+    """Runs of failures over replayed batches are those of the batch form, and each rest that ends in event time is told."""
+    rnd = random.Random(8)
+    start = datetime(2024, 1, 1)
+    events = [(k, start + timedelta(seconds=11 * k), rnd.randrange(3), rnd.choice(["error", "error", "error", "click"]), 1.0) for k in range(160)]
+    events += [(900, start + timedelta(seconds=5000), 7, "click", 1.0), (901, None, 7, "error", 1.0), (902, start + timedelta(seconds=5001), None, "error", 1.0)]
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double"
+    for k, part in enumerate([events[:50], events[50:51], events[51:120], events[120:]]):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"e{k}"))
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        folder = tmp_path / "in"
+        folder.mkdir()
+        stream = spark.readStream.schema(schema).parquet(str(folder))
+        q = state.key_runs(stream).writeStream.outputMode("update").format("memory").queryName("runs").option("checkpointLocation", str(tmp_path / "c")).start()
+        for k in range(4):
+            for f in (tmp_path / f"e{k}").glob("*.parquet"):
+                f.rename(folder / f"{k}-{f.name}")
+            q.processAllAvailable()
+        q.stop()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+    rows = spark.sql("select * from runs").collect()
+    last = {}
+    for r in rows:
+        if r.kind == "run" and r.failures > last.get((r.user_id, r["first"]), (0,))[0]:
+            last[r.user_id, r["first"]] = (r.failures, r["last"], r.rests_until)
+    batch = state.error_runs(spark.createDataFrame([e for e in events if e[1] and e[2] is not None], schema)).collect()
+    assert last == {(r.user_id, r["first"]): (r.failures, r["last"], r.rests_until) for r in batch} and len(batch) > 5
+    rested = [(r.user_id, r.rests_until) for r in rows if r.kind == "rested"]
+    assert rested and set(rested) <= {(u, v[2]) for (u, _), v in last.items()} | {(r.user_id, r.rests_until) for r in rows if r.kind == "run"}
+
+
+def test_monte_carlo(spark):
+    """Near the normal interval of the closed form, alike however rows are dealt, nothing without strata."""
+    strata = [("a", 5000, 200, 120), ("b", 3000, 150, 30), ("c", 2000, 100, 90), ("d", 500, 0, 0), ("e", 0, 10, 5)]
+    df = spark.createDataFrame(strata, "stratum string, population long, sampled long, hits long")
+    got = evaluation.jeffreys_interval(df).first()
+    closed = evaluation.post_stratified(df).first()
+    assert abs(got.low - closed.normal_low) < 0.005 and abs(got.high - closed.normal_high) < 0.005 and got.draws == 40_000
+    assert evaluation.jeffreys_interval(df.repartition(7, "hits")).first() == got
+    assert evaluation.jeffreys_interval(df, draws=4_500).first().draws == 4_500
+    assert evaluation.jeffreys_interval(df.limit(0)).first().low is None
+
+
+def test_greedy_phrases_page_by_page(spark):
+    rnd = random.Random(3)
+    words = ["alpha", "beta", "gamma", "delta", "rho", "the", "of", "must", "pi"]
+    counts = sorted({" ".join(rnd.choices(words, k=4)): rnd.randint(5, 9) for _ in range(300)}.items())
+    df = spark.createDataFrame(counts, "gram string, n long")
+    kept = []
+    for gram, n in sorted(counts, key=lambda x: (-x[1], -len(x[0]), x[0])):
+        own = {w for w in gram.split() if w not in corpus.BOILERPLATE}
+        if len(kept) < 25 and all(len(own & k) / max(1, min(len(own), len(k))) < 0.75 for _, _, k in kept):
+            kept.append((gram, n, own))
+    for page in (7, 500):
+        assert corpus.top_phrases(df, page=page) == [(g, n) for g, n, _ in kept]
+    assert corpus.top_phrases(df.limit(0)) == []
+
+
+def test_language_swaps(spark):
+    rows = [(k, ["en", "en", "en", "de", "fr", None][k % 6], k % 2) for k in range(60)] + [(None, "es", 1), (100, "es", 1), (101, "it", 0)]
+    df = spark.createDataFrame(rows, "k long, lang string, good int").withColumn("split", F.when(F.col("lang").isin("en") & (F.col("k") < 12), "dev").otherwise("test"))
+    got = {r.k: r.split for r in sampling.language_swaps(df, "k", "lang", F.col("good") == 1).collect() if r.k is not None}
+    before = {r.k: r.split for r in df.collect() if r.k is not None}
+    lang = {k: x for k, x, _ in rows}
+    good = {k for k, _, g in rows if g == 1}
+    moved_in, moved_out = ({k for k in got if got[k] != before[k] and got[k] == s} for s in ("dev", "test"))
+    lacking = {x for k, x in lang.items() if k in good and x} - {lang[k] for k in good if before.get(k) == "dev"}
+    assert sorted(lang[k] for k in moved_in) == sorted(lacking)[: len(moved_out)] and moved_in <= good
+    assert all(lang[k] == "en" and k in good for k in moved_out) and len(moved_in) == len(moved_out) > 0
+    assert sampling.language_swaps(df.limit(0), "k", "lang", F.col("good") == 1).count() == 0
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rnd = random.Random(4)
     events = [(k, k, rnd.randrange(3), rnd.choice(["error", "error", "click"]), 1.0) for k in range(90)]
