@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -54,33 +59,81 @@ def is_informative(gram: Column, least: int = 2) -> Column:
     return F.size(F.filter(F.split(gram, " "), lambda w: ~w.isin(*BOILERPLATE))) >= least
 
 
-def informative_spans(words: str, telling: str, sizes: tuple[int, ...], least: int = 2) -> Column:
-    """Array of struct(hash, at, n) of the sequences in column `words` with at least `least` words whose entry in `telling` is 1."""
+class Spans:
+    """Informative word sequences of normalised texts by 64-bit hashes; word hashes are remembered up to a bound."""
+
+    MOST_WORDS = 400_000
+
+    def __init__(self, sizes: tuple[int, ...], least: int = 2):
+        self.sizes, self.least, self.known, self.boilerplate = sizes, least, {}, set(BOILERPLATE)
 
-    def spans(n: int) -> Column:
-        places = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-        good = F.filter(places, lambda i: sum((F.get(F.col(telling), i + k) for k in range(n - 1)), F.get(F.col(telling), i - 1)) >= least)
-        return F.transform(good, lambda i: F.struct(F.xxhash64(F.slice(words, i, F.lit(n))).alias("hash"), i.alias("at"), F.lit(n).alias("n")))
+    def word(self, w: str) -> tuple[int, int]:
+        if len(self.known) > self.MOST_WORDS:
+            self.known.clear()
+        found = self.known[w] = (xxhash.xxh3_64_intdigest(w.encode()), w not in self.boilerplate)
+        return found
 
-    return F.flatten(F.array(*[spans(n) for n in sizes]))
+    def of(self, words: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(size, places from 0, hashes) of the sequences with enough words that aren't boilerplate."""
+        known = self.known
+        pairs = [known.get(w) or self.word(w) for w in words]
+        h, telling = np.array([p[0] for p in pairs], np.uint64), np.array([p[1] for p in pairs], np.int64)
+        before = np.r_[0, np.cumsum(telling)]
+        for n in self.sizes:
+            if len(words) < n:
+                continue
+            at = np.flatnonzero(before[n:] - before[:-n] >= self.least)
+            out = np.full(len(at), n, np.uint64)
+            for k in range(n):
+                out = (out ^ h[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+                out ^= out >> np.uint64(29)
+            yield n, at, out
 
 
 def phrase_counts(documents: DataFrame, key: str, text: str, sizes: tuple[int, ...] = (4, 5, 6), support: int = 5) -> DataFrame:
     """(gram, n): informative phrases by the number of records that have them; each record counts a phrase once.
 
-    Boilerplate goes before anything is shuffled.  Phrases are first counted by 64-bit hashes, which also combine on the
-    map side; strings are made only for those that may have the support, and counted again as strings.
+    Boilerplate goes before anything is shuffled.  Phrases are first counted by 64-bit hashes, each record's distinct ones;
+    strings are made only for those that may have the support, and counted again as strings.  The hashes that may are
+    broadcast in slices of a bounded number, one pass over the texts each.
     """
-    words = F.filter(F.split(phrase_norm(F.col(text)), " "), lambda w: w != "")
-    rows = documents.select(F.monotonically_increasing_id().alias("__r"), fenced(words).alias("__w"))
-    rows = rows.select("__r", "__w", fenced(F.transform("__w", lambda w: F.when(w.isin(*BOILERPLATE), 0).otherwise(1))).alias("__t"))
-    rows = rows.select("__r", "__w", fenced(informative_spans("__w", "__t", sizes)).alias("__s"))
-    hashes = rows.select(F.explode(F.array_distinct(F.col("__s.hash"))).alias("hash"))
-    often = materialize(hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= support).select("hash"), "phrases")
-    few = often.limit(BROADCAST_PHRASES + 1).count() <= BROADCAST_PHRASES
-    found = rows.select("__r", "__w", F.explode("__s").alias("s")).select("__r", "__w", "s.*").join(F.broadcast(often) if few else often, "hash", "left_semi")
-    grams = found.select("__r", F.array_join(F.slice("__w", F.col("at"), F.col("n")), " ").alias("gram"))
-    return grams.groupBy("gram").agg(F.count_distinct("__r").alias("n")).filter(F.col("n") >= support)
+    texts = documents.select(phrase_norm(F.col(text)).alias("t"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans = Spans(sizes)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                found = [np.unique(np.concatenate([h for _, _, h in spans.of(t.split())] or [np.empty(0, np.uint64)])) for t in batch.column("t").slice(at, 500).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["hash"])
+
+    counts = texts.mapInArrow(hashed, "hash long").groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= support)
+    often = materialize(counts.select("hash", F.pmod(F.xxhash64("hash"), F.lit(1 << 20)).cast("int").alias("slice")), "phrases")
+    passes = max(1, -(-often.count() // BROADCAST_PHRASES))
+
+    def grams(part: np.ndarray) -> DataFrame:
+        shared = documents.sparkSession.sparkContext.broadcast(part)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            spans, wanted = Spans(sizes), shared.value
+            for batch in batches:
+                for at in range(0, batch.num_rows, 500):
+                    out: list[str] = []
+                    for t in batch.column("t").slice(at, 500).to_pylist():
+                        words, own = t.split(), set()
+                        for n, places, h in spans.of(words):
+                            hit = np.minimum(np.searchsorted(wanted, h), max(len(wanted) - 1, 0))
+                            own.update(" ".join(words[i : i + n]) for i in places[wanted[hit] == h].tolist()) if len(wanted) else None
+                        out.extend(own)
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["gram"])
+
+        return texts.mapInArrow(run, "gram string").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= support)
+
+    whole = None
+    for k in range(passes):
+        part = often.filter(F.pmod("slice", F.lit(passes)) == k).select("hash").toArrow().column("hash").to_numpy()
+        got = grams(np.sort(part.view(np.uint64)))
+        whole = got if whole is None else whole.unionByName(got)
+    return whole
 
 
 def top_phrases(counts: DataFrame, keep: int = 25, overlap: float = 0.75, page: int = 500) -> list[tuple[str, int]]:
@@ -174,40 +227,53 @@ def changed_binding(before: DataFrame, after: DataFrame, key: str, value: str) -
     return a.join(b, key).filter("before <> after")
 
 
-#: Passages' anchors are broadcast up to this many rows; passages of under three pieces, which every text is searched for, up to so many.
+#: Passages' anchors are broadcast up to this many rows; passages of under three pieces are searched for in blocks of so many.
 BROADCAST_ANCHORS, SHORT_PASSAGES = 1_000_000, 1_000
 
 
+def runs_of(hashes: Column, n: int) -> Column:
+    """Hashes of all runs of n neighbours, from the hashes of single pieces."""
+    places = F.when(F.size(hashes) >= n, F.sequence(F.lit(0), F.size(hashes) - n)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(n)], F.lit(n)))
+
+
 def containing(texts: DataFrame, passages: DataFrame, key: str, passage: str, text: str = "text", longest: int = 4) -> DataFrame:
     """(passage, key) of the texts that contain a passage whole, character by character.  Both sides have the column `text`.
 
-    Between its first and last space a passage consists of pieces that stand in the text as they are: the hash of up to
-    `longest` of them, its anchor, meets the texts' runs of as many pieces in an equi-join, and what matches is compared
-    character by character.  Passages without an inner piece are few (else ValueError) and are searched for in every text.
+    Between its first and last space a passage consists of pieces that stand in the text as they are.  The hash of up to
+    `longest` of them, its anchor, meets the distinct hashes of the texts' runs in an equi-join that carries keys only;
+    texts come back by key for those that met, and are compared character by character.  Passages without an inner piece
+    are searched for in every text, in blocks.  A row whose text contains a passage is one row, repeated keys and null
+    keys too; null and empty passages are in nothing.
     """
     pieces = F.split(F.col(text), " ")
     inner = F.when(F.size(pieces) > 2, F.slice(pieces, F.lit(2), F.size(pieces) - 2)).otherwise(F.array().cast("array<string>"))
-    wanted = passages.filter(F.coalesce(F.col(text), F.lit("")) != "").select(passage, F.col(text).alias("__p"), inner.alias("__i"))
-    wanted = wanted.withColumn("__n", F.least(F.size("__i"), F.lit(longest))).select(passage, "__p", "__n", F.xxhash64(F.slice("__i", F.lit(1), F.col("__n"))).alias("__h"))
-    short = wanted.filter("__n = 0").select(passage, "__p")
-    if short.limit(SHORT_PASSAGES + 1).count() > SHORT_PASSAGES:
-        raise ValueError("too many passages of one or two pieces")
-    anchors = wanted.filter("__n > 0")
-    rows = texts.select(key, F.col(text).alias("__t"), fenced(pieces).alias("__w"))
-
-    def runs(n: int) -> Column:
-        places = F.when(F.size("__w") >= n, F.sequence(F.lit(1), F.size("__w") - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.struct(F.lit(n).alias("__n"), F.xxhash64(F.slice("__w", i, F.lit(n))).alias("__h")))
-
-    lengths = [r["__n"] for r in anchors.select("__n").distinct().collect()]  # at most `longest`
+    wanted = passages.filter(F.coalesce(F.col(text), F.lit("")) != "").select(F.col(passage).alias("__id"), F.col(text).alias("__passage"), fenced(F.transform(inner, lambda w: F.xxhash64(w))).alias("__i"))
+    anchor = F.coalesce(*[F.when(F.size("__i") >= n, runs_of(F.slice("__i", F.lit(1), F.lit(n)), n)[0]) for n in range(longest, 0, -1)])
+    wanted = materialize(wanted.select("__id", "__passage", F.least(F.size("__i"), F.lit(longest)).alias("__n"), anchor.alias("__h")), "passages")
+    anchors, short = wanted.filter("__n > 0"), wanted.filter("__n = 0").select("__id", "__passage")
+    lengths = {r["__n"]: r["count"] for r in wanted.groupBy("__n").count().collect()}  # at most `longest` and 0
+    n_short, n_anchors = lengths.pop(0, 0), sum(lengths.values())
     out = []
     if lengths:
-        met = rows.select(key, "__t", F.explode(F.array_distinct(F.flatten(F.array(*[runs(n) for n in lengths])))).alias("r")).select(key, "__t", "r.*")
-        few = anchors.limit(BROADCAST_ANCHORS + 1).count() <= BROADCAST_ANCHORS
-        met = met.join(F.broadcast(anchors) if few else anchors, ["__n", "__h"]).filter(F.contains("__t", F.col("__p")))
-        out.append(met.select(passage, key))
-    if short.limit(1).count():
-        out.append(rows.join(F.broadcast(short), F.contains("__t", F.col("__p"))).select(passage, key))  # a checked handful
+        rows = texts.select(F.col(key).alias("__k"), fenced(F.transform(pieces, lambda w: F.xxhash64(w))).alias("__w"))
+        met = rows.select("__k", F.explode(F.array_distinct(F.flatten(F.array(*[runs_of(F.col("__w"), n) for n in lengths])))).alias("__h"))
+        few = n_anchors <= BROADCAST_ANCHORS
+        ids = anchors.select("__id", "__h")
+        met = materialize(met.join(F.broadcast(ids) if few else ids, "__h").select("__id", "__k").distinct(), "passages-met")
+        found = texts.select(key, F.col(text).alias("__t")).join(met, F.col(key).eqNullSafe(F.col("__k")))
+        own = anchors.select(F.col("__id").alias("__id2"), "__passage")
+        found = found.join(F.broadcast(own) if few else own, F.col("__id").eqNullSafe(F.col("__id2"))).filter(F.contains("__t", F.col("__passage")))
+        out.append(found.select(F.col("__id").alias(passage), key))
+    if n_short:
+        numbered = global_rank(short, ["__passage"], "__n")
+        rows = texts.select(key, F.col(text).alias("__t"))
+        for at in range(0, n_short, SHORT_PASSAGES):
+            block = numbered.filter((F.col("__n") > at) & (F.col("__n") <= at + SHORT_PASSAGES)).select("__id", "__passage")
+            out.append(rows.join(F.broadcast(block), F.contains("__t", F.col("__passage"))).select(F.col("__id").alias(passage), key))
     if not out:
         return passages.select(passage).limit(0).crossJoin(texts.select(key).limit(0))  # two empty sides
-    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
+    whole = out[0]
+    for part in out[1:]:
+        whole = whole.unionByName(part)
+    return whole
