@@ -15,8 +15,9 @@ side by side exactly if encoding their joined string gives the two back).
 
 Long texts are cut into chunks.  A chunk becomes a state map: the unfinished run at its
 head (whose effect depends on the state in which the chunk is entered), the count of
-everything between, and the run at its tail.  Maps compose associatively; `scan_maps`
-composes them as a balanced prefix scan.
+everything between, and the run at its tail.  Maps compose associatively; `scanned`
+composes them as the up-sweep of a prefix scan, and a run over many chunks goes through
+each chunk's map of the entry states that it reaches.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ PRETOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p
 LETTER = regex.compile(r"\p{L}")
 NUMBER = regex.compile(r"\p{N}")
 CHUNK = 1 << 16
+#: Longest run that is joined into one string when it ends, longest word whose count is remembered, state maps remembered within a run.
+LONGEST_JOINED, LONGEST_WORD, MOST_MAPS = 1 << 17, 1 << 10, 1 << 12
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, n_chunks int"
 
@@ -175,7 +178,39 @@ class CountTransducer:
         emitted = state.finals.get(byte)
         return total + (emitted if emitted is not None else self.finish(state, byte))
 
+    def run_pieces(self, pieces: tuple[str, ...]) -> int:
+        """The token count of one pre-token that comes in pieces.
+
+        Each piece is a map from the state at its start to (state at its end, emitted count); of a map only the entries
+        that are reached are made, and equal pieces share theirs, so that the whole text is never one string of bytes.
+        """
+        maps: dict[tuple[str, int], tuple[State, int, State]] = {}
+        state, total = self.start, 0
+        *inner, last = pieces
+        last = last.encode()
+        for piece in inner:
+            known = maps.get((piece, id(state)))
+            if known is None:
+                entry, emitted = state, 0
+                for byte in piece.encode():
+                    made = state.moves.get(byte)
+                    state, change = made if made is not None else self.move(state, byte)
+                    emitted += change
+                if len(maps) > MOST_MAPS:
+                    maps.clear()
+                known = maps[piece, id(entry)] = (state, emitted, entry)  # the entry state stays alive, so that its id stays its own
+            state, emitted, _ = known
+            total += emitted
+        for byte in last[:-1]:
+            made = state.moves.get(byte)
+            state, change = made if made is not None else self.move(state, byte)
+            total += change
+        emitted = state.finals.get(last[-1])
+        return total + (emitted if emitted is not None else self.finish(state, last[-1]))
+
     def count(self, word: bytes) -> int:
+        if len(word) > LONGEST_WORD:
+            return self.run(word)
         n = self.words.get(word)
         if n is None:
             if len(self.words) >= self.most_words:
@@ -202,29 +237,33 @@ def normal(text: str) -> str:
 
 @dataclass
 class ChunkMap:
-    """State map of a piece of text.  `whole`: it is one unfinished run, held in `head` alone."""
+    """State map of a piece of text: what its first run adds to the run before it, the count inside, and the run left open
+    at its end.  Open runs are the pieces they came in.  `whole`: it is one unfinished run, held in `head` alone."""
 
-    head: str
+    head: tuple[str, ...]
     inside: int
-    tail: str
+    tail: tuple[str, ...]
     whole: bool
 
 
 def chunk_map(piece: str, machine: CountTransducer) -> ChunkMap:
-    """The map of a normalised piece; what its ends leave open stays as text."""
+    """The map of a normalised piece."""
     words = PRETOKEN.findall(piece)
     if not words:
-        return ChunkMap("", 0, "", not piece)
-    head = words[0] if piece.startswith(words[0]) and run_class(piece[0]) in "LO" else ""
-    tail = words[-1] if piece.endswith(words[-1]) and run_class(piece[-1]) in "LO" else ""
+        return ChunkMap((), 0, (), not piece)
+    head = (words[0],) if piece.startswith(words[0]) and run_class(piece[0]) in "LO" else ()
+    tail = (words[-1],) if piece.endswith(words[-1]) and run_class(piece[-1]) in "LO" else ()
     if head and len(words) == 1 and tail:
-        return ChunkMap(head, 0, "", True)
-    inner = words[bool(head) : len(words) - bool(tail)]
+        return ChunkMap(head, 0, (), True)
+    inner = words[len(head) : len(words) - len(tail)]
     return ChunkMap(head, sum(map(machine.count, (w.encode() for w in inner))), tail, False)
 
 
-def closed(run: str, machine: CountTransducer) -> int:
-    return sum(machine.count(w.encode()) for w in PRETOKEN.findall(run)) if run else 0
+def closed(run: tuple[str, ...], machine: CountTransducer) -> int:
+    """The count of a run that has ended."""
+    if sum(map(len, run)) <= LONGEST_JOINED:
+        return sum(machine.count(w.encode()) for w in PRETOKEN.findall("".join(run)))
+    return machine.run_pieces(run)
 
 
 def compose(a: ChunkMap, b: ChunkMap, machine: CountTransducer) -> ChunkMap:
@@ -234,9 +273,9 @@ def compose(a: ChunkMap, b: ChunkMap, machine: CountTransducer) -> ChunkMap:
     if b.whole and not b.head:
         return a
     left = a.head if a.whole else a.tail
-    joins = bool(left) and bool(b.head) and run_class(left[-1]) == run_class(b.head[0])
+    joins = bool(left) and bool(b.head) and run_class(left[-1][-1]) == run_class(b.head[0][0])
     if a.whole and b.whole:
-        return ChunkMap(a.head + b.head, 0, "", True) if joins else ChunkMap(a.head, 0, b.head, False)
+        return ChunkMap(a.head + b.head, 0, (), True) if joins else ChunkMap(a.head, 0, b.head, False)
     if a.whole:
         return ChunkMap(a.head + b.head, b.inside, b.tail, False) if joins else ChunkMap(a.head, closed(b.head, machine) + b.inside, b.tail, False)
     if b.whole:
@@ -245,13 +284,19 @@ def compose(a: ChunkMap, b: ChunkMap, machine: CountTransducer) -> ChunkMap:
     return ChunkMap(a.head, a.inside + seam + b.inside, b.tail, False)
 
 
-def scan_maps(maps: list[ChunkMap], machine: CountTransducer) -> list[ChunkMap]:
-    """All prefix compositions, by rounds of doubling distance (each round's compositions are independent)."""
-    out, step = list(maps), 1
-    while step < len(out):
-        out = [compose(out[k - step], out[k], machine) if k >= step else out[k] for k in range(len(out))]
-        step *= 2
-    return out
+def scanned(maps: Iterator[ChunkMap], machine: CountTransducer) -> ChunkMap:
+    """The composition of all maps, as the up-sweep of a prefix scan: a balanced tree whose inputs go as soon as two of
+    equal height meet, so that only one map of each height is held."""
+    held: list[tuple[int, ChunkMap]] = []
+    for one in maps:
+        height = 0
+        while held and held[-1][0] == height:
+            one, height = compose(held.pop()[1], one, machine), height + 1
+        held.append((height, one))
+    total = ChunkMap((), 0, (), True)
+    while held:
+        total = compose(held.pop()[1], total, machine)
+    return total
 
 
 def cut_points(text: str, size: int) -> list[int]:
@@ -289,10 +334,9 @@ class TokenCounter:
                 chunks += 1
             else:
                 cuts = cut_points(piece, self.chunk)
-                maps = [chunk_map(normal(piece[a:b]), self.machine) for a, b in zip(cuts, cuts[1:])]
-                total = scan_maps(maps, self.machine)[-1]
+                total = scanned((chunk_map(normal(piece[a:b]), self.machine) for a, b in zip(cuts, cuts[1:])), self.machine)
                 tokens += closed(total.head, self.machine) + total.inside + closed(total.tail, self.machine)
-                chunks += len(maps)
+                chunks += len(cuts) - 1
         return tokens, chunks
 
 

@@ -1,5 +1,6 @@
 """Token counts against the tokenizer's own library."""
 
+import os
 import random
 
 import pytest
@@ -7,7 +8,7 @@ import pytest
 P = pytest.importorskip("public_tokenizers")
 Tokenizer = pytest.importorskip("tokenizers").Tokenizer
 
-from eligspark.llm.tokens import TokenCounter, chunk_map, compose, count_tokens, cut_points, normal, scan_maps  # noqa: E402
+from eligspark.llm.tokens import TokenCounter, chunk_map, compose, count_tokens, cut_points, normal, scanned  # noqa: E402
 
 LETTERS = "abcdefgst'’.,!?- \n éÉeÉñΣσİıſK一二½Ⅷ3५🎉​\x1c\x85<|endoftext|>don't we'll I'd they'Re  ''s"
 
@@ -59,7 +60,7 @@ def test_composition_is_associative(definition):
         right = maps[-1]
         for m in reversed(maps[:-1]):
             right = compose(m, right, machine)
-        assert left == right == scan_maps(maps, machine)[-1]
+        assert left == right == scanned(iter(maps), machine)
 
 
 def test_frame(spark, definition, library):
@@ -70,3 +71,29 @@ def test_frame(spark, definition, library):
     assert sorted(((r.doc_id, r.n_bytes, r.n_tokens) for r in got), key=str) == sorted(want, key=str)
     assert all(r.over_limit == (r.n_tokens > 5) for r in got)
     assert count_tokens(frame.limit(0), definition).count() == 0
+
+
+def test_a_run_over_many_chunks_equals_the_library(definition, library, monkeypatch):
+    from eligspark.llm import tokens
+
+    monkeypatch.setattr(tokens, "LONGEST_JOINED", 200)
+    rnd = random.Random(6)
+    counter = TokenCounter(definition, chunk=97)
+    texts = ["ab" * 3000, "".join(rnd.choice("abcdeéß") for _ in range(5000)), "=-" * 2000 + "abc " * 50 + "é" * 1500, "x" * 97 + "!" * 500 + "x" * 1000 + " end"]
+    for text in texts:
+        assert counter.count(text)[0] == expected(library, text)
+
+
+def test_memory_of_one_very_long_run():
+    """64 M characters that are one run stay under 500 MB, the text itself among them."""
+    import subprocess
+    import sys
+
+    code = (
+        "import resource, public_tokenizers; from eligspark.llm.tokens import TokenCounter; from eligspark.llm.queries import tokenizer_definition\n"
+        "c = TokenCounter(tokenizer_definition()); c.count('warm up'); before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\n"
+        "n = c.count('ab' * 32_000_000)[0]; print(n, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)"
+    )
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    n, mb = map(int, out.stdout.split())
+    assert n > 10_000_000 and mb < 500
