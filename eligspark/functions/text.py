@@ -334,14 +334,20 @@ def unhedged_claims(text: Column, lang: Column) -> Column:
     nor inside the phrase ("you may be eligible", "to confirm you qualify" are none)."""
 
     def found(code: str) -> Column:
-        # sentence by sentence; what stands between claims is what surrounds them
         sentences = F.split(F.coalesce(text, F.lit("")), "[.!?।]")
 
         def claims_of(s: Column) -> Column:
             phrases, around = F.regexp_extract_all(s, F.lit(CLAIM[code]), F.lit(0)), F.split(s, CLAIM[code])
-            marked = F.transform(phrases, lambda p, i: F.struct(p.alias("p"), F.get(around, i).alias("before"), F.get(around, i + 1).alias("after")))
-            clear = F.filter(marked, lambda m: ~(F.right(m["before"], F.lit(60)).rlike(HEDGE[code]) | F.left(F.coalesce(m["after"], F.lit("")), F.lit(30)).rlike(HEDGE[code]) | m["p"].rlike(HEDGE[code])))
-            return F.transform(clear, lambda m: m["p"])
+            # the sentence as what stands before a claim, the claim, what stands before the next, ..., what is left
+            parts = F.concat(F.flatten(F.transform(phrases, lambda p, i: F.array(F.get(around, i), p))), F.array(F.get(around, F.size(phrases))))
+
+            def marked(parts: Column) -> Column:
+                window = lambda i: F.struct(F.get(parts, 2 * i + 1).alias("p"), F.array_join(F.slice(parts, F.lit(1), 2 * i + 1), "").alias("before"), F.array_join(F.slice(parts, 2 * i + 3, F.size(parts)), "").alias("after"))
+                claims = F.transform(phrases, lambda _, i: window(i))
+                clear = F.filter(claims, lambda m: ~(F.right(m["before"], F.lit(60)).rlike(HEDGE[code]) | F.left(m["after"], F.lit(30)).rlike(HEDGE[code]) | m["p"].rlike(HEDGE[code])))
+                return F.transform(clear, lambda m: m["p"])
+
+            return let(parts, marked)
 
         return F.flatten(F.transform(sentences, claims_of))
 

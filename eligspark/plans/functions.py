@@ -50,18 +50,18 @@ def run_on_sentences(spark, sf_dir):
 
 
 def quotable_heads(spark, sf_dir):
-    """X26 over the first 60 characters after a lead that is chosen by the key."""
+    """X26 over whole texts after a lead that is chosen by the key."""
     lead = chosen(F.col("doc_id"), LEADS)
-    return docs(spark, sf_dir).select("doc_id", X.quotable(F.concat(lead, F.left("text", F.lit(60)))).alias("quote"))
+    return docs(spark, sf_dir).select("doc_id", F.md5(X.quotable(F.concat(lead, "text"))).alias("quote_md5"))
 
 
 LEADS = ("Note 3: ", "2) ", "a. ", ' "', "", "—; ")
 
 
 def word_measures(spark, sf_dir):
-    """How much of a text its first 200 characters cover, and the stems of its first 80."""
-    head = F.left("text", F.lit(200))
-    return docs(spark, sf_dir).select("doc_id", F.round(X.word_coverage(F.col("text"), head), 6).alias("coverage"), F.array_join(X.stems(F.left("text", F.lit(80))), ",").alias("stems"))
+    """How much of a text it covers itself once runs of seven letters and more are gone, and its stems."""
+    shorter = F.regexp_replace("text", "[A-Za-z]{7,}", " ")
+    return docs(spark, sf_dir).select("doc_id", F.round(X.word_coverage(F.col("text"), shorter), 6).alias("coverage"), F.md5(F.array_join(X.stems(F.col("text")), ",")).alias("stems_md5"))
 
 
 def chip_text() -> Column:
@@ -253,10 +253,10 @@ ORACLES = {
   md5(trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))) as phrase,
   cast(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[.!?।]+(?:\\s+|$)'), lambda x: trim(x) <> '')) as bigint) as n_sentences from documents""",
     "run_on_sentences": "select doc_id, md5(regexp_replace(replace(text, '. ', '.'), '([\\p{Ll}\\p{N})][.!?;:])(\\p{Lu})', '\\1 \\2', 'g')) as split_md5 from documents",
-    "quotable_heads": f"""with t as (select doc_id, trim(regexp_replace({chosen_sql('doc_id', LEADS)} || left(text, 60), '{WHITE}', ' ', 'g')) as t from documents)
-select doc_id, regexp_replace(regexp_replace(t, '^(?:note\\s*\\d*\\s*[:.\\-]\\s*|\\d{{1,2}}[.)]\\s*|[a-z][.)]\\s*)', '', 'i'), '^[\\s:;,.\\-–—"''“”‘’]+', '') as quote from t""",
-    "word_measures": f"""with w as (select doc_id, {WORDS.format('text')} as w, {WORDS.format('left(text, 200)')} as h, list_filter(regexp_extract_all(lower(left(text, 80)), '[a-z]+'), lambda x: length(x) >= 4) as s from documents)
-select doc_id, round(len(list_filter(w, lambda x: list_contains(h, x)))::double / nullif(len(w), 0), 6) as coverage, array_to_string(list_transform(s, lambda x: left(x, 5)), ',') as stems from w""",
+    "quotable_heads": f"""with t as (select doc_id, trim(regexp_replace({chosen_sql('doc_id', LEADS)} || text, '{WHITE}', ' ', 'g')) as t from documents)
+select doc_id, md5(regexp_replace(regexp_replace(t, '^(?:note\\s*\\d*\\s*[:.\\-]\\s*|\\d{{1,2}}[.)]\\s*|[a-z][.)]\\s*)', '', 'i'), '^[\\s:;,.\\-–—"''“”‘’]+', '')) as quote_md5 from t""",
+    "word_measures": f"""with w as (select doc_id, {WORDS.format('text')} as w, {WORDS.format("regexp_replace(text, '[A-Za-z]{7,}', ' ', 'g')")} as h, list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) >= 4) as s from documents)
+select doc_id, round(len(list_filter(w, lambda x: list_contains(h, x)))::double / nullif(len(w), 0), 6) as coverage, md5(array_to_string(list_transform(s, lambda x: left(x, 5)), ',')) as stems_md5 from w""",
     "tag_chips": f"""with c as (select p_partkey, {CHIPS} as c from part) select p_partkey, array_to_string(c, '|') as chips,
   cast(len(list_filter(c, lambda x: len(list_filter(regexp_split_to_array(x, '[\\s-]+'), lambda w: w <> '' and not regexp_matches(w, '^(?:[^\\p{{L}}]|\\p{{Lu}})'))) = 0)) as bigint) as n_tags from c""",
     "tag_blobs": """with t as (select p_partkey, p_partkey % 3 as a, p_partkey % 4 = 0 as lost, p_partkey % 5 = 0 as noisy, p_partkey % 7 = 0 as gone from part)

@@ -119,8 +119,8 @@ def flags_and_shortest(spark, sf_dir):
 
 
 def texts_in_records(spark, sf_dir):
-    """In how many sources each first line occurs, each source counted once for a line."""
-    rows = docs(spark, sf_dir).select("source", F.array(F.split_part("text", F.lit("\n"), F.lit(1))).alias("lines"))
+    """In how many sources each line occurs, each source counted once for a line."""
+    rows = docs(spark, sf_dir).select("source", F.split("text", "\n").alias("lines"))
     return C.records_with(rows, "source", "lines").groupBy("n_records").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -242,7 +242,7 @@ select chunk_id, section, text, cast(pos as bigint) as pos, name || '. A descrip
     "class_shares": "select label, count(*) as n, round(100.0::double * count(*) / sum(count(*)) over (), 4) as percent, count(*) < 55 as small from embeddings group by label",
     "flags_and_shortest": """select 'short' as flag, count(*) as n from documents where n_chars < 500 having count(*) > 0 union all select 'foreign', count(*) from documents where lang <> 'en' having count(*) > 0
 union all select cast(doc_id as varchar), length(text) from (select * from documents order by length(text) nulls first, doc_id limit 10)""",
-    "texts_in_records": "with l as (select distinct source, split_part(text, chr(10), 1) as line from documents), g as (select line, count(*) as n_records from l where trim(coalesce(line, '')) <> '' group by line) select n_records, count(*) as n from g group by n_records",
+    "texts_in_records": "with l as (select distinct source, unnest(string_split(text, chr(10))) as line from documents), g as (select line, count(*) as n_records from l where trim(coalesce(line, '')) <> '' group by line) select n_records, count(*) as n from g group by n_records",
     "fold_statistics": "with fo as (select *, (row_number() over (partition by quality order by md5('42' || doc_id), doc_id) - 1) % 5 as fold from labels), s as (select quality, fold, avg(doc_id) as score from fo group by all) select quality, round(avg(score), 6) as mean, round(stddev_pop(score), 6) as std from s group by quality",
     "category_words": f"select round(avg(case when {STARTS.format(TITLED, STEMS.format('p_type'))} then 1.0::double else 0 end), 6) as own, round(avg(case when {STARTS.format(TITLED, "['steel', 'plate', 'coppe']")} then 1.0::double else 0 end), 6) as \"any\" from part",
     "spread_sample": """with r as (select doc_id, row_number() over (order by n_chars nulls first, doc_id) as k, count(*) over () as n from documents), w as (select cast(floor(i * (select max(n) from r) / 20.0::double) as bigint) + 1 as k from unnest(range(20)) as u(i))

@@ -103,7 +103,7 @@ def span_citations(spark, sf_dir):
     """Passages as spans; a source is the scheme, its documents the chunks."""
     chunks = table(spark, sf_dir, "documents").select(F.col("source").alias("slug"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("raw_text"), F.col("doc_id").alias("pos"))
     sources = F.array(*[F.lit(f"src{k}") for k in range(20)])
-    spans = table(spark, sf_dir, "benchmark").select(F.explode(sources).alias("slug"), F.left("text", F.lit(60)).alias("span"))
+    spans = table(spark, sf_dir, "benchmark").select(F.explode(sources).alias("slug"), F.col("text").alias("span"))
     return P.span_citations(spans, chunks)
 
 
@@ -237,7 +237,7 @@ select query_id, slug, case when status = 'eligible' and trig then 'You said you
     else 'Needs checking: nothing about you could be checked automatically, so ' || {JOINED.format('t')} || ' must be confirmed.' end || case when n_caveats = 1 then ' 1 condition of this scheme still to confirm.' else '' end end as final_reason from w""",
     "failed_reasons_hindi": f"with {STATUS} select st.query_id, st.slug, {failed_sql('hi')} as reason from st join conds c on c.query_id = st.query_id and c.slug = st.slug join pairs p on p.query_id = st.query_id and p.slug = st.slug where st.status = 'not_eligible' group by st.query_id, st.slug",
     "with_explained": f"with {STATUS} select query_id, slug, case when rnk <= 2 then 'needs_checking' else status end as status, case when rnk <= 2 then 'explained' else 'template' end as reason, cast(case when rnk <= 2 then 1 else 0 end as bigint) as n_citations from st",
-    "span_citations": "with i as (select distinct 'src' || k as slug, left(text, 60) as span from benchmark, unnest(range(20)) as u(k) where left(text, 60) <> '') select slug, span, min(doc_id) as chunk_id from i join documents on source = slug and contains(text, span) group by slug, span",
+    "span_citations": "with i as (select distinct 'src' || k as slug, text as span from benchmark, unnest(range(20)) as u(k) where text <> '') select slug, span, min(doc_id) as chunk_id from i join documents on source = slug and contains(text, span) group by slug, span",
     "flagged_down": f"with {STATUS} select query_id, slug, case when status = 'eligible' and rnk % 3 = 1 and (rnk % 4 = 1 or (rnk % 4 = 2 and query_id % 2 = 1)) then 'needs_checking' else status end as status from st",
     "reason_checks": f"select p_partkey, {chosen_sql('p_partkey', tuple(r[2] for r in REASONS))} as errors from part",
     "client_rows": """select p_partkey as slug, case p_partkey % 3 when 0 then 'eligible' else 'needs_checking' end as status, case when p_partkey % 4 > 0 and trim(p_name) <> '' then p_name else cast(p_partkey as varchar) end as scheme_name,
