@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -22,6 +24,8 @@ MODES = ("hybrid", "dense", "bm25")
 QUERY_BLOCK = 4096
 #: Query terms are broadcast up to this many rows; scans are filtered by up to so many distinct terms.
 BROADCAST_TERMS, PUSHED_TERMS = 1_000_000, 500
+#: Up to so many queries of a stored index are weighed before its postings are read.
+FEW_QUERIES = 32
 
 
 def postings(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -75,9 +79,13 @@ def asked_terms(queries: DataFrame, query: str, text: str) -> DataFrame:
 def scored_postings(posted: DataFrame, wanted: DataFrame, avgdl: float, query: str, key: str) -> DataFrame:
     """(query, key, score) from (key, term, len, tf) and (query, term, qtf, idf); the queries' side is broadcast if it is proven small."""
     few = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    scored = posted.join(F.broadcast(wanted) if few else wanted, "term")
+    return scored(posted, F.broadcast(wanted) if few else wanted, avgdl, query, key)
+
+
+def scored(posted: DataFrame, wanted: DataFrame, avgdl: float, query: str, key: str) -> DataFrame:
+    rows = posted.join(wanted, "term")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(avgdl)))
-    return scored.groupBy(query, key).agg(F.sum(part).alias("score")).filter("score > 0")  # F01
+    return rows.groupBy(query, key).agg(F.sum(part).alias("score")).filter("score > 0")  # F01
 
 
 def bm25_scores(queries: DataFrame, documents: DataFrame, query: str = "item_id", key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -131,16 +139,46 @@ class LexicalIndex:
             raise ValueError("the index was built from other documents")
         return cls(spark, path, about["avgdl"], about["key"])
 
+    @cached_property
+    def terms(self) -> DataFrame:
+        """(term, df, idf); files and schema are looked up once for an index object."""
+        return self.spark.read.parquet(f"{self.path}/terms")
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        """(key, term, len, tf)."""
+        return self.spark.read.parquet(f"{self.path}/postings")
+
     def search(self, queries: DataFrame, k: int = 10, query: str = "item_id", text: str = "text") -> DataFrame:
-        """The best k documents of each query, as `search_bm25` gives them."""
+        """The best k documents of each query, as `search_bm25` gives them.
+
+        A few queries (FEW_QUERIES, with PUSHED_TERMS terms together) are read and weighed first, so that the one job over
+        the postings has its terms pushed down and meets a small local table; more of them are joined.
+        """
+        few = queries.select(query, bm25_tokens(F.col(text)).alias("__w")).coalesce(1).limit(FEW_QUERIES + 1).collect()  # one task, which stops there
+        counts = [(r[query], Counter(r["__w"])) for r in few]
+        names = sorted({t for _, c in counts for t in c})
+        if len(few) <= FEW_QUERIES and 0 < len(names) <= PUSHED_TERMS:
+            return self._search_few(counts, names, k, query, dict(queries.dtypes)[query])
         asked = asked_terms(queries, query, text)
         names = [r["term"] for r in asked.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
-        terms, posted = self.spark.read.parquet(f"{self.path}/terms"), self.spark.read.parquet(f"{self.path}/postings")
+        terms, posted = self.terms, self.postings
         if len(names) <= PUSHED_TERMS:  # the scans read only the row groups that may have them
             terms, posted = terms.filter(F.col("term").isin(*names)), posted.filter(F.col("term").isin(*names))
         wanted = asked.join(terms, "term").select(query, "term", "qtf", "idf")
         return top_k(scored_postings(posted, wanted, self.avgdl, query, self.key), query, self.key, k)
 
+    def _search_few(self, counts: list[tuple], names: list[str], k: int, query: str, kind: str) -> DataFrame:
+        weights = {r["term"]: r["idf"] for r in self.terms.filter(F.col("term").isin(*names)).collect()}  # at most PUSHED_TERMS
+        rows: dict[tuple, int] = {}
+        for q, c in counts:  # repeated rows of a query count together, as in `asked_terms`
+            for t, n in c.items():
+                if t in weights:
+                    rows[q, t] = rows.get((q, t), 0) + n
+        wanted = self.spark.createDataFrame([(q, t, n, weights[t]) for (q, t), n in rows.items()], f"{query} {kind}, term string, qtf long, idf double")
+        posted = self.postings.filter(F.col("term").isin(*names))
+        return top_k(scored(posted, F.broadcast(wanted), self.avgdl, query, self.key), query, self.key, k)
+
 
 @dataclass
 class VectorIndex:
@@ -168,9 +206,12 @@ class VectorIndex:
             raise ValueError("the index was built from other vectors")
         return cls(spark, path, about["key"])
 
+    @cached_property
+    def vectors(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/vectors")
+
     def search(self, queries: DataFrame, k: int = 10, query: str = "item_id", column: str = "embedding") -> DataFrame:
-        rows = self.spark.read.parquet(f"{self.path}/vectors")
-        return search_dense(queries.select(query, F.col(column).alias("vector")), rows, k, query, "key", "vector").withColumnRenamed("key", self.key)
+        return search_dense(queries.select(query, F.col(column).alias("vector")), self.vectors, k, query, "key", "vector").withColumnRenamed("key", self.key)
 
 
 def top_k(scores: DataFrame, query: str, key: str, k: int, score: str = "score") -> DataFrame:
@@ -192,7 +233,7 @@ def search_dense(queries: DataFrame, vectors: DataFrame, k: int = 10, query: str
     rows = queries.select(F.col(query).alias("q"), F.col(column).alias("v")).orderBy("q")
     parts, block = [], []
 
-    def scored(block: list) -> DataFrame:
+    def compared(block: list) -> DataFrame:
         shared = vectors.sparkSession.sparkContext.broadcast((np.array([r["q"] for r in block]), np.array([r["v"] for r in block], float)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,13 +250,14 @@ def search_dense(queries: DataFrame, vectors: DataFrame, k: int = 10, query: str
 
         return vectors.select(F.col(key).cast("long").alias("k"), F.col(column).alias("v")).mapInArrow(run, "q long, k long, score double")
 
-    for row in rows.toLocalIterator():
+    first = queries.select(F.col(query).alias("q"), F.col(column).alias("v")).limit(QUERY_BLOCK + 1).collect()
+    for row in sorted(first, key=lambda r: (r["q"] is None, r["q"])) if len(first) <= QUERY_BLOCK else rows.toLocalIterator():
         block.append(row)
         if len(block) == QUERY_BLOCK:
-            parts.append(scored(block))
+            parts.append(compared(block))
             block = []
     if block or not parts:
-        parts.append(scored(block) if block else vectors.select(F.lit(None).cast("long").alias("q"), F.col(key).cast("long").alias("k"), F.lit(0.0).alias("score")).limit(0))
+        parts.append(compared(block) if block else vectors.select(F.lit(None).cast("long").alias("q"), F.col(key).cast("long").alias("k"), F.lit(0.0).alias("score")).limit(0))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
