@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eligspark.functions.numbers import follows, stated_numbers, unit_ratios
-from eligspark.functions.text import RATIOS, derivable, sentence_count, without_fences
+from eligspark.functions.text import RATIOS, derivable, let, sentence_count, without_fences
 from eligspark.schemas import CONSTRAINTS
 
 # Places, closed sets and fields of a profile.
@@ -301,24 +301,35 @@ def number_evidence(lang: Column) -> Column:
     return F.transform(F.array(*map(texts, NUMBER_FIELDS)), stated_numbers)
 
 
+def field_evidence(field: Field, lang: Column) -> Column:
+    """struct(spans, own, problem) of one field: spans of the text, the words that must be the person's own, what is wrong with them."""
+    said, translated = found(F.col("__evidence"), f"$.{field.name}"), lang != "en"
+    inside = lambda s, whole: (span_norm(s) != "") & F.contains(F.col(whole), span_norm(s))
+    plain = F.when(json_kind(said) == "STRING", F.array(said.cast("string"))).otherwise(strings_of(said))
+
+    def of_plain(plain: Column) -> Column:
+        problem = F.when(plain.isNull() | (F.size(plain) == 0) | F.exists(plain, lambda s: ~(inside(s, "__text") | inside(s, "__query"))), F.lit(f"{field.name}: evidence is not in the text"))
+        own = F.array_join(plain, " ")
+        if field.about_self:
+            problem = F.coalesce(problem, F.when(translated & own.rlike(INDIC), F.lit(f"{field.name}: evidence must be a pair")))
+        return F.struct(plain.alias("spans"), own.alias("own"), problem.alias("problem"))
+
+    if not field.about_self:
+        return let(plain, of_plain)
+    both, original, english = as_object(said), found(said, "$.original", "string"), found(said, "$.en", "string")
+    whole = (F.size(both) == 2) & (F.trim(F.coalesce(original, F.lit(""))) != "") & (F.trim(F.coalesce(english, F.lit(""))) != "")
+    of_pair = F.when(~whole, F.lit(f"{field.name}: evidence must be a pair")).when(~inside(original, "__text"), F.lit(f"{field.name}: evidence is not in the text")).when(english.rlike(INDIC) | ~inside(english, "__query"), F.lit(f"{field.name}: evidence is not in the translation"))
+    return F.when(translated & both.isNotNull(), F.struct(F.array(F.trim(original)).alias("spans"), F.trim(english).alias("own"), of_pair.alias("problem"))).otherwise(let(plain, of_plain))
+
+
 def profile_field(field: Field, lang: Column) -> Column:
-    """struct(value, error, confidence, spans, own_words) of one field of the columns __profile, __confidence, __evidence, __numbers, __text, __query."""
-    value, sure, said = (found(F.col(c), f"$.{field.name}") for c in ("__profile", "__confidence", "__evidence"))
+    """struct(value, error, confidence, spans, own_words) of one field of the columns __profile, __confidence, __evidence, __e_*, __numbers, __text, __query."""
+    value, sure = (found(F.col(c), f"$.{field.name}") for c in ("__profile", "__confidence"))
     translated = lang != "en"
     none = json_kind(value).isNull() | (F.lit(field.kind == "texts") & (F.coalesce(F.size(strings_of(value)), F.lit(-1)) == 0))
     mentioned = F.array_contains(F.map_keys(as_object(F.col("__confidence"))), field.name) | F.array_contains(F.map_keys(as_object(F.col("__evidence"))), field.name)
-    inside = lambda s, whole: (span_norm(s) != "") & F.contains(F.col(whole), span_norm(s))
-    grounded = lambda s: inside(s, "__text") | inside(s, "__query")
-    plain = F.when(json_kind(said) == "STRING", F.array(said.cast("string"))).otherwise(strings_of(said))
-    both = as_object(said)
-    original, english = found(said, "$.original", "string"), found(said, "$.en", "string")
-    spans, own, shape = plain, F.array_join(plain, " "), F.when(plain.isNull() | (F.size(plain) == 0) | F.exists(plain, lambda s: ~grounded(s)), F.lit(f"{field.name}: evidence is not in the text"))
-    if field.about_self:
-        pair = translated & both.isNotNull()
-        whole = (F.size(both) == 2) & (F.trim(F.coalesce(original, F.lit(""))) != "") & (F.trim(F.coalesce(english, F.lit(""))) != "")
-        of_pair = F.when(~whole, F.lit(f"{field.name}: evidence must be a pair")).when(~inside(original, "__text"), F.lit(f"{field.name}: evidence is not in the text")).when(english.rlike(INDIC) | ~inside(english, "__query"), F.lit(f"{field.name}: evidence is not in the translation"))
-        shape = F.when(pair, of_pair).otherwise(F.coalesce(shape, F.when(translated & own.rlike(INDIC), F.lit(f"{field.name}: evidence must be a pair"))))
-        spans, own = F.when(pair, F.array(F.trim(original))).otherwise(plain), F.when(pair, F.trim(english)).otherwise(own)
+    grounded = lambda s: (span_norm(s) != "") & (F.contains(F.col("__text"), span_norm(s)) | F.contains(F.col("__query"), span_norm(s)))
+    spans, own, shape = (F.col(f"__e_{field.name}.{part}") for part in ("spans", "own", "problem"))
     text = value.cast("string")
     shown, more = text, F.lit(None).cast("string")
     if field.kind == "text":
@@ -341,8 +352,12 @@ def profile_field(field: Field, lang: Column) -> Column:
     foreign = F.when(~speaks_of_self(field.about_self, own), F.lit(f"{field.name}: not said of oneself")) if field.about_self else F.lit(None).cast("string")
     unsure = F.when(~F.coalesce(sure.cast("string").isin(*CONFIDENCE) & (json_kind(sure) == "STRING"), F.lit(False)), F.lit(f"{field.name}: no valid confidence"))
     error = F.when(none, F.when(mentioned, F.lit(f"{field.name}: null, but with confidence or evidence"))).otherwise(F.coalesce(unsure, shape, foreign, kind_error(field, value, field.name, strict=False), more))
-    fine = ~none & error.isNull()
-    return F.struct(F.when(fine, shown).alias("value"), error.alias("error"), F.when(fine, sure.cast("string")).alias("confidence"), F.when(fine, spans).alias("spans"), F.when(fine & translated & F.lit(bool(field.about_self)), own).alias("own_words"))
+
+    def kept(s: Column) -> Column:
+        fine = ~s["none"] & s["error"].isNull()
+        return F.struct(F.when(fine, s["shown"]).alias("value"), s["error"].alias("error"), F.when(fine, s["sure"]).alias("confidence"), F.when(fine, spans).alias("spans"), F.when(fine & translated & F.lit(bool(field.about_self)), own).alias("own_words"))
+
+    return let(F.struct(none.alias("none"), error.alias("error"), shown.alias("shown"), sure.cast("string").alias("sure")), kept)
 
 
 FACTS = "array<struct<original:string,en:string>>"
@@ -387,6 +402,7 @@ def validated_profiles(rows: DataFrame, reply: str = "reply", text: str = "text"
     query = F.when(here != "en", F.trim(F.regexp_replace(F.when(json_kind(found(F.col("__v"), "$.search_query_en")) == "STRING", found(F.col("__v"), "$.search_query_en", "string")), r"(?U)\s+", " ")))
     read = read.withColumns({"__profile": found(F.col("__v"), "$.profile"), "__confidence": found(F.col("__v"), "$.confidence"), "__evidence": found(F.col("__v"), "$.evidence"), "__english": F.nullif(query, F.lit("")), "__text": span_norm(F.col(text))})
     read = read.withColumns({"__query": span_norm(F.col("__english")), "__numbers": number_evidence(here)})
+    read = read.withColumns({f"__e_{f.name}": field_evidence(f, here) for f in PROFILE_FIELDS})
     read = read.withColumns({f"__f_{f.name}": profile_field(f, here) for f in PROFILE_FIELDS} | {"__facts": other_facts(F.col("__profile"), here)})
     part = lambda f, name: F.col(f"__f_{f.name}")[name]
     # structure
@@ -397,8 +413,9 @@ def validated_profiles(rows: DataFrame, reply: str = "reply", text: str = "text"
     not_object = lambda c, name: F.when(as_object(F.col(c)).isNull(), F.lit(f"{name}: must be an object"))
     shape = F.concat(keys(F.array_except(have, want), "unknown key"), keys(F.array_except(want, have), "missing key"), listed(not_object("__profile", "profile"), not_object("__confidence", "confidence"), not_object("__evidence", "evidence")), F.coalesce(keys(F.array_except(of_profile, fields), "unknown field"), no_texts()), F.coalesce(keys(F.array_except(fields, of_profile), "missing field"), no_texts()))
     known_state = part(next(f for f in PROFILE_FIELDS if f.name == "state"), "value")
-    placed = [F.when(F.col("__query").rlike(rf"\b{s.lower()}\b") & ~known_state.eqNullSafe(F.lit(s)) & ~F.contains("__text", F.lit(s.lower())), F.lit(f"translation: names {s}")) for s in STATES]
-    translation = F.when(here == "en", no_texts()).when(F.col("__english").isNull(), F.array(F.lit("translation: missing"))).otherwise(F.concat(translation_problems(F.coalesce(F.col(text), F.lit("")), F.col("__english"), here), listed(*placed)))
+    named = lambda name: F.regexp_like("__query", F.concat(F.lit(r"\b"), F.lower(name), F.lit(r"\b"))) & ~known_state.eqNullSafe(name) & ~F.contains("__text", F.lower(name))
+    placed = F.transform(F.filter(F.array(*map(F.lit, STATES)), named), lambda name: F.concat(F.lit("translation: names "), name))
+    translation = F.when(here == "en", no_texts()).when(F.col("__english").isNull(), F.array(F.lit("translation: missing"))).otherwise(F.concat(translation_problems(F.coalesce(F.col(text), F.lit("")), F.col("__english"), here), placed))
     errors = F.when(F.col("__v").isNull(), F.array(F.lit("not JSON"))).when(as_object(F.col("__v")).isNull(), F.array(F.lit("not a JSON object"))).otherwise(F.concat(shape, translation))
     # fields
     strange = lambda c, name: F.transform(F.coalesce(F.array_sort(F.array_except(F.map_keys(as_object(F.col(c))), F.array(*[F.lit(f.name) for f in PROFILE_FIELDS]))), no_texts()), lambda k: F.concat(F.lit(f"{name}: unknown key "), k))
@@ -419,4 +436,4 @@ def validated_profiles(rows: DataFrame, reply: str = "reply", text: str = "text"
         "profile": F.when(fine, F.struct(*[cast(f).alias(f.name) for f in PROFILE_FIELDS])), "facts": F.when(fine, F.col("__facts.facts")), "confidence": F.when(fine, entries("confidence")), "evidence": F.when(fine, entries("spans")), "own_words": F.when(fine, entries("own_words")),
         "query_en": F.when(fine, F.when(here == "en", F.col(text)).otherwise(F.col("__english"))), "question": F.when(fine & (F.size("question_errors") == 0) & (json_kind(asked) == "STRING"), F.trim(question_text)),
     }
-    return read.withColumns(out).drop("__v", "__lang", "__profile", "__confidence", "__evidence", "__english", "__text", "__query", "__numbers", "__facts", *[f"__f_{f.name}" for f in PROFILE_FIELDS])
+    return read.withColumns(out).drop("__v", "__lang", "__profile", "__confidence", "__evidence", "__english", "__text", "__query", "__numbers", "__facts", *[f"__{kind}_{f.name}" for f in PROFILE_FIELDS for kind in "ef"])
