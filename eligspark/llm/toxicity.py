@@ -1,10 +1,10 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 A toxic and an ordinary bigram model are learned from labelled texts.  Each interpolates its discounted bigrams with its
-own continuation counts (in how many contexts the class has a word) and these with the continuation counts that both
-classes share (in how many classes a word, and each of its stems, occurs), so that a rare expression is nearly as likely under both.  A text's words are compared under
-the two models; the differences, averaged over the text and over its most telling words, are calibrated to a probability
-on texts that the models compared there had not seen.
+own continuation counts (in how many contexts the class has a word), these with the counts of the word's stems, and these
+with the counts that both classes share (in how many classes a stem occurs), so that a rare expression is nearly as likely
+under both.  A text's words are compared under the two models; the differences, averaged over the text and over its most
+telling words, are calibrated to a probability on texts that the models compared there had not seen.
 
 Learning takes a bounded sample of labelled rows; scoring is one pass over all whole texts without a shuffle.
 """
