@@ -82,9 +82,9 @@ STEPS = [tuple(RULES[:k]) for k in range(len(RULES) + 1)]
 
 def rule_toggle_attribution(spark, sf_dir):
     """Each pair's verdict under growing sets of rules: the step of its first change, and its path."""
-    out = None
+    pairs, out = matching_pairs(spark, sf_dir), None
     for k, rules in enumerate(STEPS):
-        part = evaluated(spark, sf_dir, rules).select("query_id", "slug", "status", F.lit(k).cast("long").alias("step"))
+        part = M.evaluate(pairs, rules).select("query_id", "slug", "status", F.lit(k).cast("long").alias("step"))
         out = part if out is None else out.unionByName(part)
     return first_change(out, ("query_id", "slug"))
 

@@ -1,0 +1,28 @@
+"""What large tables meet: work that grows with the tables, and no faster."""
+
+import os
+
+import pytest
+
+from eligspark.plans import fixtures
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_ranked_lists_are_bounded_by_the_rests(spark, tmp_path):
+    """Profiles of one rest share a list, and records of one residue beyond the first k never join."""
+    one = lambda name, key, keys: spark.read.parquet(f"{DATA}/{name}.parquet").limit(1).drop(key).crossJoin(spark.createDataFrame([(k,) for k in keys], f"{key} long")).write.parquet(f"{tmp_path}/{name}.parquet")
+    prime = fixtures.PRIME
+    queries = [1, 2, 7, 1 + prime, 1 + 2 * prime, 2 + 60 * prime]
+    slugs = [3 + prime * i for i in range(40)] + [11, 500, 9000] + [4000 + 5 * prime]
+    one("customer", "c_custkey", queries)
+    one("part", "p_partkey", slugs)
+    want = set()
+    for q in queries:
+        ranked = sorted(slugs, key=lambda s: ((s * fixtures.STEP + q * fixtures.SHIFT) % prime, s))
+        want |= {(q, s, n) for n, s in enumerate(ranked[:10], 1)}
+    assert {tuple(r) for r in fixtures.candidates(spark, str(tmp_path)).collect()} == want
+    assert fixtures.ranked_lists(spark, str(tmp_path)).count() == 3 * 10
+    pairs = fixtures.matching_pairs(spark, str(tmp_path))
+    assert {(r.query_id, r.slug, r.rnk) for r in pairs.select("query_id", "slug", "rnk").collect()} == want
