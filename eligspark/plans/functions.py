@@ -204,8 +204,8 @@ def clause_split_simple(spark, sf_dir):
     Lists, abbreviations and words that clauses open with don't occur once digits, stops after one letter and such words are masked.
     """
     masked = masked_text(F.col("text"))
-    pieces = chunking.sentences(masked)
-    return docs(spark, sf_dir).select("doc_id", F.size(pieces).cast("long").alias("n_clauses"), F.coalesce(F.array_max(F.transform(pieces, F.length)), F.lit(0)).cast("long").alias("longest"))
+    rows = docs(spark, sf_dir).select("doc_id", X.fenced(chunking.sentences(masked)).alias("pieces"))
+    return rows.select("doc_id", F.size("pieces").cast("long").alias("n_clauses"), F.coalesce(F.array_max(F.transform("pieces", F.length)), F.lit(0)).cast("long").alias("longest"))
 
 
 def masked_text(text: Column) -> Column:

@@ -1,9 +1,12 @@
 """What large tables meet: work that grows with the tables, and no faster."""
 
 import os
+import random
+import time
 
 import pytest
 
+from eligspark.operators import chunking
 from eligspark.plans import fixtures
 
 DATA = "/root/testdata/sf0.001"
@@ -26,3 +29,23 @@ def test_ranked_lists_are_bounded_by_the_rests(spark, tmp_path):
     assert fixtures.ranked_lists(spark, str(tmp_path)).count() == 3 * 10
     pairs = fixtures.matching_pairs(spark, str(tmp_path))
     assert {(r.query_id, r.slug, r.rnk) for r in pairs.select("query_id", "slug", "rnk").collect()} == want
+
+
+def test_sentence_breaks_look_for_the_stop_first(spark):
+    """The same breaks as when what stands before is looked at first, in a fraction of the time."""
+    stays = "".join(chunking.STAYS.values())
+    plain = rf"(?:[!?]|{stays}\.)['\")\]]?{chunking.NEXT}|(?<=[.:;]\s?)(?<!(?:^|[^\p{{L}}\p{{N}}_])[A-Za-z]\.\s?)(?={chunking.ITEM})|(?<=[a-z]{{2}})(?=(?:{chunking.GLUED}){chunking.WORD_END})"
+    regex = spark.sparkContext._jvm.java.util.regex.Pattern
+    rnd = random.Random(7)
+    words = ["The", "applicant", "Rs.", "e.g.", "B.Tech.", "No.", "1.", "2)", "(a)", "iv.", "x.", "end.", "end.\"", "what?", "•", "textThe", "textIf", ":", ";", "Über.", "é", " ", "  ", "."]
+    texts = ["".join(rnd.choice(words) + rnd.choice(["", " ", " "]) for _ in range(30)) for _ in range(400)]
+    split = lambda pattern, text: regex.compile(pattern).matcher(text).replaceAll("$0|")
+    assert [split(chunking.BREAK, t) for t in texts] == [split(plain, t) for t in texts]
+    long = "abcdefgh ijklm, nopqrstuvw " * 20_000
+    took = []
+    for pattern in (chunking.BREAK, plain):
+        split(pattern, long[:50_000])
+        start = time.perf_counter()
+        split(pattern, long)
+        took.append(time.perf_counter() - start)
+    assert 2 * took[0] < took[1]
