@@ -8,14 +8,19 @@ shuffle and no Python, so any number of queries and candidates goes through one
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from eligspark.functions.rules import DEPENDENT_WORDS, NEGATED, PRIOR_BENEFIT, in_range, marital_admitted, stages_admitted, usable
-from eligspark.functions.text import dot, fenced, is_priority
-from eligspark.schemas import CASTES, CONDITION, ON_BEHALF, RULES
+from eligspark.functions.text import compiled_apart, dot, fenced, is_priority
+from eligspark.schemas import CASTES, CHECK, CONDITION, ON_BEHALF, RULES
 
+#: Results of the decisive conditions by place, null where a condition is absent or doesn't decide.
+DECIDING = "__deciding"
 OCCUPATION_THRESHOLD, TOUCH_THRESHOLD, CLARIFY_SCORE, BENCHMARK_DISABILITY = 0.85, 0.48, 0.5, 40
 
 PROFILE_COLUMNS = {
@@ -27,7 +32,7 @@ CONSTRAINT_COLUMNS = {
     "age_min": "int", "age_max": "int", "income_cap": "bigint", "income_basis": "string", "land_min": "double", "land_max": "double", "class_min": "int", "class_max": "int", "stage": "string", "gender": "string",
     "category": "array<string>", "category_span": "string", "occupation": "array<string>", "occupation_span": "string", "residence": "string", "marital_status": "string", "level": "string", "state": "string",
     "bpl_household": "boolean", "requires_bocw": "boolean", "not_availing_other": "boolean", "citizen": "boolean", "requires_dependent": "boolean", "family_notes": "string", "residuals": "array<string>",
-    "multi_branch": "boolean", "missing": "boolean", "touches": "int", "spans": "map<string,string>",
+    "admitted_stages": "array<string>", "admitted_statuses": "array<string>", "multi_branch": "boolean", "missing": "boolean", "touches": "int", "spans": "map<string,string>",
 }
 
 
@@ -52,17 +57,25 @@ def completed(pairs: DataFrame) -> DataFrame:
 
     Columns that are there are fenced: conditions use them many times over, whatever expressions made them.
     """
+    pairs = prepared(pairs)
     wanted = {f"p_{k}": t for k, t in PROFILE_COLUMNS.items()} | {f"c_{k}": t for k, t in CONSTRAINT_COLUMNS.items()}
     have = set(pairs.columns)
     pairs = pairs.withColumns({k: fenced(F.col(k)) for k in pairs.columns if k.startswith(("p_", "c_"))})
     return pairs.withColumns({k: F.lit(None).cast(t) for k, t in wanted.items() if k not in have})
 
 
+def prepared(records: DataFrame) -> DataFrame:
+    """Constraint records with what their texts admit, read once a record; `evaluate` reads it for pairs that lack it."""
+    readings = {"c_admitted_stages": ("c_stage", stages_admitted), "c_admitted_statuses": ("c_marital_status", marital_admitted)}
+    return records.withColumns({k: fenced(read(F.col(source))) for k, (source, read) in readings.items() if source in records.columns and k not in records.columns})
+
+
 class Conditions:
     """Builds the condition array of one row."""
 
     def __init__(self, columns: list[str], rules: frozenset[str]):
-        self.columns, self.rules, self.found = set(columns), rules, []
+        self.columns, self.rules = set(columns), rules
+        self.fields, self.deciding, self.checks, self.found = [], [], [], []
         facts = F.coalesce(F.col("p_facts"), F.array().cast("array<string>"))
         if "applying_for" in rules:  # M19
             self.other_person = F.coalesce(F.col("p_applying_for").isin(*ON_BEHALF), F.lit(False))
@@ -95,7 +108,11 @@ class Conditions:
         constraint: Column | None = None, value: Column | None = None, key: str | None = None, note: Column | None = None, span: str | None = None,
     ) -> None:
         text = lambda c: F.lit(None).cast("string") if c is None else c
-        row = F.struct(
+        present, here = F.coalesce(present, F.lit(False)), F.get(F.col(DECIDING), F.lit(len(self.found)))
+        self.deciding.append(F.when(present if decisive is None else present & decisive, result))
+        if decisive is None:
+            result = here
+        slim = [
             F.lit(len(self.found) + 1).alias("pos"),
             F.lit(field).alias("field"),
             result.alias("result"),
@@ -103,13 +120,17 @@ class Conditions:
             (F.lit(None).cast("string") if ask is None else F.when(result == "unknown", ask)).alias("ask_field"),
             (F.lit(None).cast("string") if kind is None or ask is None else F.when((result == "unknown") & ask.isNotNull(), kind)).alias("ask_kind"),
             (F.lit(gate) if isinstance(gate, bool) else gate).alias("gate"),
+        ]
+        details = [
             text(note).alias("note"),
             text(constraint).alias("constraint"),
             (text(value) if value is not None else json_value(F.col(f"p_{key}")) if key else text(None)).alias("profile_value"),
             (self.confidence(key) if key else text(None)).alias("confidence"),
             self.span(span or field).alias("source_span"),
-        ).cast(CONDITION)
-        self.found.append(F.when(F.coalesce(present, F.lit(False)), row))
+        ]
+        self.fields.append((field, gate))
+        self.checks.append(F.when(present, F.struct(*slim).cast(CHECK)))
+        self.found.append(F.when(present, F.struct(*slim, *details).cast(CONDITION)))
 
     def compared(self, field: str, key: str, present: Column, good: Column, constraint: Column, ambiguous: bool = False, gate: bool = False, span: str | None = None) -> None:
         """Not usable: unknown, ask; ambiguous (the value may be another person's): unknown; else pass or fail."""
@@ -119,8 +140,15 @@ class Conditions:
         note = F.when(~ok, self.unusable(key)).when(self.ambiguous & F.lit(ambiguous), self.whose)
         self.add(field, present, result, F.when(~ok, F.lit(key)), F.lit("missing"), gate=gate, constraint=constraint, key=key, note=note, span=span)
 
-    def array(self) -> Column:
-        return F.array_compact(F.array(*self.found))
+    def arrays(self, df: DataFrame) -> DataFrame:
+        """`df` with the deciding results by place, and the arrays of checks and conditions without gaps.
+
+        Results come first and alone, so verdicts need no array of records; arrays that nothing reads are never built.  The
+        lists are compiled apart before gaps are taken out, as arguments of functions with lambdas are interpreted, not compiled.
+        """
+        df = df.withColumn(DECIDING, compiled_apart(F.array(*self.deciding)))
+        df = df.withColumns({"__checks": compiled_apart(F.array(*self.checks)), "__conditions": compiled_apart(F.array(*self.found))})
+        return df.withColumns({"checks": F.array_compact("__checks"), "conditions": F.array_compact("__conditions")}).drop("__checks", "__conditions")
 
 
 def income_result(value: Column, cap: Column, basis: Column, scheme_basis: Column) -> Column:
@@ -153,7 +181,8 @@ def category_parts(c: Conditions) -> tuple[Column, Column]:
 
 
 def evaluate(pairs: DataFrame, rules: tuple[str, ...] = RULES) -> DataFrame:
-    """`pairs` with conditions, preferences, unverified, to_confirm, own_conditions, status and reason.
+    """`pairs` with conditions, checks (their fields up to the gate), preferences, unverified, to_confirm, own_conditions, status,
+    reason and personal_pass (M01-M19, A04).
 
     `rules` are the toggles that apply (U01); an unknown name raises ValueError.
     """
@@ -173,7 +202,7 @@ def evaluate(pairs: DataFrame, rules: tuple[str, ...] = RULES) -> DataFrame:
     kind = F.when(~ok, "missing").otherwise("refine")
     c.add("land", col("c_land_min").isNotNull() | col("c_land_max").isNotNull(), F.when(~ok, "unknown").otherwise(land_result(col("p_land_acres"), col("c_land_min"), col("c_land_max"), col("p_land_basis"))), F.lit("land_acres"), kind, constraint=json_of(min_acres=col("c_land_min"), max_acres=col("c_land_max")), key="land_acres", note=F.when(~ok, c.unusable("land_acres")))
     c.compared("education_class", "education_class", col("c_class_min").isNotNull() | col("c_class_max").isNotNull(), in_range(col("p_education_class"), col("c_class_min"), col("c_class_max")), json_of(min_class=col("c_class_min"), max_class=col("c_class_max")), span="education")  # M04
-    admitted = stages_admitted(col("c_stage"))  # M05: no fail, and confidence plays no part
+    admitted = col("c_admitted_stages")  # M05: no fail, and confidence plays no part
     stage = F.coalesce(col("p_education_stage"), F.when(col("p_education_class") <= 10, "school").when(col("p_education_class") > 10, "higher_secondary"))
     passes = F.coalesce(F.array_contains(admitted, stage), F.lit(False))
     c.add("education_stage", F.coalesce(col("c_stage"), F.lit("")) != "", F.when(passes, "pass").otherwise("unknown"), F.when(admitted.isNotNull(), F.lit("education_stage")), F.when(stage.isNull(), "missing").otherwise("refine"), constraint=json_value(col("c_stage")), value=json_value(stage), span="education")
@@ -187,7 +216,7 @@ def evaluate(pairs: DataFrame, rules: tuple[str, ...] = RULES) -> DataFrame:
     shown = F.to_json(F.struct(*[col(f"p_{k}").alias(k) for k in ("caste_category", "is_minority", "disability_percent")]))
     c.add("category", (F.size("c_category") > 0) & ~prefers["category"], result, first_open, F.lit("missing"), constraint=F.to_json("c_category"), value=F.nullif(shown, F.lit("{}")))  # M07
     c.compared("residence", "residence", col("c_residence") != "any", col("p_residence") == col("c_residence"), json_value(col("c_residence")))  # M08
-    statuses = marital_admitted(col("c_marital_status"))  # M09
+    statuses = col("c_admitted_statuses")  # M09
     ok = c.usable("marital_status")
     result = F.when(statuses.isNull() | ~ok | c.ambiguous, "unknown").when(F.array_contains(statuses, col("p_marital_status")), "pass").otherwise("fail")
     wanted = (F.coalesce(col("c_marital_status"), F.lit("")) != "") & ~F.coalesce(F.array_contains(statuses, "any"), F.lit(False))
@@ -209,28 +238,33 @@ def evaluate(pairs: DataFrame, rules: tuple[str, ...] = RULES) -> DataFrame:
     residuals = F.coalesce(col("c_residuals"), null_text)
     one = lambda cond, text: F.when(cond, F.array(text)).otherwise(null_text)
     place = F.concat(F.lit("resident of "), col("c_state"), F.lit(" (any domicile rule in the scheme text)"))
-    df = df.withColumns(
+    df = c.arrays(df).withColumns(
         {
-            "conditions": c.array(),
             "preferences": F.concat(*[one(F.coalesce(prefers[f] & (F.size(f"c_{f}") > 0), F.lit(False)), F.lit(f)) for f in prefers]),
             "unverified": F.concat(one(F.coalesce(col("c_family_notes"), F.lit("")) != "", col("c_family_notes")), one(true("c_requires_dependent"), F.lit("the scheme requires a dependent (see the scheme text)")), residuals),  # M17
             "to_confirm": F.concat(one(~central & col("c_state").isNotNull(), place), one(true("c_citizen"), F.lit("citizen of India"))),  # M15
         }
     )
-    return verdict(df, rules)
+    return verdict(df, c.fields, rules).drop(DECIDING)
+
 
+def verdict(df: DataFrame, fields: list[tuple[str, bool | Column]], rules: frozenset[str] = frozenset(RULES)) -> DataFrame:
+    """Fail > unknown > pass over decisive conditions, then the rules that can only lower it.
 
-def verdict(df: DataFrame, rules: frozenset[str] = frozenset(RULES)) -> DataFrame:
-    """Fail > unknown > pass over decisive conditions, then the rules that can only lower it."""
-    decisive = F.filter("conditions", lambda x: x["decisive"])
-    named = lambda result: F.array_join(F.transform(F.filter(decisive, lambda x: x["result"] == result), lambda x: x["field"]), ", ")
-    has = lambda result: F.exists(decisive, lambda x: x["result"] == result)
-    personal = F.filter(decisive, lambda x: (x["result"] == "pass") & (x["field"] != "state"))
+    fields: name and gate of each place of the deciding results.  personal_pass: whether one passes that is neither the place nor a gate.
+    """
+    places = [(name, gate, F.get(F.col(DECIDING), F.lit(k))) for k, (name, gate) in enumerate(fields)]
+    named = lambda result: F.concat_ws(", ", *[F.when(r == result, name) for name, _, r in places])
+    has = lambda result: F.coalesce(F.array_contains(DECIDING, result), F.lit(False))
+    some = lambda tests: F.coalesce(reduce(or_, tests, F.lit(False)), F.lit(False))
+    passing = [(gate, F.coalesce(r == "pass", F.lit(False))) for name, gate, r in places if name != "state"]
+    personal = some([p for _, p in passing])
+    own_pass = some([p & ~(F.lit(gate) if isinstance(gate, bool) else F.coalesce(gate, F.lit(False))) for gate, p in passing])
     residuals = F.coalesce(F.col("c_residuals"), F.array().cast("array<string>")) if "c_residuals" in df.columns else F.array().cast("array<string>")
     missing = F.coalesce(F.col("c_missing"), F.lit(False)) if "c_missing" in df.columns else F.lit(False)
     touched = F.lit("residual_touch" in rules) & ((F.coalesce(F.col("c_touches"), F.lit(0)) > 0) if "c_touches" in df.columns else F.lit(False))
-    nobody = F.lit("person_level_pass" in rules) & (F.size(personal) == 0)
-    gated = F.lit("bocw_gate" in rules) & (F.size(personal) > 0) & F.forall(personal, lambda x: x["gate"]) & (F.size(residuals) > 0)
+    nobody = F.lit("person_level_pass" in rules) & ~personal
+    gated = F.lit("bocw_gate" in rules) & personal & ~own_pass & (F.size(residuals) > 0)
     reason = (
         F.when(missing, "no constraint record")
         .when(has("fail"), F.concat(F.lit("a condition fails: "), named("fail")))
@@ -242,17 +276,20 @@ def verdict(df: DataFrame, rules: frozenset[str] = frozenset(RULES)) -> DataFram
     )
     status = F.when(missing, "needs_checking").when(has("fail"), "not_eligible").when(has("unknown") | nobody | gated | touched, "needs_checking").otherwise("eligible")
     own = F.when(~missing & ~has("fail") & ~has("unknown") & ~nobody & gated, residuals).otherwise(F.array().cast("array<string>"))
-    return df.withColumns({"status": status, "reason": reason, "own_conditions": own, "typed_condition_count": F.size(decisive)})
+    return df.withColumns({"status": status, "reason": compiled_apart(reason), "own_conditions": own, "typed_condition_count": reduce(add, [F.when(r.isNotNull(), 1).otherwise(0) for _, _, r in places]), "personal_pass": own_pass})
 
 
-def condition_rows(evaluated: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """One row per condition: keys and the fields of a condition."""
-    return evaluated.select(*keys, F.explode("conditions").alias("x")).select(*keys, "x.pos", "x.field", "x.result", "x.decisive", "x.ask_field", "x.ask_kind", "x.gate", "x.note", "x.constraint", "x.profile_value", "x.confidence", "x.source_span")
+def condition_rows(evaluated: DataFrame, keys: tuple[str, ...], details: bool = True) -> DataFrame:
+    """One row per condition: keys and the fields of a condition; without details those that checks have, which are made much sooner."""
+    more = ("note", "constraint", "profile_value", "confidence", "source_span") if details else ()
+    rows = evaluated.select(*keys, F.explode("conditions" if details else "checks").alias("x"))
+    return rows.select(*keys, *[f"x.{f}" for f in ("pos", "field", "result", "decisive", "ask_field", "ask_kind", "gate", *more)])
 
 
 def blocking_fields(evaluated: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """For each field that a question could settle, the kind of the first condition that asks for it."""
-    rows = evaluated.select(*keys, F.explode("conditions").alias("x")).filter("x.decisive and x.result = 'unknown' and x.ask_field is not null")
+    checks = "checks" if "checks" in evaluated.columns else "conditions"
+    rows = evaluated.select(*keys, F.explode(checks).alias("x")).filter("x.decisive and x.result = 'unknown' and x.ask_field is not null")
     rows = rows.select(*keys, "x.pos", "x.ask_field", "x.ask_kind")
     return rows.groupBy(*keys, "ask_field").agg(F.min_by("ask_kind", "pos").alias("ask_kind"))
 

@@ -99,7 +99,7 @@ def value_text(key: str, value: Column) -> Column:
 def shown_label(condition: Column, lang: Column) -> Column:
     """A checked condition with the value that it was checked with."""
     label, value = T.named(T.FIELDS, condition["field"], lang), condition["profile_value"]
-    number = value.try_cast("double")
+    number = F.when(value.rlike("^[-0-9]"), value.try_cast("double"))  # other texts would each raise an exception inside the cast
     word = F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v")
     text = F.when(number.isNotNull(), F.when(condition["field"] == "income", F.concat(F.lit("₹"), indian_grouping(number))).otherwise(number_text(number))).when(value.startswith('"'), word)
     return F.when(text.isNotNull(), F.concat(label, F.lit(" ("), text, F.lit(")"))).otherwise(label)
@@ -153,7 +153,7 @@ def display_order(df: DataFrame, status: str = "status", rank: str = "rnk") -> l
     group = F.lit(len(STATUS_ORDER))
     for name, n in STATUS_ORDER.items():
         group = F.when(F.col(status) == name, n).otherwise(group)
-    personal = F.exists("conditions", lambda c: c["decisive"] & (c["result"] == "pass") & (c["field"] != "state") & ~F.coalesce(c["gate"], F.lit(False)))
+    personal = F.col("personal_pass") if "personal_pass" in df.columns else F.exists("conditions", lambda c: c["decisive"] & (c["result"] == "pass") & (c["field"] != "state") & ~F.coalesce(c["gate"], F.lit(False)))
     return [group, F.when(personal, 0).otherwise(1), F.col(rank)]
 
 

@@ -24,8 +24,9 @@ PROFILE = (
 GOLD = (
     "id string, description string, language string, expected_schemes array<string>, excluded_schemes array<string>, test_type string, notes string, skip_scoring boolean, split string"
 )
+CHECK = "struct<pos:int,field:string,result:string,decisive:boolean,ask_field:string,ask_kind:string,gate:boolean>"
 CONDITION = (
-    "struct<pos:int,field:string,result:string,decisive:boolean,ask_field:string,ask_kind:string,gate:boolean,note:string,"
+    f"{CHECK[:-1]},note:string,"
     "constraint:string,profile_value:string,confidence:string,source_span:string>"
 )
 

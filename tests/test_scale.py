@@ -6,8 +6,8 @@ import time
 
 import pytest
 
-from eligspark.operators import chunking
-from eligspark.plans import fixtures
+from eligspark.operators import chunking, matcher
+from eligspark.plans import fixtures, matching, rules
 
 DATA = "/root/testdata/sf0.001"
 
@@ -49,3 +49,16 @@ def test_sentence_breaks_look_for_the_stop_first(spark):
         split(pattern, long)
         took.append(time.perf_counter() - start)
     assert 2 * took[0] < took[1]
+
+
+def test_verdicts_build_no_records_and_read_texts_once_a_record(spark):
+    """A verdict needs results only, no JSON of constraints and values; what a record's text admits is read below the pairs."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    if not os.path.isdir(DATA):
+        pytest.skip("no test tables")
+    rows = matching.evaluated(spark, DATA)
+    assert "StructsToJson" not in plan(rows.select("query_id", "slug", "status", "reason"))
+    assert "StructsToJson" not in plan(matcher.condition_rows(rows, ("query_id", "slug"), details=False))
+    assert "StructsToJson" in plan(matcher.condition_rows(rows, ("query_id", "slug")))
+    above, below = plan(rules.match_every_condition(spark, DATA)).split("Join", 1)
+    assert "regexp_extract_all" not in above and "regexp_extract_all" in below
