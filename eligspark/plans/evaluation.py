@@ -113,11 +113,11 @@ def confusion_matrix_norm(spark, sf_dir):
 
 
 def prf_per_class(spark, sf_dir):
-    return E.class_scores(nearest_labels(spark, sf_dir), "truth", "predicted")
+    return E.class_scores(materialize(nearest_labels(spark, sf_dir), "nearest"), "truth", "predicted")  # read twice
 
 
 def summary_scores(spark, sf_dir):
-    return E.summary_scores(nearest_labels(spark, sf_dir), "truth", "predicted")
+    return E.summary_scores(materialize(nearest_labels(spark, sf_dir), "nearest"), "truth", "predicted")  # read three times
 
 
 def perturbed(spark, sf_dir):

@@ -4,9 +4,10 @@ import os
 import random
 import time
 
+import numpy as np
 import pytest
 
-from eligspark.operators import chunking, matcher
+from eligspark.operators import chunking, matcher, search
 from eligspark.plans import fixtures, matching, rules
 
 DATA = "/root/testdata/sf0.001"
@@ -62,3 +63,16 @@ def test_verdicts_build_no_records_and_read_texts_once_a_record(spark):
     assert "StructsToJson" in plan(matcher.condition_rows(rows, ("query_id", "slug")))
     above, below = plan(rules.match_every_condition(spark, DATA)).split("Join", 1)
     assert "regexp_extract_all" not in above and "regexp_extract_all" in below
+
+
+def test_best_of_rows_sorts_what_may_be_among_the_best():
+    """As a full sort by score and key gives them, ties and NaN included."""
+    rng = np.random.default_rng(5)
+    keys = rng.permutation(300)
+    scores = np.round(rng.random((40, 300)), 2)
+    scores[3, :], scores[5, 10:290] = 0.5, np.nan
+    for k in (1, 7, 299, 300, 400):
+        x, y = search.best_of_rows(scores, keys, k)
+        for r in range(len(scores)):
+            want = sorted(range(300), key=lambda c: (np.isnan(scores[r, c]), -scores[r, c] if not np.isnan(scores[r, c]) else 0, keys[c]))[:k]
+            assert y[x == r].tolist() == want
