@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from eligspark.functions.text import digit_numbers
+from eligspark.functions.text import digit_numbers, let
 from eligspark.schemas import CONFIDENT
 
 # Words of income and land evidence.
@@ -109,17 +109,15 @@ def stated_bound(text: Column, key: str, fixed: bool = True) -> Column:
     joined before reading and "not more than" isn't also read as "more than" (nor "not less than" as "less
     than", nor "not exceeding" as "exceeding"); without it both quirks are kept.  Either way a bound can only lower a verdict.
     """
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")
+    whole = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")
     if fixed:
-        t = F.regexp_replace(t, r"(?<=\d),(?=\d{2,3}(?:\D|$|,))", "")
+        whole = F.regexp_replace(whole, r"(?<=\d),(?=\d{2,3}(?:\D|$|,))", "")
     number = r"(\d+(?:[.,]\d+)?)"
     no_not = r"(?<!\bnot )(?<!\bno )" if fixed else ""
-    value = lambda c: F.replace(c, F.lit(","), F.lit("")).try_cast("double")
-    found = lambda c: F.when(plausible(c, key), c)
+    # what wasn't found is no number; casting it would raise an exception inside the cast
+    value = lambda c: let(c, lambda g: F.when(g != "", F.replace(g, F.lit(","), F.lit("")).try_cast("double")))
+    found = lambda c: let(c, lambda n: F.when(plausible(n, key), n))
     span = r"(?i)(\d+(?:\.\d+)?)\s*(?:-|–|—|to|and)\s*(\d+(?:\.\d+)?)"
-    a, b = value(F.regexp_extract(t, span, 1)), value(F.regexp_extract(t, span, 2))
-    ranged = F.when((a < b) & plausible(a, key) & plausible(b, key), F.lit(True))
-
     lower_words, upper_words = "|".join(LOWER_INCLUSIVE + LOWER_EXCLUSIVE), "|".join(UPPER_INCLUSIVE + UPPER_EXCLUSIVE)
     lower = rf"(?i){no_not}\b({lower_words})\s*(?:rs\.?|₹)?\s*{number}"
     trailing = rf"(?i){number}\s*%?\s*(?:and|or)\s+(?:more|above)\b"
@@ -127,17 +125,26 @@ def stated_bound(text: Column, key: str, fixed: bool = True) -> Column:
     if fixed:
         # the negated phrases themselves start with "not" or "no" and are matched whole
         lower = rf"(?i)(?<!\bnot )(?<!\bno )\b({lower_words})\s*(?:rs\.?|₹)?\s*{number}"
-    phrase, low = F.lower(F.regexp_extract(t, lower, 1)), found(value(F.regexp_extract(t, lower, 2)))
-    low = F.coalesce(low, F.when(phrase == "", found(value(F.regexp_extract(t, trailing, 1)))))
-    high_phrase, high = F.lower(F.regexp_extract(t, upper, 1)), found(value(F.regexp_extract(t, upper, 2)))
 
     def bound(lo, lo_in, hi, hi_in):
         return F.struct(lo.alias("low"), lo_in.alias("low_inclusive"), hi.alias("high"), hi_in.alias("high_inclusive"))
 
-    some = F.exists(digit_numbers(t), lambda n: plausible(n, key))
-    return F.when(~some, None).when(ranged, bound(a, F.lit(True), b, F.lit(True))).when(
-        low.isNotNull() | high.isNotNull(), bound(low, low.isNotNull() & ~phrase.isin(*LOWER_EXCLUSIVE), high, high.isNotNull() & ~high_phrase.isin(*UPPER_EXCLUSIVE))
-    )
+    def ends(t: Column) -> Column:
+        stated = F.struct(*[F.lower(F.regexp_extract(t, p, 1)).alias(f"{n}_phrase") for n, p in (("low", lower), ("high", upper))], *[found(value(F.regexp_extract(t, p, 2))).alias(n) for n, p in (("low", lower), ("high", upper))])
+
+        def read(x: Column) -> Column:
+            low = F.coalesce(x["low"], F.when(x["low_phrase"] == "", found(value(F.regexp_extract(t, trailing, 1)))))
+            return let(low, lambda lo: F.when(lo.isNotNull() | x["high"].isNotNull(), bound(lo, lo.isNotNull() & ~x["low_phrase"].isin(*LOWER_EXCLUSIVE), x["high"], x["high"].isNotNull() & ~x["high_phrase"].isin(*UPPER_EXCLUSIVE))))
+
+        return let(stated, read)
+
+    def stated_in(t: Column) -> Column:
+        both = F.struct(value(F.regexp_extract(t, span, 1)).alias("a"), value(F.regexp_extract(t, span, 2)).alias("b"))
+        ranged = lambda x: (x["a"] < x["b"]) & plausible(x["a"], key) & plausible(x["b"], key)
+        some = F.exists(digit_numbers(t), lambda n: plausible(n, key))
+        return F.when(some, let(both, lambda x: F.when(ranged(x), bound(x["a"], F.lit(True), x["b"], F.lit(True))).otherwise(ends(t))))
+
+    return let(whole, stated_in)
 
 
 def satisfies(value: Column, bound: Column) -> Column:
