@@ -34,6 +34,12 @@ CONSTRAINT_COLUMNS = {
     "bpl_household": "boolean", "requires_bocw": "boolean", "not_availing_other": "boolean", "citizen": "boolean", "requires_dependent": "boolean", "family_notes": "string", "residuals": "array<string>",
     "admitted_stages": "array<string>", "admitted_statuses": "array<string>", "multi_branch": "boolean", "missing": "boolean", "touches": "int", "spans": "map<string,string>",
 }
+#: Columns of JSON: a record's bounds, from keys to columns, and a profile's values.
+BOUNDS = {
+    "c_json_age": {"min": "c_age_min", "max": "c_age_max"}, "c_json_income": {"max_annual_inr": "c_income_cap", "basis": "c_income_basis"},
+    "c_json_land": {"min_acres": "c_land_min", "max_acres": "c_land_max"}, "c_json_class": {"min_class": "c_class_min", "max_class": "c_class_max"},
+}
+SHOWN = ("age", "annual_income_inr", "land_acres", "education_class", "gender", "residence", "marital_status", "state", "bpl_household", "registered_construction_worker", "occupation")
 
 
 # Why a stated value doesn't decide a condition.
@@ -57,17 +63,30 @@ def completed(pairs: DataFrame) -> DataFrame:
 
     Columns that are there are fenced: conditions use them many times over, whatever expressions made them.
     """
-    pairs = prepared(pairs)
-    wanted = {f"p_{k}": t for k, t in PROFILE_COLUMNS.items()} | {f"c_{k}": t for k, t in CONSTRAINT_COLUMNS.items()}
+    pairs = stated(prepared(pairs))
+    wanted = {f"p_{k}": t for k, t in PROFILE_COLUMNS.items()} | {f"c_{k}": t for k, t in CONSTRAINT_COLUMNS.items()} | {f"p_json_{k}": "string" for k in SHOWN} | dict.fromkeys(BOUNDS, "string")
     have = set(pairs.columns)
     pairs = pairs.withColumns({k: fenced(F.col(k)) for k in pairs.columns if k.startswith(("p_", "c_"))})
     return pairs.withColumns({k: F.lit(None).cast(t) for k, t in wanted.items() if k not in have})
 
 
 def prepared(records: DataFrame) -> DataFrame:
-    """Constraint records with what their texts admit, read once a record; `evaluate` reads it for pairs that lack it."""
+    """Constraint records with what their texts admit and the JSON of their bounds, made once a record; `evaluate` makes them
+    for pairs that lack them.  Columns that they are made of don't change afterwards."""
     readings = {"c_admitted_stages": ("c_stage", stages_admitted), "c_admitted_statuses": ("c_marital_status", marital_admitted)}
-    return records.withColumns({k: fenced(read(F.col(source))) for k, (source, read) in readings.items() if source in records.columns and k not in records.columns})
+    have = set(records.columns)
+    made = {k: read(F.col(source)) for k, (source, read) in readings.items() if source in have}
+    column = lambda name: F.col(name) if name in have else F.lit(None).cast(CONSTRAINT_COLUMNS[name[2:]])
+    for k, parts in BOUNDS.items():
+        if have & set(parts.values()):
+            made[k] = json_of(**{key: column(name) for key, name in parts.items()})
+    return records.withColumns({k: fenced(v) for k, v in made.items() if k not in have})
+
+
+def stated(profiles: DataFrame) -> DataFrame:
+    """Profiles with the JSON of their values, made once a profile; `evaluate` makes it for pairs that lack it."""
+    have = set(profiles.columns)
+    return profiles.withColumns({f"p_json_{k}": fenced(json_value(F.col(f"p_{k}"))) for k in SHOWN if f"p_{k}" in have and f"p_json_{k}" not in have})
 
 
 class Conditions:
@@ -124,7 +143,7 @@ class Conditions:
         details = [
             text(note).alias("note"),
             text(constraint).alias("constraint"),
-            (text(value) if value is not None else json_value(F.col(f"p_{key}")) if key else text(None)).alias("profile_value"),
+            (text(value) if value is not None else F.col(f"p_json_{key}") if key else text(None)).alias("profile_value"),
             (self.confidence(key) if key else text(None)).alias("confidence"),
             self.span(span or field).alias("source_span"),
         ]
@@ -194,14 +213,14 @@ def evaluate(pairs: DataFrame, rules: tuple[str, ...] = RULES) -> DataFrame:
     col, null_text = F.col, F.array().cast("array<string>")
     true = lambda name: F.coalesce(col(name), F.lit(False))
 
-    c.compared("age", "age", col("c_age_min").isNotNull() | col("c_age_max").isNotNull(), in_range(col("p_age"), col("c_age_min"), col("c_age_max")), json_of(min=col("c_age_min"), max=col("c_age_max")), True)  # M01
+    c.compared("age", "age", col("c_age_min").isNotNull() | col("c_age_max").isNotNull(), in_range(col("p_age"), col("c_age_min"), col("c_age_max")), col("c_json_age"), True)  # M01
     ok = c.usable("annual_income_inr")
     kind = F.when(~ok, "missing").otherwise("refine")
-    c.add("income", col("c_income_cap").isNotNull(), F.when(~ok, "unknown").otherwise(income_result(col("p_annual_income_inr"), col("c_income_cap"), col("p_income_basis"), col("c_income_basis"))), F.when(~ok | col("p_income_basis").isNull(), F.lit("annual_income_inr")), kind, constraint=json_of(max_annual_inr=col("c_income_cap"), basis=col("c_income_basis")), key="annual_income_inr", note=F.when(~ok, c.unusable("annual_income_inr")))
+    c.add("income", col("c_income_cap").isNotNull(), F.when(~ok, "unknown").otherwise(income_result(col("p_annual_income_inr"), col("c_income_cap"), col("p_income_basis"), col("c_income_basis"))), F.when(~ok | col("p_income_basis").isNull(), F.lit("annual_income_inr")), kind, constraint=col("c_json_income"), key="annual_income_inr", note=F.when(~ok, c.unusable("annual_income_inr")))
     ok = c.usable("land_acres")
     kind = F.when(~ok, "missing").otherwise("refine")
-    c.add("land", col("c_land_min").isNotNull() | col("c_land_max").isNotNull(), F.when(~ok, "unknown").otherwise(land_result(col("p_land_acres"), col("c_land_min"), col("c_land_max"), col("p_land_basis"))), F.lit("land_acres"), kind, constraint=json_of(min_acres=col("c_land_min"), max_acres=col("c_land_max")), key="land_acres", note=F.when(~ok, c.unusable("land_acres")))
-    c.compared("education_class", "education_class", col("c_class_min").isNotNull() | col("c_class_max").isNotNull(), in_range(col("p_education_class"), col("c_class_min"), col("c_class_max")), json_of(min_class=col("c_class_min"), max_class=col("c_class_max")), span="education")  # M04
+    c.add("land", col("c_land_min").isNotNull() | col("c_land_max").isNotNull(), F.when(~ok, "unknown").otherwise(land_result(col("p_land_acres"), col("c_land_min"), col("c_land_max"), col("p_land_basis"))), F.lit("land_acres"), kind, constraint=col("c_json_land"), key="land_acres", note=F.when(~ok, c.unusable("land_acres")))
+    c.compared("education_class", "education_class", col("c_class_min").isNotNull() | col("c_class_max").isNotNull(), in_range(col("p_education_class"), col("c_class_min"), col("c_class_max")), col("c_json_class"), span="education")  # M04
     admitted = col("c_admitted_stages")  # M05: no fail, and confidence plays no part
     stage = F.coalesce(col("p_education_stage"), F.when(col("p_education_class") <= 10, "school").when(col("p_education_class") > 10, "higher_secondary"))
     passes = F.coalesce(F.array_contains(admitted, stage), F.lit(False))

@@ -34,7 +34,7 @@ def classify_residual(residual: Column, conditions: Column) -> Column:
 
     def restates(c: Column, norm: Column) -> Column:
         clauses = F.transform(F.split(F.coalesce(c["source_span"], F.lit("")), r" \| "), lambda x: plain_norm(x))
-        return (norm != "") & F.array_contains(clauses, norm)
+        return (norm != "") & (F.coalesce(c["source_span"], F.lit("")) != "") & F.array_contains(clauses, norm)
 
     def stricter(c: Column, numbers: Column) -> Column:
         about = F.lit(False)
@@ -101,8 +101,8 @@ def shown_label(condition: Column, lang: Column) -> Column:
     label, value = T.named(T.FIELDS, condition["field"], lang), condition["profile_value"]
     number = F.when(value.rlike("^[-0-9]"), value.try_cast("double"))  # other texts would each raise an exception inside the cast
     word = F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v")
-    text = F.when(number.isNotNull(), F.when(condition["field"] == "income", F.concat(F.lit("₹"), indian_grouping(number))).otherwise(number_text(number))).when(value.startswith('"'), word)
-    return F.when(text.isNotNull(), F.concat(label, F.lit(" ("), text, F.lit(")"))).otherwise(label)
+    written = lambda n: F.when(n.isNotNull(), F.when(condition["field"] == "income", F.concat(F.lit("₹"), indian_grouping(n))).otherwise(number_text(n))).when(value.startswith('"'), word)
+    return let(let(number, written), lambda text: F.when(text.isNotNull(), F.concat(label, F.lit(" ("), text, F.lit(")"))).otherwise(label))
 
 
 def checked_labels(conditions: Column, lang: Column) -> Column:
@@ -171,10 +171,11 @@ def bounds_rule(kind: str, low: Column, high: Column, lang: Column, exact: str |
 def failed_sentence(c: Column, lang: Column) -> Column:
     """What the scheme demands and what the person said, for one failed condition."""
     con, value = c["constraint"], c["profile_value"]
-    number = lambda key: F.when(part(con, key).isNotNull(), number_text(part(con, key).try_cast("double")))
+    number = lambda key: let(part(con, key), lambda p: F.when(p.isNotNull(), number_text(p.try_cast("double"))))
+    bounds = lambda kind, low, high, exact=None: let(F.struct(number(low).alias("low"), number(high).alias("high")), lambda b: bounds_rule(kind, b["low"], b["high"], lang, exact))
     scalar = lambda x: F.get_json_object(F.concat(F.lit('{"v":'), x, F.lit("}")), "$.v")
     rule, said = (lambda key, **v: T.worded(T.of(T.RULE, key), lang, **v)), (lambda key, **v: T.worded(T.of(T.SAID, key), lang, **v))
-    v, w = number_text(value.try_cast("double")), scalar(value)
+    v, w = let(value.try_cast("double"), number_text), scalar(value)
     family = F.when(part(con, "basis") == "family", T.worded(T.FAMILY, lang))
     listed = F.from_json(con, "array<string>")
     categories = T.joined(F.transform(listed, lambda x: T.named(T.CATEGORY, x, lang)), lang, T.OR)
@@ -186,10 +187,10 @@ def failed_sentence(c: Column, lang: Column) -> Column:
     admitted = marital_admitted(scalar(con))
     statuses = F.coalesce(T.joined(F.transform(F.array_sort(admitted), lambda x: T.named(T.MARITAL, x, lang)), lang, T.OR), scalar(con))
     table = {
-        "age": (bounds_rule("age", number("min"), number("max"), lang, "age_exact"), said("age", v=v)),
-        "income": (rule("income", basis=family, cap=indian_grouping(part(con, "max_annual_inr").try_cast("double"))), said("income", v=indian_grouping(value.try_cast("double")))),
-        "land": (bounds_rule("land", number("min_acres"), number("max_acres"), lang), said("land", v=v)),
-        "education_class": (bounds_rule("class", number("min_class"), number("max_class"), lang), said("education_class", v=v)),
+        "age": (bounds("age", "min", "max", "age_exact"), said("age", v=v)),
+        "income": (rule("income", basis=family, cap=let(part(con, "max_annual_inr").try_cast("double"), indian_grouping)), said("income", v=let(value.try_cast("double"), indian_grouping))),
+        "land": (bounds("land", "min_acres", "max_acres"), said("land", v=v)),
+        "education_class": (bounds("class", "min_class", "max_class"), said("education_class", v=v)),
         "gender": (rule("gender", g=T.named(T.GENDERS, scalar(con), lang)), said("gender", g=T.named(T.GENDER, w, lang))),
         "category": (rule("category", cats=categories), T.joined(told, lang)),
         "residence": (rule("residence", r=T.named(T.RESIDENCE, scalar(con), lang)), said("residence", r=T.named(T.RESIDENCE, w, lang))),
@@ -200,7 +201,7 @@ def failed_sentence(c: Column, lang: Column) -> Column:
     }
     out = F.lit(None).cast("string")
     for field, (demand, answer) in table.items():
-        sentence = F.concat(demand, F.when(answer != "", F.concat(F.lit("; "), answer)).otherwise(""), T.worded(T.STOP, lang))
+        sentence = F.concat(demand, let(answer, lambda a: F.when(a != "", F.concat(F.lit("; "), a)).otherwise("")), T.worded(T.STOP, lang))
         out = F.when(c["field"] == field, sentence).otherwise(out)
     return out
 
