@@ -17,6 +17,10 @@ from eligspark.storage import materialize
 
 #: Hashes of frequent phrases are broadcast up to this many (8 bytes each).
 BROADCAST_PHRASES = 4_000_000
+#: Phrases are first counted by so many upper bits of their hashes: the bucket that they are counted in, and a value in it.
+SLOT_BITS, VALUE_BITS = 36, 26
+#: Phrases that a task holds before it sends them off.
+PACKED_SLOTS = 1 << 22
 
 # Words that carry no information in a phrase.
 BOILERPLATE = "the of to and a in for be is or by on with should must shall applicant from as an not any at are has have been this under scheme will who which that his her their its it per was were".split()
@@ -90,23 +94,60 @@ class Spans:
             yield n, at, out
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Sorted numbers as their differences in 16 bits; 65535 stands for itself and goes on, so any difference can be written."""
+    step = np.diff(values.astype(np.int64), prepend=0)
+    more = step // 65535
+    ends = np.cumsum(more + 1)
+    out = np.full(int(ends[-1]) if len(ends) else 0, 65535, np.uint16)
+    out[ends - 1] = step - more * 65535
+    return out.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    steps = np.frombuffer(data, np.uint16)
+    return np.cumsum(steps, dtype=np.uint64)[steps != 65535]
+
+
+def bucketed(slots: np.ndarray) -> pa.RecordBatch:
+    """(bucket, slots): the slots' values by bucket, packed."""
+    slots = np.sort(slots)
+    buckets = slots >> np.uint64(VALUE_BITS)
+    cuts = np.r_[np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]]), len(slots)]
+    values = slots & np.uint64((1 << VALUE_BITS) - 1)
+    parts = [packed(values[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(buckets[cuts[:-1]].astype(np.int64)), pa.array(parts, pa.binary())], names=["bucket", "slots"])
+
+
 def phrase_counts(documents: DataFrame, key: str, text: str, sizes: tuple[int, ...] = (4, 5, 6), support: int = 5) -> DataFrame:
     """(gram, n): informative phrases by the number of records that have them; each record counts a phrase once.
 
-    Boilerplate goes before anything is shuffled.  Phrases are first counted by 64-bit hashes, each record's distinct ones;
-    strings are made only for those that may have the support, and counted again as strings.  The hashes that may are
-    broadcast in slices of a bounded number, one pass over the texts each.
+    Boilerplate goes before anything is shuffled.  Phrases are first counted by the upper SLOT_BITS of their 64-bit hashes, each
+    record's distinct ones, which travel packed (`packed`); strings are made only for those that may have the support, and
+    counted again as strings, so slots that phrases share do no harm.  The slots that may are broadcast in parts of a
+    bounded number, one pass over the texts each.
     """
     texts = documents.select(phrase_norm(F.col(text)).alias("t"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spans = Spans(sizes)
+        spans, held, n = Spans(sizes), [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                found = [np.unique(np.concatenate([h for _, _, h in spans.of(t.split())] or [np.empty(0, np.uint64)])) for t in batch.column("t").slice(at, 500).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["hash"])
-
-    counts = texts.mapInArrow(hashed, "hash long").groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= support)
+            for t in (x.as_py() for x in batch.column("t")):
+                held.append(np.unique(np.concatenate([h >> np.uint64(64 - SLOT_BITS) for _, _, h in spans.of(t.split())] or [np.empty(0, np.uint64)])))
+                n += len(held[-1])
+                if n >= PACKED_SLOTS:
+                    yield bucketed(np.concatenate(held))
+                    held, n = [], 0
+        if n:
+            yield bucketed(np.concatenate(held))
+
+    def counted(rows: pa.Table) -> pa.Table:
+        slots = np.sort(np.concatenate([unpacked(b.as_py()) for b in rows.column("slots")]))
+        firsts = np.flatnonzero(np.r_[True, slots[1:] != slots[:-1]])
+        often = slots[firsts[np.diff(np.r_[firsts, len(slots)]) >= support]] | np.uint64(rows.column("bucket")[0].as_py() << VALUE_BITS)
+        return pa.table({"hash": often.view(np.int64)})
+
+    counts = texts.mapInArrow(hashed, "bucket long, slots binary").groupBy("bucket").applyInArrow(counted, "hash long")
     often = materialize(counts.select("hash", F.pmod(F.xxhash64("hash"), F.lit(1 << 20)).cast("int").alias("slice")), "phrases")
     passes = max(1, -(-often.count() // BROADCAST_PHRASES))
 
@@ -121,6 +162,7 @@ def phrase_counts(documents: DataFrame, key: str, text: str, sizes: tuple[int, .
                     for t in batch.column("t").slice(at, 500).to_pylist():
                         words, own = t.split(), set()
                         for n, places, h in spans.of(words):
+                            h = h >> np.uint64(64 - SLOT_BITS)
                             hit = np.minimum(np.searchsorted(wanted, h), max(len(wanted) - 1, 0))
                             own.update(" ".join(words[i : i + n]) for i in places[wanted[hit] == h].tolist()) if len(wanted) else None
                         out.extend(own)

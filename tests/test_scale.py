@@ -131,3 +131,25 @@ def test_documents_are_scored_where_they_are_read(spark, monkeypatch):
     table = np.zeros((20, 9))
     table[np.repeat(np.arange(len(weights.first) - 1), np.diff(weights.first)), weights.queries] = weights.values
     assert np.allclose(whole, (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * 10 / 12.0))) @ table)
+
+
+def test_phrases_travel_packed(spark):
+    """Counts as from the strings themselves; numbers survive packing, whatever lies between them, at two bytes where they are dense."""
+    rng = np.random.default_rng(2)
+    for values in (np.empty(0, np.uint64), np.array([0, 0, 65534, 65535, 131070, 131071, (1 << 26) - 1], np.uint64), np.sort(rng.integers(0, 1 << 26, 16_000).astype(np.uint64))):
+        assert corpus.unpacked(corpus.packed(values)).tolist() == values.tolist()
+    assert len(corpus.packed(values)) < 2.2 * len(values)
+    slots = np.sort(rng.integers(0, 1 << corpus.SLOT_BITS, 5000).astype(np.uint64))
+    batch = corpus.bucketed(rng.permutation(slots))
+    back = [corpus.unpacked(v.as_py()) + np.uint64(b.as_py() << corpus.VALUE_BITS) for b, v in zip(batch.column("bucket"), batch.column("slots"), strict=True)]
+    assert np.concatenate(back).tolist() == slots.tolist()
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choice(["crop", "the", "loan", "of", "farm"]) for _ in range(rnd.randrange(40))) for _ in range(60)]
+    want = {}
+    for t in texts:
+        w = t.split()
+        for g in {" ".join(w[i : i + n]) for n in (2, 3) for i in range(len(w) - n + 1)}:
+            if sum(x not in corpus.BOILERPLATE for x in g.split()) >= 2:
+                want[g] = want.get(g, 0) + 1
+    rows = corpus.phrase_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text", (2, 3), 4)
+    assert {r.gram: r.n for r in rows.collect()} == {g: n for g, n in want.items() if n >= 4}
