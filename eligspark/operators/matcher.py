@@ -92,8 +92,8 @@ def stated(profiles: DataFrame) -> DataFrame:
 class Conditions:
     """Builds the condition array of one row."""
 
-    def __init__(self, columns: list[str], rules: frozenset[str]):
-        self.columns, self.rules = set(columns), rules
+    def __init__(self, columns: list[str], rules: frozenset[str], wanted: tuple[str, ...] | None = None):
+        self.columns, self.rules, self.wanted = set(columns), rules, wanted
         self.fields, self.deciding, self.checks, self.found = [], [], [], []
         facts = F.coalesce(F.col("p_facts"), F.array().cast("array<string>"))
         if "applying_for" in rules:  # M19
@@ -148,8 +148,9 @@ class Conditions:
             self.span(span or field).alias("source_span"),
         ]
         self.fields.append((field, gate))
-        self.checks.append(F.when(present, F.struct(*slim).cast(CHECK)))
-        self.found.append(F.when(present, F.struct(*slim, *details).cast(CONDITION)))
+        listed = present if self.wanted is None or field in self.wanted else F.lit(False)
+        self.checks.append(F.when(listed, F.struct(*slim).cast(CHECK)))
+        self.found.append(F.when(listed, F.struct(*slim, *details).cast(CONDITION)))
 
     def compared(self, field: str, key: str, present: Column, good: Column, constraint: Column, ambiguous: bool = False, gate: bool = False, span: str | None = None) -> None:
         """Not usable: unknown, ask; ambiguous (the value may be another person's): unknown; else pass or fail."""
@@ -199,17 +200,18 @@ def category_parts(c: Conditions) -> tuple[Column, Column]:
     return F.transform(listed, one), first_open
 
 
-def evaluate(pairs: DataFrame, rules: tuple[str, ...] = RULES) -> DataFrame:
+def evaluate(pairs: DataFrame, rules: tuple[str, ...] = RULES, fields: tuple[str, ...] | None = None) -> DataFrame:
     """`pairs` with conditions, checks (their fields up to the gate), preferences, unverified, to_confirm, own_conditions, status,
     reason and personal_pass (M01-M19, A04).
 
-    `rules` are the toggles that apply (U01); an unknown name raises ValueError.
+    `rules` are the toggles that apply (U01); an unknown name raises ValueError.  `fields`: those whose conditions the arrays
+    list, all by default; verdicts are made of all in any case.
     """
     if unknown := set(rules) - set(RULES):
         raise ValueError(f"unknown rules: {sorted(unknown)}")
     rules = frozenset(rules)
     df = completed(pairs)
-    c = Conditions(df.columns, rules)
+    c = Conditions(df.columns, rules, fields)
     col, null_text = F.col, F.array().cast("array<string>")
     true = lambda name: F.coalesce(col(name), F.lit(False))
 

@@ -73,7 +73,7 @@ def match_category_disjunction(spark, sf_dir):
         F.when(q % 5 > 0, (q % 5 * 15).cast("double")).alias("p_disability_percent"),
         F.when(s % 4 == 0, F.array(F.lit("SC"), F.lit("PwD"))).when(s % 4 == 1, F.array(F.lit("OBC"))).when(s % 4 == 2, F.array(F.lit("Minority"), F.lit("ST"))).alias("c_category"),
     )
-    rows = M.condition_rows(M.evaluate(pairs), ("query_id", "slug"), details=False).filter("field = 'category'")
+    rows = M.condition_rows(M.evaluate(pairs, fields=("category",)), ("query_id", "slug"), details=False)
     return rows.select("query_id", "slug", "result", "ask_field")
 
 

@@ -188,3 +188,17 @@ def test_whole_documents_are_cut_between_documents():
         parts = list(search.whole_documents(iter(table.to_batches(max_chunksize=size)), most))
         assert pa.concat_tables(parts).column("at").to_pylist() == list(range(len(keys)))
         assert all(a.column("key")[-1] != b.column("key")[0] for a, b in zip(parts[:-1], parts[1:], strict=True))
+
+
+def test_only_wanted_conditions_are_listed(spark):
+    """Conditions of other fields are neither made nor listed, and the verdict is that of all."""
+    if not os.path.isdir(DATA):
+        pytest.skip("no test tables")
+    pairs = fixtures.matching_pairs(spark, DATA).limit(300)
+    pairs = spark.createDataFrame(pairs.collect(), pairs.schema)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    whole, part = matcher.evaluate(pairs), matcher.evaluate(pairs, fields=("land",))
+    keys = ("query_id", "slug")
+    listed = lambda df: matcher.condition_rows(df, keys, details=False)
+    assert rows(listed(part)) == rows(listed(whole).filter("field = 'land'")) != []
+    assert rows(part.select(*keys, "status", "reason")) == rows(whole.select(*keys, "status", "reason"))
