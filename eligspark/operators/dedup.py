@@ -13,13 +13,15 @@ from eligspark.storage import materialize
 
 #: Vectors of one block of the triangular search.
 BLOCK = 8192
+#: Scores that a task holds at a time (8 bytes each, a few copies).
+TILE = 1 << 20
 
 
 def near_duplicate_pairs(vectors: DataFrame, least: float, key: str = "vec_id", column: str = "embedding", block: int = BLOCK) -> DataFrame:
     """(a, b, cosine) with a < b and cosine at least `least`.
 
-    Keys are dealt into blocks; each block pair is one task's matrix product, so both memory and the unit of
-    retry stay bounded and only pairs over the threshold are ever rows.
+    Keys are dealt into blocks; each block pair is one task's matrix product, TILE scores at a time, so both memory and the
+    unit of retry stay bounded and only pairs over the threshold are ever rows.
     """
     rows = vectors.select(F.col(key).cast("long").alias("k"), F.col(column).alias("v"))
     n = rows.count()
@@ -28,22 +30,20 @@ def near_duplicate_pairs(vectors: DataFrame, least: float, key: str = "vec_id",
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
     members = dealt.select("k", "v", "own", other).select("k", "v", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
-    def run(keys: tuple, table: pa.Table) -> pa.Table:
+    def run(keys: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         i, j = keys[0].as_py(), keys[1].as_py()
+        table = pa.Table.from_batches(batches)
         names, own = table.column("k").to_numpy(), table.column("own").to_numpy()
         matrix = table.column("v").combine_chunks().flatten().to_numpy().astype(float).reshape(len(names), -1)
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        out_a, out_b, out_s = [], [], []
-        for at in range(0, len(left), 1024):
-            some = left[at : at + 1024]
-            scores = matrix[some] @ matrix[right].T
+        turned, step = matrix[right].T, max(1, TILE // max(1, len(right)))
+        for at in range(0, len(left), step):  # a tile's pairs go out before the next tile is made
+            some = left[at : at + step]
+            scores = matrix[some] @ turned
             x, y = np.nonzero(scores >= least)
             a, b = names[some[x]], names[right[y]]
             keep = a < b if i == j else a != b
-            out_a.append(np.minimum(a, b)[keep])
-            out_b.append(np.maximum(a, b)[keep])
-            out_s.append(scores[x, y][keep])
-        return pa.table({"a": np.concatenate(out_a) if out_a else np.empty(0, np.int64), "b": np.concatenate(out_b) if out_b else np.empty(0, np.int64), "cosine": np.concatenate(out_s) if out_s else np.empty(0)})
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep]), pa.array(scores[x, y][keep])], names=["a", "b", "cosine"])
 
     pairs = members.groupBy("i", "j").applyInArrow(run, "a long, b long, cosine double")
     return pairs.select("a", "b", F.round("cosine", 6).alias("cosine"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eligspark.functions import rules as rules_of
-from eligspark.operators import chunking, corpus, matcher, ml, postprocess, search
+from eligspark.operators import chunking, corpus, dedup, matcher, ml, postprocess, search
 from eligspark.plans import fixtures, matching, rules
 
 DATA = "/root/testdata/sf0.001"
@@ -202,3 +202,24 @@ def test_only_wanted_conditions_are_listed(spark):
     listed = lambda df: matcher.condition_rows(df, keys, details=False)
     assert rows(listed(part)) == rows(listed(whole).filter("field = 'land'")) != []
     assert rows(part.select(*keys, "status", "reason")) == rows(whole.select(*keys, "status", "reason"))
+
+
+def test_near_pairs_go_out_tile_by_tile(spark, monkeypatch):
+    """A task of the near-duplicate search holds one tile of scores and its pairs; together they are those of brute force."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
+
+    taken, whole = [], PandasGroupedOpsMixin.applyInArrow
+    monkeypatch.setattr(PandasGroupedOpsMixin, "applyInArrow", lambda self, run, schema: taken.append(run) or whole(self, run, schema))
+    rng = np.random.default_rng(4)
+    points = rng.normal(size=(90, 8))
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    found = dedup.near_duplicate_pairs(spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<double>"), 0.4, block=40)
+    want = {(i, j) for i in range(90) for j in range(i + 1, 90) if points[i] @ points[j] >= 0.4}
+    assert {(r.a, r.b) for r in found.collect()} == want
+    monkeypatch.setattr(dedup, "TILE", 200)
+    table = pa.table({"k": np.arange(90), "v": points.tolist(), "own": pa.array(np.arange(90) % 2, pa.int32())})
+    parts = [list(taken[0]((pa.scalar(i), pa.scalar(j)), iter(table.to_batches(max_chunksize=7)))) for i, j in ((0, 0), (0, 1), (1, 1))]
+    assert all(len(p) >= 10 for p in parts)
+    pairs = [(a, b) for p in parts for batch in p for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
+    assert sorted(pairs) == sorted(want)
