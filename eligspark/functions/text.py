@@ -64,7 +64,7 @@ def plain_norm(text: Column) -> Column:
 
 def phrase_norm(text: Column) -> Column:
     """Lower-cased, punctuation to spaces, collapsed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+", " "))
 
 
 def flexible(phrase: Column) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -15,12 +15,15 @@ from eligspark.functions.text import bm25_tokens, fenced, phrase_norm, stems
 from eligspark.operators.sampling import global_rank
 from eligspark.storage import materialize
 
-#: Hashes of frequent phrases are broadcast up to this many (8 bytes each).
-BROADCAST_PHRASES = 4_000_000
+#: Slots of phrases that may be frequent are broadcast as a bitmap of 2 to the power of so many bits (128 KB to 128 MB; at least one
+#: byte for each of the 1,024 buckets).
+LEAST_BITS, MOST_BITS = 20, 30
 #: Phrases are first counted by so many upper bits of their hashes: the bucket that they are counted in, and a value in it.
 SLOT_BITS, VALUE_BITS = 36, 26
 #: Phrases that a task holds before it sends them off.
 PACKED_SLOTS = 1 << 22
+#: Bytes of texts that are cut into words at a time.
+RUN_BYTES = 1 << 20
 
 # Words that carry no information in a phrase.
 BOILERPLATE = "the of to and a in for be is or by on with should must shall applicant from as an not any at are has have been this under scheme will who which that his her their its it per was were".split()
@@ -63,35 +66,96 @@ def is_informative(gram: Column, least: int = 2) -> Column:
     return F.size(F.filter(F.split(gram, " "), lambda w: ~w.isin(*BOILERPLATE))) >= least
 
 
-class Spans:
-    """Informative word sequences of normalised texts by 64-bit hashes; word hashes are remembered up to a bound."""
-
-    MOST_WORDS = 400_000
-
-    def __init__(self, sizes: tuple[int, ...], least: int = 2):
-        self.sizes, self.least, self.known, self.boilerplate = sizes, least, {}, set(BOILERPLATE)
-
-    def word(self, w: str) -> tuple[int, int]:
-        if len(self.known) > self.MOST_WORDS:
-            self.known.clear()
-        found = self.known[w] = (xxhash.xxh3_64_intdigest(w.encode()), w not in self.boilerplate)
-        return found
-
-    def of(self, words: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(size, places from 0, hashes) of the sequences with enough words that aren't boilerplate."""
-        known = self.known
-        pairs = [known.get(w) or self.word(w) for w in words]
-        h, telling = np.array([p[0] for p in pairs], np.uint64), np.array([p[1] for p in pairs], np.int64)
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted, each number once (np.unique hashes, which takes longer)."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+class Words:
+    """The words of normalised texts (one space between words) by place in their bytes, and their sequences by 64-bit hashes."""
+
+    #: The first bytes of the words of 1 to 8 bytes, as `eight` has them.
+    MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    #: Longer words are hashed by so many first bytes; their sequences may share a hash.
+    HASHED_BYTES = 256
+
+    def __init__(self, texts: pa.Array):
+        texts = texts.cast(pa.large_string())
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        size = int(ends[-1] - ends[0])
+        self.bytes = np.zeros((size // 8 + 3) * 8, np.uint8)
+        self.bytes[:size] = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        self.eights = self.bytes.view("<u8")
+        space, cut = self.bytes[:size] == 32, np.zeros(size + 1, bool)
+        cut[ends - ends[0]] = True
+        self.starts = np.flatnonzero(~space & (np.r_[True, space[:-1]] | cut[:-1])) if size else np.empty(0, np.int64)
+        self.ends = np.flatnonzero(~space & (np.r_[space[1:], True] | cut[1:])) + 1 if size else np.empty(0, np.int64)
+        self.text = np.searchsorted(ends - ends[0], self.starts, side="right") - 1
+
+    def eight(self, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The 8 bytes at each place as one number, without those beyond the `left` that the word has."""
+        k, bits = at >> 3, (at.astype(np.uint64) & np.uint64(7)) * np.uint64(8)
+        both = (self.eights[k] >> bits) | ((self.eights[k + 1] << np.uint64(1)) << (np.uint64(63) - bits))
+        return both & self.MASKS[np.minimum(left, 8)]
+
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each word its hash, and whether it is no boilerplate (by its bytes, as a hash may be shared)."""
+        size = self.ends - self.starts
+        first = self.eight(self.starts, size)
+        out = mixed(first ^ size.astype(np.uint64))
+        more, at = np.flatnonzero(size > 8), 8
+        while len(more) and at < self.HASHED_BYTES:
+            out[more] = mixed(out[more] ^ self.eight(self.starts[more] + at, size[more] - at))
+            at += 8
+            more = more[size[more] > at]
+        telling = np.ones(len(size), bool)
+        for n in {len(w.encode()) for w in BOILERPLATE}:
+            same = [w.encode() for w in BOILERPLATE if len(w.encode()) == n]
+            places = np.flatnonzero(size == n)
+            if n <= 8:
+                telling[places[np.isin(first[places], np.array([int.from_bytes(w, "little") for w in same], np.uint64))]] = False
+            else:
+                telling[[k for k in places.tolist() if self.bytes[self.starts[k] : self.ends[k]].tobytes() in same]] = False
+        return out, telling
+
+    def sequences(self, sizes: tuple[int, ...], least: int = 2) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(size, first words, hashes) of the sequences within a text with at least `least` words that aren't boilerplate."""
+        h, telling = self.hashes()
         before = np.r_[0, np.cumsum(telling)]
-        for n in self.sizes:
-            if len(words) < n:
-                continue
-            at = np.flatnonzero(before[n:] - before[:-n] >= self.least)
-            out = np.full(len(at), n, np.uint64)
-            for k in range(n):
-                out = (out ^ h[at + k]) * np.uint64(0x9E3779B97F4A7C15)
-                out ^= out >> np.uint64(29)
-            yield n, at, out
+        out = np.zeros(len(h), np.uint64)
+        for n in range(1, max(sizes) + 1):
+            if len(h) < n:
+                break
+            out = mixed(out[: len(h) - n + 1] ^ h[n - 1 :])
+            if n in sizes:
+                at = np.flatnonzero((before[n:] - before[:-n] >= least) & (self.text[n - 1 :] == self.text[: len(h) - n + 1]))
+                yield n, at, mixed(out[at])
+
+    def strings(self, first: np.ndarray, last: np.ndarray) -> pa.Array:
+        """The sequences from the first to the last words, as strings."""
+        parts = []
+        for k in range(0, max(len(first), 1), 1 << 17):
+            starts, size = self.starts[first[k : k + (1 << 17)]], self.ends[last[k : k + (1 << 17)]] - self.starts[first[k : k + (1 << 17)]]
+            ends = np.cumsum(size)
+            data = self.bytes[np.arange(int(size.sum())) + np.repeat(starts - (ends - size), size)]
+            parts.append(pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(np.r_[0, ends].astype(np.int64)), pa.py_buffer(data)))
+        return pa.concat_arrays(parts)
+
+
+def in_runs(texts: pa.Array, most: int = RUN_BYTES) -> Iterator[Words]:
+    """Texts by runs of at most so many bytes, a longer text alone."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield Words(texts.slice(at, upto - at))
+        at = upto
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -119,61 +183,91 @@ def bucketed(slots: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(buckets[cuts[:-1]].astype(np.int64)), pa.array(parts, pa.binary())], names=["bucket", "slots"])
 
 
+def marks(slots: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of each slot in a bitmap of 2 ** bits: both in its bucket's part (for values, in the bucket's own)."""
+    low = bits - SLOT_BITS + VALUE_BITS
+    values, part = slots & np.uint64((1 << VALUE_BITS) - 1), (slots >> np.uint64(VALUE_BITS)) << np.uint64(low)
+    return part | (values >> np.uint64(VALUE_BITS - low)), part | (mixed(mixed(values + np.uint64(1))) >> np.uint64(64 - low))
+
+
+def marked_in(bitmap: np.ndarray, slots: np.ndarray, bits: int) -> np.ndarray:
+    """Places of the slots both of whose bits are set."""
+    is_set = lambda at: (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
+    hit = np.flatnonzero(is_set(marks(slots, bits)[0]))
+    return hit[is_set(marks(slots[hit], bits)[1])]
+
+
 def phrase_counts(documents: DataFrame, key: str, text: str, sizes: tuple[int, ...] = (4, 5, 6), support: int = 5) -> DataFrame:
     """(gram, n): informative phrases by the number of records that have them; each record counts a phrase once.
 
     Boilerplate goes before anything is shuffled.  Phrases are first counted by the upper SLOT_BITS of their 64-bit hashes, each
     record's distinct ones, which travel packed (`packed`); strings are made only for those that may have the support, and
-    counted again as strings, so slots that phrases share do no harm.  The slots that may are broadcast in parts of a
-    bounded number, one pass over the texts each.
+    counted again as strings, so slots that phrases share do no harm.  The slots that may are broadcast as a bitmap with two
+    bits set for each: 16 to 32 bits a slot up to 2 ** MOST_BITS bits, beyond that fewer, down to 8; then in parts, one pass over
+    the texts each.
     """
     texts = documents.select(phrase_norm(F.col(text)).alias("t"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spans, held, n = Spans(sizes), [], 0
-        for batch in batches:
-            for t in (x.as_py() for x in batch.column("t")):
-                held.append(np.unique(np.concatenate([h >> np.uint64(64 - SLOT_BITS) for _, _, h in spans.of(t.split())] or [np.empty(0, np.uint64)])))
-                n += len(held[-1])
-                if n >= PACKED_SLOTS:
-                    yield bucketed(np.concatenate(held))
-                    held, n = [], 0
+        held, n = [], 0
+        for words in (w for batch in batches for w in in_runs(batch.column("t"))):
+            # a text's number above the slot: each text's distinct ones are kept
+            slots = [(words.text[at].astype(np.uint64) << np.uint64(SLOT_BITS)) | (h >> np.uint64(64 - SLOT_BITS)) for _, at, h in words.sequences(sizes)]
+            held.append(distinct(np.concatenate(slots or [np.empty(0, np.uint64)])) & np.uint64((1 << SLOT_BITS) - 1))
+            n += len(held[-1])
+            if n >= PACKED_SLOTS:
+                yield bucketed(np.concatenate(held))
+                held, n = [], 0
         if n:
             yield bucketed(np.concatenate(held))
 
     def counted(rows: pa.Table) -> pa.Table:
         slots = np.sort(np.concatenate([unpacked(b.as_py()) for b in rows.column("slots")]))
         firsts = np.flatnonzero(np.r_[True, slots[1:] != slots[:-1]])
-        often = slots[firsts[np.diff(np.r_[firsts, len(slots)]) >= support]] | np.uint64(rows.column("bucket")[0].as_py() << VALUE_BITS)
-        return pa.table({"hash": often.view(np.int64)})
+        often = slots[firsts[np.diff(np.r_[firsts, len(slots)]) >= support]]
+        return pa.table({"bucket": rows.column("bucket").slice(0, 1), "n": pa.array([len(often)], pa.int64()), "often": pa.array([packed(often)], pa.binary())})
 
-    counts = texts.mapInArrow(hashed, "bucket long, slots binary").groupBy("bucket").applyInArrow(counted, "hash long")
-    often = materialize(counts.select("hash", F.pmod(F.xxhash64("hash"), F.lit(1 << 20)).cast("int").alias("slice")), "phrases")
-    passes = max(1, -(-often.count() // BROADCAST_PHRASES))
+    counts = texts.mapInArrow(hashed, "bucket long, slots binary").groupBy("bucket").applyInArrow(counted, "bucket long, n long, often binary")
+    often = materialize(counts, "phrases")
+    total = often.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).collect()[0].n
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * total).bit_length()))
+    passes = max(1, -(-8 * total // (1 << MOST_BITS)))
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, slots in zip(batch.column("bucket").to_pylist(), batch.column("often"), strict=True):
+                own = np.zeros(1 << (bits - SLOT_BITS + VALUE_BITS), bool)
+                for places in marks(unpacked(slots.as_py()), bits):
+                    own[places] = True
+                yield pa.RecordBatch.from_pydict({"bucket": [bucket], "bits": [np.packbits(own, bitorder="little").tobytes()]})
 
     def grams(part: np.ndarray) -> DataFrame:
         shared = documents.sparkSession.sparkContext.broadcast(part)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            spans, wanted = Spans(sizes), shared.value
-            for batch in batches:
-                for at in range(0, batch.num_rows, 500):
-                    out: list[str] = []
-                    for t in batch.column("t").slice(at, 500).to_pylist():
-                        words, own = t.split(), set()
-                        for n, places, h in spans.of(words):
-                            h = h >> np.uint64(64 - SLOT_BITS)
-                            hit = np.minimum(np.searchsorted(wanted, h), max(len(wanted) - 1, 0))
-                            own.update(" ".join(words[i : i + n]) for i in places[wanted[hit] == h].tolist()) if len(wanted) else None
-                        out.extend(own)
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["gram"])
-
-        return texts.mapInArrow(run, "gram string").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= support)
+            wanted = shared.value
+            for words in (w for batch in batches for w in in_runs(batch.column("t"))):
+                found = [(at[hit], at[hit] + n - 1) for n, at, h in words.sequences(sizes) for hit in [marked_in(wanted, h >> np.uint64(64 - SLOT_BITS), bits)]]
+                if not found:
+                    continue
+                first, last = (np.concatenate(x) for x in zip(*found, strict=True))
+                each = words.strings(first, last).dictionary_encode()
+                codes = distinct(words.text[first] * np.int64(len(each.dictionary)) + each.indices.to_numpy()) % max(1, len(each.dictionary))
+                own = pa.RecordBatch.from_arrays([each.dictionary, pa.array(np.bincount(codes, minlength=len(each.dictionary)))], names=["gram", "n"])
+                for at in range(0, own.num_rows, 1 << 16):
+                    some = own.slice(at, 1 << 16)
+                    yield pa.RecordBatch.from_arrays([some.column("gram").cast(pa.string()), some.column("n")], names=["gram", "n"])
+
+        return texts.mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= support)
 
     whole = None
     for k in range(passes):
-        part = often.filter(F.pmod("slice", F.lit(passes)) == k).select("hash").toArrow().column("hash").to_numpy()
-        got = grams(np.sort(part.view(np.uint64)))
+        # a phrase's bucket is part of its bit's place, so it is found in one pass only
+        part = np.zeros((1 << bits) // 8, np.uint8)
+        width = len(part) >> (SLOT_BITS - VALUE_BITS)
+        for r in often.filter((F.pmod("bucket", F.lit(passes)) == k) & (F.col("n") > 0)).mapInArrow(marked, "bucket long, bits binary").collect():
+            part[r.bucket * width : (r.bucket + 1) * width] = np.frombuffer(r.bits, np.uint8)
+        got = grams(part)
         whole = got if whole is None else whole.unionByName(got)
     return whole
 

@@ -5,6 +5,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,6 +156,47 @@ def test_phrases_travel_packed(spark):
     assert {r.gram: r.n for r in rows.collect()} == {g: n for g, n in want.items() if n >= 4}
 
 
+def test_phrases_are_cut_out_of_bytes(spark, monkeypatch):
+    """Words, sequences and their strings as from split texts, whatever the runs, the length of words and the number of passes."""
+    rnd = random.Random(8)
+    long = "ä" * 200
+    words = ["crop", "the", "applicant", "applicants", "applican", "eightlet", "ninelette", "é", "ö_1", "௧௨", "under", "underthe", long + "x", long + "y"]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randrange(30))) for _ in range(900)] + ["", "crop", "crop loan"]
+    table = corpus.Words(pa.array(["off", *texts, "off"]).slice(1, len(texts)))
+    raw = [table.bytes[a:b].tobytes().decode() for a, b in zip(table.starts, table.ends, strict=True)]
+    assert raw == [w for t in texts for w in t.split()] and table.text.tolist() == [k for k, t in enumerate(texts) for _ in t.split()]
+    assert table.hashes()[1].tolist() == [w not in corpus.BOILERPLATE for w in raw]
+    seen = {}
+    for n, at, h in table.sequences((1, 2, 3), 1):
+        got = table.strings(at, at + n - 1).to_pylist()
+        assert sorted(got) == sorted(" ".join(w[i : i + n]) for t in texts for w in [t.split()] for i in range(len(w) - n + 1) if any(x not in corpus.BOILERPLATE for x in w[i : i + n]))
+        seen |= {(n, g, int(x)): 1 for g, x in zip(got, h, strict=True)}
+    # one hash a string; only words that differ after their first bytes share one
+    assert len(seen) == len({g for _, g, _ in seen}) and len({h for _, _, h in seen}) == len({g.replace("y", "x") for _, g, _ in seen})
+    want = {}
+    for t in texts:
+        w = t.split()
+        for g in {" ".join(w[i : i + n]) for n in (2, 3) for i in range(len(w) - n + 1)}:
+            if sum(x not in corpus.BOILERPLATE for x in g.split()) >= 2:
+                want[g] = want.get(g, 0) + 1
+    df = spark.createDataFrame([(k, t.replace(" ", " -\t")) for k, t in enumerate(texts)] + [(-1, None)], "doc_id long, text string").coalesce(2)
+    monkeypatch.setattr(corpus, "LEAST_BITS", 13)
+    assert sum(n >= 2 for n in want.values()) > 2048  # three passes where there are 8,192 bits
+    for most in (30, 13):
+        monkeypatch.setattr(corpus, "MOST_BITS", most)
+        rows = corpus.phrase_counts(df, "doc_id", "text", (2, 3), 2).collect()
+        assert len(rows) == len({r.gram for r in rows}) and {r.gram: r.n for r in rows} == {g: n for g, n in want.items() if n >= 2}
+    assert [len(w.starts) for w in corpus.in_runs(pa.array(["a b", "c", "d e f g h", "", "i"]), 4)] == [3, 5, 1]
+    slots = corpus.distinct(np.random.default_rng(1).integers(0, 1 << corpus.SLOT_BITS, 5000).astype(np.uint64))
+    for bits in (13, 17, 30):
+        both = corpus.marks(slots, bits)
+        assert all(((p >> np.uint64(bits - 10)) == (slots >> np.uint64(corpus.VALUE_BITS))).all() for p in both)
+        bitmap = np.zeros((1 << bits) // 8, np.uint8)
+        for p in both:
+            np.bitwise_or.at(bitmap, (p >> np.uint64(3)).astype(np.int64), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
+        assert len(corpus.marked_in(bitmap, slots, bits)) == len(slots)
+
+
 def test_terms_are_counted_where_texts_are_read(spark, tmp_path):
     """Postings and lengths of vectors as from exploded terms, without a shuffle; an index gives many queries what a search does."""
     rnd = random.Random(11)
