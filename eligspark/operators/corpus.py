@@ -275,22 +275,26 @@ def phrase_counts(documents: DataFrame, key: str, text: str, sizes: tuple[int, .
 def top_phrases(counts: DataFrame, keep: int = 25, overlap: float = 0.75, page: int = 500) -> list[tuple[str, int]]:
     """Greedy choice of phrases by records, then length, then text: one goes if its content words overlap a kept one's too much.
 
-    Ranked once over ranges; the driver reads pages of `page` phrases, each twice as long as the one before (up to 16
-    pages' length), until the last choice is made or no phrase is left.  It holds one page and at most `keep` word sets.
+    The counts are made once.  The first 16 pages of `page` phrases are their best, without a sort of the others; only where
+    the last choice isn't among them are all ranked, once over ranges, and the driver reads on, 16 pages at a time.  It holds
+    these and at most `keep` word sets.
     """
-    rows = counts.withColumns({"__n": -F.col("n"), "__len": -F.length("gram")})
-    ranked = materialize(global_rank(rows, ["__n", "__len", "gram"], "__rank").select("gram", "n", "__rank"), "phrases-ranked")
+    order, width = ["__n", "__len", "gram"], 16 * page
+    rows = materialize(counts, "phrases-counted").withColumns({"__n": -F.col("n"), "__len": -F.length("gram")})
     kept: list[tuple[str, int, set]] = []
-    at, width = 0, page
-    while len(kept) < keep:
-        rows = ranked.filter((F.col("__rank") > at) & (F.col("__rank") <= at + width)).collect()
-        for r in sorted(rows, key=lambda r: r["__rank"]):
+
+    def choose(found: list) -> bool:
+        """Whether to read on."""
+        for r in found:
             words = {w for w in r["gram"].split(" ") if w not in BOILERPLATE}
             if len(kept) < keep and all(len(words & k) / max(1, min(len(words), len(k))) < overlap for _, _, k in kept):
                 kept.append((r["gram"], r["n"], words))
-        if not rows:
-            break
-        at, width = at + width, min(2 * width, 16 * page)
+        return len(kept) < keep and len(found) == width
+
+    if choose(rows.orderBy(*order).limit(width).select("gram", "n").collect()):
+        ranked, at = materialize(global_rank(rows, order, "__rank").select("gram", "n", "__rank"), "phrases-ranked"), width
+        while choose(sorted(ranked.filter((F.col("__rank") > at) & (F.col("__rank") <= at + width)).collect(), key=lambda r: r["__rank"])):
+            at += width
     return [(g, n) for g, n, _ in kept]
 
 

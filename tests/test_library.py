@@ -235,6 +235,23 @@ def test_greedy_phrases_page_by_page(spark):
     assert corpus.top_phrases(df.limit(0)) == []
 
 
+def test_greedy_phrases_rank_all_only_if_they_must(spark, monkeypatch):
+    """The counts are made once, and ranked only where the last choice is beyond the first pages."""
+    made, ranked, whole = spark.sparkContext.accumulator(0), [], corpus.global_rank
+    monkeypatch.setattr(corpus, "global_rank", lambda *a: ranked.append(1) or whole(*a))
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = [(f"crop loan {'x' * (9 - k % 10)}{k:03d}", 1000 - k) for k in range(100)] + [(f"a{k} b{k}", 100 - k) for k in range(30)]
+    df = spark.createDataFrame(rows, "gram string, n long").repartition(3).mapInArrow(counted, "gram string, n long")
+    want = [rows[0], *rows[100:124]]
+    assert corpus.top_phrases(df, overlap=0.6) == want and not ranked and made.value == len(rows)
+    assert corpus.top_phrases(df, overlap=0.6, page=1) == want and len(ranked) == 1 and made.value == 2 * len(rows)
+
+
 def test_language_swaps(spark):
     rows = [(k, ["en", "en", "en", "de", "fr", None][k % 6], k % 2) for k in range(60)] + [(None, "es", 1), (100, "es", 1), (101, "it", 0)]
     df = spark.createDataFrame(rows, "k long, lang string, good int").withColumn("split", F.when(F.col("lang").isin("en") & (F.col("k") < 12), "dev").otherwise("test"))
